@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_checked
+
 TERM = re.compile(r"[^\W_]+")
 MEMO = 400_000
 
@@ -156,9 +158,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs with their labels. Texts only move if the labels are too many to be sent to them (join_checked)."""
+    return join_checked(docs, known.where("doc_id is not null"), ["doc_id"], "inner")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; trained on the labelled rows that aren't held out."""
     known = labels.where(~held_out()).select("doc_id", "toxic")
-    model = train(docs.select("doc_id", "text").join(known, "doc_id"), **options)
+    model = train(labelled(docs.select("doc_id", "text"), known), **options)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

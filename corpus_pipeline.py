@@ -13,7 +13,7 @@ from borespark.llm.queries import table, tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.5 stay. Trained on the labelled documents that aren't held out."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(toxicity.labelled(docs.select("doc_id", "text"), labels))
     return toxicity.score(docs, model, keep=docs.columns).where("score < 0.5").drop("score")
 
 
