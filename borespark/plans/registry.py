@@ -1,10 +1,427 @@
-"""The registered queries for the drilling-data operators and their SQL twins."""
+"""The registered queries for the drilling-data operators, bound to the given tables, and their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions import text as T
+from ..operators import completions, history, hse, logs, match, production, quality, risk, survey
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ surveys: events as stations
+
+
+def stations(spark, d):
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    md = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01', ts)") / 1000
+    return survey.stations(e.select(F.col("user_id").alias("well_id"), md.alias("md"), F.col("value").alias("inc_deg"), (k * 3.6).alias("az_deg"), "event_id"))
+
+
+def trajectory(spark, d):
+    return survey.minimum_curvature(stations(spark, d), tie=("event_id",))
+
+
+SURVEY = """with s as (select user_id well_id, (date_diff('microsecond', timestamp '2024-01-01', ts) // 1000000) / 1000.0 md, value inc, cast(json_extract_string(props, '$.k') as double) * 3.6 az, event_id from events where value between 0 and 180 and ts >= timestamp '2024-01-01'),
+l as (select *, lag(md) over w pm, radians(lag(inc) over w) i1, radians(lag(az) over w) a1, radians(inc) i2, radians(az) a2, abs(inc - lag(inc) over w) d_inc, abs(az - lag(az) over w) d_az from s window w as (partition by well_id order by md, event_id)),
+g as (select *, acos(greatest(least(cos(i2 - i1) - sin(i1) * sin(i2) * (1 - cos(a2 - a1)), 1.0), -1.0)) dl from l),
+h as (select *, (md - pm) / 2 * case when dl > 1e-6 then 2 / dl * tan(dl / 2) else 1.0 end hf from g),
+t as (select *, round(sum(coalesce(hf * (sin(i1) * cos(a1) + sin(i2) * cos(a2)), 0)) over w, 2) north, round(sum(coalesce(hf * (sin(i1) * sin(a1) + sin(i2) * sin(a2)), 0)) over w, 2) east, round(sum(coalesce(hf * (cos(i1) + cos(i2)), 0)) over w, 2) tvd, round(case when md - pm > 0 then degrees(dl) * 100 / (md - pm) else 0 end, 3) dls
+from h window w as (partition by well_id order by md, event_id rows unbounded preceding))
+"""
+
+
+@query(SURVEY + "select well_id, round(max(md), 1) total_md, round(max_by(tvd, md), 1) total_tvd, max(inc) max_inc, max(dls) max_dls, count(*) stations from t group by 1")
+def trajectory_summary(spark, d):
+    return survey.trajectory_summary(trajectory(spark, d))
+
+
+@query(SURVEY + "select well_id, event_id, round(north, 1) north, round(east, 1) east, round(tvd, 1) tvd, dls, case when dls > 8 then 'danger' when dls > 5 then 'caution' else 'safe' end band from t")
+def minimum_curvature(spark, d):
+    return trajectory(spark, d).select("well_id", "event_id", *[F.round(c, 1).alias(c) for c in ("north", "east", "tvd")], "dls", S.dls_band(F.col("dls")).alias("band"))
+
+
+@query(SURVEY + "select well_id, code, count(*) n from (select well_id, unnest([case when d_inc > 5 then 'INC_JUMP' end, case when d_az > 15 then 'AZ_JUMP' end, case when md - pm > 100 then 'SURVEY_GAP' end, case when dls > 8 then 'HIGH_DLS' end]) code from t) where code is not null group by 1, 2")
+def survey_anomalies(spark, d):
+    return survey.survey_anomalies(trajectory(spark, d), tie=("event_id",)).groupBy("well_id", "code").agg(F.count("*").alias("n"))
+
+
+@query(SURVEY + "select well_id, max(dls) max_dls, 4 probability, 4 impact, 'critical' risk_level from t group by 1 having max(dls) > 8")
+def critical_dogleg_risks(spark, d):
+    """Which wells carry critical stuck-pipe risk?"""
+    traj = trajectory(spark, d)
+    flags = survey.survey_anomalies(traj, tie=("event_id",)).where("code = 'HIGH_DLS'").select(F.col("well_id").cast("string"), "code")
+    features = survey.trajectory_summary(traj).withColumn("well_id", F.col("well_id").cast("string"))
+    risks = risk.score_risks(features, flags).where("rule_id = 'K09'")
+    return risks.select(F.col("linked_wells")[0].cast("long").alias("well_id"), "probability", "impact", "risk_level").join(features.select(F.col("well_id").cast("long").alias("well_id"), "max_dls"), "well_id")
+
+
+# ------------------------------------------------------------------ logs: events as samples
+
+
+def samples(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("well_id"), "event_id", "ts", F.col("event_type").alias("mnemonic"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+@query("select event_type mnemonic, count(*) n, min(value) min, max(value) max, round(avg(value), 3) mean, round(quantile_cont(value, 0.1), 3) p10, round(quantile_cont(value, 0.5), 3) p50, round(quantile_cont(value, 0.9), 3) p90 from events where cast(json_extract_string(props, '$.k') as int) <> 0 group by 1")
+def curve_stats(spark, d):
+    x = samples(spark, d).withColumn("value", F.when(F.col("k") == 0, -999.25).otherwise(F.col("value")))
+    return logs.curve_stats(x, ("mnemonic",))
+
+
+@query("select event_type channel, count(value) sample_count, min(value) min, max(value) max from events group by 1")
+def channel_stats(spark, d):
+    return logs.channel_stats(samples(spark, d).withColumnRenamed("mnemonic", "channel"))
+
+
+def ranked_logs(spark, d):
+    w = Window.partitionBy("well_id").orderBy("ts", "event_id")
+    return samples(spark, d).select("well_id", F.row_number().over(w).cast("double").alias("depth"), F.col("value").alias("gr"), F.col("k").alias("rt"))
+
+
+LOGS = """with l as (select user_id well_id, cast(row_number() over (partition by user_id order by ts, event_id) as double) depth, value < 60 and cast(json_extract_string(props, '$.k') as int) > 20 pay from events),
+i as (select *, row_number() over (partition by well_id order by depth) - row_number() over (partition by well_id, pay order by depth) island from l),
+p as (select well_id, min(depth) top, max(depth) base, max(depth) - min(depth) net from i where pay group by well_id, island having max(depth) - min(depth) > 1)
+"""
+
+
+@query(LOGS + "select well_id, top, base, net, 0.6::double confidence from p")
+def pay_intervals(spark, d):
+    return logs.pay_intervals(ranked_logs(spark, d), gr_cutoff=60, rt_cutoff=20)
+
+
+@query(LOGS + "select well_id, round(sum(net), 1) total_net_pay, count(*) pay_zone_count from p group by 1")
+def net_pay_summary(spark, d):
+    return logs.net_pay_summary(logs.pay_intervals(ranked_logs(spark, d), gr_cutoff=60, rt_cutoff=20))
+
+
+@query("select well_id, depth, event_id from (select user_id well_id, event_id, row_number() over w rn, count(*) over (partition by user_id) n, row_number() over w depth from events window w as (partition by user_id order by ts, event_id)) where (rn - 1) % greatest(1, n // 10) = 0")
+def downsample(spark, d):
+    x = samples(spark, d).withColumn("depth", F.row_number().over(Window.partitionBy("well_id").orderBy("ts", "event_id")))
+    return logs.downsample(x, 10).select("well_id", "depth", "event_id")
+
+
+@query("select user_id well_id, event_type mnemonic, min(event_id) event_id from events group by 1, 2")
+def first_wins_dedupe(spark, d):
+    return logs.first_wins_dedupe(samples(spark, d), order=("event_id",)).select("well_id", "mnemonic", "event_id")
+
+
+# ------------------------------------------------------------------ production: suppliers by month
+
+
+def series(spark, d):
+    x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("well_id"), F.date_format("l_shipdate", "yyyy-MM").alias("period"))
+    return x.agg(F.sum("l_quantity").alias("oil_rate"), F.sum("l_extendedprice").alias("gas_rate")).withColumn("gor", F.try_divide("gas_rate", "oil_rate"))
+
+
+SERIES = "with m as (select l_suppkey well_id, strftime(l_shipdate, '%Y-%m') period, sum(l_quantity) oil, sum(l_extendedprice) gas from lineitem group by 1, 2), r as (select *, gas / oil gor, row_number() over (partition by well_id order by period) rn, count(*) over (partition by well_id) n from m)\n"
+
+
+@query(SERIES + "select well_id, " + ", ".join(f"round(avg(case when rn <= {n} then oil end), 1) ip{n}" for n in (30, 60, 90, 180, 365)) + ", round(max(oil), 1) peak from r group by 1")
+def ip_metrics(spark, d):
+    return production.ip_metrics(series(spark, d))
+
+
+@query(SERIES + ", h as (select well_id, max(n) n, avg(case when rn <= n // 2 then gor end) a, avg(case when rn > n // 2 then gor end) b from r group by 1) select well_id, 'GOR_BREAKTHROUGH' code, round((b / a - 1) * 100, 1) \"value\" from h where n > 6 and b > 1.001 * a")
+def gor_breakthrough(spark, d):
+    return production.gor_breakthrough(series(spark, d), ratio=1.001)
+
+
+# ------------------------------------------------------------------ completions: orders and their lines as stages
+
+
+def stages(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("well_id"), F.col("l_linenumber").alias("stage_number"), F.col("l_quantity").alias("fluid"), F.col("l_tax").alias("proppant"), F.try_divide("l_extendedprice", "l_quantity").alias("isip"))
+
+
+STAGES = "with s as (select l_orderkey well_id, l_linenumber stage_number, l_quantity fluid, l_tax proppant, l_extendedprice / l_quantity isip from lineitem)\n"
+
+
+@query(STAGES + "select well_id, count(*) stage_count_actual, round(sum(fluid), 2) total_fluid, round(sum(proppant), 2) total_proppant, min(isip) min_isip, max(isip) max_isip from s group by 1")
+def stage_summary(spark, d):
+    return completions.stage_summary(stages(spark, d))
+
+
+@query(STAGES + "select well_id, stage_number \"position\", 'ISIP_RANGE' code, isip \"value\" from s where isip < 1000 or isip > 20000")
+def isip_check(spark, d):
+    return completions.isip_check(stages(spark, d))
+
+
+@query(STAGES + "select well_id, 'STAGE_COUNT_MISMATCH' code, cast(o_orderkey % 7 as double) \"value\", n actual from (select well_id, count(*) n from s group by 1) join orders on o_orderkey = well_id where abs(o_orderkey % 7 - n) > 2")
+def stage_count_check(spark, d):
+    wells = table(spark, d, "orders").select(F.col("o_orderkey").alias("well_id"), (F.col("o_orderkey") % 7).alias("stage_count"))
+    return completions.stage_count_check(wells, completions.stage_summary(stages(spark, d)))
+
+
+# ------------------------------------------------------------------ ranges, statistics, units
+
+PART_RULES = [("size", 5, 45, "size outside 5-45"), ("retail", 0, 1500, "price over 1500")]
+
+
+@query("select p_partkey well_id, field, \"value\", rule, 'RANGE' code, message from (select p_partkey, unnest([{'field': 'p_size', 'value': cast(p_size as double), 'rule': 'size', 'message': 'size outside 5-45', 'bad': p_size not between 5 and 45}, {'field': 'p_retailprice', 'value': p_retailprice, 'rule': 'retail', 'message': 'price over 1500', 'bad': p_retailprice not between 0 and 1500}], recursive := true) from part) where bad")
+def range_checks(spark, d):
+    values = quality.unpivot(table(spark, d, "part").withColumnRenamed("p_partkey", "well_id"), ("well_id",), ["p_size", "p_retailprice"])
+    return quality.range_checks(values, PART_RULES)
+
+
+@query("select l_orderkey well_id, l_linenumber n, 'l_tax' field, l_tax \"value\", 'TVD_EXCEEDS_MD' code from lineitem where l_tax > l_discount")
+def tvd_exceeds_md(spark, d):
+    x = table(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "well_id", "l_linenumber": "n"})
+    return quality.tvd_exceeds_md(x, [("l_tax", "l_discount")], ("well_id", "n"))
+
+
+@query("select col_name, count(v) n, min(v) min, max(v) max, round(avg(v), 4) mean from (select 'p_size' col_name, cast(p_size as double) v from part union all select 'p_retailprice', p_retailprice from part union all select 'p_name', try_cast(p_name as double) from part) group by 1 having count(v) > 0")
+def column_stats(spark, d):
+    p = table(spark, d, "part")
+    cells = p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("value")) for c in ("p_size", "p_retailprice", "p_name")])))
+    return quality.column_stats(cells, ("col_name",))
+
+
+@query("select p_partkey, round(p_size * 0.3048, 4) m, round(p_retailprice / 100 * 0.1198, 4) sg, p_size / 10.0 number, case when p_size * (p_partkey % 3 + 1) >= 16 then 'critical' when p_size * (p_partkey % 3 + 1) >= 9 then 'high' when p_size * (p_partkey % 3 + 1) >= 4 then 'medium' else 'low' end risk_level from part")
+def scalar_functions(spark, d):
+    text = F.format_string("%d,%d", F.floor(F.col("p_size") / 10), F.col("p_size") % 10)
+    return table(spark, d, "part").select("p_partkey", F.round(S.convert_depth(F.col("p_size").cast("double"), "ft", "m"), 4).alias("m"), F.round(S.convert_mud_weight(F.col("p_retailprice") / 100, "ppg", "sg"), 4).alias("sg"), S.coerce_cell(text)["number"].alias("number"), S.risk_level(F.col("p_size"), F.col("p_partkey") % 3 + 1).alias("risk_level"))
+
+
+# ------------------------------------------------------------------ lost time and incidents
+
+
+@query("with s as (select p_type label, sum(l_quantity) as hours from lineitem join part on p_partkey = l_partkey group by 1), c as (select label, hours, sum(hours) over (order by hours desc, label rows unbounded preceding) run, sum(hours) over () total, row_number() over (order by hours desc, label) rank from s) select 1 well_id, label, round(hours, 3) as hours, round(run / total * 100, 3) cumulative_pct, rank from c")
+def npt_pareto(spark, d):
+    x = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.lit(1).alias("well_id"), F.col("p_type").alias("description"), F.col("l_quantity").alias("duration_hrs"))
+    return hse.npt_pareto(x, top=None)
+
+
+@query("select user_id well_id, round(sum(value), 3) npt_hours, count(*) npt_events from events group by 1")
+def npt_total(spark, d):
+    return hse.npt_total(samples(spark, d).withColumnRenamed("value", "duration_hrs"))
+
+
+@query("select user_id well_id, event_type severity, count(*) n from events group by 1, 2")
+def severity_counts(spark, d):
+    return hse.severity_counts(samples(spark, d).withColumnRenamed("mnemonic", "severity"))
+
+
+SEVERITY = ("fatality", "lti", "rwc", "mtc", "fac")
+
+
+@query("select user_id well_id, count(*) incidents, round(sum(value), 2) npt_hours, count(*) filter (cast(json_extract_string(props, '$.k') as int) > 90) sif_count, round(count(*) filter (event_id % 5 < 4) * 200000.0 / 50000, 2) trir from events group by 1")
+def hse_summary(spark, d):
+    e = samples(spark, d).select("well_id", F.element_at(F.array(*map(F.lit, SEVERITY)), (F.col("event_id") % 5 + 1).cast("int")).alias("severity"), F.col("value").alias("npt_hrs"), (F.col("k") > 90).alias("sif_potential"))
+    hours = e.select("well_id").distinct().withColumn("manhours", F.lit(50000.0))
+    return hse.hse_summary(e, hours).drop("counts")
+
+
+# ------------------------------------------------------------------ texts
+
+WORDS = {"english": ["the", "and", "with"], "german": ["und", "der", "die"], "french": ["les", "des", "est"], "spanish": ["los", "que", "para"]}
+_SCORES = ", ".join(f"({' + '.join(f"contains(lower(coalesce(text, '')), '{w}')::int" for w in ws)}) / 3.0::double s{i}" for i, ws in enumerate(WORDS.values()))
+
+
+@query(f"with s as (select doc_id, {_SCORES} from documents) select doc_id, case when greatest(s0, s1, s2, s3) < 0.05 then 'unknown' when s0 >= greatest(s1, s2, s3) then 'english' when s1 >= greatest(s2, s3) then 'german' when s2 >= s3 then 'french' else 'spanish' end discipline, round(greatest(s0, s1, s2, s3), 4) score, case when greatest(s0, s1, s2, s3) < 0.05 then 0.1 else round(least(5 * greatest(s0, s1, s2, s3), 0.95), 4) end confidence from s")
+def classify_discipline(spark, d):
+    return T.classify_discipline(table(spark, d, "documents").select("doc_id", "text"), WORDS).drop("text")
+
+
+IPV4 = "([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})"
+MAIL = "([a-z]+[.][0-9]+@[a-z0-9]+[.]example[.]com)"
+
+
+@query(f"select doc_id, nullif(regexp_extract(text, '{IPV4}', 1), '') ip, nullif(regexp_extract(text, '{MAIL}', 1), '') mail from documents")
+def extract_entities(spark, d):
+    return T.extract_entities(table(spark, d, "documents"), {"ip": ("x", IPV4), "mail": ("x", MAIL)}, keep=("doc_id",))
+
+
+@query("with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents) select doc_id, line_no source_line, case when contains(lower(line), 'licen') then 'lti' when contains(lower(line), 'token') then 'rwc' else 'unsafe' end severity from l where contains(lower(line), 'licen') or contains(lower(line), 'token') or contains(lower(line), 'hour')")
+def extract_hse_events(spark, d):
+    docs = table(spark, d, "documents").where("not contains(text, chr(13))")
+    return T.extract_hse_events(docs, triggers=["licen", "token", "hour"], severities={"lti": ["licen"], "rwc": ["token"]}, keep=("doc_id",)).select("doc_id", F.col("source_line").cast("long").alias("source_line"), "severity")
+
+
+@query("select source, pattern, count(*) occurrence_count from (select source, unnest([case when contains(lower(text), 'licen') then 'licen' end, case when contains(lower(text), 'token') then 'token' end, case when contains(lower(text), 'hour') then 'hour' end]) pattern from documents) where pattern is not null group by 1, 2 having count(*) >= 2")
+def recurring_patterns(spark, d):
+    return T.recurring_patterns(table(spark, d, "documents"), terms=["licen", "token", "hour"], keys=("source",), text="text").drop("recommendation")
+
+
+@query("select regexp_replace(c_name, '[^0-9]', '', 'g') digits, trim(regexp_replace(replace(lower(c_name), '#', ' '), '[-\\s]+', ' ', 'g')) name, c_custkey from customer")
+def normalize_names(spark, d):
+    return table(spark, d, "customer").select(T.normalize_api(F.col("c_name")).alias("digits"), T.normalize_name(F.col("c_name")).alias("name"), "c_custkey")
+
+
+@query("select page_id, case when url ilike '%.html' then 'html' when url ilike '%.pdf' then 'pdf' else 'other' end kind, case when lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = 'pdf' then 'pdf_document' when lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = 'xml' then 'xml_document' when lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = 'csv' then 'csv_data' else 'unknown' end detected_type from pages")
+def detect_file_type(spark, d):
+    x = files.detect_file_type(table(spark, d, "pages").select("page_id", F.col("url").alias("path")))
+    return x.select("page_id", F.when(F.col("extension") == "html", "html").when(F.col("extension") == "pdf", "pdf").otherwise("other").alias("kind"), "detected_type")
+
+
+@query("with r as (select doc_id path, case when (contains(lower(substr(text, 1, 3000)), 'the')::int + contains(lower(substr(text, 1, 3000)), 'and')::int) >= (contains(lower(substr(text, 1, 3000)), 'und')::int + contains(lower(substr(text, 1, 3000)), 'der')::int) and (contains(lower(substr(text, 1, 3000)), 'the') or contains(lower(substr(text, 1, 3000)), 'and')) then 'drilling' when contains(lower(substr(text, 1, 3000)), 'und') or contains(lower(substr(text, 1, 3000)), 'der') then 'production' else 'drilling' end dom, contains(lower(substr(text, 1, 2000)), 'licen') safe from documents), x as (select path, dom \"domain\" from r union select path, 'hse' from r where safe) select \"domain\", count(*) files from (select * from x union all select doc_id, m from documents, (select unnest(['drilling', 'logs', 'completions', 'production', 'directional', 'hse']) m except select \"domain\" from x)) group by 1")
+def routing_summary(spark, d):
+    f = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("text_file").alias("detected_type"), "text")
+    return match.routing_summary(match.route_files(f, {"drilling": ["the", "and"], "production": ["und", "der"]}, ["licen"]))
+
+
+# ------------------------------------------------------------------ matching
+
+
+@query("with e as (select s_suppkey file_id, s_name well_name, n_name field from supplier join nation on n_nationkey = s_nationkey), p as (select c_custkey, c_name well_name, n_name field from customer join nation on n_nationkey = c_nationkey where c_custkey % 100 = 0) select file_id, c_custkey project_name, case when e.field = p.field then 0.15 else 0.0 end + case when replace(lower(e.well_name), '#', ' ') = replace(lower(p.well_name), '#', ' ') then 0.3 else 0.0 end confidence from e, p where contains(lower(e.field), lower(p.field)) or contains(lower(p.field), lower(e.field))")
+def project_match(spark, d):
+    n = table(spark, d, "nation")
+    e = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file_id"), F.col("s_name").alias("well_name"), F.col("n_name").alias("field"))
+    p = table(spark, d, "customer").where("c_custkey % 100 = 0").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("project_name"), F.col("c_name").alias("well_name"), F.col("n_name").alias("field"))
+    return match.project_match(e, p, block=["field"]).select("file_id", "project_name", "confidence")
+
+
+@query("with q as (select vec_id query_id, label, embedding from embeddings where vec_id % 25 = 0), s as (select query_id, vec_id event_id, list_cosine_similarity(q.embedding::double[], h.embedding::double[]) c from q join embeddings h using (label) where abs(vec_id - query_id) <= 100 and vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by c desc, event_id) rank from s) select query_id, rank, event_id, round(c, 3) similarity from r where rank <= 5")
+def pad_history_risks(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("pad_id"), F.col("vec_id").cast("double").alias("depth"), "embedding")
+    history_ = v.select(F.col("vec_id").alias("event_id"), F.col("vec_id").alias("well_id"), "pad_id", "depth", "embedding")
+    current = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("well_id"), "pad_id", "depth", "embedding")
+    return match.pad_history_risks(current, history_, tolerance=100).select("query_id", "rank", "event_id", "similarity")
+
+
+# ------------------------------------------------------------------ risks: orders
+
+
+def risks(spark, d):
+    p, i = 6 - F.substring("o_orderpriority", 1, 1).cast("int"), F.least(F.lit(5), 1 + F.floor(F.col("o_totalprice") / 100000)).cast("int")
+    x = table(spark, d, "orders").select(F.format_string("R%09d", "o_orderkey").alias("risk_id"), F.element_at(F.create_map(*map(F.lit, ("O", "operational", "F", "hse", "P", "technical"))), F.col("o_orderstatus")).alias("category"), p.alias("probability"), i.alias("impact"), F.col("o_custkey").alias("well"), F.lit("open").alias("status"))
+    return x.withColumns({"score": F.col("probability") * F.col("impact"), "risk_level": S.risk_level(F.col("probability"), F.col("impact"))})
+
+
+RISKS = """with r0 as (select printf('R%09d', o_orderkey) risk_id, case o_orderstatus when 'O' then 'operational' when 'F' then 'hse' when 'P' then 'technical' end category, 6 - cast(substr(o_orderpriority, 1, 1) as int) probability, cast(least(5, 1 + floor(o_totalprice / 100000)) as int) impact, o_custkey well from orders),
+r as (select *, probability * impact score, case when probability * impact >= 16 then 'critical' when probability * impact >= 9 then 'high' when probability * impact >= 4 then 'medium' else 'low' end risk_level from r0)
+"""
+
+
+@query(RISKS + "select p.x probability, i.x impact, count(risk_id) n from (select unnest(range(1, 6))::int x) p cross join (select unnest(range(1, 6))::int x) i left join r on probability = p.x and impact = i.x group by 1, 2")
+def risk_matrix(spark, d):
+    return risk.risk_matrix(risks(spark, d))
+
+
+@query(RISKS + "select count(*) total, " + ", ".join(f"count(*) filter (risk_level = '{x}') {x}_count" for x in ("low", "medium", "high", "critical")) + ", " + ", ".join(f"count(*) filter (category = '{x}') category_{x}" for x in ("hse", "operational", "geological", "technical", "environmental", "data_integrity")) + ", round(avg(score), 2) risk_score, max(score) max_score from r")
+def risk_summary(spark, d):
+    return risk.risk_summary(risks(spark, d))
+
+
+@query(RISKS + "select risk_level, count(*) n, round(count(*) * 100.0 / (select count(*) from r), 1) share_pct from r group by 1")
+def level_shares(spark, d):
+    return risk.level_shares(risks(spark, d))
+
+
+@query(RISKS + "select risk_id, score, risk_level from r where risk_level in ('critical', 'high')")
+def critical_risks(spark, d):
+    return risk.critical_risks(risks(spark, d)).select("risk_id", "score", "risk_level")
+
+
+@query(RISKS + "select risk_id, score from r where category = 'hse' and probability >= 3")
+def filter_risks(spark, d):
+    return risk.filter_risks(risks(spark, d), category="hse", min_probability=3).select("risk_id", "score")
+
+
+@query(RISKS + "select risk_id, score from r order by score desc, risk_id limit 20")
+def top_risks(spark, d):
+    return risk.top_risks(risks(spark, d), 20).select("risk_id", "score")
+
+
+# ------------------------------------------------------------------ history, comparison, pads
+
+
+def history_of(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("well_name"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
+
+
+@query("select o_custkey well_name, o_orderkey task_id, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) rn from orders) where rn = 1")
+def latest_per_well(spark, d):
+    return history.latest_per_well(history_of(spark, d)).select("well_name", "task_id", "o_totalprice")
+
+
+@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 then 0.0 else o_totalprice end o_totalprice from orders where o_orderkey % 2 = 1 or o_orderkey % 3 = 0")
+def upsert_history(spark, d):
+    h = history_of(spark, d)
+    new = h.where("task_id % 3 = 0").withColumn("o_totalprice", F.lit(0.0))
+    return history.upsert(h.where("task_id % 2 = 1"), new).select("task_id", "o_totalprice")
+
+
+@query("select o_orderkey task_id from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
+def delete_history(spark, d):
+    gone = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("well_name"))
+    return history.delete(history_of(spark, d), gone, "well_name").select("task_id")
+
+
+@query("select distinct o_custkey well_name from orders")
+def distinct_wells(spark, d):
+    return history.distinct_wells(history_of(spark, d))
+
+
+@query("select o_orderkey task_id, o_custkey well_name from orders order by o_orderdate desc, o_orderkey desc limit 50")
+def list_recent(spark, d):
+    return history.list_recent(history_of(spark, d)).select("task_id", "well_name")
+
+
+@query(RISKS + "select well, count(*) total_risks, count(*) filter (risk_level = 'critical') critical_count, count(*) filter (risk_level = 'high') high_count, count(*) filter (risk_level = 'medium') medium_count, count(*) filter (risk_level = 'low') low_count, round(avg(score), 2) risk_score from r group by 1")
+def well_metrics(spark, d):
+    return history.well_metrics(risks=risks(spark, d).withColumn("linked_wells", F.array("well")).drop("well"), key="well")
+
+
+@query(RISKS + "select well, round(least(avg(score) / 25, 1) * 100, 1) risk_score, round(least(count(*) / 30.0, 1) * 100, 1) total_risks from r group by 1")
+def radar(spark, d):
+    m = risks(spark, d).groupBy("well").agg(F.avg("score").alias("risk_score"), F.count("*").alias("total_risks"))
+    return history.radar(m, ("well",), {"risk_score": 25.0, "total_risks": 30.0})
+
+
+@query(SERIES + ", w as (select well_id, round(avg(case when rn <= 30 then oil end), 1) ip30, any_value(s_nationkey) pad_id, count(*) c, round(avg(gor), 6) g from r join supplier on s_suppkey = well_id group by 1) select pad_id, count(*) wells, round(avg(ip30), 1) avg_ip30, round(max(ip30), 1) max_ip30, round(min(ip30), 1) min_ip30, round(avg(c), 1) avg_stages, sum(c)::bigint total_stages from w group by 1")
+def pad_summary(spark, d):
+    s = series(spark, d)
+    w = production.ip_metrics(s).join(s.groupBy("well_id").agg(F.count("*").alias("stage_count")), "well_id").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("well_id"), F.col("s_nationkey").alias("pad_id")), "well_id")
+    w = w.withColumns({"total_net_pay": F.lit(None).cast("double"), "npt_hours": F.lit(None).cast("double")})
+    return history.pad_summary(w).select("pad_id", "wells", "avg_ip30", "max_ip30", "min_ip30", "avg_stages", "total_stages")
+
+
+@query("select o_custkey well_id, count(*) filter (o_orderstatus in ('F', 'P')) succeeded, count(*) filter (o_orderstatus = 'O') failed, count(*) filter (o_orderstatus = 'F') active from orders group by 1")
+def run_status(spark, d):
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("well_id"), F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "P", "partial").otherwise("error").alias("status"))
+    return quality.run_status(x, ("well_id",))
+
+
+@query("select l_suppkey well_id, round(avg(case when l_discount > 0 then l_discount end), 3) confidence from lineitem group by 1")
+def aggregate_confidence(spark, d):
+    return quality.aggregate_confidence(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("well_id"), F.col("l_discount").alias("confidence")))
+
+
+@query("select l_suppkey well_id, l_returnflag code, substr(min_by(l_linestatus || l_orderkey, l_orderkey * 10 + l_linenumber), 1, 120) first_message, count(*) n from lineitem group by 1, 2")
+def flag_digest(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("well_id"), F.col("l_returnflag").alias("code"), F.concat("l_linestatus", F.col("l_orderkey").cast("string")).alias("message"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return quality.flag_digest(x)
+
+
+@query("with s as (select l_suppkey well_id, sum(l_quantity) > 1000 a, count(*) > 500 b, max(l_tax) > 0.07 c, min(l_discount) > 0 d from lineitem group by 1), x as (select well_id, 'volume' \"domain\", a::int + b::int passed, 2 total from s union all select well_id, 'price', c::int + d::int, 2 from s union all select well_id, null, a::int + b::int + c::int + d::int, 4 from s) select well_id, \"domain\", passed::bigint passed, total::bigint total, (passed * 100 / total)::int pct, case when passed * 100 / total >= 80 then 'PASS' when passed * 100 / total >= 50 then 'WARN' else 'FAIL' end status from x")
+def qa_scorecard(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("well_id")).agg((F.sum("l_quantity") > 1000).alias("a"), (F.count("*") > 500).alias("b"), (F.max("l_tax") > 0.07).alias("c"), (F.min("l_discount") > 0).alias("d"))
+    return quality.scorecard(s, {"volume": {"a": F.col("a"), "b": F.col("b")}, "price": {"c": F.col("c"), "d": F.col("d")}})
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def drop_finished(spark, d):
+    return match.drop_finished(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ("c_custkey",))
