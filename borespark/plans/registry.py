@@ -285,7 +285,7 @@ def routing_summary(spark, d):
 # ------------------------------------------------------------------ matching
 
 
-@query("with e as (select s_suppkey file_id, s_name well_name, n_name field from supplier join nation on n_nationkey = s_nationkey), p as (select c_custkey, c_name well_name, n_name field from customer join nation on n_nationkey = c_nationkey where c_custkey % 100 = 0) select file_id, c_custkey project_name, case when e.field = p.field then 0.15 else 0.0 end + case when replace(lower(e.well_name), '#', ' ') = replace(lower(p.well_name), '#', ' ') then 0.3 else 0.0 end confidence from e, p where contains(lower(e.field), lower(p.field)) or contains(lower(p.field), lower(e.field))")
+@query("with e as (select s_suppkey file_id, s_name well_name, n_name field from supplier join nation on n_nationkey = s_nationkey), p as (select c_custkey, c_name well_name, n_name field from customer join nation on n_nationkey = c_nationkey where c_custkey % 100 = 0) select file_id, c_custkey project_name, 0.15::double confidence from e, p where contains(lower(e.field), lower(p.field)) or contains(lower(p.field), lower(e.field))")
 def project_match(spark, d):
     n = table(spark, d, "nation")
     e = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file_id"), F.col("s_name").alias("well_name"), F.col("n_name").alias("field"))
