@@ -3,12 +3,13 @@
 A document's set is its distinct shingles of `width` words (A-Z lower-cased; words are runs of bytes that aren't white space).
 Each of `rows * bands` permutations gives a minimum. Bands of `rows` minima propose candidates. Of each minimum only `BITS` low bits
 are kept, packed; two documents' agreement, corrected for chance collisions (J = (p - C) / (1 - C), C = 2**-BITS), is found by
-counting bits. A candidate is dropped only when so few agreements would be seen with probability under 1e-9 at the threshold,
+counting bits. A candidate is dropped only when so few agreements would be seen with probability under 1e-7 at the threshold,
 or when the set sizes exclude it; the others are confirmed on full sets.
 
-Documents with equal sets are one representative from the start, so copies never form pairs. In a bucket, every member is first
-tied to a leader that it resembles; links found so far are contracted, and only then are pairs across components confirmed. Pairs inside
-a component can't change the result and aren't made.
+Documents with equal sets are one representative from the start, so copies never form pairs. A bucket gives a spanning forest of the
+members that may be similar; its ties are confirmed, and links found so far make components. Clusters (what ties of all buckets
+connect) that hold more than one component are then tested inside, block against block; only links that join components
+come out. Pairs inside a component can't change the result and aren't made.
 
 Empty sets (null text, no words) link with nothing; fewer than `width` words make one shingle. Null doc_id: returned, component null,
 kept true. A doc_id that occurs with several texts is one document whose links are those of all its texts; each row has its own
@@ -104,7 +105,7 @@ def signatures(docs: DataFrame, *, text: str, width: int, rows: int, bands: int)
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, set1 long, set2 long, sig binary, keys array<long>")
 
 
-def most_misses(count: int, threshold: float, risk: float = 1e-9) -> int:
+def most_misses(count: int, threshold: float, risk: float = 1e-7) -> int:
     """So many disagreements are seen with probability under risk at most if the similarity is the threshold."""
     chance = 2.0**-BITS
     p = (1 - threshold) * (1 - chance)
@@ -132,44 +133,30 @@ def plausible(i: int, others: np.ndarray, sig: np.ndarray, n: np.ndarray, thresh
     return others[disagreements(sig[i], sig[others]) <= most]
 
 
-def leaders(sig: np.ndarray, n: np.ndarray, threshold: float, most: int) -> Iterator[tuple[int, int]]:
-    """Ties of a bucket's members: the first member leads all that it resembles, the first of the rest leads next.
-
-    A leader without followers is tied to the one it resembles most among those already led; so every member that resembles
-    any other is in some tie."""
-    rest, led = np.arange(len(n)), []
+def forest(sig: np.ndarray, n: np.ndarray, threshold: float, most: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a bucket's members under "may be similar", by breadth-first search."""
+    rest, line = np.arange(len(n)), []
     while len(rest):
-        near = plausible(rest[0], rest[1:], sig, n, threshold, most)
+        if not line:
+            line, rest = [rest[0]], rest[1:]
+        i = line.pop(0)
+        near = plausible(i, rest, sig, n, threshold, most)
         for j in near:
-            yield int(rest[0]), int(j)
-        if led and not len(near) and len(back := plausible(rest[0], np.concatenate(led), sig, n, threshold, most)):
-            yield int(back[disagreements(sig[rest[0]], sig[back]).argmin()]), int(rest[0])
-        led.append(near)
-        rest = np.setdiff1d(rest[1:], near, assume_unique=True)
-
-
-def across(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, threshold: float, most: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket's members that lie in different components and may be similar."""
-    if (comp == comp[0]).all():
-        return
-    every = np.arange(len(n))
-    for i in every[:-1]:
-        later = every[i + 1 :]
-        for j in plausible(i, later[comp[later] != comp[i]], sig, n, threshold, most):
             yield int(i), int(j)
+        line += list(near)
+        rest = np.setdiff1d(rest, near, assume_unique=True)
 
 
-def pairs(members: DataFrame, pick, threshold: float, most: int) -> DataFrame:
-    """Distinct (a, b), a < b, that pick gives for buckets of members (key, id, n, sig, comp); streams through sorted buckets."""
+def ties_of(members: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Distinct (a, b), a < b, of the forests of all buckets of members (key, id, n, sig); streams through sorted buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def bucket(held: list[tuple]) -> None:
-            if len(held) < 2 or held[0][4] is None:
+            if len(held) < 2:
                 return
-            ids, n, comp = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 4))
+            ids, n = (np.array([h[k] for h in held], np.int64) for k in (1, 2))
             sig = np.array([np.frombuffer(h[3], np.uint8) for h in held])
-            found = pick(sig, n, threshold, most) if pick is leaders else pick(sig, n, comp, threshold, most)
-            out.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found if ids[i] != ids[j])
+            out.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in forest(sig, n, threshold, most) if ids[i] != ids[j])
 
         def flush() -> pa.RecordBatch:
             rows = np.array(sorted(out), np.int64).reshape(-1, 2)
@@ -200,7 +187,7 @@ def pairs(members: DataFrame, pick, threshold: float, most: int) -> DataFrame:
         if out:
             yield flush()
 
-    dealt = members.select("key", "id", "n", "sig", "comp").repartition("key").sortWithinPartitions("key", "id")
+    dealt = members.select("key", "id", "n", "sig").repartition("key").sortWithinPartitions("key", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -227,6 +214,62 @@ def confirmed(links: DataFrame, docs: DataFrame, *, text: str, width: int, share
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def across(members: DataFrame, *, width: int, share: int, most: int, block: int = 512) -> DataFrame:
+    """(a, b): confirmed links between different components of a cluster, as far as they join components.
+
+    members: cluster, size (of the cluster), id, comp, n, sig, text. A cluster of more than `block` members is dealt out as pairs
+    of blocks; a task holds two blocks, tests their members' signatures and counts intersections of full sets for the rest."""
+    parts = F.ceil(F.col("size") / block).cast("int")
+    own = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = own.withColumn("cell", F.least("own", "other") * F.lit(1_000_000) + F.greatest("own", "other"))
+    threshold = share / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cell(held: list[tuple]) -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            ids, comp, n, part = (np.array([h[k] for h in held], np.int64) for k in (2, 3, 4, 7))
+            if (comp == comp[0]).all():
+                return []
+            sig = np.array([np.frombuffer(h[5], np.uint8) for h in held])
+            sets = list(shingle_sets(pa.array([h[6] for h in held], pa.large_string()), width))
+            size = np.array([len(x) for x in sets])
+            every, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            first = np.cumsum(size) - size
+            mark, out, one = np.zeros(len(every), np.int64), [], bool((part == part[0]).all())
+            for i in range(len(held) - 1):
+                later = np.arange(i + 1, len(held))
+                later = later[(comp[later] != comp[i]) & (one | (part[later] != part[i])) & (size[later] > 0)]
+                later = plausible(i, later, sig, n, threshold, most)
+                if not len(later) or not size[i]:
+                    continue
+                mark[flat[first[i] : first[i] + size[i]]] = 1
+                k = size[later]
+                begin = np.cumsum(k) - k
+                at = np.repeat(first[later] - begin, k) + np.arange(int(k.sum()))
+                same = np.add.reduceat(mark[flat[at]], begin)
+                mark[flat[first[i] : first[i] + size[i]]] = 0
+                for j in later[100 * same >= share * (size[i] + k - same)]:
+                    if comp[i] != comp[j]:
+                        out.append((int(ids[i]), int(ids[j])))
+                        comp[comp == comp[j]] = comp[i]
+            return out
+
+        held, now, out = [], None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != now:
+                    out += cell(held)
+                    held, now = [], row[:2]
+                held.append(row)
+        out += cell(held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    dealt = cells.select("cluster", "cell", "id", "comp", "n", "sig", "text", "own").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", width: int = 2, share: int = 80, rows: int = 4, bands: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs. share: per cent of the union that the intersection must reach."""
     threshold = share / 100
@@ -235,15 +278,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", width: int = 2, shar
     sets = table.where("n > 0").groupBy("n", "set1", "set2").agg(F.min("id").alias("rep"), F.min(F.struct("sig", "keys")).alias("s"))
     sets = materialize(sets.where("rep is not null").select("n", "set1", "set2", "rep", "s.sig", "s.keys"))
     exploded = sets.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n", "sig")
-    ties = materialize(pairs(exploded.withColumn("comp", F.lit(0).cast("long")), leaders, threshold, most))
+    ties = materialize(ties_of(exploded, threshold, most))
     links = materialize(confirmed(ties, docs, text=text, width=width, share=share))
     comp = materialize(components(links))
-    joined = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
-    # Only members that were tied to another can still have a candidate across components.
-    tied = ties.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    left = joined.join(tied, "rep", "left_semi").select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n", "sig", "comp")
-    more = materialize(pairs(left, across, threshold, most).join(ties, ["a", "b"], "left_anti"))
-    links = materialize(links.union(confirmed(more, docs, text=text, width=width, share=share)))
+    cluster = materialize(components(ties))
+    inside = cluster.select(F.col("root").alias("cluster"), F.col("node").alias("rep")).union(cluster.select("root", F.col("root")).distinct())
+    inside = inside.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("comp"))
+    split = inside.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("cluster", "size")
+    members = materialize(inside.join(split, "cluster").join(sets.select("rep", "n", "sig"), "rep").withColumnRenamed("rep", "id"))
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
+    links = materialize(links.union(across(join_checked(base, members, ["id"], "inner"), width=width, share=share, most=most)))
     comp = components(links).withColumnRenamed("node", "rep")
     known = materialize(sets.select("n", "set1", "set2", "rep").join(comp, "rep", "left").select("n", "set1", "set2", F.coalesce("root", "rep").alias("component")))
     keys = ["n", "set1", "set2"]
