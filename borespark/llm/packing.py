@@ -17,6 +17,7 @@ packed as often as they occur. Null ids are packed too. Extra columns are ignore
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,54 +28,113 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, materialize
 
-MEMO = 300_000
+MEMO = 1_000_000
+AFTER = ".,;:!?%*$&#|"
 
 
 class Encoder:
-    """ids of texts. White space is dropped by the vocabulary's rules, so chunks between blanks and line ends are encoded once each."""
+    """ids of texts. White space is dropped by the vocabulary's rules, so chunks between blanks and line ends are encoded once each.
+
+    A chunk of letters with punctuation after it is the ids of its letters and those of the punctuation. Letters are encoded many at a
+    time, and told apart by the ids that end a word; if their number isn't as expected, one at a time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.path = Tokenizer.from_file(path), path
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
         self.reset()
 
     def reset(self) -> None:
         self.memo: dict[str, int] = {}
-        self.flat, self.size, self.begins, self.lengths = [], 0, [], []
+        self.flat, self.begins, self.lengths = array("I"), array("q"), array("q")
+
+    def add(self, chunk: str, ids: list[int]) -> None:
+        self.memo[chunk] = len(self.begins)
+        self.begins.append(len(self.flat))
+        self.lengths.append(len(ids))
+        self.flat.extend(ids)
+
+    def ids_of(self, chunk: str) -> array:
+        k = self.memo[chunk]
+        return self.flat[self.begins[k] : self.begins[k] + self.lengths[k]]
+
+    def one_by_one(self, chunks: list[str]) -> None:
+        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
+            self.add(c, e.ids)
+
+    def learn(self, new: set[str]) -> None:
+        memo, split, alone, letters = self.memo, [], set(), set()
+        for c in new:
+            core = c.rstrip(AFTER)
+            if core.isalpha():
+                low = core.lower() if core.isascii() else core
+                split.append((c, low, c[len(core) :]))
+                if low not in memo:
+                    letters.add(low)
+                if len(core) < len(c) and c[len(core) :] not in memo:
+                    alone.add(c[len(core) :])
+            else:
+                alone.add(c)
+        self.one_by_one(sorted(alone - memo.keys()))
+        listed = sorted(letters)
+        for s in range(0, len(listed), 500):
+            group = listed[s : s + 500]
+            ids = self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group) or (len(ids) and stops[-1] != len(ids)):
+                self.one_by_one(group)
+                continue
+            begin = 0
+            for c, stop in zip(group, stops.tolist(), strict=True):
+                self.add(c, ids[begin:stop])
+                begin = stop
+        for c, low, after in split:
+            if not after:
+                memo[c] = memo[low]
+            elif c not in memo:
+                self.add(c, self.ids_of(low) + self.ids_of(after))
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         if len(self.memo) > MEMO:
             self.reset()
         chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        memo = self.memo
-        new = list({c for part in chunks for c in part if c not in memo})
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            memo[c] = len(self.begins)
-            self.begins.append(self.size)
-            self.lengths.append(len(e.ids))
-            self.flat.append(np.array(e.ids, np.uint32))
-            self.size += len(e.ids)
-        flat = np.concatenate(self.flat) if self.flat else np.empty(0, np.uint32)
-        self.flat = [flat]
-        begins, lengths = np.array(self.begins, np.int64), np.array(self.lengths, np.int64)
+        new: set[str] = set()
+        for part in chunks:
+            new.update(part)
+        self.learn(new - self.memo.keys())
+        flat, begins, lengths = (np.frombuffer(x, t) if len(x) else np.empty(0, t) for x, t in ((self.flat, np.uint32), (self.begins, np.int64), (self.lengths, np.int64)))
         out = []
         for part in chunks:
-            which = np.fromiter(map(memo.__getitem__, part), np.int64, len(part))
+            which = np.fromiter(map(self.memo.__getitem__, part), np.int64, len(part))
             n = lengths[which]
-            total = int(n.sum())
-            at = np.repeat(begins[which] - (np.cumsum(n) - n), n) + np.arange(total)
+            stop = np.cumsum(n)
+            total = int(stop[-1]) if len(stop) else 0
+            at = np.repeat(begins[which] - (stop - n), n)
+            at += np.arange(total)
             ids = np.empty(total + 1, np.uint32)
             ids[:total], ids[total] = flat[at], end
             out.append(ids)
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process, so that what it has learnt serves its next tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(part, source, doc_id, before, n, ids): before counts the tokens of the source in the partition ahead of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ahead, part = Encoder(path), {}, TaskContext.get().partitionId()
+        encoder, ahead, part = encoder_of(path), {}, TaskContext.get().partitionId()
         for batch in batches:
             for s in range(0, len(batch), 256):
                 piece = batch.slice(s, 256)
