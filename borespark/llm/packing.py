@@ -16,6 +16,7 @@ packed as often as they occur. Null ids are packed too. Extra columns are ignore
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,10 +29,22 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, materialize
 
-MEMO = 1_000_000
+MEMO = 400_000
+JOINED = re.compile(r"(?:[^\w\s]|_|^)[.,] ")
 AFTER = ".,;:!?%*$&#|"
 
 
+def chunks_of(text: str) -> list[str]:
+    """The text's chunks between blanks and line ends. The vocabulary is lower case, so text is lower-cased first, save where Python's
+    rule differs or a special token may stand; a full stop or comma is a chunk of its own unless it follows another sign."""
+    if "Σ" not in text and "<|" not in text:
+        text = text.lower()
+    text = text.replace("\n", " ")
+    if not JOINED.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
+
+
 class Encoder:
     """ids of texts. White space is dropped by the vocabulary's rules, so chunks between blanks and line ends are encoded once each.
 
@@ -100,7 +113,7 @@ class Encoder:
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         if len(self.memo) > MEMO:
             self.reset()
-        chunks = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        chunks = [chunks_of(t) if t else [] for t in texts]
         new: set[str] = set()
         for part in chunks:
             new.update(part)

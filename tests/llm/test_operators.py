@@ -311,7 +311,7 @@ def test_chunks_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
     t, e = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
-    odd = ["á b́", "x <|endoftext|> y<|endoftext|>z", "I'll don't  's 't", "İ Σας \x1c\x85  q", "tab\tand\r\nmore", "e\ń", "1234 ½ ﬁ", "日本語 текст"]
+    odd = ["á b́", "x <|endoftext|> y<|endoftext|>z", "I'll don't  's 't", "İ Σας \x1c\x85  q", "tab\tand\r\nmore", "e\ń", "1234 ½ ﬁ", "Wait... what?. No_. , . a., b . c", "<|ENDOFTEXT|> ΟΔΟΣ. ", ". , x. ", "é́. Z, q", "日本語 текст"]
     for text, ids in zip(odd, e.encode(odd, 1), strict=True):
         assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
 
