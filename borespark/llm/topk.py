@@ -3,8 +3,8 @@
 Components become floor(scale * x). A score is the sum of m partial scores, one from each list; list i covers the i-th part of
 the components. Vectors are in blocks; a task takes one block of queries, one block of vectors and one list.
 
-1. Each list gives every query its k best entries and its least partial score. An object's sum counts the least for lists that
-   didn't name it; the k-th best sum is t1.
+1. Each list gives every query its k best entries and its least partial score. The few objects named are scored in full; the
+   k-th best of them is t1.
 2. List i gets the cutoff low_i + (t1 - sum of lows) / m: an object below the cutoff in every list sums to less than t1, so it
    can't be in the answer. Lists give all entries at or above their cutoffs; the k-th best sum is now t2.
 3. Objects whose upper bound (the cutoff for lists that didn't name them) reaches t2 are scored exactly.
@@ -88,7 +88,11 @@ def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, li
 
     cut = F.when(F.col("t1").isNull(), F.lit(-(2**62))).otherwise(F.col("low") + F.floor((F.col("t1") - F.col("lows")) / lists))
     best = heads.withColumn("place", F.row_number().over(Window.partitionBy("q", "part").orderBy(F.desc("score"), "object"))).where(F.col("place") <= k + 1)
-    cutoffs = materialize(lows.join(kth(best, "t1"), "q").select("q", "part", "low", "lows", cut.cast("long").alias("cut")))
+    score = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    named = best.select("q", "object").distinct().join(queries.select("q", F.col("vector").alias("qv")), "q").join(objects.select("object", "vector"), "object").select("q", "object", score.alias("total"))
+    placed = named.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "object"))).where(F.col("place") <= k + 1)
+    t1 = placed.groupBy("q").agg(F.when(F.count("*") > k, F.min("total")).alias("t1"))
+    cutoffs = materialize(lows.join(t1, "q").select("q", "part", "low", "lows", cut.cast("long").alias("cut")))
     told = slim.join(cutoffs.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("part", "cut"))).alias("cuts")), "q")
 
     def second(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
