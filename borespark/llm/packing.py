@@ -30,8 +30,12 @@ from pyspark.sql import functions as F
 from .common import join_checked, materialize
 
 MEMO = 400_000
-JOINED = re.compile(r"(?:[^\w\s]|_|^)[.,] ")
-AFTER = ".,;:!?%*$&#|"
+#: A full stop or comma before a blank that follows neither a letter, a digit nor white space.
+JOINED = re.compile(r"[.,] (?<![^\W_][.,] )(?<!\s[.,] )")
+#: Lower-case letters that no normalisation changes; such a word with signs after it, and where they meet.
+PLAIN = re.compile(r"[a-zß-öø-ÿ ]*")
+PAIR = re.compile(r"[a-zß-öø-ÿ]+[.,;:!?%*$&#|]+")
+BORDER = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[.,;:!?%*$&#|])")
 
 
 def chunks_of(text: str) -> list[str]:
@@ -45,83 +49,79 @@ def chunks_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+class Memo(dict):
+    """chunk -> its number. A chunk not met before gets the next one and is listed in new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = k = len(self)
+        self.new.append(chunk)
+        return k
+
+
 class Encoder:
     """ids of texts. White space is dropped by the vocabulary's rules, so chunks between blanks and line ends are encoded once each.
 
-    A chunk of letters with punctuation after it is the ids of its letters and those of the punctuation. Letters are encoded many at a
-    time, and told apart by the ids that end a word; if their number isn't as expected, one at a time."""
+    Words are encoded many at a time and told apart by the ids that end a word; if their number isn't as expected, one at a time.
+    Words of plain lower-case letters need no normalisation and no pattern to split them, so a tokenizer without these encodes them;
+    signs after such a word are a word of their own."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[ends] = True
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = Memo()
         self.flat, self.begins, self.lengths = array("I"), array("q"), array("q")
 
-    def add(self, chunk: str, ids: list[int]) -> None:
-        self.memo[chunk] = len(self.begins)
-        self.begins.append(len(self.flat))
-        self.lengths.append(len(ids))
-        self.flat.extend(ids)
-
-    def ids_of(self, chunk: str) -> array:
-        k = self.memo[chunk]
-        return self.flat[self.begins[k] : self.begins[k] + self.lengths[k]]
-
-    def one_by_one(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            self.add(c, e.ids)
-
-    def learn(self, new: set[str]) -> None:
-        memo, split, alone, letters = self.memo, [], set(), set()
-        for c in new:
-            core = c.rstrip(AFTER)
-            if core.isalpha():
-                low = core.lower() if core.isascii() else core
-                split.append((c, low, c[len(core) :]))
-                if low not in memo:
-                    letters.add(low)
-                if len(core) < len(c) and c[len(core) :] not in memo:
-                    alone.add(c[len(core) :])
-            else:
-                alone.add(c)
-        self.one_by_one(sorted(alone - memo.keys()))
-        listed = sorted(letters)
-        for s in range(0, len(listed), 500):
-            group = listed[s : s + 500]
-            ids = self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(group) or (len(ids) and stops[-1] != len(ids)):
-                self.one_by_one(group)
-                continue
-            begin = 0
-            for c, stop in zip(group, stops.tolist(), strict=True):
-                self.add(c, ids[begin:stop])
-                begin = stop
-        for c, low, after in split:
-            if not after:
-                memo[c] = memo[low]
-            elif c not in memo:
-                self.add(c, self.ids_of(low) + self.ids_of(after))
+    def learn(self) -> None:
+        """Encode the chunks that have a number but no ids."""
+        new, self.memo.new = self.memo.new, []
+        begin, length = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        letters, pairs, others = [], [], []
+        for i, c in enumerate(new):
+            (letters if c.isalpha() else pairs if PAIR.fullmatch(c) else others).append(i)
+        for at, each in ((letters, 1), (pairs, 2)):
+            for s in range(0, len(at), 500):
+                part = at[s : s + 500]
+                text = " ".join([new[i] for i in part])
+                if each == 2:
+                    text = BORDER.sub(" ", text)
+                tokenizer = self.plain if each == 2 or PLAIN.fullmatch(text) else self.tokenizer
+                ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != each * len(part) or stops[-1] != len(ids):
+                    others += part
+                    continue
+                stops = stops[each - 1 :: each]
+                length[part] = np.diff(stops, prepend=0)
+                begin[part] = len(self.flat) + stops - length[part]
+                self.flat.extend(ids)
+        for i, e in zip(others, self.tokenizer.encode_batch([new[i] for i in others], add_special_tokens=False), strict=True):
+            begin[i], length[i] = len(self.flat), len(e.ids)
+            self.flat.extend(e.ids)
+        self.begins.frombytes(begin.tobytes())
+        self.lengths.frombytes(length.tobytes())
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         if len(self.memo) > MEMO:
             self.reset()
-        chunks = [chunks_of(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for part in chunks:
-            new.update(part)
-        self.learn(new - self.memo.keys())
+        number = self.memo.__getitem__
+        parts = [np.fromiter(map(number, chunks), np.int64, len(chunks)) for chunks in (chunks_of(t) if t else [] for t in texts)]
+        self.learn()
         flat, begins, lengths = (np.frombuffer(x, t) if len(x) else np.empty(0, t) for x, t in ((self.flat, np.uint32), (self.begins, np.int64), (self.lengths, np.int64)))
         out = []
-        for part in chunks:
-            which = np.fromiter(map(self.memo.__getitem__, part), np.int64, len(part))
+        for which in parts:
             n = lengths[which]
             stop = np.cumsum(n)
             total = int(stop[-1]) if len(stop) else 0
