@@ -110,7 +110,7 @@ _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[list(SPACE_BYTES)] = False
 
 
-def text_parts(array: pa.Array, most: int = 2_000_000):
+def text_parts(array: pa.Array, most: int = 500_000):
     """(first row, byte offsets from 0, bytes) for runs of rows holding about `most` bytes; nulls count as empty."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()

@@ -181,7 +181,7 @@ def ties_of(members: DataFrame, threshold: float, most: int) -> DataFrame:
                     held = []
                 held += zip(*(c[a : a + k] for c in cols), strict=True)
                 a += int(k)
-            if len(out) > 500_000:
+            if len(out) > 100_000:
                 yield flush()
         bucket(held)
         if out:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, materialize
 
-MEMO = 400_000
+MEMO = 200_000
 #: A full stop or comma before a blank that follows neither a letter, a digit nor white space.
 JOINED = re.compile(r"[.,] (?<![^\W_][.,] )(?<!\s[.,] )")
 #: Lower-case letters that no normalisation changes; such a word with signs after it, and where they meet.

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import join_checked
 
 TERM = re.compile(r"[^\W_]+")
-MEMO = 400_000
+MEMO = 100_000
+ROWS = 1_000
 
 
 class Terms:
@@ -53,8 +54,8 @@ def bucket_counts(rows: DataFrame, bits: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, n, bad = Terms(bits), np.zeros((1 << bits) + 1, np.int64), np.zeros((1 << bits) + 1, np.int64)
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = np.append(terms.of(text), 1 << bits)
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                at = np.append(terms.of(text.as_py()), 1 << bits)
                 n[at] += 1
                 bad[at] += y
         at = np.flatnonzero(n)
@@ -122,7 +123,7 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(bits, shared.value)
         for b in batches:
-            at = [terms.of(t).tolist() for t in b.column(0).to_pylist()]
+            at = [terms.of(t.as_py()).tolist() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), b.column(1), b.column(2)], ["at", "y", "h"])
 
     sample = use.mapInArrow(places, "at array<long>, y long, h long").orderBy("h").limit(fit_rows).collect()
@@ -144,7 +145,7 @@ def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         terms = Terms(p["bits"], p["place"])
-        for b in batches:
+        for b in (batch.slice(s, ROWS) for batch in batches for s in range(0, len(batch), ROWS)):
             at = [terms.of(t.as_py()) for t in b.column(at_text)]
             flat, row = np.concatenate([*at, np.empty(0, np.int64)]), np.repeat(np.arange(len(at)), [len(x) for x in at])
             z = margins(p, flat, row, len(at))
