@@ -31,8 +31,9 @@ def project_match(entities: DataFrame, projects: DataFrame, *, block: list[str]
 
     Pairs are found through blocking keys, each an equi-join: the API's digits, and the words of normalised names. Two names
     that match have a word in common or one lies within a word of the other; the latter is covered by joining on three-letter
-    parts of the shorter. Only fields given in block are used for finding (default: all present)."""
-    fields = [f for f in (block or list(dims.MATCH_WEIGHTS)) if f in entities.columns and f in projects.columns]
+    parts of the shorter. Only fields given in block are used for finding (default: all present); all present are scored."""
+    scored = [f for f in dims.MATCH_WEIGHTS if f in entities.columns and f in projects.columns]
+    fields = [f for f in scored if f in (block or scored)]
 
     def keyed(df: DataFrame, key: str, alias: bool) -> DataFrame:
         parts = []
@@ -52,12 +53,42 @@ def project_match(entities: DataFrame, projects: DataFrame, *, block: list[str]
         return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat(F.lit(field + ":"), F.substring(name, i, F.least(n, F.lit(3))))))
 
     pairs = keyed(entities, "file_id", False).join(keyed(projects, "project_name", "aliases" in projects.columns), "k").select("file_id", "project_name").distinct()
-    e, p = entities.select("file_id", *[F.col(f).alias(f"e_{f}") for f in fields]), projects.select("project_name", *[F.col(f).alias(f"p_{f}") for f in fields], *["aliases"] * ("aliases" in projects.columns))
+    e, p = entities.select("file_id", *[F.col(f).alias(f"e_{f}") for f in scored]), projects.select("project_name", *[F.col(f).alias(f"p_{f}") for f in scored], *["aliases"] * ("aliases" in projects.columns))
     both = pairs.join(e, "file_id").join(p, "project_name")
-    confidence, matched = match_score({f: F.col(f"e_{f}") for f in fields}, {f: F.col(f"p_{f}") for f in fields}, F.col("aliases") if "aliases" in projects.columns else None)
+    confidence, matched = match_score({f: F.col(f"e_{f}") for f in scored}, {f: F.col(f"p_{f}") for f in scored}, F.col("aliases") if "aliases" in projects.columns else None)
     return both.select("file_id", "project_name", confidence.alias("confidence"), matched.alias("matched")).where("confidence > 0")
 
 
+def name_members(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """field, name, id: each row under its normalised names, an alias as one more well name. Null and empty names are left out."""
+    one = lambda f, c: F.struct(F.lit(f).alias("field"), (normalize_api(c) if f == "api" else normalize_name(c)).alias("name"))
+    names = F.array(*[one(f, F.col(f)) for f in fields])
+    if "aliases" in rows.columns and "well_name" in fields:
+        names = F.concat(names, F.coalesce(F.transform("aliases", lambda a: one("well_name", a)), F.array().cast("array<struct<field:string,name:string>>")))
+    return rows.select(F.inline(F.array_distinct(names)), F.col(key).alias("id")).where("name <> ''")
+
+
+def name_links(entities: DataFrame, projects: DataFrame) -> DataFrame:
+    """field, entity_name, project_name, confidence for classes (name_members of either side) whose names match.
+
+    A name lies in another if it equals one of its parts, so each direction is an equi-join of classes on parts; only parts of a
+    length that occurs on the other side are made, and a class is one row however many rows share its name. The confidence of a
+    pair of rows is the sum over the fields in which their classes are linked."""
+    e, p = (m.select("field", "name").distinct() for m in (entities, projects))
+
+    def within(long: DataFrame, short: DataFrame) -> DataFrame:
+        lengths = short.groupBy("field").agg(F.collect_set(F.length("name")).alias("lengths"))
+        n = F.length("name")
+        use = F.when(F.col("field") == "api", F.array(n)).otherwise(F.filter("lengths", lambda k: k <= n))
+        parts = F.flatten(F.transform(use, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("name"), i, k))))
+        held = long.join(F.broadcast(lengths), "field").select("field", "name", F.explode(F.array_distinct(parts)).alias("part"))
+        return held.join(short.select("field", F.col("name").alias("part")), ["field", "part"]).select("field", "name", "part")
+
+    both = within(e, p).toDF("field", "entity_name", "project_name").union(within(p, e).select("field", "part", "name")).distinct()
+    weights = F.create_map(*[F.lit(x) for kv in dims.MATCH_WEIGHTS.items() for x in kv])
+    return both.withColumn("confidence", F.round(weights[F.col("field")] / 10, 3))
+
+
 def best_project(matches: DataFrame) -> DataFrame:
     return matches.withColumn("rn", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("confidence"), "project_name"))).where("rn = 1").drop("rn")
 

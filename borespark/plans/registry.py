@@ -293,6 +293,32 @@ def project_match(spark, d):
     return match.project_match(e, p, block=["field"]).select("file_id", "project_name", "confidence")
 
 
+_NAME = "trim(regexp_replace(regexp_replace(lower(trim({})), '#|-|well|no\\.|unit|скважина|скв\\.|куст', ' ', 'g'), '\\s+', ' ', 'g'))"
+_E, _P = (f"with {x} as (select 'well_name' field, {_NAME.format(c + '_name')} \"name\", {k} id from {t} union all select 'field', {_NAME.format('n_name')}, {k} from {t} join nation on n_nationkey = {c}_nationkey)" for x, c, k, t in (("e", "s", "s_suppkey", "supplier"), ("p", "c", "c_custkey", "customer")))
+
+
+def sides(spark, d):
+    """All suppliers as entities and all customers as projects, each under its names; project_match takes one customer in a hundred, as its SQL does."""
+    n = table(spark, d, "nation")
+    named = lambda t, c, k: table(spark, d, t).join(n, F.col("n_nationkey") == F.col(f"{c}_nationkey"), "left").select(F.col(k).alias("id"), F.col(f"{c}_name").alias("well_name"), F.col("n_name").alias("field"))
+    return [match.name_members(named(*x), "id", ["well_name", "field"]) for x in (("supplier", "s", "s_suppkey"), ("customer", "c", "c_custkey"))]
+
+
+@query(_E + _P.replace("with", ",") + ", ec as (select field, \"name\", count(*) n from e where \"name\" <> '' group by 1, 2), pc as (select field, \"name\", count(*) n from p where \"name\" <> '' group by 1, 2) select ec.field, ec.\"name\" entity_name, pc.\"name\" project_name, case ec.field when 'field' then 0.15::double else 0.3::double end confidence, ec.n entities, pc.n projects from ec join pc on ec.field = pc.field and (contains(ec.\"name\", pc.\"name\") or contains(pc.\"name\", ec.\"name\"))")
+def project_match_classes(spark, d):
+    """The match of all customers: links between classes of equal names, with the rows of each class (project_match_members lists them)."""
+    e, p = sides(spark, d)
+    size = lambda m, name, n: m.groupBy("field", F.col("name").alias(name)).agg(F.count("*").alias(n))
+    return match.name_links(e, p).join(size(e, "entity_name", "entities"), ["field", "entity_name"]).join(size(p, "project_name", "projects"), ["field", "project_name"]).select("field", "entity_name", "project_name", "confidence", "entities", "projects")
+
+
+@query(_E + _P.replace("with", ",") + " select 'entity' side, field, \"name\", id from e where \"name\" <> '' union all select 'project', field, \"name\", id from p where \"name\" <> ''")
+def project_match_members(spark, d):
+    e, p = sides(spark, d)
+    both = e.withColumn("side", F.lit("entity")).unionByName(p.withColumn("side", F.lit("project")))
+    return both.select("side", "field", "name", "id")
+
+
 @query("with q as (select vec_id query_id, label, embedding from embeddings where vec_id % 25 = 0), s as (select query_id, vec_id event_id, list_cosine_similarity(q.embedding::double[], h.embedding::double[]) c from q join embeddings h using (label) where abs(vec_id - query_id) <= 100 and vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by c desc, event_id) rank from s) select query_id, rank, event_id, round(c, 3) similarity from r where rank <= 5")
 def pad_history_risks(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("pad_id"), F.col("vec_id").cast("double").alias("depth"), "embedding")
@@ -364,6 +390,13 @@ def upsert_history(spark, d):
     return history.upsert(h.where("task_id % 2 = 1"), new).select("task_id", "o_totalprice")
 
 
+@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 then 0.0 else o_totalprice end o_totalprice from orders")
+def upsert_history_all(spark, d):
+    """All orders as history, every third changed; upsert_history keeps to the part of them that its SQL names."""
+    h = history_of(spark, d)
+    return history.upsert(h, h.where("task_id % 3 = 0").withColumn("o_totalprice", F.lit(0.0))).select("task_id", "o_totalprice")
+
+
 @query("select o_orderkey task_id from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
 def delete_history(spark, d):
     gone = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("well_name"))

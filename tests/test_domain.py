@@ -120,3 +120,43 @@ def test_registered_queries_have_rows(spark):
     assert set(registry.ORACLES) == set(registry.QUERIES)
     for name in ("critical_dogleg_risks", "risk_matrix", "routing_summary"):
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_whole_project_match(spark):
+    """Names and fields of every pair, from class links and members, against the score of each pair."""
+    e = [(1, "Well Alpha #1", "North"), (2, "beta-2", "North Field"), (3, "", "South"), (4, None, None), (5, "Alpha", "east"), (6, "alpha", "x")]
+    p = [(i, n, f) for i, (n, f) in enumerate([("alpha 1", "north field"), ("BETA 2 B", "north"), ("gamma", "no"), (None, ""), ("a", "North"), ("alpha", "northern")])]
+    ents, projs = (spark.createDataFrame(x, "id long, well_name string, field string") for x in (e, p))
+    both = ents.select(F.col("id").alias("a"), F.struct("well_name", "field").alias("e")).crossJoin(projs.select(F.col("id").alias("b"), F.struct("well_name", "field").alias("p")))
+    score = match.match_score({f: F.col(f"e.{f}") for f in ("well_name", "field")}, {f: F.col(f"p.{f}") for f in ("well_name", "field")})[0]
+    want = {(r.a, r.b, r.c) for r in both.select("a", "b", score.alias("c")).where("c > 0").collect()}
+    me, mp = (match.name_members(x, "id", ["well_name", "field"]) for x in (ents, projs))
+    pairs = match.name_links(me, mp).join(me.toDF("field", "entity_name", "a"), ["field", "entity_name"]).join(mp.toDF("field", "project_name", "b"), ["field", "project_name"])
+    assert {(r.a, r.b, r.c) for r in pairs.groupBy("a", "b").agg(F.round(F.sum("confidence"), 3).alias("c")).collect()} == want and {c for *_, c in want} == {0.15, 0.3, 0.45}
+
+
+def test_all_fields_are_scored(spark):
+    e = spark.createDataFrame([("f", "alpha", "North")], "file_id string, well_name string, field string")
+    p = spark.createDataFrame([("P", "alpha", "north")], "project_name string, well_name string, field string")
+    assert [(r.confidence, r.matched) for r in match.project_match(e, p, block=["field"]).collect()] == [(0.45, ["well_name", "field"])]
+
+
+def rows_equal_twin(spark, name, d="/root/testdata/sf0.001"):
+    import duckdb
+
+    from borespark.plans import registry
+
+    with duckdb.connect() as c:
+        for t in ("customer", "supplier", "nation", "orders", "documents"):
+            c.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet')")
+        return sorted(map(tuple, registry.QUERIES[name](spark, d).collect())) == sorted(c.execute(registry.ORACLES[name]).fetchall())
+
+
+def test_all_customers_and_orders(spark):
+    from borespark.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    assert all(rows_equal_twin(spark, n) for n in ("project_match_classes", "project_match_members", "upsert_history_all"))
+    members = registry.QUERIES["project_match_members"](spark, d).where("side = 'project' and field = 'field'")
+    assert members.select("id").distinct().count() == spark.read.parquet(f"{d}/customer.parquet").count()
+    assert registry.QUERIES["upsert_history_all"](spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").count()
