@@ -256,8 +256,7 @@ def extract_entities(spark, d):
 
 @query("with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents) select doc_id, line_no source_line, case when contains(lower(line), 'licen') then 'lti' when contains(lower(line), 'token') then 'rwc' else 'unsafe' end severity from l where contains(lower(line), 'licen') or contains(lower(line), 'token') or contains(lower(line), 'hour')")
 def extract_hse_events(spark, d):
-    docs = table(spark, d, "documents").where("not contains(text, chr(13))")
-    return T.extract_hse_events(docs, triggers=["licen", "token", "hour"], severities={"lti": ["licen"], "rwc": ["token"]}, keep=("doc_id",)).select("doc_id", F.col("source_line").cast("long").alias("source_line"), "severity")
+    return T.extract_hse_events(table(spark, d, "documents"), triggers=["licen", "token", "hour"], severities={"lti": ["licen"], "rwc": ["token"]}, keep=("doc_id",)).select("doc_id", F.col("source_line").cast("long").alias("source_line"), "severity")
 
 
 @query("select source, pattern, count(*) occurrence_count from (select source, unnest([case when contains(lower(text), 'licen') then 'licen' end, case when contains(lower(text), 'token') then 'token' end, case when contains(lower(text), 'hour') then 'hour' end]) pattern from documents) where pattern is not null group by 1, 2 having count(*) >= 2")

@@ -160,3 +160,11 @@ def test_all_customers_and_orders(spark):
     members = registry.QUERIES["project_match_members"](spark, d).where("side = 'project' and field = 'field'")
     assert members.select("id").distinct().count() == spark.read.parquet(f"{d}/customer.parquet").count()
     assert registry.QUERIES["upsert_history_all"](spark, d).count() == spark.read.parquet(f"{d}/orders.parquet").count()
+
+
+def test_incident_lines_of_all_documents(spark, tmp_path):
+    from borespark.plans import registry
+
+    texts = [(1, "one licence\ntwo"), (2, "x\r\na token\r\nLICENCE"), (3, "x\rhours"), (4, None), (5, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in registry.QUERIES["extract_hse_events"](spark, str(tmp_path)).collect()} == {(1, 1, "lti"), (2, 2, "rwc"), (2, 3, "lti"), (3, 2, "unsafe")}
