@@ -127,17 +127,19 @@ def predictive_flags(matches: DataFrame) -> DataFrame:
     return matches.where("rank = 1").select("query_id", F.lit("PREDICTIVE_RISK").alias("code"), F.format_string("Similar event on pad %s (similarity %s): %s", F.col("pad_id").cast("string"), F.col("similarity").cast("string"), F.substring("raw_text", 1, 100)).alias("message"))
 
 
-def route_files(files: DataFrame, lexicon: dict[str, list[str]] | None = None, safety: list[str] | None = None) -> DataFrame:
+def route_files(files: DataFrame, lexicon: dict[str, list[str]] | None = None, safety: list[str] | None = None, *, head: tuple[int, int] | None = None) -> DataFrame:
     """path, domain: by type, by discipline where the type says auto; documents with safety words go to hse too; a domain nobody
-    is routed to gets every file (files: path, detected_type, text)."""
+    is routed to gets every file (files: path, detected_type, text). Whole texts are read; head: so many first characters only, for
+    disciplines and for safety words (the reference's are 3000 and 2000)."""
     lexicon = lexicon or dims.DISCIPLINES
-    low = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 3000))
+    whole = F.coalesce("text", F.lit(""))
+    low, low_safety = (F.lower(whole if head is None else F.substring(whole, 1, n)) for n in head or (None, None))
     best = arg_max({c: hits(low, t) / len(t) for c, t in lexicon.items()})
     names = F.create_map(*[F.lit(x) for kv in dims.TYPE_ROUTES.items() for x in kv])
     domain_of = F.create_map(*[F.lit(x) for kv in dims.DISCIPLINE_ROUTES.items() for x in kv])
     direct = F.coalesce(F.try_element_at(names, F.col("detected_type")), F.lit("auto"))
     domain = F.when(direct == "auto", F.coalesce(F.try_element_at(domain_of, F.when(best["score"] < 0.05, "unknown").otherwise(best["name"])), F.lit("drilling"))).otherwise(direct)
-    also = F.when(F.col("detected_type").isin("pdf_document", "word_document", "text_file") & contains_any(F.substring(low, 1, 2000), safety or dims.SAFETY_ROUTE), F.lit("hse"))
+    also = F.when(F.col("detected_type").isin("pdf_document", "word_document", "text_file") & contains_any(low_safety, safety or dims.SAFETY_ROUTE), F.lit("hse"))
     routes = files.select("path", F.explode(F.array_distinct(F.array_compact(F.array(domain, also)))).alias("domain"))
     every = ["drilling", "logs", "completions", "production", "directional", "hse"]
     spark = files.sparkSession

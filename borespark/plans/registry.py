@@ -275,10 +275,20 @@ def detect_file_type(spark, d):
     return x.select("page_id", F.when(F.col("extension") == "html", "html").when(F.col("extension") == "pdf", "pdf").otherwise("other").alias("kind"), "detected_type")
 
 
+ROUTE_WORDS = {"drilling": ["the", "and"], "production": ["und", "der"]}
+
+
 @query("with r as (select doc_id path, case when (contains(lower(substr(text, 1, 3000)), 'the')::int + contains(lower(substr(text, 1, 3000)), 'and')::int) >= (contains(lower(substr(text, 1, 3000)), 'und')::int + contains(lower(substr(text, 1, 3000)), 'der')::int) and (contains(lower(substr(text, 1, 3000)), 'the') or contains(lower(substr(text, 1, 3000)), 'and')) then 'drilling' when contains(lower(substr(text, 1, 3000)), 'und') or contains(lower(substr(text, 1, 3000)), 'der') then 'production' else 'drilling' end dom, contains(lower(substr(text, 1, 2000)), 'licen') safe from documents), x as (select path, dom \"domain\" from r union select path, 'hse' from r where safe) select \"domain\", count(*) files from (select * from x union all select doc_id, m from documents, (select unnest(['drilling', 'logs', 'completions', 'production', 'directional', 'hse']) m except select \"domain\" from x)) group by 1")
 def routing_summary(spark, d):
+    """The reference's prefixes of the texts, as its SQL has them; routing_summary_whole reads whole texts."""
+    f = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("text_file").alias("detected_type"), "text")
+    return match.routing_summary(match.route_files(f, ROUTE_WORDS, ["licen"], head=(3000, 2000)))
+
+
+@query("with r as (select doc_id path, case when (contains(lower(text), 'the')::int + contains(lower(text), 'and')::int) >= (contains(lower(text), 'und')::int + contains(lower(text), 'der')::int) and (contains(lower(text), 'the') or contains(lower(text), 'and')) then 'drilling' when contains(lower(text), 'und') or contains(lower(text), 'der') then 'production' else 'drilling' end dom, contains(lower(text), 'licen') safe from documents), x as (select path, dom \"domain\" from r union select path, 'hse' from r where safe) select \"domain\", count(*) files from (select * from x union all select doc_id, m from documents, (select unnest(['drilling', 'logs', 'completions', 'production', 'directional', 'hse']) m except select \"domain\" from x)) group by 1")
+def routing_summary_whole(spark, d):
     f = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("text_file").alias("detected_type"), "text")
-    return match.routing_summary(match.route_files(f, {"drilling": ["the", "and"], "production": ["und", "der"]}, ["licen"]))
+    return match.routing_summary(match.route_files(f, ROUTE_WORDS, ["licen"]))
 
 
 # ------------------------------------------------------------------ matching

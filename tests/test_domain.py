@@ -168,3 +168,11 @@ def test_incident_lines_of_all_documents(spark, tmp_path):
     texts = [(1, "one licence\ntwo"), (2, "x\r\na token\r\nLICENCE"), (3, "x\rhours"), (4, None), (5, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in registry.QUERIES["extract_hse_events"](spark, str(tmp_path)).collect()} == {(1, 1, "lti"), (2, 2, "rwc"), (2, 3, "lti"), (3, 2, "unsafe")}
+
+
+def test_whole_texts_are_routed(spark):
+    files_ = spark.createDataFrame([("a", "text_file", "x" * 2500 + " licence"), ("b", "text_file", "x" * 3500 + " und der")], "path string, detected_type string, text string")
+    own = lambda **o: {(r.path, r.domain) for r in match.route_files(files_, {"drilling": ["the"], "production": ["und", "der"]}, ["licen"], **o).where("domain in ('drilling', 'production', 'hse')").collect()}
+    assert own() == {("a", "drilling"), ("a", "hse"), ("b", "production")}
+    assert {("b", "drilling"), ("b", "hse")} <= own(head=(3000, 2000))
+    assert rows_equal_twin(spark, "routing_summary_whole")
