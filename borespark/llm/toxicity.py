@@ -1,10 +1,11 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i = 1 if a term of bucket i occurs. The pairwise part
+score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j / sqrt(n)), x_i = 1 if a term of bucket i occurs, n = the sum of x. The pairwise part
 learns what linear weights miss, such as an insult beside the mention of a group.
 
-Terms are lower-cased runs of letters or digits, hashed (CRC-32) into 2**bits buckets. Which buckets matter is counted over
-all labelled training rows by Spark; the machine is then fitted on at most `fit_rows` rows, taken by hash.
+Terms are lower-cased runs of letters or digits, hashed (CRC-32) into 2**bits buckets. Every bucket in five
+labelled training rows or more has a place, counted by Spark over all of them; the machine is then fitted on at most `fit_rows`
+rows, taken by hash.
 
 Null or empty text: no terms, the score is sigmoid(w0). Null or other labels than 0 and 1: not used. Repeated rows count each.
 No usable training rows: every score is 0. A document labelled twice is trained on twice. Other columns are ignored.
@@ -25,7 +26,7 @@ from .common import join_checked
 
 TERM = re.compile(r"[^\W_]+")
 MEMO = 100_000
-ROWS = 1_000
+ROWS = 250
 
 
 class Terms:
@@ -64,58 +65,88 @@ def bucket_counts(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(count, "bucket long, n long, n_toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
-def pick_buckets(counts: DataFrame, features: int, least: int = 5) -> list[int]:
-    """The buckets with the largest chi-square against the label, at most `features` (a bound on the model's size)."""
-    total = counts.where("bucket = -1").select(F.col("n").alias("all_rows"), F.col("n_toxic").alias("all_toxic"))
-    a, n, big, t = F.col("n_toxic").cast("double"), F.col("n").cast("double"), F.col("all_rows"), F.col("all_toxic")
-    gap = a * big - n * t
-    chi = gap * gap * big / (n * t * (big - t) * (big - n))
-    ranked = counts.where((F.col("bucket") >= 0) & (F.col("n") >= least)).crossJoin(F.broadcast(total)).where((t > 0) & (t < big) & (n < big))
-    return [r.bucket for r in ranked.select("bucket", chi.alias("chi")).where("chi > 10.8").orderBy(F.desc("chi"), "bucket").limit(features).collect()]
-
-
-def fit(rows: list[tuple[np.ndarray, int]], size: int, factors: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7) -> dict:
-    """Adam on the log loss of the machine; rows are (places, label)."""
+def pick_buckets(counts: DataFrame, features: int | None = None, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, start, pace) of all buckets in at least `least` rows; features: the largest so many by chi-square only.
+
+    start: a bucket's log odds over all rows, if its chi-square says that they aren't chance, else 0. pace: how fast the fit may
+    move it; 1 for a sure bucket, a tenth for one without a signal of its own, which has to learn from pairs without following chance."""
+    c = counts.toArrow()
+    bucket, n, a = (c.column(k).to_numpy() for k in ("bucket", "n", "n_toxic"))
+    big, t = int(n[bucket < 0].sum()), int(a[bucket < 0].sum())
+    use = (bucket >= 0) & (n >= least) & (0 < t < big)
+    order = np.argsort(bucket[use])
+    bucket, n, a = bucket[use][order], n[use][order].astype(float), a[use][order].astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = np.nan_to_num((a * big - n * t) ** 2 * big / (n * t * (big - t) * (big - n)))
+    if features is not None:
+        best = np.sort(np.lexsort((bucket, -chi))[:features])
+        bucket, n, a, chi = bucket[best], n[best], a[best], chi[best]
+    if not len(bucket):
+        return bucket, np.zeros(0), np.ones(0)
+    share, sure = t / big, np.where(chi > 10.8, (chi / (chi + 10.8)) ** 2, 0)
+    odds = np.log((a + 4 * share) / (n - a + 4 * (1 - share)) * (1 - share) / share)
+    return bucket, odds * sure, np.maximum(sure, 0.1)
+
+
+def fit(rows: list[tuple[np.ndarray, int]], size: int, factors: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7, pair_rate: float | None = None, start: np.ndarray | None = None, pace: np.ndarray | None = None) -> dict:
+    """Adam on the log loss of the machine; rows are (places, label). A step moves the places of its rows alone; a place in no row
+    keeps its start and has no pairs."""
     rng = np.random.default_rng(seed)
     y = np.array([r[1] for r in rows], float)
     mean = min(max(y.mean(), 1e-6), 1 - 1e-6)
-    p = {"w0": np.array([np.log(mean / (1 - mean))]), "w": np.zeros(size), "v": rng.normal(0, 0.01, (size, factors))}
-    first, second, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    start, pace = np.zeros(size) if start is None else start, np.ones(size) if pace is None else pace
+    p = {"w0": np.array([np.log(mean / (1 - mean))]), "w": start.copy(), "v": rng.normal(0, 0.01, (size, factors))}
+    first, second = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    times, step = np.zeros(size, np.int64), 0
+
+    def move(k: str, at: np.ndarray | slice, g: np.ndarray, n: np.ndarray | int, speed: np.ndarray | float) -> None:
+        a, b = 0.9 * first[k][at] + 0.1 * g, 0.999 * second[k][at] + 0.001 * g * g
+        first[k][at], second[k][at] = a, b
+        p[k][at] -= speed * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.999**n)) + 1e-8)
+
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for s in range(0, len(order), batch):
             part = order[s : s + batch]
             at = [rows[i][0] for i in part]
-            flat, row = np.concatenate(at) if at else np.empty(0, np.int64), np.repeat(np.arange(len(part)), [len(x) for x in at])
-            total = np.zeros((len(part), factors))
-            np.add.at(total, row, p["v"][flat])
-            z = margins(p, flat, row, len(part))
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-            g = {"w0": np.array([err.sum()]), "w": shrink * p["w"], "v": shrink * p["v"]}
-            np.add.at(g["w"], flat, err[row])
-            np.add.at(g["v"], flat, err[row, None] * (total[row] - p["v"][flat]))
+            flat, row = np.concatenate([*at, np.empty(0, np.int64)]), np.repeat(np.arange(len(part)), [len(x) for x in at])
+            used, flat = np.unique(flat, return_inverse=True)
+            w, v = p["w"][used], p["v"][used]
+            total = summed(v, flat, row, len(part))
+            scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(part)), 1))
+            err = (1 / (1 + np.exp(-np.clip(margins({"w0": p["w0"], "w": w, "v": v}, flat, row, len(part)), -30, 30))) - y[part]) / len(part)
+            pair = err * scale
+            gw = np.bincount(flat, err[row], len(used)) + shrink * (w - start[used])
+            gv = summed(pair[:, None] * total, row, flat, len(used)) - np.bincount(flat, pair[row], len(used))[:, None] * v + shrink * v
             step += 1
-            for k in p:
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.001 * (g[k] ** 2 - second[k])
-                p[k] = p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            times[used] += 1
+            n = times[used]
+            move("w", used, gw, n, rate * pace[used])
+            move("v", used, gv, n[:, None], (rate if pair_rate is None else pair_rate) * pace[used, None])
+            move("w0", slice(None), np.array([err.sum()]), step, rate)
+    p["v"][times == 0] = 0
     return p
 
 
+def summed(values: np.ndarray, of: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """The sums over i of values[of[i]] for each to[i], column by column."""
+    return np.stack([np.bincount(to, np.ascontiguousarray(c)[of], n) for c in values.T], 1)
+
+
 def margins(p: dict, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """w0 + linear + pairwise part, the latter as half of (sum v)**2 - sum v**2."""
-    total, squares, linear = np.zeros((n, p["v"].shape[1])), np.zeros((n, p["v"].shape[1])), np.zeros(n)
-    v = p["v"][flat]
-    np.add.at(total, row, v)
-    np.add.at(squares, row, v * v)
-    np.add.at(linear, row, p["w"][flat])
-    return p["w0"][0] + linear + 0.5 * (total**2 - squares).sum(1)
+    """w0 + linear + pairwise part, the latter as half of (sum v)**2 - sum v**2, by the root of the row's number of terms."""
+    pairs = np.zeros(n)
+    for v in p["v"].T:
+        x = np.ascontiguousarray(v)[flat]
+        pairs += np.bincount(row, x, n) ** 2 - np.bincount(row, x * x, n)
+    return p["w0"][0] + np.bincount(row, p["w"][flat], n) + 0.5 * pairs / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
 
 
-def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, features: int = 1024, fit_rows: int = 20_000, seed: int = 7) -> dict | None:
-    """Fit on labelled rows. Bucket statistics cover all of them; the weights are fitted on `fit_rows` rows with the least hash."""
+def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, features: int | None = None, fit_rows: int = 20_000, seed: int = 7) -> dict | None:
+    """Fit on labelled rows. Bucket statistics cover all of them and give the weights to start from; the fit moves those on `fit_rows`
+    rows with the least hash, in 500 steps at least."""
     use = rows.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("long").alias("y"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
-    kept = pick_buckets(bucket_counts(use.select("text", "y"), bits), features)
+    kept, start, pace = pick_buckets(bucket_counts(use.select("text", "y"), bits), features)
     place = np.full(1 << bits, -1, np.int32)
     place[kept] = np.arange(len(kept))
     shared = rows.sparkSession.sparkContext.broadcast(place)
@@ -123,13 +154,15 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(bits, shared.value)
         for b in batches:
-            at = [terms.of(t.as_py()).tolist() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), b.column(1), b.column(2)], ["at", "y", "h"])
+            at = [terms.of(t.as_py()).astype("<i4").tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), b.column(1), b.column(2)], ["at", "y", "h"])
 
-    sample = use.mapInArrow(places, "at array<long>, y long, h long").orderBy("h").limit(fit_rows).collect()
+    sample = use.mapInArrow(places, "at binary, y long, h long").orderBy("h").limit(fit_rows).collect()
     if not sample:
         return None
-    return fit([(np.array(r.at, np.int64), r.y) for r in sorted(sample, key=lambda r: (r.h, r.at))], len(kept), seed=seed) | {"place": place, "bits": bits}
+    data = [(np.frombuffer(r.at, "<i4").astype(np.int64), r.y) for r in sorted(sample, key=lambda r: (r.h, bytes(r.at)))]
+    epochs = max(6, -(-500 // -(-len(data) // 256)))
+    return fit(data, len(kept), epochs=epochs, rate=0.01, pair_rate=0.02, seed=seed, start=start, pace=pace) | {"place": place, "bits": bits}
 
 
 def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

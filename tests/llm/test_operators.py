@@ -241,6 +241,24 @@ def test_factorization_learns_pairs():
     assert ((toxicity.margins(p, flat, row, len(rows)) > 0) == [r[1] for r in rows]).mean() > 0.98
 
 
+def test_toxicity_learns_neutral_pairs_and_keeps_all_terms(spark):
+    """Terms g and i say nothing alone (a quarter of the rows of each is toxic, as of all rows) and are toxic together; rare terms stand in six toxic rows each."""
+    rng = random.Random(4)
+    filler = [f"common{k}" for k in range(40)]
+    rows, kinds = [], [("g i", 1)] + [("g", 0)] * 3 + [("i", 0)] * 3 + [("slur", 1)] * 2 + [("", 0)] * 3
+    for k in range(4800):
+        said, y = kinds[k % len(kinds)]
+        rows.append((k, f"{said} {' '.join(rng.sample(filler, 3))}", y))
+    rows += [(5000 + k, f"rare{k % 1200} common1", 1) for k in range(7200)] + [(20000 + k, "calm common1 common2", 0) for k in range(21600)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    alone = [f"rare{k}" for k in range(1200)]
+    asked = {0: "g common3 common4", 1: "i common5 common6", 2: "g i common3 common5", 3: ""} | {10 + k: t for k, t in enumerate(alone)}
+    found = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(asked.items()), "doc_id long, text string"), model).collect()}
+    assert found[2] >= 0.5 > max(found[0], found[1])
+    low = [t for k, t in enumerate(alone) if found[10 + k] <= found[3]]
+    assert not low
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(5)
