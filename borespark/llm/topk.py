@@ -4,7 +4,7 @@ Components become floor(scale * x). A score is the sum of m partial scores, one
 the components. Vectors are in blocks; a task takes one block of queries, one block of vectors and one list.
 
 1. Each list gives every query its k best entries and its least partial score. The few objects named are scored in full; the
-   k-th best of them is t1.
+   k-th best of them is t1 (here and in t2 ranks go further by the number of different vectors that the query's id has).
 2. List i gets the cutoff low_i + (t1 - sum of lows) / m: an object below the cutoff in every list sums to less than t1, so it
    can't be in the answer. Lists give all entries at or above their cutoffs; the k-th best sum is now t2.
 3. Objects whose upper bound (the cutoff for lists that didn't name them) reaches t2 are scored exactly.
@@ -64,7 +64,7 @@ def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, li
     few = whole.withColumn("place", F.row_number().over(Window.partitionBy("object", "object2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     objects = few.groupBy("object", "object2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector"))
     objects = materialize(objects.withColumn("size", F.size("vector")))
-    queries = materialize(whole.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "vector").alias("q"), "vector", F.size("vector").alias("size")).distinct())
+    queries = materialize(whole.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "vector").alias("q"), "vector", F.size("vector").alias("size")).distinct().withColumn("own", F.count("*").over(Window.partitionBy("query_id"))))
     vectors = objects.select("object", "vector", "size", F.size("ids").alias("n"))
     slim = queries.select("query_id", "q", "vector", "size")
 
@@ -81,17 +81,19 @@ def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, li
     lows = materialize(lows.join(lows.groupBy("q").agg(F.sum("low").alias("lows")), "q"))
 
     def kth(entries: DataFrame, name: str) -> DataFrame:
-        """The (k + 1)-th best sum of each query (one more than k, for its own row), null if there are fewer."""
+        """The (k + own)-th best sum of each query (own: its id's different vectors), null if there are fewer."""
         sums = entries.select("q", "part", "object", "score").join(lows, ["q", "part"]).groupBy("q", "object").agg((F.sum(F.col("score") - F.col("low")) + F.first("lows")).alias("total"))
-        ranked = sums.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "object"))).where(F.col("place") <= k + 1)
-        return ranked.groupBy("q").agg(F.when(F.count("*") > k, F.min("total")).alias(name))
+        return last(sums.join(queries.select("q", "own"), "q"), name)
+
+    def last(sums: DataFrame, name: str) -> DataFrame:
+        ranked = sums.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "object"))).where(F.col("place") <= k + F.col("own"))
+        return ranked.groupBy("q").agg(F.when(F.count("*") >= k + F.max("own"), F.min("total")).alias(name))
 
     cut = F.when(F.col("t1").isNull(), F.lit(-(2**62))).otherwise(F.col("low") + F.floor((F.col("t1") - F.col("lows")) / lists))
     best = heads.withColumn("place", F.row_number().over(Window.partitionBy("q", "part").orderBy(F.desc("score"), "object"))).where(F.col("place") <= k + 1)
     score = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
-    named = best.select("q", "object").distinct().join(queries.select("q", F.col("vector").alias("qv")), "q").join(objects.select("object", "vector"), "object").select("q", "object", score.alias("total"))
-    placed = named.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "object"))).where(F.col("place") <= k + 1)
-    t1 = placed.groupBy("q").agg(F.when(F.count("*") > k, F.min("total")).alias("t1"))
+    named = best.select("q", "object").distinct().join(queries.select("q", "own", F.col("vector").alias("qv")), "q").join(objects.select("object", "vector"), "object").select("q", "own", "object", score.alias("total"))
+    t1 = last(named, "t1")
     cutoffs = materialize(lows.join(t1, "q").select("q", "part", "low", "lows", cut.cast("long").alias("cut")))
     told = slim.join(cutoffs.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("part", "cut"))).alias("cuts")), "q")
 

@@ -300,6 +300,15 @@ def test_topk(spark, vectors):
     assert topk.top_k(few).count() == 2 and topk.top_k(df.limit(0)).collect() == []
 
 
+def test_topk_of_an_id_with_two_vectors(spark):
+    rows = [(0, [10.0, 10.0]), (0, [9.0, 9.0])] + [(i, [6 - i / 8, 6 - i / 8]) for i in range(1, 31)]
+    want = set()
+    for q in (np.floor(256 * np.array(v)).astype(int) for i, v in rows if i == 0):
+        ranked = sorted((-int(q @ np.floor(256 * np.array(v)).astype(int)), i) for i, v in rows if i)[:5]
+        want |= {(0, r + 1, i, -s) for r, (s, i) in enumerate(ranked)}
+    assert {tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=50).collect()} == want
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
