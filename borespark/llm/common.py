@@ -148,3 +148,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * up[: len(data)], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def texts_once(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, copies, work). base: doc_id, text and a 128-bit hash h1, h2 of the text, for each row. copies: of texts that more than
+    one row has, their hash and the first row's id (null first). work: h1, h2, doc_id, text of the first rows, so that each text is worked on once
+    (twice only if the very row is repeated)."""
+    words = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))["doc_id"]
+    copies = materialize(base.groupBy("h1", "h2").agg(F.count("*").alias("rows"), first.alias("first")).where("rows > 1"))
+    work = join_checked(base, copies, ["h1", "h2"], "left").where("rows is null or doc_id <=> first").select("h1", "h2", "doc_id", "text")
+    return base, copies, work

@@ -2,13 +2,13 @@
 
 A window is `width` consecutive words of one document. Its anchor is the run of `gram` words in it with the least hash (the
 first of equal ones), so equal windows have equal anchors, at the same place within them, and two equal windows never share one
-anchor position. Pass one counts anchor positions in a count-min sketch (partition sketches, merged); it only overestimates.
-Pass two sends windows whose anchor may be repeated, grouped by anchor, and groups them exactly by 128-bit window hashes. A
-window that occurs once in fact is found to be so there; none that repeats is lost.
+anchor position. Two count-min sketches (partition sketches, merged) only overestimate: the first counts anchors, the second counts the
+windows whose anchor may be repeated. The last pass sends only windows estimated repeated, grouped by anchor, and groups
+them exactly by 128-bit window hashes. A window that occurs once in fact is found to be so there; none that repeats is lost.
 
-Groups are streamed in order of document and place; the state is the distinct windows of one anchor. Anchors are first grouped within
-`salts` shares of the documents, and only each share's first occurrences meet in one group, so a very common passage
-doesn't land whole in one task.
+Texts that several rows have are worked on once: of the later rows every window is a repetition. Groups are streamed in order of
+document and place; the state is the distinct windows of one anchor. An anchor with more than `block` runs is first grouped
+within shares of the documents, as many as its count asks for, and only each share's first occurrences meet in one group.
 
 Null text: no words. "Earlier" is by doc_id (null first), then place. Rows with the same doc_id and the same text are one document,
 given twice; rows with the same doc_id and other texts are ordered by a hash of the text. Extra columns are ignored.
@@ -24,128 +24,186 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, byte_table, join_checked, materialize, rolling, text_parts, word_hashes, words
+from .common import Powers, byte_table, join_checked, materialize, rolling, text_parts, texts_once, word_hashes, words
 from .sketch import maybe_repeated, repeated_planes, width_bits
 
 _TABLES = byte_table(11, False), byte_table(12, False)
 _POWERS = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F), Powers(0xE7037ED1A0B428DB)
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, hashes: bool):
-    """For each run of windows with one anchor: (text, first word, count, anchor key); and the windows' two hashes, if wanted."""
-    starts, ends, first = words(data, offsets)
-    n = len(starts) - width + 1
-    empty = np.empty(0, np.int64)
-    if n <= 0:
-        return empty, empty, empty, empty.astype(np.uint64), None, None, empty
-    one = word_hashes(data, starts, ends, _TABLES[0])
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    valid = doc[:n] == doc[width - 1 :]
-    grams = rolling(one, gram, _POWERS[0])
-    inside = width - gram + 1
-    best, at = grams[:n].copy(), np.zeros(n, np.int64)
-    for i in range(1, inside):
-        less = grams[i : i + n] < best
-        best[less] = grams[i : i + n][less]
-        at[less] = i
-    place = np.flatnonzero(valid)
-    anchor = place + at[place]
-    new = np.ones(len(place), bool)
-    new[1:] = (np.diff(place) != 1) | (np.diff(anchor) != 0)
-    run = np.flatnonzero(new)
-    count = np.diff(np.append(run, len(place)))
-    h = (None, None)
-    if hashes:
-        two = word_hashes(data, starts, ends, _TABLES[1])
-        h = rolling(one, width, _POWERS[1]), rolling(two, width, _POWERS[2])
-    return doc[place[run]], place[run] - first[doc[place[run]]], count, grams[anchor[run]], *h, place[run]
-
-
-def flags(rows: DataFrame, *, firsts: bool) -> DataFrame:
-    """rows (key, salt, doc_id, th, at, h): windows in order within each (key, salt). (doc_id, th, at, n) of windows that repeat an
-    earlier one of their group; with firsts, also the others, as rows of the same form with dup false."""
+class Windows:
+    """The windows of concatenated texts. doc, place: text and first word (of all) of each; anchor: its anchor's first word; key: the anchor's hash."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
+        self.data, self.width = data, width
+        self.starts, self.ends, self.first = words(data, offsets)
+        n = len(self.starts) - width + 1
+        if n <= 0:
+            self.doc = self.place = self.anchor = np.empty(0, np.int64)
+            self.key = np.empty(0, np.uint64)
+            return
+        self.one = word_hashes(data, self.starts, self.ends, _TABLES[0])
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        grams = rolling(self.one, gram, _POWERS[0])
+        best, at = grams[:n].copy(), np.zeros(n, np.int64)
+        for i in range(1, width - gram + 1):
+            less = grams[i : i + n] < best
+            best[less] = grams[i : i + n][less]
+            at[less] = i
+        self.place = np.flatnonzero(doc[:n] == doc[width - 1 :])
+        self.doc, self.anchor = doc[self.place], self.place + at[self.place]
+        self.key = best[self.place]
+
+    def anchors(self) -> np.ndarray:
+        """The key of each anchor position once."""
+        new = np.ones(len(self.place), bool)
+        new[1:] = (np.diff(self.anchor) != 0) | (np.diff(self.doc) != 0)
+        return self.key[new]
+
+    def hashes(self, which: int) -> np.ndarray:
+        """A hash of every window's words."""
+        of = self.one if which == 0 else word_hashes(self.data, self.starts, self.ends, _TABLES[1])
+        return rolling(of, self.width, _POWERS[1 + which])[self.place]
+
+    def runs(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, count): runs of neighbouring windows in use (their indexes, sorted) that have one anchor."""
+        new = np.ones(len(use), bool)
+        new[1:] = (np.diff(self.place[use]) != 1) | (np.diff(self.anchor[use]) != 0) | (np.diff(self.doc[use]) != 0)
+        run = np.flatnonzero(new)
+        return run, np.diff(np.append(run, len(use)))
+
+
+def flags(rows: DataFrame, *, inner: bool) -> DataFrame:
+    """rows (key, share, known, doc_id, h1, h2, at, h, again): runs of windows in order within each (key, share); again: the run is
+    known to occur elsewhere. (key, known, doc_id, h1, h2, at, h, n, state) of parts of runs. state 2: repeats an earlier window of its group; 1: the first of
+    several; 0: alone in its group (inner only). A first one is listed again with state 1 when its repetition is met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, list] = {}
         now, before = None, None
         for batch in batches:
             out: list[tuple] = []
-            key, salt, doc, th, at, h = (c.to_pylist() for c in batch.columns)
+            key, share, *names, at, h = (c.to_pylist() for c in batch.columns)
+            who = list(zip(*names, strict=True))
             for i in range(len(key)):
-                if (key[i], salt[i]) != now:
-                    now, before = (key[i], salt[i]), None
-                    seen = set()
-                if (doc[i], th[i], at[i]) == before:
+                if (key[i], share[i]) != now:
+                    now, before, seen = (key[i], share[i]), None, {}
+                if (who[i], at[i]) == before:
                     continue  # the same document given twice
-                before = (doc[i], th[i], at[i])
+                before = (who[i], at[i])
                 s, start, state = h[i], 0, None
                 n = len(s) // 16
                 for j in range(n + 1):
                     w = s[16 * j : 16 * j + 16]
-                    dup = None if j == n else w in seen
+                    old = seen.get(w) if j < n else None
+                    dup = None if j == n else old is not None
                     if dup is False:
-                        seen.add(w)
+                        seen[w] = [who[i], at[i] + j]
+                    elif dup and old:
+                        out.append((key[i], *old[0], old[1], None, 1, 1))
+                        old.clear()
                     if dup != state:
-                        if state is not None and (state or firsts):
-                            out.append((key[i], doc[i], th[i], at[i] + start, state, None if state else s[16 * start : 16 * j], j - start))
+                        if state is not None and (state or inner):
+                            out.append((key[i], *who[i], at[i] + start, None if state else s[16 * start : 16 * j], j - start, 2 if state else 0))
                         start, state = j, dup
             if out:
                 c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.bool_()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.int64())], ["key", "doc_id", "th", "at", "dup", "h", "n"])
+                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], ["key", "known", "doc_id", "h1", "h2", "at", "h", "n", "state"])
 
-    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "th", "at")
-    return dealt.select("key", "salt", "doc_id", "th", "at", "h").mapInArrow(run, "key long, doc_id long, th long, at long, dup boolean, h binary, n long")
+    order = ["key", "share", "known", "doc_id", "h1", "h2", "at"]
+    dealt = rows.repartition("key", "share").sortWithinPartitions(*order)
+    return dealt.select(*order, "h").mapInArrow(run, "key long, known boolean, doc_id long, h1 long, h2 long, at long, h binary, n long, state int")
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 20, gram: int = 10, salts: int = 4, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text, if wanted) for each row of docs."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
-    bits = width_bits(docs.count())
+def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 20, gram: int = 10, block: int = 4096, passage: int = 51, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, n_passages (and kept_text, if wanted) for each row of docs. n_passages: maximal runs of
+    at least `passage` words covered by windows that also start elsewhere, earlier or later."""
+    base, copies, work = texts_once(docs, text)
+    share = docs.sparkSession.sparkContext.broadcast
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    bits = width_bits(size // 32), width_bits(size // 16)  # anchors and windows to be expected, at a few bytes a word
 
-    def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, offsets, data in text_parts(batch.column(0)):
-            yield anchored(data, offsets, width, gram, False)[3]
+    def windows_of(column: pa.Array) -> Iterator[tuple[int, Windows]]:
+        for row, offsets, data in text_parts(column):
+            yield row, Windows(data, offsets, width, gram)
 
-    planes = docs.sparkSession.sparkContext.broadcast(repeated_planes(base.select("text"), keys_of, bits))
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, w in windows_of(batch.column(0)):
+            yield w.anchors()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marked = share(repeated_planes(work.select("text"), anchors, bits[0]))
+
+    def below(w: Windows) -> np.ndarray:
+        return np.flatnonzero(maybe_repeated(w.key, marked.value, bits[0])) if len(w.key) else np.empty(0, np.int64)
+
+    def counted(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, w in windows_of(batch.column(0)):
+            use = below(w)
+            if len(use):
+                yield w.hashes(0)[use]
+
+    planes = share(repeated_planes(work.select("text"), counted, bits[1]))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, offsets, data in text_parts(batch.column(1)):
-                doc, at, count, key, h1, h2, flat = anchored(data, offsets, width, gram, True)
-                hit = np.flatnonzero(maybe_repeated(key, planes.value, bits)) if len(key) else []
-                if len(hit):
-                    both = np.stack([h1, h2], 1)
-                    take = pa.array(doc[hit] + row)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[hit].astype(np.int64)), batch.column(0).take(take), batch.column(2).take(take), pa.array(at[hit]), pa.array([both[f : f + c].tobytes() for f, c in zip(flat[hit], count[hit], strict=True)], pa.binary())],
-                        ["key", "doc_id", "th", "at", "h"],
-                    )
-
-    sent = base.select("doc_id", "text", "th").mapInArrow(windows, "key long, doc_id long, th long, at long, h binary")
-    salted = sent.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(salts)))
-    inner = materialize(flags(salted, firsts=True))
-    outer = flags(inner.where("not dup").withColumn("salt", F.lit(0).cast("long")), firsts=False)
-    found = inner.where("dup").select("doc_id", "th", "at", "n").union(outer.where("dup").select("doc_id", "th", "at", "n"))
-    cuts = materialize(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n")).alias("cuts")))
-    joined = join_checked(base, cuts, ["doc_id", "th"], "left", limit=200_000).select("doc_id", "text", "cuts.at", "cuts.n")
+            for row, w in windows_of(batch.column(3)):
+                use = below(w)
+                if not len(use):
+                    continue
+                one = w.hashes(0)[use]
+                keep = maybe_repeated(one, planes.value, bits[1])
+                use, one = use[keep], one[keep]
+                if not len(use):
+                    continue
+                both = np.stack([one, w.hashes(1)[use]], 1).tobytes()
+                run, count = w.runs(use)
+                lead = use[run]
+                take = pa.array(w.doc[lead] + row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w.key[lead].astype(np.int64)), *[batch.column(i).take(take) for i in range(3)], pa.array(w.place[lead] - w.first[w.doc[lead]]), pa.array([both[16 * a : 16 * (a + c)] for a, c in zip(run.tolist(), count.tolist(), strict=True)], pa.binary())],
+                    ["key", "h1", "h2", "doc_id", "at", "h"],
+                )
+
+    sent = materialize(work.mapInArrow(send, "key long, h1 long, h2 long, doc_id long, at long, h binary"))
+    hot = materialize(sent.groupBy("key").count().where(F.col("count") > block))
+    shares = F.coalesce(F.ceil(F.col("count") / block), F.lit(1))
+    dealt = join_checked(sent.withColumn("known", F.col("doc_id").isNotNull()), hot, ["key"], "left").withColumn("share", F.pmod(F.xxhash64("h1", "h2"), shares)).drop("count")
+    inner = materialize(flags(dealt, inner=True))
+    outer = flags(inner.where("state = 0").withColumn("share", F.lit(0).cast("long")), inner=False)
+    found = inner.where("state > 0").unionByName(outer).select("h1", "h2", "at", "n", "state")
+    cuts = materialize(found.groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "n", "state")).alias("cuts")))
+    joined = join_checked(join_checked(base, copies, ["h1", "h2"], "left"), cuts, ["h1", "h2"], "left", limit=200_000)
+    joined = joined.select("doc_id", "text", (F.col("rows") > 1).alias("copied"), (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later"), "cuts.at", "cuts.n", "cuts.state")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, removed, digest, kept_text = [], [], [], []
-            for t, at, n in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+            total, removed, digest, passages, kept_text = [], [], [], [], []
+            for t, copied, later, at, n, state in zip(*(batch.column(i) for i in range(1, 7)), strict=True):
                 every = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
                 total.append(len(every))
+                gone, met = np.zeros(len(every) + 1, np.int32), np.zeros(len(every) + 1, np.int32)
                 if at.is_valid:
-                    gone = np.zeros(len(every) + 1, np.int32)
-                    a = np.asarray(at.values)
-                    np.add.at(gone, a, 1)
-                    np.add.at(gone, a + np.asarray(n.values) + width - 1, -1)
-                    every = [w for w, g in zip(every, np.cumsum(gone), strict=False) if not g]
+                    a, stop, s = np.asarray(at.values), np.asarray(at.values) + np.asarray(n.values) + width - 1, np.asarray(state.values)
+                    for into, use in ((gone, s == 2), (met, s > 0)):
+                        np.add.at(into, a[use], 1)
+                        np.add.at(into, stop[use], -1)
+                gone, met = np.cumsum(gone)[:-1] > 0, np.cumsum(met)[:-1] > 0
+                if copied.as_py() and len(every) >= width:
+                    met[:] = True
+                    gone[:] |= later.as_py()
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], met, [0]])))
+                passages.append(int((edges[1::2] - edges[::2] >= passage).sum()))
+                if gone.any():
+                    every = [w for w, g in zip(every, gone, strict=True) if not g]
                 removed.append(total[-1] - len(every))
                 out = b" ".join(every)
                 digest.append(hashlib.sha256(out).hexdigest())
                 if keep_text:
                     kept_text.append(out.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), *[pa.array(kept_text, pa.string())] * keep_text], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * keep_text])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(passages, pa.int64()), *[pa.array(kept_text, pa.string())] * keep_text],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "n_passages", *["kept_text"] * keep_text],
+            )
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_passages long" + ", kept_text string" * keep_text)
