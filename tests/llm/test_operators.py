@@ -99,40 +99,56 @@ def test_minhash_large_groups(spark):
     assert [found[i]["component_id"] for i in range(len(rows))] == comp
 
 
-def test_suffix_order(spark, docs, texts):
-    for width, gram in ((400, 64), (40, 8)):
-        seen = Counter()
-        data = [(t or "").encode() for t in texts]
-        for d in data:
-            seen.update(d[i : i + width] for i in range(len(d) - width + 1))
+def repeated_runs(data, width, seen):
+    """A flag for each item covered by a window that occurs more than once."""
+    gone = np.zeros(len(data), bool)
+    for p in range(len(data) - width + 1):
+        if seen[data[p : p + width]] > 1:
+            gone[p : p + width] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(int)))
+    return gone, list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def test_suffix_order(spark, docs, texts, monkeypatch):
+    data = [(t or "").encode() for t in texts]
+    for width, passage, gram, block, portion in ((400, 256, 64, 4096, 10**6), (40, 25, 8, 4096, 10**6), (40, 40, 8, 5, 900)):
+        monkeypatch.setattr(bwt, "PORTION", portion)
+        seen = Counter(d[i : i + w] for d in data for w in {width, passage} for i in range(len(d) - w + 1))
         want = {}
         for i, d in enumerate(data):
-            gone = np.zeros(len(d), bool)
-            for p in range(len(d) - width + 1):
-                if seen[d[p : p + width]] > 1:
-                    gone[p : p + width] = True
+            gone, runs = repeated_runs(d, width, seen)
+            _, met = repeated_runs(d, passage, seen)
+            whole = lambda a, b: sum(a <= m.start() and m.end() <= b for m in re.finditer(rb"[^\x20\x09-\x0D]+", d))  # noqa: B023, E731
             kept = bytes(b for b, g in zip(d, gone) if not g)
-            want[i] = (len(d), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest())
-        found = got(bwt.remove_repeats(docs, width=width, gram=gram))
-        assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in found.items()} == want
+            want[i] = (len(d), int(gone.sum()), len(runs), hashlib.sha256(kept).hexdigest(), sum(whole(a, b) >= 51 for a, b in met))
+        found = got(bwt.remove_repeats(docs, width=width, passage=passage, gram=gram, block=block))
+        assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passages"]) for i, r in found.items()} == want
     assert bwt.remove_repeats(docs.limit(0)).collect() == []
 
 
-def test_interleave_is_the_sorted_order():
+def test_merged_transforms_are_the_sorted_order():
     rng = np.random.default_rng(1)
-    rows = rng.integers(0, 2, (300, 40), dtype=np.uint8)
-    group = np.sort(rng.integers(0, 9, 300))
-    order, common = bwt.interleave(rows.view(">u8").astype(np.uint64), group)
-    keyed = [(group[i], bytes(rows[i])) for i in order]
-    assert keyed == sorted(keyed)
-    for i in range(1, 300):
-        a, b = keyed[i - 1], keyed[i]
-        want = -1 if a[0] != b[0] else next((k for k in range(40) if a[1][k] != b[1][k]), 40)
-        assert common[i] == want
+    shards = [rng.integers(0, 2, (n, 4 * bwt.SYMBOL), dtype=np.uint8) * rng.integers(0, 256, (n, 1), dtype=np.uint8) for n in (70, 1, 130)]
+    for s in shards:
+        s[:, : 3 * bwt.SYMBOL] = s[0, : 3 * bwt.SYMBOL]  # long common prefixes
+        s[::3, bwt.SYMBOL + 5] ^= 1
+    parts = []
+    for s in shards:
+        words, codes = np.unique(s.view(f"S{bwt.SYMBOL}"), return_inverse=True)
+        t, order = bwt.transform(codes.reshape(-1, 4) + 1)
+        assert (bwt.spelled(t, len(s), 4) == codes.reshape(-1, 4) + 1).all()
+        parts.append((words, t, order))
+    rows = [bytes(r) for s in shards for r in s]
+    order, common = bwt.merged_order(parts, 4)
+    assert [rows[i] for i in order] == sorted(rows)
+    assert common[0] == -1
+    for a, b, c in zip(order, order[1:], common[1:]):
+        assert c == next((k for k in range(len(rows[a])) if rows[a][k] != rows[b][k]), len(rows[a]))
 
 
 def test_windows(spark, docs, texts):
     seen, want = set(), {}
+    every = Counter(tuple(words(t)[p : p + 20]) for t in texts for p in range(len(words(t)) - 19))
     for i, t in enumerate(texts):
         w = words(t)
         gone = np.zeros(len(w), bool)
@@ -142,9 +158,11 @@ def test_windows(spark, docs, texts):
                 gone[p : p + 20] = True
             seen.add(x)
         kept = " ".join(a for a, g in zip(w, gone) if not g)
-        want[i] = (len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest())
-    found = got(substring.remove_repeats(docs))
-    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in found.items()} == want
+        met = sum(b - a >= 51 for a, b in repeated_runs(tuple(w), 20, every)[1])
+        want[i] = (len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(), met)
+    for block in (4096, 2):
+        found = got(substring.remove_repeats(docs, block=block))
+        assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"], r["n_passages"]) for i, r in found.items()} == want
     assert substring.remove_repeats(docs.limit(0)).collect() == []
 
 
