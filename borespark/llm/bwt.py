@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, byte_table, join_checked, materialize, rolling, text_parts, texts_once
+from .common import Powers, byte_table, join_checked, materialize, ranges_of_texts, rolling, text_parts, texts_once
 from .sketch import maybe_repeated, repeated_planes, width_bits
 
 SYMBOL = 40
@@ -242,7 +242,7 @@ def shard_transforms(contexts: DataFrame, symbols: tuple[int, int]) -> DataFrame
 
 
 def repeats(shards: DataFrame, symbols: tuple[int, int], widths: tuple[int, ...]) -> DataFrame:
-    """(h1, h2, width, start, stop): byte ranges covered by repeated strings of each of widths, from rows of SHARD."""
+    """(h1, h2, kind, start, stop): byte ranges covered by repeated strings of widths[kind] bytes, from rows of SHARD."""
     types = {"bwt": np.int32, "order": np.int32, "many": bool}
 
     def merge(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +255,11 @@ def repeats(shards: DataFrame, symbols: tuple[int, int], widths: tuple[int, ...]
         members = np.concatenate([m.reshape(-1, 4) + np.array([b, 0, 0, 0]) for m, b in zip(part("members"), base, strict=False)])
         members = members[np.argsort(members[:, 0], kind="stable")]
         first, last = np.searchsorted(members[:, 0], np.arange(len(before))), np.searchsorted(members[:, 0], np.arange(len(before)), "right")
-        for width in widths:
+        for kind, width in enumerate(widths):
             row, start, stop = covered(*repeated_strings(*sides, before, count, after, many, width), width)
             times = (last - first)[row]
             m = members[np.repeat(first[row], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
-            yield pa.RecordBatch.from_arrays([pa.array(m[:, 1]), pa.array(m[:, 2]), pa.array(np.full(len(m), width)), pa.array(m[:, 3] + np.repeat(start, times)), pa.array(m[:, 3] + np.repeat(stop, times))], ["h1", "h2", "width", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(m[:, 1]), pa.array(m[:, 2]), pa.array(np.full(len(m), kind)), pa.array(m[:, 3] + np.repeat(start, times)), pa.array(m[:, 3] + np.repeat(stop, times))], ["h1", "h2", "kind", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -273,7 +273,7 @@ def repeats(shards: DataFrame, symbols: tuple[int, int], widths: tuple[int, ...]
         if held:
             yield from merge(held)
 
-    return shards.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "h1 long, h2 long, width long, start long, stop long")
+    return shards.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "h1 long, h2 long, kind long, start long, stop long")
 
 
 def whole_words(data: bytes, start: int, stop: int) -> int:
@@ -284,17 +284,6 @@ def whole_words(data: bytes, start: int, stop: int) -> int:
     return max(0, len(found) - cut)
 
 
-def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted ranges with those that touch or overlap joined."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
 def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 400, passage: int = 256, words: int = 51, gram: int = 64, block: int = 4096, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages (and kept bytes, if wanted) for each row of docs. n_passages: maximal runs covered by
     strings of `passage` bytes that also start elsewhere, with at least `words` whole words in them."""
@@ -345,25 +334,24 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 400, pas
                         ["key", "h1", "h2", "at", "before", "count", "ctx"],
                     )
 
-    found = materialize(work.select("text").mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).groupBy(F.when(F.col("n") > block, F.col("key")).alias("key")).agg(F.sum("n").alias("n")))
-    buckets = max(1, (found.where("key is null").agg(F.sum("n")).first()[0] or 0) // 3000)
+    hot = materialize(work.select("text").mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).groupBy(F.when(F.col("n") > block, F.col("key")).alias("key")).agg(F.sum("n").alias("n")))
+    buckets = max(1, (hot.where("key is null").agg(F.sum("n")).first()[0] or 0) // 3000)
     every = work.select("h1", "h2", "text").mapInArrow(contexts, "key long, h1 long, h2 long, at long, before int, count int, ctx binary")
-    sent = join_checked(every, found.where("key is not null"), ["key"], "left")
+    sent = join_checked(every, hot.where("key is not null"), ["key"], "left")
     shares = F.coalesce(F.ceil(F.col("n") / block), F.lit(2))
     dealt = sent.withColumn("bucket", F.when(F.col("n").isNull(), F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63))))).withColumn("shard", F.pmod(F.xxhash64("h1", "h2", "at"), shares))
-    cuts = repeats(shard_transforms(dealt, symbols), symbols, (width, passage))
-    ranges = lambda w: F.collect_set(F.when(F.col("width") == w, F.struct("start", "stop")))
-    cuts = materialize(cuts.groupBy("h1", "h2").agg(ranges(width).alias("cuts"), ranges(passage).alias("found")))
-    joined = join_checked(join_checked(base, copies, ["h1", "h2"], "left"), cuts, ["h1", "h2"], "left", limit=200_000)
-    joined = joined.select("doc_id", "text", (F.col("rows") > 1).alias("copied"), "cuts", "found")
+    found = repeats(shard_transforms(dealt, symbols), symbols, (width, passage))
+    cuts = materialize(ranges_of_texts(found.select("h1", "h2", "kind", "start", "stop")).withColumnsRenamed({"first": "gone", "second": "met"}))
+    joined = join_checked(join_checked(base, copies, ["h1", "h2"], "left"), cuts, ["h1", "h2"], "left")
+    joined = joined.select("doc_id", "text", (F.col("rows") > 1).alias("copied"), "gone", "met")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, spans, digest, passages, kept = [], [], [], [], [], []
-            for t, copied, wide, narrow in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for t, copied, *ranges in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 size.append(len(data))
-                gone, met = (joined_ranges([(x["start"], x["stop"]) for x in ranges or []]) for ranges in (wide, narrow))
+                gone, met = (list(zip(r[::2], r[1::2], strict=True)) if r else [] for r in ranges)
                 if copied:
                     gone, met = ([(0, len(data))] if len(data) >= least else [] for least in (width, passage))
                 out = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(data)], strict=True))

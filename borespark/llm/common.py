@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str, limit: int = 400_000) -> DataFrame:
-    """Null-safe equi-join; small (an already written table) is broadcast only if its counted rows are within limit."""
+def bytes_of(df: DataFrame) -> tuple[int, int]:
+    """Rows of df, and about the bytes they take in memory."""
+    cells = []
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        cells.append(F.greatest(F.size(c), F.lit(0)) * 16 if kind in ("array", "map") else F.octet_length(c) if kind in ("string", "binary") else F.lit(0))
+    each = sum((F.coalesce(c.cast("long"), F.lit(0)) for c in cells), F.lit(16 + 8 * len(cells)))
+    rows, size = df.agg(F.count("*"), F.sum(each)).first()
+    return rows, size or 0
+
+
+def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str, limit: int = 400_000, room: int = 48_000_000) -> DataFrame:
+    """Null-safe equi-join; small (an already written table) is broadcast only if its counted rows are within limit and its bytes within room."""
     right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
-    if small.count() <= limit:
+    rows, size = bytes_of(small)
+    if rows <= limit and size <= room:
         right = F.broadcast(right)
     cond = None
     for k in keys:
@@ -43,6 +56,32 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str, li
     return big.join(right, cond, how).drop(*[f"__{k}" for k in keys])
 
 
+def joined_ranges(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch or overlap joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def ranges_of_texts(found: DataFrame) -> DataFrame:
+    """found (h1, h2, kind, start, stop) -> (h1, h2, first, second): for each text the joined ranges of kind 0 and those of kind 1, as start, stop, start, stop, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = [], []
+            for kind, start, stop in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                for k in (0, 1):
+                    out[k].append([x for r in joined_ranges((a, b) for w, a, b in zip(kind, start, stop, strict=True) if w == k) for x in r])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(o, pa.list_(pa.int64())) for o in out]], ["h1", "h2", "first", "second"])
+
+    rows = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("x"))
+    return rows.select("h1", "h2", "x.kind", "x.start", "x.stop").mapInArrow(run, "h1 long, h2 long, first array<long>, second array<long>")
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, byte_table, join_checked, materialize, rolling, text_parts, texts_once, word_hashes, words
+from .common import Powers, byte_table, join_checked, materialize, ranges_of_texts, rolling, text_parts, texts_once, word_hashes, words
 from .sketch import maybe_repeated, repeated_planes, width_bits
 
 _TABLES = byte_table(11, False), byte_table(12, False)
@@ -76,13 +76,14 @@ class Windows:
 def flags(rows: DataFrame, *, inner: bool) -> DataFrame:
     """rows (key, share, known, doc_id, h1, h2, at, h, again): runs of windows in order within each (key, share); again: the run is
     known to occur elsewhere. (key, known, doc_id, h1, h2, at, h, n, state) of parts of runs. state 2: repeats an earlier window of its group; 1: the first of
-    several; 0: alone in its group (inner only). A first one is listed again with state 1 when its repetition is met."""
+    several; 0: alone in its group (inner only). First ones are listed with state 1 when their repetition is met, neighbours together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list] = {}
         now, before = None, None
         for batch in batches:
             out: list[tuple] = []
+            firsts: list[list] = []
             key, share, *names, at, h = (c.to_pylist() for c in batch.columns)
             who = list(zip(*names, strict=True))
             for i in range(len(key)):
@@ -100,12 +101,16 @@ def flags(rows: DataFrame, *, inner: bool) -> DataFrame:
                     if dup is False:
                         seen[w] = [who[i], at[i] + j]
                     elif dup and old:
-                        out.append((key[i], *old[0], old[1], None, 1, 1))
+                        if firsts and firsts[-1][1] == old[0] and firsts[-1][2] + firsts[-1][3] == old[1]:
+                            firsts[-1][3] += 1
+                        else:
+                            firsts.append([key[i], *old, 1])
                         old.clear()
                     if dup != state:
                         if state is not None and (state or inner):
                             out.append((key[i], *who[i], at[i] + start, None if state else s[16 * start : 16 * j], j - start, 2 if state else 0))
                         start, state = j, dup
+            out += [(k, *w, a, None, n, 1) for k, w, a, n in firsts]
             if out:
                 c = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
@@ -171,31 +176,25 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 20, gram
     dealt = join_checked(sent.withColumn("known", F.col("doc_id").isNotNull()), hot, ["key"], "left").withColumn("share", F.pmod(F.xxhash64("h1", "h2"), shares)).drop("count")
     inner = materialize(flags(dealt, inner=True))
     outer = flags(inner.where("state = 0").withColumn("share", F.lit(0).cast("long")), inner=False)
-    found = inner.where("state > 0").unionByName(outer).select("h1", "h2", "at", "n", "state")
-    cuts = materialize(found.groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "n", "state")).alias("cuts")))
-    joined = join_checked(join_checked(base, copies, ["h1", "h2"], "left"), cuts, ["h1", "h2"], "left", limit=200_000)
-    joined = joined.select("doc_id", "text", (F.col("rows") > 1).alias("copied"), (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later"), "cuts.at", "cuts.n", "cuts.state")
+    found = inner.where("state > 0").unionByName(outer).select("h1", "h2", "at", (F.col("at") + F.col("n") + width - 1).alias("stop"), "state")
+    kinds = F.explode(F.when(F.col("state") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
+    cuts = materialize(ranges_of_texts(found.select("h1", "h2", kinds.alias("kind"), F.col("at").alias("start"), "stop")).withColumnsRenamed({"first": "gone", "second": "met"}))
+    joined = join_checked(join_checked(base, copies, ["h1", "h2"], "left"), cuts, ["h1", "h2"], "left")
+    joined = joined.select("doc_id", "text", (F.col("rows") > 1).alias("copied"), (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later"), "gone", "met")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, digest, passages, kept_text = [], [], [], [], []
-            for t, copied, later, at, n, state in zip(*(batch.column(i) for i in range(1, 7)), strict=True):
+            for t, copied, later, *ranges in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 every = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
                 total.append(len(every))
-                gone, met = np.zeros(len(every) + 1, np.int32), np.zeros(len(every) + 1, np.int32)
-                if at.is_valid:
-                    a, stop, s = np.asarray(at.values), np.asarray(at.values) + np.asarray(n.values) + width - 1, np.asarray(state.values)
-                    for into, use in ((gone, s == 2), (met, s > 0)):
-                        np.add.at(into, a[use], 1)
-                        np.add.at(into, stop[use], -1)
-                gone, met = np.cumsum(gone)[:-1] > 0, np.cumsum(met)[:-1] > 0
-                if copied.as_py() and len(every) >= width:
-                    met[:] = True
-                    gone[:] |= later.as_py()
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], met, [0]])))
-                passages.append(int((edges[1::2] - edges[::2] >= passage).sum()))
-                if gone.any():
-                    every = [w for w, g in zip(every, gone, strict=True) if not g]
+                gone, met = (list(zip(r[::2], r[1::2], strict=True)) if r else [] for r in ranges)
+                if copied and len(every) >= width:
+                    met = [(0, len(every))]
+                    gone = met if later else gone
+                passages.append(sum(b - a >= passage for a, b in met))
+                if gone:
+                    every = [w for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(every)], strict=True) for w in every[a:b]]
                 removed.append(total[-1] - len(every))
                 out = b" ".join(every)
                 digest.append(hashlib.sha256(out).hexdigest())
