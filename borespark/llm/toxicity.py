@@ -5,7 +5,7 @@ learns what linear weights miss, such as an insult beside the mention of a group
 
 Terms are lower-cased runs of letters or digits, hashed (CRC-32) into 2**bits buckets. Every bucket in five
 labelled training rows or more has a place, counted by Spark over all of them; the machine is then fitted on at most `fit_rows`
-rows, taken by hash.
+rows, taken by hash. A bound on the hash, from the counted rows, leaves little more than these before any are sent to the driver.
 
 Null or empty text: no terms, the score is sigmoid(w0). Null or other labels than 0 and 1: not used. Repeated rows count each.
 No usable training rows: every score is 0. A document labelled twice is trained on twice. Other columns are ignored.
@@ -65,8 +65,8 @@ def bucket_counts(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(count, "bucket long, n long, n_toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
-def pick_buckets(counts: DataFrame, features: int | None = None, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, start, pace) of all buckets in at least `least` rows; features: the largest so many by chi-square only.
+def pick_buckets(counts: DataFrame, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(buckets, start, pace, rows counted), for all buckets in at least `least` rows.
 
     start: a bucket's log odds over all rows, if its chi-square says that they aren't chance, else 0. pace: how fast the fit may
     move it; 1 for a sure bucket, a tenth for one without a signal of its own, which has to learn from pairs without following chance."""
@@ -78,14 +78,11 @@ def pick_buckets(counts: DataFrame, features: int | None = None, least: int = 5)
     bucket, n, a = bucket[use][order], n[use][order].astype(float), a[use][order].astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.nan_to_num((a * big - n * t) ** 2 * big / (n * t * (big - t) * (big - n)))
-    if features is not None:
-        best = np.sort(np.lexsort((bucket, -chi))[:features])
-        bucket, n, a, chi = bucket[best], n[best], a[best], chi[best]
     if not len(bucket):
-        return bucket, np.zeros(0), np.ones(0)
+        return bucket, np.zeros(0), np.ones(0), big
     share, sure = t / big, np.where(chi > 10.8, (chi / (chi + 10.8)) ** 2, 0)
     odds = np.log((a + 4 * share) / (n - a + 4 * (1 - share)) * (1 - share) / share)
-    return bucket, odds * sure, np.maximum(sure, 0.1)
+    return bucket, odds * sure, np.maximum(sure, 0.1), big
 
 
 def fit(rows: list[tuple[np.ndarray, int]], size: int, factors: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7, pair_rate: float | None = None, start: np.ndarray | None = None, pace: np.ndarray | None = None) -> dict:
@@ -142,11 +139,14 @@ def margins(p: dict, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return p["w0"][0] + np.bincount(row, p["w"][flat], n) + 0.5 * pairs / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
 
 
-def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, features: int | None = None, fit_rows: int = 20_000, seed: int = 7) -> dict | None:
+def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, fit_rows: int = 20_000, seed: int = 7) -> dict | None:
     """Fit on labelled rows. Bucket statistics cover all of them and give the weights to start from; the fit moves those on `fit_rows`
     rows with the least hash, in 500 steps at least."""
     use = rows.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("long").alias("y"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
-    kept, start, pace = pick_buckets(bucket_counts(use.select("text", "y"), bits), features)
+    kept, start, pace, counted = pick_buckets(bucket_counts(use.select("text", "y"), bits))
+    share = min(1.0, (fit_rows + 8 * fit_rows**0.5) / max(counted, 1))  # by eight standard deviations enough rows pass
+    if share < 1:
+        use = use.where(F.col("h") < int(-(2**63) + share * 2**64))
     place = np.full(1 << bits, -1, np.int32)
     place[kept] = np.arange(len(kept))
     shared = rows.sparkSession.sparkContext.broadcast(place)
