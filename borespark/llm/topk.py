@@ -1,9 +1,10 @@
 """Exact top-k by inner product in three phases with a uniform threshold.
 
 Components become floor(scale * x). A score is the sum of m partial scores, one from each list; list i covers the i-th part of
-the components. Vectors are in blocks; a task takes one block of queries, one block of vectors and one list.
+the components. Queries go to all tasks in rounds of `room` bytes at most; in a round each task scores its own vectors, which are
+dealt out once and not copied.
 
-1. Each list gives every query its k best entries and its least partial score. The few objects named are scored in full; the
+1. Each list gives every query the k best entries of every task and its least partial score. The few objects named are scored in full; the
    k-th best of them is t1 (here and in t2 ranks go further by the number of different vectors that the query's id has).
 2. List i gets the cutoff low_i + (t1 - sum of lows) / m: an object below the cutoff in every list sums to less than t1, so it
    can't be in the answer. Lists give all entries at or above their cutoffs; the k-th best sum is now t2.
@@ -19,9 +20,10 @@ Scores are exact as long as they fit in 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,29 +37,46 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ x.astype(float).T).astype(np.int64) if float(most) < 2**53 else q @ x.T
 
 
-def cells(vectors: DataFrame, queries: DataFrame, lists: int, q_block: int, x_block: int, work, schema: str):
-    """Cogroup blocks of queries with blocks of vectors, for each list. A block has about so many rows."""
-    nq, nx = max(1, -(-queries.count() // q_block)), max(1, -(-vectors.count() // x_block))
-    part = F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("part")
-    both = lambda df, key, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64(F.lit(3), key), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<long>"))).select("*", part)
-    left = both(queries, "query_id", "qb", nq, "xb", nx).withColumn("vector", piece("vector", lists))
-    right = both(vectors, "object", "xb", nx, "qb", nq).withColumn("vector", piece("vector", lists))
-    keys = ("size", "part", "qb", "xb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
+def scan(vectors: DataFrame, queries: DataFrame, work, schema: str, *, room: int, x_block: int) -> DataFrame:
+    """work(blocks of queries by size, batches of vectors) in every task, for all rounds. queries: q, size, vector and maybe cuts."""
+    total = queries.agg(F.sum(F.col("size").cast("long") * 8)).first()[0] or 0
+    rounds, parts = max(1, -(-total // room)), max(1, -(-vectors.count() // x_block))
+    out = []
+    for r in range(rounds):
+        rows = queries.where(F.pmod(F.xxhash64(F.lit(4), "q"), F.lit(rounds)) == r).toArrow()
+        blocks = {}
+        for d in set(rows.column("size").to_pylist()):
+            some = rows.filter(pa.array(np.asarray(rows.column("size")) == d))
+            blocks[d] = tuple(matrix(some.column(c), n) if n else np.asarray(some.column(c)) for c, n in (("q", 0), ("vector", d), *[("cuts", -1)] * ("cuts" in some.column_names)))
+        sent = vectors.sparkSession.sparkContext.broadcast(blocks)
+        out.append(materialize(vectors.repartition(parts, "object").mapInArrow(lambda batches, sent=sent: work(sent.value, batches), schema)))
+        sent.unpersist()
+    return reduce(DataFrame.union, out)
 
 
-def piece(vector: str, lists: int) -> F.Column:
-    """The part-th of so many even parts of a vector."""
-    size = F.size(vector)
-    begin = F.floor(F.col("part") * size / lists)
-    return F.slice(vector, (begin + 1).cast("int"), (F.floor((F.col("part") + 1) * size / lists) - begin).cast("int"))
+def matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    """Rows of whole numbers; d -1: as wide as the first."""
+    flat = np.asarray(column.combine_chunks().flatten()) if len(column) else np.empty(0, np.int64)
+    return flat.astype(np.int64).reshape(len(column), d if len(column) else max(d, 0))
 
 
-def two(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    return products(*(np.stack(f["vector"].to_numpy()).astype(np.int64).reshape(len(f), -1) for f in (left, right)))
+def parts_of(d: int, lists: int) -> list[slice]:
+    """So many even parts of d components."""
+    return [slice(i * d // lists, (i + 1) * d // lists) for i in range(lists)]
 
 
-def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, lists: int = 2, q_block: int = 512, x_block: int = 8192) -> DataFrame:
+def by_size(batches: Iterator[pa.RecordBatch], sizes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, objects, vectors) of batches (object, vector, size) with a size that queries have, a thousand rows at a time."""
+    for batch in batches:
+        size = np.asarray(batch.column(2))
+        for d in set(size.tolist()) & set(sizes):
+            part = batch.filter(pa.array(size == d))
+            for s in range(0, len(part), 1000):
+                x = part.slice(s, 1000)
+                yield d, np.asarray(x.column(0)), np.asarray(x.column(1).flatten()).astype(np.int64).reshape(len(x), d)
+
+
+def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, lists: int = 2, room: int = 32_000_000, x_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k best others."""
     whole = table.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector"))
     whole = whole.where(F.size("vector") > 0).withColumn("object", F.xxhash64("vector")).withColumn("object2", F.xxhash64(F.lit(2), "vector"))
@@ -65,18 +84,29 @@ def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, li
     objects = few.groupBy("object", "object2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector"))
     objects = materialize(objects.withColumn("size", F.size("vector")))
     queries = materialize(whole.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "vector").alias("q"), "vector", F.size("vector").alias("size")).distinct().withColumn("own", F.count("*").over(Window.partitionBy("query_id"))))
-    vectors = objects.select("object", "vector", "size", F.size("ids").alias("n"))
+    vectors = objects.select("object", "vector", "size")
     slim = queries.select("query_id", "q", "vector", "size")
 
-    def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("q", "part", "object", "score", "low")})
-        s, many = two(left, right), min(k + 1, len(right))
-        best = np.argpartition(-s, many - 1, axis=1)[:, :many]
-        rows = np.repeat(np.arange(len(left)), many)
-        return pd.DataFrame({"q": left["q"].to_numpy()[rows], "part": left["part"].iloc[0], "object": right["object"].to_numpy()[best.ravel()], "score": s[rows, best.ravel()], "low": s.min(1)[rows]})
-
-    heads = materialize(cells(vectors, slim, lists, q_block, x_block, first, "q long, part int, object long, score long, low long"))
+    def first(blocks: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of all vectors of a task, for each query and list, the best entries and the least score."""
+        best = {}
+        for d, objects, x in by_size(batches, blocks):
+            q = blocks[d][1]
+            for i, cut in enumerate(parts_of(d, lists)):
+                score = products(q[:, cut], x[:, cut])
+                old = best.get((d, i))
+                low, which = score.min(1), np.broadcast_to(objects, score.shape)
+                if old:
+                    low, score, which = np.minimum(low, old[2]), np.hstack([old[0], score]), np.hstack([old[1], which])
+                if score.shape[1] > k + 1:
+                    top = np.argpartition(-score, k, axis=1)[:, : k + 1]
+                    score, which = np.take_along_axis(score, top, 1), np.take_along_axis(which, top, 1)
+                best[d, i] = score, which, low
+        for (d, i), (score, which, low) in best.items():
+            n = score.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(blocks[d][0], n)), pa.array(np.full(score.size, i, np.int32)), pa.array(which.ravel()), pa.array(score.ravel()), pa.array(np.repeat(low, n))], ["q", "part", "object", "score", "low"])
+
+    heads = scan(vectors, slim, first, "q long, part int, object long, score long, low long", room=room, x_block=x_block)
     lows = heads.groupBy("q", "part").agg(F.min("low").alias("low"))
     lows = materialize(lows.join(lows.groupBy("q").agg(F.sum("low").alias("lows")), "q"))
 
@@ -95,16 +125,18 @@ def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, li
     named = best.select("q", "object").distinct().join(queries.select("q", "own", F.col("vector").alias("qv")), "q").join(objects.select("object", "vector"), "object").select("q", "own", "object", score.alias("total"))
     t1 = last(named, "t1")
     cutoffs = materialize(lows.join(t1, "q").select("q", "part", "low", "lows", cut.cast("long").alias("cut")))
-    told = slim.join(cutoffs.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("part", "cut"))).alias("cuts")), "q")
-
-    def second(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("q", "part", "object", "score")})
-        s, which = two(left, right), int(left["part"].iloc[0])
-        i, j = np.nonzero(s >= np.array([dict(c)[which] for c in left["cuts"]])[:, None])
-        return pd.DataFrame({"q": left["q"].to_numpy()[i], "part": which, "object": right["object"].to_numpy()[j], "score": s[i, j]})
-
-    sent = materialize(cells(vectors, told, lists, q_block, x_block, second, "q long, part int, object long, score long"))
+    told = slim.join(cutoffs.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "cut"))), lambda x: x["cut"]).alias("cuts")), "q")
+
+    def second(blocks: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All entries at or above the cutoffs."""
+        for d, objects, x in by_size(batches, blocks):
+            q, vector, cuts = blocks[d]
+            for i, cut in enumerate(parts_of(d, lists)):
+                score = products(vector[:, cut], x[:, cut])
+                a, b = np.nonzero(score >= cuts[:, i : i + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(q[a]), pa.array(np.full(len(a), i, np.int32)), pa.array(objects[b]), pa.array(score[a, b])], ["q", "part", "object", "score"])
+
+    sent = scan(vectors, told, second, "q long, part int, object long, score long", room=room, x_block=x_block)
     bounds = cutoffs.groupBy("q").agg(F.sum("cut").alias("cut_sum"))
     upper = sent.join(cutoffs.select("q", "part", "cut"), ["q", "part"]).groupBy("q", "object").agg(F.sum("score").alias("part_sum"), F.sum("cut").alias("named"), F.count("*").alias("n"))
     open_ = upper.join(bounds, "q").join(kth(sent, "t2"), "q", "left").where(F.col("t2").isNull() | (F.col("n") == lists) & (F.col("part_sum") >= F.col("t2")) | (F.col("n") < lists) & (F.col("part_sum") + F.col("cut_sum") - F.col("named") >= F.col("t2")))
