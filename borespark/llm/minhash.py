@@ -7,7 +7,7 @@ counting bits. A candidate is dropped only when so few agreements would be seen
 or when the set sizes exclude it; the others are confirmed on full sets.
 
 Documents with equal sets are one representative from the start, so copies never form pairs. A bucket gives a spanning forest of the
-members that may be similar; its ties are confirmed, and links found so far make components. Clusters (what ties of all buckets
+members that may be similar (one of more than `block` members is dealt out as pairs of blocks); its ties are confirmed, and links found so far make components. Clusters (what ties of all buckets
 connect) that hold more than one component are then tested inside, block against block; only links that join components
 come out. Pairs inside a component can't change the result and aren't made.
 
@@ -191,6 +191,16 @@ def ties_of(members: DataFrame, threshold: float, most: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def dealt_out(members: DataFrame, block: int) -> DataFrame:
+    """members (key, id, n, sig) with the keys of buckets over block members split: a key for each pair of the bucket's blocks."""
+    hot = materialize(members.groupBy("key").count().where(F.col("count") > block))
+    parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    own = join_checked(members, hot, ["key"], "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.when(F.col("count").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return cells.select(key.alias("key"), "id", "n", "sig")
+
+
 def confirmed(links: DataFrame, docs: DataFrame, *, text: str, width: int, share: int) -> DataFrame:
     """The pairs whose full sets satisfy 100 * intersection >= share * union."""
     ids = materialize(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -270,7 +280,7 @@ def across(members: DataFrame, *, width: int, share: int, most: int, block: int
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", width: int = 2, share: int = 80, rows: int = 4, bands: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", width: int = 2, share: int = 80, rows: int = 4, bands: int = 32, block: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs. share: per cent of the union that the intersection must reach."""
     threshold = share / 100
     most = most_misses(rows * bands, threshold)
@@ -278,14 +288,14 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", width: int = 2, shar
     sets = table.where("n > 0").groupBy("n", "set1", "set2").agg(F.min("id").alias("rep"), F.min(F.struct("sig", "keys")).alias("s"))
     sets = materialize(sets.where("rep is not null").select("n", "set1", "set2", "rep", "s.sig", "s.keys"))
     exploded = sets.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "n", "sig")
-    ties = materialize(ties_of(exploded, threshold, most))
+    ties = materialize(ties_of(dealt_out(exploded, block) if sets.count() > block else exploded, threshold, most))
     links = materialize(confirmed(ties, docs, text=text, width=width, share=share))
     comp = materialize(components(links))
     cluster = materialize(components(ties))
     inside = cluster.select(F.col("root").alias("cluster"), F.col("node").alias("rep")).union(cluster.select("root", F.col("root")).distinct())
-    inside = inside.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("comp"))
+    inside = materialize(inside.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("comp")))
     split = inside.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("cluster", "size")
-    members = materialize(inside.join(split, "cluster").join(sets.select("rep", "n", "sig"), "rep").withColumnRenamed("rep", "id"))
+    members = materialize(join_checked(inside, materialize(split), ["cluster"], "inner").join(sets.select("rep", "n", "sig"), "rep").withColumnRenamed("rep", "id"))
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
     links = materialize(links.union(across(join_checked(base, members, ["id"], "inner"), width=width, share=share, most=most)))
     comp = components(links).withColumnRenamed("node", "rep")
