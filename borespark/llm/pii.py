@@ -1,10 +1,11 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
 1. Candidate spans: matches of the base patterns, and of looser ones that the base rules don't cover.
-2. Labelers vote on each candidate (1 yes, 0 no, null no opinion): the pattern's own check, a gazetteer (top-level domains,
-   issuer digits, country codes, given names), the words before it, and its edges.
+2. Labelers vote on each candidate (1 yes, 0 no, null no opinion): the pattern's own check (for account numbers their check digits), a
+   gazetteer (top-level domains, issuer digits, country codes, given names; the word lists are parameters), the words before it, and its edges.
 3. Expectation-maximisation estimates each labeler's reliability for each kind, from the counts of vote patterns.
-4. A logistic span classifier is trained on the posteriors; candidates it accepts are added. Base spans stay in any case.
+4. A logistic span classifier is trained on the posteriors; candidates of the looser kinds that it accepts are added. Base spans stay in any
+   case; what fails its kind's own check is evidence for training and never added.
 
 Vote patterns and feature patterns are bounded in number (3**4 votes, 2**11 features, for each kind), so steps 3 and 4 work
 on a table whose size doesn't depend on the corpus. Texts are read once and never shuffled.
@@ -38,8 +39,17 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "phone": "+", "spelt_mail": "at", "ip": "."}
-DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|it|uk|us|eu|ch|at|nl|example"
-NAMES = "Anna|Maria|John|James|Mary|Peter|Paul|Thomas|Michael|Hans|Klaus|Pierre|Jean|Marie|Juan|Carlos|Luis|Carmen|David|Laura"
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "ai", "app", "dev", "cloud", "online", "shop", "site", "tech", "xyz", "eu", "example",
+    "ar", "at", "au", "be", "bg", "br", "ca", "ch", "cl", "cn", "co", "cz", "de", "dk", "ee", "es", "fi", "fr", "gr", "hr", "hu", "ie", "il", "in", "is", "it", "jp", "kr", "lt", "lu", "lv", "mx", "nl", "no", "nz", "pe", "pl", "pt", "ro", "rs", "ru", "se", "sg", "si", "sk", "tr", "ua", "uk", "us", "za",
+)
+NAMES = (
+    "Anna", "Maria", "John", "James", "Mary", "Robert", "Patricia", "Jennifer", "Linda", "Elizabeth", "William", "Richard", "Joseph", "Susan", "Jessica", "Sarah", "Karen", "Daniel", "Matthew", "Anthony", "Mark", "Emily", "Emma", "Olivia", "Sophia", "George", "Peter", "Paul", "Thomas", "Michael", "David", "Laura",
+    "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Andreas", "Ursula", "Monika", "Petra", "Sabine", "Heike", "Lukas", "Felix", "Lena", "Pierre", "Jean", "Marie", "Michel", "Philippe", "Alain", "Nathalie", "Isabelle", "Sylvie", "Camille", "Louis", "Chloé",
+    "Juan", "Carlos", "Luis", "Carmen", "José", "Antonio", "Manuel", "Francisco", "Javier", "Miguel", "Ana", "Isabel", "Lucía", "Pilar", "Rosa", "Elena",
+)
+#: Country codes of account numbers.
+COUNTRIES = ("AT", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE", "IS", "IT", "LI", "LT", "LU", "LV", "MC", "MT", "NL", "NO", "PL", "PT", "RO", "SE", "SI", "SK", "SM")
 CONTEXT = {
     "email": "mail|contact|write|kontakt|correo|courriel",
     "ip": "ip|host|server|address|client|adresse",
@@ -84,14 +94,21 @@ def checked(kind: str, found: Column) -> Column:
     if kind == "phone":
         return (n >= 8) & (n <= 15)
     if kind == "iban":
-        return F.length(F.regexp_replace(found, r"\x20", "")).between(15, 34)
+        plain = F.regexp_replace(found, r"\x20", "")
+        return F.length(plain).between(15, 34) & (remainder_97(F.concat(F.substring(plain, 5, 34), F.substring(plain, 1, 4))) == 1)
     return F.lit(True)
 
 
-def known(kind: str, found: Column) -> Column:
+def remainder_97(text: Column) -> Column:
+    """The remainder by 97 of digits and capital letters, these read as 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, "(?<=.)(?=.)"), F.lit(0), lambda r, c: ((r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97).cast("int"))
+
+
+def known(kind: str, found: Column, domains: tuple[str, ...], names: tuple[str, ...]) -> Column:
     """The gazetteer's vote."""
     if kind in ("email", "spelt_mail"):
-        return F.lower(found).rlike(rf"(?:{DOMAINS})$")
+        return F.regexp_extract(F.lower(found), "([a-z]+)$", 1).isin(*domains)
     if kind == "ip":
         return found.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.")
     if kind == "card":
@@ -101,15 +118,15 @@ def known(kind: str, found: Column) -> Column:
     if kind == "local_phone":
         return digits(found).rlike(r"^[2-9][0-9]{2}[2-9]")
     if kind == "iban":
-        return found.rlike(r"^(?:DE|FR|ES|IT|GB|NL|AT|CH|BE|PT|PL)")
-    return found.rlike(rf"\b(?:{NAMES})\b")
+        return F.substring(found, 1, 2).isin(*COUNTRIES)
+    return F.arrays_overlap(F.split(found, r"[\x20.]+"), F.array(*map(F.lit, names)))
 
 
 def vote(yes: Column, otherwise: int | None = 0) -> Column:
     return F.when(yes, F.lit(1)).otherwise(F.lit(otherwise).cast("int"))
 
 
-def candidates(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def candidates(docs: DataFrame, id_col: str, text: str, domains: tuple[str, ...] = DOMAINS, names: tuple[str, ...] = NAMES) -> DataFrame:
     """(id, found): for each row its candidates as structs kind_no, start, stop, base, votes, features."""
     t = F.coalesce(F.col(text), F.lit(""))
 
@@ -119,14 +136,14 @@ def candidates(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         def one(x: Column) -> Column:
             m, begin = x["found"], F.greatest(x["start"] - 40, F.lit(0))
             before, after = F.substring(t, begin + 1, x["start"] - begin), F.substring(t, x["stop"] + 1, F.lit(1))
-            good, listed = checked(kind, m), known(kind, m)
+            good, listed = checked(kind, m), known(kind, m, domains, names)
             near = F.lower(before).rlike(rf"(?:{CONTEXT[kind]})[^.\n]*$")
             apart = ~before.rlike(r"[\p{L}\p{N}_]$") & ~after.rlike(r"^[\p{L}\p{N}_]")
             votes = F.array(vote(good), vote(listed), vote(near, None), vote(apart))
             n = F.length(digits(m))
             flags = [good, listed, near, apart, n >= 8, n >= 16, m.rlike(r"[\x20.-]"), F.length(m) >= 16]
             features = F.array(F.lit(1.0), *[F.when(c, 1.0).otherwise(0.0) for c in flags], *[F.lit(float(k == i)) for i in range(len(KINDS))])
-            return F.struct(F.lit(k).alias("kind_no"), x["start"].alias("start"), x["stop"].alias("stop"), (good & F.lit(kind in BASE)).alias("base"), votes.alias("votes"), features.alias("features"))
+            return F.struct(F.lit(k).alias("kind_no"), x["start"].alias("start"), x["stop"].alias("stop"), (good & F.lit(kind in BASE)).alias("base"), good.alias("good"), votes.alias("votes"), features.alias("features"))
 
         return F.transform(matches(t, kind), one)
 
@@ -177,9 +194,9 @@ def classifier(patterns: Column, width: int, rounds: int = 60, rate: float = 2.0
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), zeros, step)
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: float = 0.5, domains: tuple[str, ...] = DOMAINS, names: tuple[str, ...] = NAMES) -> DataFrame:
     """id_col, found: array of structs kind_no, start, stop, base for every row of docs, base spans and the accepted others."""
-    table = materialize(candidates(docs, id_col, text))
+    table = materialize(candidates(docs, id_col, text, domains, names))
     counts = table.select(F.explode("found").alias("x")).groupBy("x.kind_no", "x.votes", "x.features").agg(F.count("*").cast("double").alias("n"))
     by_votes = counts.groupBy("kind_no", "votes").agg(F.sum("n").alias("n")).groupBy("kind_no").agg(F.collect_list(F.struct("votes", "n")).alias("patterns"))
     rates = by_votes.select("kind_no", reliabilities(F.col("patterns")).alias("state"))
@@ -188,7 +205,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", least:
     merged = soft.groupBy("features").agg(F.sum("n").alias("n"), F.sum("r").alias("r")).agg(F.collect_list(F.struct("features", "n", "r")).alias("patterns"))
     weights = materialize(merged.select(classifier(F.col("patterns"), width).alias("w")))
     scored = table.crossJoin(F.broadcast(weights))
-    chosen = F.filter("found", lambda x: x["base"] | (logistic(dot(F.col("w"), x["features"])) >= least))
+    chosen = F.filter("found", lambda x: x["base"] | ((x["kind_no"] >= len(BASE)) & x["good"] & (logistic(dot(F.col("w"), x["features"])) >= least)))
     base = F.filter("found", lambda x: x["base"])
     clear = F.filter(chosen, lambda x: x["base"] | ~F.exists(base, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"])))
     slim = F.transform(clear, lambda x: F.struct(x["kind_no"].alias("kind_no"), x["start"].alias("start"), x["stop"].alias("stop"), x["base"].alias("base")))
@@ -200,8 +217,8 @@ def written(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"].cast("string"), s["stop"].cast("string"))))
 
 
-def pii(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, digest of the base spans, all spans."""
+def pii(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, counts of base spans by kind, digest of the base spans, all spans, and their number."""
     base = F.filter("found", lambda s: s["base"])
     count = lambda k: F.size(F.filter("found", lambda s: s["base"] & (s["kind_no"] == KINDS.index(k)))).cast("long")
-    return find(docs).select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+    return find(docs, **options).select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))

@@ -115,12 +115,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc
 
 
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, counts of the base kinds, digest of the base spans, all spans."""
+    """doc_id, counts of the base kinds, digest of the base spans, all spans, and their number."""
     found, kinds = scan(docs, rules), [r.kind for r in rules]
     base = [i for i, r in enumerate(rules) if r.base]
     count = lambda i: F.size(F.filter("found", lambda s: s["kind_no"] == i)).cast("long")
     digest = F.sha2(written(F.filter("found", lambda s: s["kind_no"].isin(base)), kinds), 256)
-    return found.select("doc_id", *[count(i).alias(f"n_{rules[i].kind}") for i in base], digest.alias("base_sha256"), written(F.col("found"), kinds).alias("spans"))
+    return found.select("doc_id", *[count(i).alias(f"n_{rules[i].kind}") for i in base], digest.alias("base_sha256"), written(F.col("found"), kinds).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, mark: str = "[SECRET]") -> DataFrame:
