@@ -1,5 +1,7 @@
 """Mixing sources to target weights down a tree of domain, language and source.
 
+A source's domain comes from a mapping table (source, domain) or a column `domain`; else it is "other".
+
 A leaf can give `epochs` times its tokens. Budgets go down the tree: a node's budget is shared among its children by weight, a
 child never gets more than its subtree can give, and what it can't take goes to its siblings by weight, before the node itself
 falls short; only then do the node's siblings get it, since its own capacity was the bound one level up.
@@ -40,10 +42,13 @@ class Target:
     seed: int = 20
 
 
-def domain_of(source: str = "source") -> Column:
-    """The domain of a source: its number's last digit, even "web", odd "books"; sources without a number are "other"."""
-    digit = F.regexp_extract(F.coalesce(F.col(source), F.lit("")), "([0-9])$", 1)
-    return F.when(digit == "", "other").when(digit.cast("string").isin("0", "2", "4", "6", "8"), "web").otherwise("books")
+def with_domain(docs: DataFrame, domains: DataFrame | None) -> DataFrame:
+    """docs with __domain: from the mapping (source, domain), else from their own column domain; "other" where neither says."""
+    own = F.col("domain").cast("string") if "domain" in docs.columns else F.lit(None).cast("string")
+    if domains is None:
+        return docs.withColumn("__domain", F.coalesce(own, F.lit("other")))
+    known = materialize(domains.where("source is not null").groupBy("source").agg(F.min("domain").alias("__mapped")))
+    return join_checked(docs, known, ["source"], "left").withColumn("__domain", F.coalesce("__mapped", own, F.lit("other"))).drop("__mapped")
 
 
 def word_count(text: str = "text") -> Column:
@@ -84,12 +89,12 @@ def budgets(leaves: DataFrame, target: Target) -> DataFrame:
     return sources.select("domain", "lang", "source", "tokens", F.least(F.floor(F.col("budget") + 1e-6), F.col("tokens") * target.epochs).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
+def mix(docs: DataFrame, target: Target = Target(), domains: DataFrame | None = None) -> DataFrame:
     """doc_id, th, domain, lang, source, tokens, epochs_full, tokens_last: how often each row is taken whole, and the tokens
     of one more use (0: none). Only rows taken at all."""
     leaf = ["domain", "lang", "source"]
-    named = docs.select(
-        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), domain_of().alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), word_count().alias("tokens")
+    named = with_domain(docs, domains).select(
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("__domain").alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), word_count().alias("tokens")
     )
     table = materialize(named)
     plan = materialize(budgets(table.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), target))
@@ -112,9 +117,9 @@ def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
     return out.where("epochs_full > 0 or tokens_last > 0")
 
 
-def mixed_documents(docs: DataFrame, target: Target = Target()) -> DataFrame:
+def mixed_documents(docs: DataFrame, target: Target = Target(), domains: DataFrame | None = None) -> DataFrame:
     """The columns of docs: each chosen row once for each use; of a last, partial use the text is its prefix of that many tokens."""
-    chosen = materialize(mix(docs, target).groupBy("doc_id", "th").agg(F.max("epochs_full").alias("__full"), F.max("tokens_last").alias("__last"), F.max("tokens").alias("__tokens")))
+    chosen = materialize(mix(docs, target, domains).groupBy("doc_id", "th").agg(F.max("epochs_full").alias("__full"), F.max("tokens_last").alias("__last"), F.max("tokens").alias("__tokens")))
     marked = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))) if "th" not in docs.columns else docs.withColumn("__th", F.col("th")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = join_checked(marked, chosen, ["doc_id", "th"], "inner")
     cuts = F.concat(F.when(F.col("__full") > 0, F.array_repeat(F.col("__tokens"), F.col("__full"))).otherwise(F.array().cast("array<bigint>")), F.when(F.col("__last") > 0, F.array("__last")).otherwise(F.array().cast("array<bigint>")))

@@ -7,7 +7,10 @@ queue's deficit is always under one token, across windows and across partitions.
 partition in its queue are needed; every task lays out its own documents.
 
 Shares are given as weights of sources; by default a source's share is its part of all tokens, which all queues keep up to the end.
-When a queue ends, the others share its part by their weights. Queues that would get less than two tokens a window are joined.
+When a queue ends, the others share its part by their weights. Sources that would get less than `least` tokens a window, or stand behind
+`most_queues` larger ones, have one queue together, whose own order is a round-robin over them in the same closed form, with windows
+so large that each gets `least` tokens of them; what stands behind `most_queues` there has a queue of a further level. So every source keeps its
+share and its own deficit. The driver holds one row for each source.
 
 Tokens: ids of a public tokenizer without special tokens, then `end`. Documents are cut freely; every id is in exactly one piece.
 All sequences but the last are full. Null text is empty (the end id alone). Null sources are a queue of their own. Repeated rows are
@@ -228,28 +231,64 @@ def pieces(schedule: Schedule, queue: np.ndarray, start: np.ndarray, n: np.ndarr
     return tuple(x[keep] for x in (doc, window, first - start[doc], last - first, ahead + first - begin))
 
 
+class Levels:
+    """Schedules one below another: the last queue of each holds the sources of the next. Queues are numbered through all levels."""
+
+    def __init__(self, sources: list[tuple[int, int]], window: int, least: int, most: int):
+        """sources: (tokens, weight), by falling weight. Where each stands: self.queue = [(level, queue)]."""
+        sources = [(t, max(1, w)) for t, w in sources]
+        self.schedules, self.sizes, self.queue, i = [], [], [], 0
+        while i < len(sources):
+            rest = sources[i:]
+            total = sum(w for _, w in rest) or 1
+            size = window if not self.sizes else max(window, -(-least * total // max(1, rest[:most][-1][1])))
+            n = next((j for j, (_, w) in enumerate(rest[:most]) if w * size < least * total), min(most, len(rest)))
+            here, below = rest[:n], rest[n:]
+            queues = [*here, (sum(t for t, _ in below), max(1, sum(w for _, w in below)))] if below else here
+            self.schedules.append(Schedule([t for t, _ in queues], [w for _, w in queues]))
+            self.sizes.append(size)
+            self.queue += [(len(self.schedules) - 1, j) for j in range(n)]
+            i += n
+
+    def pieces(self, place: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, window, first token of the document, count, offset in the window) of documents at start in their sources' queues."""
+        level, queue = (np.array([self.queue[p][k] for p in place.tolist()], np.int64) for k in (0, 1))
+        doc, first = np.arange(len(n)), np.zeros(len(n), np.int64)
+        out = []
+        for depth in range(len(self.schedules) - 1, -1, -1):
+            at = np.flatnonzero(level == depth)
+            d, window, f, count, offset = pieces(self.schedules[depth], queue[at], start[at], n[at], self.sizes[depth])
+            found = doc[at][d], window, first[at][d] + f, count, offset
+            if depth == 0:
+                out.append(found)
+                continue
+            # the pieces' places in this level's order are places in the queue above
+            keep = level != depth
+            above = len(self.schedules[depth - 1].totals) - 1
+            level = np.append(level[keep], np.full(len(d), depth - 1))
+            queue = np.append(queue[keep], np.full(len(d), above))
+            start = np.append(start[keep], window * self.sizes[depth] + offset)
+            n, doc, first = np.append(n[keep], count), np.append(doc[keep], found[0]), np.append(first[keep], found[2])
+        found = out[0] if out else tuple(np.empty(0, np.int64) for _ in range(5))
+        turn = np.lexsort((found[2], found[0]))
+        return tuple(x[turn] for x in found)
+
+
 def pack(docs: DataFrame, *, path: str, window: int = 2048, end: int = 1, weights: dict[str, int] | None = None, least: int = 2, most_queues: int = 1000) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece. Sources beyond most_queues share a queue."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
     table = materialize(tokenized(docs, path, end))
     totals = materialize(table.groupBy("source", "part").agg(F.sum("n").alias("n")))
-    grand = totals.agg(F.sum("n")).first()[0] or 0
     ranked = totals.groupBy("source").agg(F.sum("n").alias("n")).withColumn("w", F.col("n"))
     if weights is not None:
         given = F.lit(1)
         for name, value in weights.items():
             given = F.when(F.col("source") == name, int(value)).otherwise(given)
         ranked = ranked.withColumn("w", given.cast("long"))
-    all_w = ranked.agg(F.sum("w")).first()[0] or 1
-    top = ranked.where(F.col("w") * window >= F.lit(least) * F.lit(all_w)).orderBy(F.desc("w"), "source").limit(most_queues)
-    queues = top.collect()  # at most most_queues rows
-    number = {r.source: i for i, r in enumerate(queues)}
-    sizes, shares = [r.n for r in queues], [r.w for r in queues]
-    if sum(sizes) < grand:
-        sizes, shares = [*sizes, grand - sum(sizes)], [*shares, max(all_w - sum(shares), -(-least * all_w // window))]
-    schedule = Schedule(sizes, shares)
-    names = F.create_map(*[x for k, v in number.items() for x in (F.lit(k), F.lit(v))]) if number else F.create_map()
-    queue = F.coalesce(F.element_at(names, F.col("source")), F.lit(len(number))) if number else F.lit(0)
-    parts = totals.withColumn("queue", queue)
+    ranked = materialize(ranked)
+    sources = sorted(((r.source, r.n, r.w) for r in ranked.collect()), key=lambda r: (-r[2], r[0]))  # one row for each source
+    schedule = Levels([(n, w) for _, n, w in sources], window, least, most_queues)
+    numbered = docs.sparkSession.createDataFrame([(name, i) for i, (name, _, _) in enumerate(sources)], "source string, queue long")
+    parts = totals.join(numbered, "source")
     # A queue's partitions in order, summed in two levels so that no queue is one task: blocks of partitions, then within.
     block = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inner = Window.partitionBy("queue", "block").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
@@ -265,7 +304,7 @@ def pack(docs: DataFrame, *, path: str, window: int = 2048, end: int = 1, weight
             for s in range(0, len(batch), 2000):
                 part = batch.slice(s, 2000)
                 start, n, q = (np.asarray(part.column(i)).astype(np.int64) for i in (1, 2, 3))
-                doc, at, first, count, offset = pieces(shared.value, q, start, n, window)
+                doc, at, first, count, offset = shared.value.pieces(q, start, n)
                 ids = [np.frombuffer(x, np.uint32 if len(x) == 4 * k else np.uint16).astype("<u4").tobytes() for x, k in zip(part.column(4).to_pylist(), n, strict=True)]
                 crc = [zlib.crc32(memoryview(ids[d])[4 * f : 4 * (f + c)]) for d, f, c in zip(doc.tolist(), first.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(first), pa.array(count), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(at), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

@@ -20,10 +20,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def source_domains(docs: DataFrame) -> DataFrame:
+    """(source, domain) for the given tables, which name no domains: sources with an even number are taken as web, others with a number as books."""
+    last = F.regexp_extract("source", "([0-9])$", 1).try_cast("int")
+    return docs.select("source").distinct().select("source", F.when(last % 2 == 0, "web").when(last % 2 == 1, "books").otherwise("other").alias("domain"))
+
+
 #: Target weights of op4 and the pipeline: half of the budget to each domain, English first; sources alike.
 TARGET = mixing.Target(domains={"web": 1.0, "books": 1.0}, langs={"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, share=0.9, epochs=2)
 
 
+#: Target proportions of op5's windows: the hot source counts four times another; sources not named count one.
+PACK_WEIGHTS = {"src0": 4}
+
+
 def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -37,11 +47,12 @@ def op3_embedding_near_dup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), TARGET).select("doc_id", "domain", "lang", "source", "tokens", "epochs_full", "tokens_last")
+    docs = table(spark, d, "documents")
+    return mixing.mix(docs, TARGET, source_domains(docs)).select("doc_id", "domain", "lang", "source", "tokens", "epochs_full", "tokens_last")
 
 
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(table(spark, d, "documents"), path=tokenizer_path())
+    return packing.pack(table(spark, d, "documents"), path=tokenizer_path(), weights=PACK_WEIGHTS)
 
 
 def op6_topk(spark: SparkSession, d: str) -> DataFrame:
