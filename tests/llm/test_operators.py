@@ -95,8 +95,9 @@ def test_minhash_large_groups(spark):
             sets.append({(a, b) for a, b in zip(w, w[1:])})
     links = [(a, b) for a, b in combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     comp = components(len(rows), links)
-    found = got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert [found[i]["component_id"] for i in range(len(rows))] == comp
+    for block in (4096, 10):
+        found = got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block))
+        assert [found[i]["component_id"] for i in range(len(rows))] == comp
 
 
 def repeated_runs(data, width, seen):
@@ -232,6 +233,28 @@ def test_pii(spark, docs, texts):
     assert pii.pii(docs.limit(0)).collect() == []
 
 
+def iban(country, account):
+    spell = lambda x: "".join(str(int(c, 36)) for c in x)
+    return f"{country}{98 - int(spell(account + country + '00')) % 97:02d}{account}"
+
+
+def test_pii_added_spans(spark):
+    """Added spans against labels: planted local phones, spelt mails, account numbers and persons, beside serial numbers, prose and failing check digits."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for i in range(400):
+        account = "".join(rng.choice("0123456789") for _ in range(18))
+        good = [("local_phone", f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}", "please call "), ("spelt_mail", f"user{i} [at] mail{i}.example.com", "contact "), ("iban", iban("DE", account), "bank account "), ("person", f"Dr. {rng.choice(['Maria', 'Peter', 'Laura'])} Stone", "the patient ")][i % 4]
+        bad = ["serial 055.123.4567 of the set", "see section (at) end of file", iban("DE", account)[:-1] + ("1" if account[-1] != "1" else "2"), "a Dr. of law"][i % 4]
+        text = f"Note {i}: {good[2]}" + good[1] + f" on file. Other line, {bad}."
+        begin = len(f"Note {i}: {good[2]}")
+        rows.append((i, text))
+        want.add((i, f"{good[0]}:{begin}:{begin + len(good[1])}"))
+    found = {(r.doc_id, x) for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r.spans.split(",") if x and x.split(":")[0] not in PII_BASE}
+    hit = len(found & want)
+    assert hit / len(want) >= 0.9 and hit / len(found) >= 0.8, (hit, len(want), len(found), sorted(found - want)[:5], sorted(want - found)[:5])
+
+
 def test_toxicity(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     r = toxicity.toxicity(d, labels)
@@ -304,6 +327,26 @@ def test_embeddings(spark, vectors):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embeddings_recall_near_the_threshold(spark):
+    """2,000 planted pairs with cosines from 0.93 to 0.95 under 25 labels: every one is linked, and nothing else."""
+    rng = np.random.default_rng(9)
+    rows, want = [], Counter()
+    for i in range(2000):
+        x, y = rng.normal(size=(2, 64))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        c = rng.uniform(0.93, 0.95)
+        for v in (x, c * x + np.sqrt(1 - c * c) * y):
+            rows.append((len(rows), [float(z) for z in v], i % 25))
+    a = np.array([r[1] for r in rows])
+    for i in range(0, len(rows), 2):
+        cos = a[i] @ a[i + 1] / np.sqrt((a[i] @ a[i]) * (a[i + 1] @ a[i + 1]))
+        want[i] = want[i + 1] = int(cos >= 0.93)
+    found = got(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    assert {i: r["n_links"] for i, r in found.items()} == dict(want) and sum(want.values()) > 3990
+
+
 def test_topk(spark, vectors):
     whole = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v, _, _ in vectors if v is not None and None not in v and np.isfinite(v).all()}
     want = set()
@@ -312,7 +355,7 @@ def test_topk(spark, vectors):
             ranked = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:5]
             want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked)}
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, q string")
-    for options in ({}, {"lists": 4, "q_block": 2, "x_block": 50}):
+    for options in ({}, {"lists": 4, "room": 600, "x_block": 50}):
         assert {tuple(r) for r in topk.top_k(df, **options).collect()} == want
     few = df.where("vec_id in (0, 1, 2)")
     assert topk.top_k(few).count() == 2 and topk.top_k(df.limit(0)).collect() == []
@@ -333,8 +376,8 @@ def test_packing(spark, docs, texts):
     t = Tokenizer.from_file(tokenizer_path())
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
     total = sum(map(len, ids.values()))
-    for weights in (None, {"src1": 5, "src2": 1, "": 2}):
-        out = packing.pack(docs, path=tokenizer_path(), window=256, weights=weights).collect()
+    for weights, most in ((None, 1000), ({"src1": 5, "src2": 1, "": 2}, 1000), ({"src1": 500, "": 2}, 1000), (None, 2)):
+        out = packing.pack(docs, path=tokenizer_path(), window=256, weights=weights, most_queues=most).collect()
         windows, by_doc = defaultdict(list), defaultdict(list)
         for r in out:
             assert r.doc_tokens == len(ids[r.doc_id]) and r.length > 0
@@ -371,6 +414,30 @@ def test_schedule_keeps_proportions():
     assert abs(s.taken(np.array([50]), np.array([0]), 512)[0] - 50 * 512 * 4 / 7) < 8
 
 
+def test_levels_keep_shares():
+    """Many small sources behind few large ones: all tokens in one place each, and at any time each source within its share."""
+    rng = random.Random(2)
+    sources = sorted(((rng.randrange(50, 400), w) for w in [9000, 4000] + [3] * 40 + [1] * 60), key=lambda s: -s[1])
+    levels = packing.Levels(sources, 64, 2, 20)
+    assert len(levels.schedules) > 2
+    place = np.repeat(np.arange(len(sources)), 5)
+    tokens = np.array([t // 5 + (t % 5 if k == 4 else 0) for t, _ in sources for k in range(5)])
+    start = np.cumsum(tokens) - tokens - np.repeat([sum(t for t, _ in sources[:i]) for i in range(len(sources))], 5)
+    doc, window, first, count, offset = levels.pieces(place, start, tokens)
+    total = sum(t for t, _ in sources)
+    taken = sorted(x for w, o, c in zip(window, offset, count) for x in range(w * 64 + o, w * 64 + o + c))
+    assert taken == list(range(total))
+    at = dict.fromkeys(range(len(place)), 0)
+    for d, f, c in sorted(zip(doc.tolist(), first.tolist(), count.tolist())):
+        assert at[d] == f
+        at[d] += c
+    assert list(at.values()) == tokens.tolist()
+    early = Counter()
+    for d, w, c in zip(doc, window, count):
+        early[place[d]] += int(c) if w < 10 else 0
+    assert abs(early[0] / early[1] - 9000 / 4000) < 0.2
+
+
 def fill(budget, children):
     """Plain water-filling: name -> (cap, weight)."""
     out, open_ = dict.fromkeys(children, 0.0), {k for k, (c, w) in children.items() if w > 0}
@@ -385,6 +452,7 @@ def fill(budget, children):
 
 
 def test_mixing(spark, docs, texts):
+    domains = spark.createDataFrame([("src1", "books"), ("src2", "web"), ("src3", "books"), ("src0", "web"), (None, "web")], "source string, domain string")
     target = mixing.Target(domains={"web": 3.0, "other": 0.5}, langs={"en": 2.0}, sources={"src1": 5.0}, share=0.7, epochs=2)
     tokens, leaf_of = defaultdict(int), {}
     for i, t, lang, source, *_ in rows_of(texts):
@@ -400,16 +468,16 @@ def test_mixing(spark, docs, texts):
             for s, b3 in fill(b2, {x: (under(d, lang, x), target.sources.get(x, 1.0)) for x in {k[2] for k in cap if k[:2] == (d, lang)}}).items():
                 want[d, lang, s] = int(b3 + 1e-6)
     taken = defaultdict(int)
-    rows = mixing.mix(docs, target).collect()
+    rows = mixing.mix(docs, target, domains).collect()
     for r in rows:
         assert leaf_of[r.doc_id] == (r.domain, r.lang, r.source) and r.tokens == len(words(texts[r.doc_id])) and 0 <= r.tokens_last <= r.tokens
         taken[r.domain, r.lang, r.source] += r.epochs_full * r.tokens + r.tokens_last
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in want.items() if v}
     cut = Counter((r.domain, r.lang, r.source) for r in rows if 0 < r.tokens_last < r.tokens)
     assert max(cut.values(), default=0) <= 1
-    out = mixing.mixed_documents(docs, target)
+    out = mixing.mixed_documents(docs, target, domains)
     assert out.columns == docs.columns and sum(len(words(r.text)) for r in out.collect()) == sum(want.values())
-    assert mixing.mix(docs.limit(0), target).collect() == []
+    assert mixing.mix(docs.limit(0), target, domains).collect() == []
 
 
 def test_repeated_rows_and_null_ids(spark, texts):
