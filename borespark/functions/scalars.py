@@ -128,8 +128,9 @@ def canonical_curve(mnemonic: Column) -> Column:
 
 def extract_units(header: Column) -> Column:
     """struct (name, unit) of a header like `Depth (ft)` or `Rate [m3/d]`."""
-    unit = F.regexp_extract(header, r"[\(\[]\s*([a-zA-Z0-9/_.а-яА-Я]+)\s*[\)\]]", 1)
-    name = F.trim(F.regexp_replace(header, r"\s*[\(\[].*?[\)\]]", ""))
+    inside = r"[(\[]\s*+([^()\[\]\s]++)\s*+[)\]]"  # one word in round or square brackets
+    unit = F.regexp_extract(header, inside, 1)
+    name = F.trim(F.regexp_replace(header, r"\s*+[(\[][^()\[\]]*+[)\]]", ""))
     return F.struct(name.alias("name"), F.nullif(unit, F.lit("")).alias("unit"))
 
 

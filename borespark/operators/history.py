@@ -10,9 +10,11 @@ from ..plans import dims
 
 
 def upsert(history: DataFrame, new: DataFrame, key: str = "task_id", order: str = "created_at") -> DataFrame:
-    """Rows of new replace those of history with the same key; among several new ones the newest stays."""
+    """Rows of new replace those of history with the same key; among several new ones the newest stays; of equally
+    new ones one is chosen by its contents."""
     both = history.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.desc("__new"), F.desc(order))
+    tie = F.xxhash64(*sorted(c for c in both.columns if c not in (key, order, "__new")))
+    w = Window.partitionBy(key).orderBy(F.desc("__new"), F.desc(order), tie)
     return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__new")
 
 

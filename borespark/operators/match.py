@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,12 @@ def merge_domains(parts: list[DataFrame], key: str = "well_id") -> DataFrame:
     return out
 
 
+def concat_domain_rows(parts: dict[str, DataFrame], name: str = "file_id") -> DataFrame:
+    """Rows of several files in one table, each under its file's name; columns that a file lacks are null."""
+    every = [df.withColumn(name, F.lit(k)) for k, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), every)
+
+
 def cosine(a: str, b: str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

@@ -87,11 +87,11 @@ def explode_matrix(risks: DataFrame) -> DataFrame:
     return risk_matrix(risks).orderBy(F.desc("probability"), "impact")
 
 
-def risk_summary(risks: DataFrame) -> DataFrame:
-    """One row: total, a count for each level and category (0 without), mean and largest score."""
+def risk_summary(risks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each of keys, where given): total, a count for each level and category (0 without), mean and largest score."""
     score = F.col("probability") * F.col("impact")
     n = lambda cond: F.count(F.when(cond, 1))
-    return risks.agg(
+    return risks.groupBy(*keys).agg(
         F.count("*").alias("total"), *[n(F.col("risk_level") == name).alias(f"{name}_count") for name, *_ in dims.LEVELS], *[n(F.col("category") == c).alias(f"category_{c}") for c in dims.CATEGORIES], F.coalesce(F.round(F.avg(score), 2), F.lit(0.0)).alias("risk_score"), F.coalesce(F.max(score), F.lit(0)).alias("max_score")
     )
 

@@ -125,5 +125,11 @@ def compare_wells(metrics: DataFrame, wells: list[str], well: str = "well_name")
     return {"matrix": history.comparison_matrix(chosen, wells, well), "levels": history.risk_level_comparison(chosen, well), "radar": history.radar(chosen, (well,))}
 
 
+def risk_analysis(features: DataFrame, flags: DataFrame, *, detected_at: str | None = None) -> dict[str, DataFrame]:
+    """All rules on all wells: the registry, and its summary for each well."""
+    risks = risk.score_risks(features, flags, detected_at=detected_at)
+    return {"risks": risks, "summary": risk.risk_summary(risks.withColumn("well_id", F.explode("linked_wells")), ("well_id",))}
+
+
 def risk_report(risks: DataFrame, flags: DataFrame, lang: str = "en") -> dict[str, DataFrame]:
     return {"summary": risk.risk_summary(risks), "shares": risk.level_shares(risks), "matrix": risk.explode_matrix(risks), "critical": risk.critical_risks(risks), "recommendations": risk.recommendations(risks, lang=lang), "others": risk.medium_low_table(risks), "appendix": quality.flag_preview(flags)}

@@ -278,11 +278,10 @@ def detect_file_type(spark, d):
 ROUTE_WORDS = {"drilling": ["the", "and"], "production": ["und", "der"]}
 
 
-@query("with r as (select doc_id path, case when (contains(lower(substr(text, 1, 3000)), 'the')::int + contains(lower(substr(text, 1, 3000)), 'and')::int) >= (contains(lower(substr(text, 1, 3000)), 'und')::int + contains(lower(substr(text, 1, 3000)), 'der')::int) and (contains(lower(substr(text, 1, 3000)), 'the') or contains(lower(substr(text, 1, 3000)), 'and')) then 'drilling' when contains(lower(substr(text, 1, 3000)), 'und') or contains(lower(substr(text, 1, 3000)), 'der') then 'production' else 'drilling' end dom, contains(lower(substr(text, 1, 2000)), 'licen') safe from documents), x as (select path, dom \"domain\" from r union select path, 'hse' from r where safe) select \"domain\", count(*) files from (select * from x union all select doc_id, m from documents, (select unnest(['drilling', 'logs', 'completions', 'production', 'directional', 'hse']) m except select \"domain\" from x)) group by 1")
+@query("with r as (select doc_id path, case when (contains(lower(text), 'les')::int + contains(lower(text), 'des')::int) >= (contains(lower(text), 'los')::int + contains(lower(text), 'que')::int) and (contains(lower(text), 'les') or contains(lower(text), 'des')) then 'drilling' when contains(lower(text), 'los') or contains(lower(text), 'que') then 'production' else 'drilling' end dom, contains(lower(text), 'licen') safe from documents), x as (select path, dom \"domain\" from r union select path, 'hse' from r where safe) select \"domain\", count(*) files from (select * from x union all select doc_id, m from documents, (select unnest(['drilling', 'logs', 'completions', 'production', 'directional', 'hse']) m except select \"domain\" from x)) group by 1")
 def routing_summary(spark, d):
-    """The reference's prefixes of the texts, as its SQL has them; routing_summary_whole reads whole texts."""
     f = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("text_file").alias("detected_type"), "text")
-    return match.routing_summary(match.route_files(f, ROUTE_WORDS, ["licen"], head=(3000, 2000)))
+    return match.routing_summary(match.route_files(f, {"drilling": ["les", "des"], "production": ["los", "que"]}, ["licen"]))
 
 
 @query("with r as (select doc_id path, case when (contains(lower(text), 'the')::int + contains(lower(text), 'and')::int) >= (contains(lower(text), 'und')::int + contains(lower(text), 'der')::int) and (contains(lower(text), 'the') or contains(lower(text), 'and')) then 'drilling' when contains(lower(text), 'und') or contains(lower(text), 'der') then 'production' else 'drilling' end dom, contains(lower(text), 'licen') safe from documents), x as (select path, dom \"domain\" from r union select path, 'hse' from r where safe) select \"domain\", count(*) files from (select * from x union all select doc_id, m from documents, (select unnest(['drilling', 'logs', 'completions', 'production', 'directional', 'hse']) m except select \"domain\" from x)) group by 1")
@@ -294,12 +293,13 @@ def routing_summary_whole(spark, d):
 # ------------------------------------------------------------------ matching
 
 
-@query("with e as (select s_suppkey file_id, s_name well_name, n_name field from supplier join nation on n_nationkey = s_nationkey), p as (select c_custkey, c_name well_name, n_name field from customer join nation on n_nationkey = c_nationkey where c_custkey % 100 = 0) select file_id, c_custkey project_name, 0.15::double confidence from e, p where contains(lower(e.field), lower(p.field)) or contains(lower(p.field), lower(e.field))")
+@query("with e as (select s_suppkey file_id, n_name field from supplier join nation on n_nationkey = s_nationkey), p as (select min(c_custkey) project_name, n_name field from customer join nation on n_nationkey = c_nationkey group by 2) select file_id, project_name, 0.15::double confidence from e, p where contains(lower(e.field), lower(p.field)) or contains(lower(p.field), lower(e.field))")
 def project_match(spark, d):
+    """Every supplier against all customers; customers of one field are one project class, named by its smallest key."""
     n = table(spark, d, "nation")
-    e = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file_id"), F.col("s_name").alias("well_name"), F.col("n_name").alias("field"))
-    p = table(spark, d, "customer").where("c_custkey % 100 = 0").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("project_name"), F.col("c_name").alias("well_name"), F.col("n_name").alias("field"))
-    return match.project_match(e, p, block=["field"]).select("file_id", "project_name", "confidence")
+    e = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file_id"), F.col("n_name").alias("field"))
+    p = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("field")).agg(F.min("c_custkey").alias("project_name"))
+    return match.project_match(e, p).select("file_id", "project_name", "confidence")
 
 
 _NAME = "trim(regexp_replace(regexp_replace(lower(trim({})), '#|-|well|no\\.|unit|скважина|скв\\.|куст', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -307,7 +307,7 @@ _E, _P = (f"with {x} as (select 'well_name' field, {_NAME.format(c + '_name')} \
 
 
 def sides(spark, d):
-    """All suppliers as entities and all customers as projects, each under its names; project_match takes one customer in a hundred, as its SQL does."""
+    """All suppliers as entities and all customers as projects, each under its names."""
     n = table(spark, d, "nation")
     named = lambda t, c, k: table(spark, d, t).join(n, F.col("n_nationkey") == F.col(f"{c}_nationkey"), "left").select(F.col(k).alias("id"), F.col(f"{c}_name").alias("well_name"), F.col("n_name").alias("field"))
     return [match.name_members(named(*x), "id", ["well_name", "field"]) for x in (("supplier", "s", "s_suppkey"), ("customer", "c", "c_custkey"))]
@@ -328,11 +328,11 @@ def project_match_members(spark, d):
     return both.select("side", "field", "name", "id")
 
 
-@query("with q as (select vec_id query_id, label, embedding from embeddings where vec_id % 25 = 0), s as (select query_id, vec_id event_id, list_cosine_similarity(q.embedding::double[], h.embedding::double[]) c from q join embeddings h using (label) where abs(vec_id - query_id) <= 100 and vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by c desc, event_id) rank from s) select query_id, rank, event_id, round(c, 3) similarity from r where rank <= 5")
+@query("with q as (select vec_id query_id, label, embedding from embeddings), s as (select query_id, vec_id event_id, list_cosine_similarity(q.embedding::double[], h.embedding::double[]) c from q join embeddings h using (label) where abs(vec_id - query_id) <= 100 and vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by c desc, event_id) rank from s) select query_id, rank, event_id, round(c, 3) + 0.0 similarity from r where rank <= 5")
 def pad_history_risks(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("pad_id"), F.col("vec_id").cast("double").alias("depth"), "embedding")
     history_ = v.select(F.col("vec_id").alias("event_id"), F.col("vec_id").alias("well_id"), "pad_id", "depth", "embedding")
-    current = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("well_id"), "pad_id", "depth", "embedding")
+    current = v.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("well_id"), "pad_id", "depth", "embedding")
     return match.pad_history_risks(current, history_, tolerance=100).select("query_id", "rank", "event_id", "similarity")
 
 
@@ -383,8 +383,8 @@ def top_risks(spark, d):
 # ------------------------------------------------------------------ history, comparison, pads
 
 
-def history_of(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("well_name"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
+def history_of(spark, d, which="true"):
+    return table(spark, d, "orders").where(which).select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("well_name"), F.col("o_orderdate").alias("created_at"), "o_totalprice")
 
 
 @query("select o_custkey well_name, o_orderkey task_id, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) rn from orders) where rn = 1")
@@ -392,16 +392,17 @@ def latest_per_well(spark, d):
     return history.latest_per_well(history_of(spark, d)).select("well_name", "task_id", "o_totalprice")
 
 
-@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 then 0.0 else o_totalprice end o_totalprice from orders where o_orderkey % 2 = 1 or o_orderkey % 3 = 0")
+@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 then 0.0 else o_totalprice end o_totalprice from orders union all select -o_orderkey, o_totalprice from orders where o_orderstatus = 'P'")
 def upsert_history(spark, d):
+    """All orders as history; every third is written again, and those of one status have a further, new row."""
     h = history_of(spark, d)
-    new = h.where("task_id % 3 = 0").withColumn("o_totalprice", F.lit(0.0))
-    return history.upsert(h.where("task_id % 2 = 1"), new).select("task_id", "o_totalprice")
+    again = h.where("task_id % 3 = 0").withColumn("o_totalprice", F.lit(0.0))
+    more = history_of(spark, d, "o_orderstatus = 'P'").withColumn("task_id", -F.col("task_id"))
+    return history.upsert(h, again.unionByName(more)).select("task_id", "o_totalprice")
 
 
 @query("select o_orderkey task_id, case when o_orderkey % 3 = 0 then 0.0 else o_totalprice end o_totalprice from orders")
 def upsert_history_all(spark, d):
-    """All orders as history, every third changed; upsert_history keeps to the part of them that its SQL names."""
     h = history_of(spark, d)
     return history.upsert(h, h.where("task_id % 3 = 0").withColumn("o_totalprice", F.lit(0.0))).select("task_id", "o_totalprice")
 
@@ -464,6 +465,6 @@ def qa_scorecard(spark, d):
     return quality.scorecard(s, {"volume": {"a": F.col("a"), "b": F.col("b")}, "price": {"c": F.col("c"), "d": F.col("d")}})
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
 def drop_finished(spark, d):
-    return match.drop_finished(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ("c_custkey",))
+    return match.drop_finished(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), ("o_orderkey",))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import risk_level
 from ..operators.history import upsert
 
 REGISTRY_COLUMNS = ("risk_id", "category", "title_en", "title_ru", "probability", "impact", "risk_level", "status", "mitigation_en", "linked_wells", "linked_pads")
@@ -26,6 +27,16 @@ def registry_rows(risks: DataFrame) -> DataFrame:
     return risks.select(*[F.array_join(c, ";").alias(c) if risks.schema[c].dataType.typeName() == "array" else F.col(c) for c in REGISTRY_COLUMNS])
 
 
+def row_to_risk(rows: DataFrame) -> DataFrame:
+    """Risks read back: score and level follow from probability and impact where both are there, whatever the row says; lists are split again."""
+    both = F.col("probability").isNotNull() & F.col("impact").isNotNull()
+    p, i = F.col("probability").cast("int"), F.col("impact").cast("int")
+    lists = {c: F.filter(F.split(c, ";"), lambda x: x != "") for c in ("linked_wells", "linked_pads", "mitigation_en", "mitigation_ru") if c in rows.columns and rows.schema[c].dataType.typeName() == "string"}
+    score = F.when(both, p * i).otherwise(F.col("score").cast("int")) if "score" in rows.columns else p * i
+    level = F.when(both, risk_level(p, i)).otherwise(F.col("risk_level") if "risk_level" in rows.columns else F.lit(None))
+    return rows.withColumns(lists | {"probability": p, "impact": i, "score": score, "risk_level": level})
+
+
 def write_registry_csv(risks: DataFrame, path: str) -> None:
     registry_rows(risks).write.mode("overwrite").csv(path, header=True)
 
