@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, embeddings, minhash, mixing, packing, pii, secrets, substring, topk, toxicity
+from . import bwt, embeddings, minhash, mixing, oracles, packing, pii, secrets, substring, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -76,4 +76,4 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_embedding_near_dup, op4_mixing, op5_packing, op6_topk, op7_minhash, op8_suffix_array, op9_substring, op10_pii)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
