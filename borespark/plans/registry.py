@@ -392,12 +392,12 @@ def latest_per_well(spark, d):
     return history.latest_per_well(history_of(spark, d)).select("well_name", "task_id", "o_totalprice")
 
 
-@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 then 0.0 else o_totalprice end o_totalprice from orders union all select -o_orderkey, o_totalprice from orders where o_orderstatus = 'P'")
+@query("select o_orderkey task_id, case when o_orderkey % 3 = 0 then 0.0 else o_totalprice end o_totalprice from orders union all select -1 - o_orderkey, o_totalprice from orders where o_orderstatus = 'P'")
 def upsert_history(spark, d):
     """All orders as history; every third is written again, and those of one status have a further, new row."""
     h = history_of(spark, d)
     again = h.where("task_id % 3 = 0").withColumn("o_totalprice", F.lit(0.0))
-    more = history_of(spark, d, "o_orderstatus = 'P'").withColumn("task_id", -F.col("task_id"))
+    more = history_of(spark, d, "o_orderstatus = 'P'").withColumn("task_id", -1 - F.col("task_id"))
     return history.upsert(h, again.unionByName(more)).select("task_id", "o_totalprice")
 
 
