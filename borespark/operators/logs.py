@@ -12,11 +12,29 @@ GAMMA = ("GR", "GRC", "SGR")
 RESISTIVITY = ("RT", "RD", "RILD")
 
 
+def exact_quantiles(values: DataFrame, keys: tuple[str, ...], shares: tuple[float, ...], pieces: int = 64) -> DataFrame:
+    """keys, q: array of interpolated quantiles of column v, with no key in one task. Equal values are counted first; a key's values are cut into
+    pieces at approximate quantiles, ranks are running counts over pieces, then within one."""
+    counts = values.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 1000).alias("cuts"), F.count("*").alias("total"))
+    placed = counts.join(cuts, list(keys)).withColumn("piece", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    sums = placed.groupBy(*keys, "piece").agg(F.sum("c").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.join(sums.select(*keys, "piece", before.alias("before")), [*keys, "piece"])
+    end = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranked.withColumn("stop", end)
+    at = lambda rank: F.max(F.when((F.col("stop") - F.col("c") <= rank) & (rank < F.col("stop")), F.col("v")))
+    place = [(F.col("total") - 1) * F.lit(p) for p in shares]
+    found = ranked.groupBy(*keys, "total").agg(*[at(f(x)).alias(f"{n}{i}") for i, x in enumerate(place) for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    return found.select(*keys, F.array(*[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x)) for i, x in enumerate(place)]).alias("q"))
+
+
 def curve_stats(samples: DataFrame, keys: tuple[str, ...] = ("well_id", "mnemonic"), *, sentinel: float = -999.25, exact: bool = True) -> DataFrame:
-    """keys, n, min, max, mean, p10, p50, p90 of values that are neither the sentinel nor NaN."""
+    """keys, n, min, max, mean, p10, p50, p90 of values that are neither the sentinel nor NaN. Keys that are null are left out."""
     v = F.nullif(F.nanvl("value", F.lit(None).cast("double")), F.lit(sentinel))
-    q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))) if exact else F.percentile_approx("v", [0.1, 0.5, 0.9], 10000)
-    out = samples.withColumn("v", v).where("v is not null").groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), q.alias("q"))
+    shares, use = (0.1, 0.5, 0.9), samples.select(*keys, v.alias("v")).where("v is not null").dropna(subset=list(keys))
+    out = use.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), *[] if exact else [F.percentile_approx("v", list(shares), 10000).alias("q")])
+    out = out.join(exact_quantiles(use, keys, shares), list(keys)) if exact else out
     return out.select(*keys, "n", "min", "max", F.round("mean", 3).alias("mean"), *[F.round(F.col("q")[i], 3).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
