@@ -1,12 +1,17 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
-Each vector is scaled to length 1 and turned by a random rotation; the signs of the turned coordinates are its code, and
-f = <code / sqrt(d), turned vector> is its stored correction factor. For a pair, <code_x / sqrt(d), turned_y> / f_x is an unbiased
-estimate of the cosine, with standard error about sqrt(1 - f**2) / (f * sqrt(d - 1)). Only pairs whose upper confidence bound
-reaches the threshold are recomputed, in double precision; none below it is linked.
+Each vector is scaled to length 1 and turned by random rotations; the signs of the turned coordinates are its code (of TURNS rotations one
+after the other), and for the first rotation f = <code / sqrt(d), turned vector> is its correction factor.
+
+Which pairs meet at all: bands of sign bits from further rotations. Bits a band grow with the logarithm of the largest label, so
+buckets keep their size; the number of bands follows from the wanted miss probability at the threshold. Then in three steps:
+
+1. Codes alone go to the buckets, once for each band. Of two unit vectors with angle t each code bit differs with probability t / pi; a member
+   goes on only if with some other one of its bucket no more bits differ than `sure` standard errors over what the threshold's angle gives.
+2. The vectors of these members meet in their buckets. For a pair, <code_x / sqrt(d), turned_y> / f_x is an unbiased estimate of the cosine,
+   with standard error about sqrt(1 - f**2) / (f * sqrt(d - 1)); only pairs whose upper confidence bound reaches the threshold go on.
+3. Those are recomputed in double precision; none below the threshold is linked.
 
-Which pairs meet at all: bands of sign bits from further rotations of the same kind. Bits a band grow with the logarithm of the
-largest label, so buckets keep their size; the number of bands follows from the wanted miss probability at the threshold.
 Identical vectors are one representative with a count from the start; a bucket of more than `block` rows is dealt out as
 pairs of blocks. A bucket gives counts and a spanning forest, never its pairs.
 
@@ -51,51 +56,100 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(-1, d)
 
 
+BLOCKS = 1 << 32  # more than a bucket's blocks; a cell is BLOCKS times the first block, and the second
+TURNS_BITS = 256  # bits of a code, in whole rotations
+
+
 class Coder:
-    """Codes, factors and band keys for unit vectors of d components."""
+    """Codes and band keys for unit vectors of d components."""
 
     def __init__(self, d: int, bits: int, bands: int):
         self.d, self.bits, self.bands = d, bits, bands
         turns = -(-bits * bands // d)
-        self.first, self.more = rotation(d, 0), np.concatenate([rotation(d, 1 + i) for i in range(turns)], 1)[:, : bits * bands]
+        self.more = np.concatenate([rotation(d, 1 + i) for i in range(turns)], 1)[:, : bits * bands]
+        self.code = np.concatenate([rotation(d, 100_000 + i) for i in range(-(-TURNS_BITS // d))], 1)
         self.weights = 1 << np.arange(bits, dtype=np.uint64)
 
     def bands_of(self, unit: np.ndarray) -> np.ndarray:
         signs = (unit @ self.more > 0).reshape(len(unit), self.bands, self.bits)
         return (signs * self.weights).sum(2, dtype=np.uint64)
 
-    def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        turned = unit @ self.first
-        return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / math.sqrt(self.d)
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        return np.packbits(unit @ self.code > 0, axis=1)
+
+
+def scaled(raw: np.ndarray) -> np.ndarray:
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
 def spread(reps: DataFrame, bits: int, bands: int) -> DataFrame:
-    """(key, rep, mult, factor, code, x, which): each representative once for each band."""
+    """(key, rep, code, band): each representative's code once for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders: dict[int, Coder] = {}
         for batch in batches:
-            rep, mult, label, size, x = (batch.column(i) for i in range(5))
+            rep, label, size, x = (batch.column(i) for i in range(4))
             sizes = np.asarray(size)
             for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                take = pa.array(at)
-                coder = coders.setdefault(int(d), Coder(int(d), bits, bands))
-                for s in range(0, len(at), 1024):
+                take = pa.array(np.flatnonzero(sizes == d))
+                coder = coder_of(int(d), bits, bands)
+                for s in range(0, len(take), 1024):
                     part = take[s : s + 1024]
-                    raw = matrix(x.take(part), int(d))
-                    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                    code, factor = coder.codes(unit)
+                    unit = scaled(matrix(x.take(part), int(d)))
                     group = mix64(np.asarray(label.take(part), np.int64).astype(np.uint64) * np.uint64(31) + np.uint64(d))
                     key = mix64(mix64(coder.bands_of(unit) + group[:, None]) + np.arange(bands, dtype=np.uint64))
-                    codes, raws = pa.array([c.tobytes() for c in code], pa.binary()), x.take(part)
+                    codes = pa.array([c.tobytes() for c in coder.codes(unit)], pa.binary())
                     for b in range(bands):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(key[:, b].astype(np.int64)), rep.take(part), mult.take(part), pa.array(factor), codes, raws, pa.array(np.full(len(part), b), pa.int32())],
-                            ["key", "rep", "mult", "factor", "code", "x", "band"],
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(key[:, b].astype(np.int64)), rep.take(part), codes, pa.array(np.full(len(part), b), pa.int32())], ["key", "rep", "code", "band"])
+
+    return reps.select("rep", "label_key", "size", "x").mapInArrow(run, "key long, rep long, code binary, band int")
 
-    return reps.select("rep", "mult", "label_key", "size", "x").mapInArrow(run, f"key long, rep long, mult long, factor double, code binary, x {reps.schema['x'].dataType.simpleString()}, band int")
+
+def most_bits(n: int, threshold: float, sure: float) -> float:
+    """So many of n code bits may differ at the threshold, with `sure` standard errors allowed."""
+    p = math.acos(threshold) / math.pi
+    return n * p + sure * math.sqrt(n * p * (1 - p))
+
+
+def plausible(cells: DataFrame, threshold: float, sure: float) -> DataFrame:
+    """(key, cell, rep, band, own) of the members that are near enough to another of their cell by their codes."""
+
+    def near(code: np.ndarray) -> np.ndarray:
+        n, most = len(code), most_bits(code.shape[1] * 8, threshold, sure)
+        bits = np.unpackbits(code, axis=1).astype(np.float32)
+        ones, hit = bits.sum(1), np.zeros(n, bool)
+        for s in range(0, n, 1024):
+            differ = ones[s : s + 1024, None] + ones[None, :] - 2 * (bits[s : s + 1024] @ bits.T)
+            close = differ <= most
+            close[np.arange(len(close)), s + np.arange(len(close))] = False
+            hit[s : s + 1024] = close.any(1)
+        return hit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tested(part: pa.RecordBatch) -> pa.RecordBatch:
+            key, cell = np.asarray(part.column(0)), np.asarray(part.column(1))
+            first = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(cell) != 0)))
+            stop, codes, keep = np.append(first[1:], len(key)), part.column(5).to_pylist(), np.zeros(len(key), bool)
+            for a, b in zip(first.tolist(), stop.tolist(), strict=True):
+                if b - a > 1:
+                    keep[a:b] = near(np.frombuffer(b"".join(codes[a:b]), np.uint8).reshape(b - a, -1))
+            return part.select(["key", "cell", "rep", "band", "own"]).filter(pa.array(keep))
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, cell = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cut = int(np.flatnonzero((key != key[-1]) | (cell != cell[-1]))[-1]) + 1 if ((key != key[-1]) | (cell != cell[-1])).any() else 0
+            if cut or (held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (int(key[0]), int(cell[0]))):
+                whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+                yield from (tested(b) for b in whole.to_batches())
+                held = []
+            held.append(batch.slice(cut))  # the last cell may go on in the next batch
+        if held:
+            yield from (tested(b) for b in pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep")
+    return dealt.select("key", "cell", "rep", "band", "own", "code").mapInArrow(run, "key long, cell long, rep long, band int, own int")
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,18 +165,18 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def linked(unit: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float, sure: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j with cosine >= threshold. own: block of each row; where there are two, only pairs across them."""
+def linked(unit: np.ndarray, threshold: float, sure: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j with cosine >= threshold. own: block of each row, if only pairs across blocks count."""
     n, d = unit.shape
-    signs = np.unpackbits(code, axis=1)[:, :d].astype(np.float32) * 2 - 1
     turned = (unit @ rotation_of(d)).astype(np.float32)
+    signs, factor = np.where(turned > 0, np.float32(1), np.float32(-1)), np.abs(turned).sum(1) / math.sqrt(d)
     found = []
     slack = sure * np.sqrt(np.maximum(0, 1 - factor**2)) / (factor * math.sqrt(max(d - 1, 1)))
     for s in range(0, n, 1024):
         guess = (signs[s : s + 1024] @ turned.T) / (math.sqrt(d) * factor[s : s + 1024, None])
         i, j = np.nonzero(guess + slack[s : s + 1024, None] >= threshold)
         i += s
-        keep = i < j if own is None or own[0] == own[-1] else (i < j) & (own[i] != own[j])
+        keep = i < j if own is None else (i < j) & (own[i] != own[j])
         i, j = i[keep], j[keep]
         for t in range(0, len(i), 200_000):
             a, b = i[t : t + 200_000], j[t : t + 200_000]
@@ -141,21 +195,21 @@ def rotation_of(d: int) -> np.ndarray:
 
 
 def compare(rows: DataFrame, bits: int, bands: int, threshold: float, sure: float) -> DataFrame:
-    """(rep, links, root): for every bucket, of each linked member the links found there first, and a member that it hangs from."""
+    """(rep, links, root): for every cell of rows (key, cell, rep, band, own, mult, x), of each linked member the links found there first, and a member
+    that it hangs from."""
 
     def group(run: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if len(run) < 2:
             return
-        rep, mult, factor, own = (np.array([r[i] for r in run]) for i in (1, 2, 3, 7))
-        raw = np.array([r[5] for r in run], float)
-        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        rep, mult, own = (np.array([r[i] for r in run]) for i in (2, 5, 4))
+        unit = scaled(np.array([r[6] for r in run], float))
         order = np.argsort(own, kind="stable")
-        rep, mult, factor, own, unit = rep[order], mult[order], factor[order], own[order], unit[order]
-        code = np.array([np.frombuffer(run[i][4], np.uint8) for i in order])
-        a, b = linked(unit, code, factor, threshold, sure, own)
+        rep, mult, own, unit = rep[order], mult[order], own[order], unit[order]
+        one, other = divmod(run[0][1], BLOCKS)
+        a, b = linked(unit, threshold, sure, None if one == other else own)
         if not len(a):
             return
-        if (band := run[0][6]) and len(a):
+        if band := run[0][3]:
             coder = coder_of(unit.shape[1], bits, bands)
             touched, at = np.unique(np.concatenate([a, b]), return_inverse=True)
             keys = coder.bands_of(unit[touched])[:, :band]
@@ -177,8 +231,8 @@ def compare(rows: DataFrame, bits: int, bands: int, threshold: float, sure: floa
         held, now = [], None
         out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() if i != 5 else c.to_numpy(zero_copy_only=False) for i, c in enumerate(batch.columns)), strict=True):
-                mark = (row[0], row[8])
+            for row in zip(*(c.to_pylist() if i != 6 else c.to_numpy(zero_copy_only=False) for i, c in enumerate(batch.columns)), strict=True):
+                mark = (row[0], row[1])
                 if mark != now:
                     out += group(held)
                     held, now = [], mark
@@ -191,7 +245,7 @@ def compare(rows: DataFrame, bits: int, bands: int, threshold: float, sure: floa
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["rep", "links", "root"])
 
     dealt = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep")
-    return dealt.select("key", "rep", "mult", "factor", "code", "x", "band", "own", "cell").mapInArrow(run, "rep long, links long, root long")
+    return dealt.select("key", "cell", "rep", "band", "own", "mult", "x").mapInArrow(run, "rep long, links long, root long")
 
 
 _CODERS: dict[tuple, Coder] = {}
@@ -216,15 +270,17 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.93, sure: float =
     largest = whole.groupBy("label_key", "size").count().agg(F.max("count")).first()[0] or 0
     bits, bands = plan(largest, threshold, miss)
     rows = spread(whole, bits, bands)
-    hot = materialize(spread(whole, bits, bands).groupBy("key").count().where(F.col("count") > block)) if largest > block else None
+    hot = materialize(rows.groupBy("key").count().where(F.col("count") > block)) if largest > block else None
     if hot is None:
-        cells = rows.withColumn("own", F.lit(0)).withColumn("cell", F.lit(0))
+        cells = rows.withColumn("own", F.lit(0)).withColumn("cell", F.lit(0).cast("long"))
     else:
         n = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
         joined = join_checked(rows, hot, ["key"], "left").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-        cells = joined.withColumn("other", other).withColumn("cell", F.least("own", "other") * F.lit(100_000) + F.greatest("own", "other"))
-    found = materialize(compare(cells, bits, bands, threshold, sure).groupBy("rep", "root").agg(F.sum("links").alias("links")))
+        cells = joined.withColumn("other", other).withColumn("cell", F.least("own", "other") * F.lit(BLOCKS) + F.greatest("own", "other"))
+    near = materialize(plausible(cells, threshold, sure))
+    met = near.join(whole.select("rep", "mult", "x"), "rep")
+    found = materialize(compare(met, bits, bands, threshold, sure).groupBy("rep", "root").agg(F.sum("links").alias("links")))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = whole.select("h1", "h2", "rep", "mult").join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
