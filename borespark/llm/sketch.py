@@ -2,7 +2,7 @@
 
 Every task counts its keys into cells (two rows of cells, by two hashes) and sends the cells it touched as gaps, about a byte
 each; slices of cells are summed where they meet. The driver only gets, for each cell, one bit: whether its count is two or more. A key
-whose cells both have the bit may be repeated; a key that is repeated always has it. The planes take 2 * 2**bits / 8 bytes, bits <= 28.
+whose cells both have the bit may be repeated; a key that is repeated always has it. The planes take 2 * 2**bits / 8 bytes, bits <= 30.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ FLUSH = 2_000_000
 
 def width_bits(keys: int) -> int:
     """Cells for so many keys: two to four for each, within the bound on what is shared."""
-    return min(28, max(20, int(max(keys, 1) * 2 - 1).bit_length() + 1))
+    return min(30, max(20, int(max(keys, 1) * 2 - 1).bit_length() + 1))
 
 
 def as_gaps(at: np.ndarray) -> bytes:
