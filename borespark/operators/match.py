@@ -29,36 +29,21 @@ def match_score(e: dict[str, Column], p: dict[str, Column], aliases: Column | No
 
 
 def project_match(entities: DataFrame, projects: DataFrame, *, block: list[str] | None = None) -> DataFrame:
-    """file_id, project_name, confidence, matched for pairs that share something.
-
-    Pairs are found through blocking keys, each an equi-join: the API's digits, and the words of normalised names. Two names
-    that match have a word in common or one lies within a word of the other; the latter is covered by joining on three-letter
-    parts of the shorter. Only fields given in block are used for finding (default: all present); all present are scored."""
-    scored = [f for f in dims.MATCH_WEIGHTS if f in entities.columns and f in projects.columns]
-    fields = [f for f in scored if f in (block or scored)]
-
-    def keyed(df: DataFrame, key: str, alias: bool) -> DataFrame:
-        parts = []
-        for f in fields:
-            if f == "api":
-                parts.append(F.array(F.concat(F.lit("api:"), normalize_api(F.col("api")))))
-                continue
-            names = F.array(F.col(f)) if not (alias and f == "well_name") else F.concat(F.array(F.col(f)), F.coalesce("aliases", F.array().cast("array<string>")))
-            parts.append(of_field(names, f))
-        return df.select(key, F.explode(F.array_distinct(F.array_compact(F.concat(*parts)))).alias("k"))
-
-    def of_field(names: Column, field: str) -> Column:
-        return F.flatten(F.transform(F.array_compact(names), lambda n: grams(normalize_name(n), field)))
-
-    def grams(name: Column, field: str) -> Column:
-        n = F.length(name)
-        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat(F.lit(field + ":"), F.substring(name, i, F.least(n, F.lit(3))))))
-
-    pairs = keyed(entities, "file_id", False).join(keyed(projects, "project_name", "aliases" in projects.columns), "k").select("file_id", "project_name").distinct()
-    e, p = entities.select("file_id", *[F.col(f).alias(f"e_{f}") for f in scored]), projects.select("project_name", *[F.col(f).alias(f"p_{f}") for f in scored], *["aliases"] * ("aliases" in projects.columns))
-    both = pairs.join(e, "file_id").join(p, "project_name")
-    confidence, matched = match_score({f: F.col(f"e_{f}") for f in scored}, {f: F.col(f"p_{f}") for f in scored}, F.col("aliases") if "aliases" in projects.columns else None)
-    return both.select("file_id", "project_name", confidence.alias("confidence"), matched.alias("matched")).where("confidence > 0")
+    """file_id, project_name, confidence, matched for pairs that share something: an API, or names of which one lies in the other.
+
+    Distinct normalised names are matched first (name_links), rows only join the classes that are linked, so a name counts once however
+    many rows have it. block: pairs are kept that match in one of these fields; all present are scored."""
+    fields = [f for f in dims.MATCH_WEIGHTS if f in entities.columns and f in projects.columns]
+    e, p = name_members(entities, "file_id", fields), name_members(projects, "project_name", fields)
+    links = name_links(e, p).select("field", "entity_name", F.col("project_name").alias("project_class"))
+    left = e.select("field", F.col("name").alias("entity_name"), F.col("id").alias("file_id"))
+    right = p.select("field", F.col("name").alias("project_class"), F.col("id").alias("project_name"))
+    found = left.join(links, ["field", "entity_name"]).join(right, ["field", "project_class"])
+    pairs = found.groupBy("file_id", "project_name").agg(F.collect_set("field").alias("found"))
+    matched = F.filter(F.array(*map(F.lit, fields)), lambda f: F.array_contains("found", f))
+    total = sum((F.when(F.array_contains("found", f), dims.MATCH_WEIGHTS[f]).otherwise(0.0) for f in fields), F.lit(0.0))
+    pairs = pairs if block is None else pairs.where(F.arrays_overlap("found", F.array(*map(F.lit, block))))
+    return pairs.select("file_id", "project_name", F.round(total / 10, 3).alias("confidence"), matched.alias("matched"))
 
 
 def name_members(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
