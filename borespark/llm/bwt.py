@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, byte_table, join_checked, materialize, ranges_of_texts, rolling, text_parts, texts_once
+from .common import Powers, byte_table, in_arrow, join_checked, materialize, ranges_of_texts, rolling, text_parts, texts_once
 from .sketch import maybe_repeated, repeated_planes, width_bits
 
 SYMBOL = 40
@@ -238,7 +238,7 @@ def shard_transforms(contexts: DataFrame, symbols: tuple[int, int]) -> DataFrame
 
     schema = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]) for name, kind in (x.split() for x in SHARD.split(", "))])
     dealt = contexts.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard")
-    return dealt.select("bucket", "shard", "h1", "h2", "at", "before", "count", "ctx").mapInArrow(run, SHARD)
+    return in_arrow(dealt.select("bucket", "shard", "h1", "h2", "at", "before", "count", "ctx"), run, SHARD)
 
 
 def repeats(shards: DataFrame, symbols: tuple[int, int], widths: tuple[int, ...]) -> DataFrame:
@@ -273,7 +273,7 @@ def repeats(shards: DataFrame, symbols: tuple[int, int], widths: tuple[int, ...]
         if held:
             yield from merge(held)
 
-    return shards.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "h1 long, h2 long, kind long, start long, stop long")
+    return in_arrow(shards.repartition("bucket").sortWithinPartitions("bucket"), run, "h1 long, h2 long, kind long, start long, stop long")
 
 
 def whole_words(data: bytes, start: int, stop: int) -> int:
@@ -334,9 +334,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 400, pas
                         ["key", "h1", "h2", "at", "before", "count", "ctx"],
                     )
 
-    hot = materialize(work.select("text").mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).groupBy(F.when(F.col("n") > block, F.col("key")).alias("key")).agg(F.sum("n").alias("n")))
+    hot = materialize(in_arrow(work.select("text"), counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).groupBy(F.when(F.col("n") > block, F.col("key")).alias("key")).agg(F.sum("n").alias("n")))
     buckets = max(1, (hot.where("key is null").agg(F.sum("n")).first()[0] or 0) // 3000)
-    every = work.select("h1", "h2", "text").mapInArrow(contexts, "key long, h1 long, h2 long, at long, before int, count int, ctx binary")
+    every = in_arrow(work.select("h1", "h2", "text"), contexts, "key long, h1 long, h2 long, at long, before int, count int, ctx binary")
     sent = join_checked(every, hot.where("key is not null"), ["key"], "left")
     shares = F.coalesce(F.ceil(F.col("n") / block), F.lit(2))
     dealt = sent.withColumn("bucket", F.when(F.col("n").isNull(), F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63))))).withColumn("shard", F.pmod(F.xxhash64("h1", "h2", "at"), shares))
@@ -366,4 +366,4 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 400, pas
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", *["kept"] * keep_text],
             )
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", kept binary" * keep_text)
+    return in_arrow(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", kept binary" * keep_text)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,40 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: How to drop what worker processes keep between tasks, such as a tokenizer with the words it has learnt.
+KEPT: list[Callable[[], None]] = []
+_OWNER: list[str] = []
+
+
+def begin_task(owner: str) -> None:
+    """What another module's tasks have left in this worker process goes."""
+    if _OWNER != [owner]:
+        for drop in KEPT:
+            drop()
+        _OWNER[:] = [owner]
+
+
+def end_task() -> None:
+    """Memory that is free goes back to the system, so that workers of long sessions don't hold their largest task's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) by workers that give memory back."""
+    owner = run.__module__
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(owner)
+        try:
+            yield from run(batches)
+        finally:
+            end_task()
+
+    return df.mapInArrow(task, schema)
+
+
 def bytes_of(df: DataFrame) -> tuple[int, int]:
     """Rows of df, and about the bytes they take in memory."""
     cells = []
@@ -79,7 +115,7 @@ def ranges_of_texts(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(o, pa.list_(pa.int64())) for o in out]], ["h1", "h2", "first", "second"])
 
     rows = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("x"))
-    return rows.select("h1", "h2", "x.kind", "x.start", "x.stop").mapInArrow(run, "h1 long, h2 long, first array<long>, second array<long>")
+    return in_arrow(rows.select("h1", "h2", "x.kind", "x.start", "x.stop"), run, "h1 long, h2 long, first array<long>, second array<long>")
 
 
 # ---------------------------------------------------------------- hashing in numpy
@@ -151,17 +187,18 @@ _NOT_SPACE[list(SPACE_BYTES)] = False
 
 def text_parts(array: pa.Array, most: int = 500_000):
     """(first row, byte offsets from 0, bytes) for runs of rows holding about `most` bytes; nulls count as empty."""
-    if isinstance(array, pa.ChunkedArray):
-        array = array.combine_chunks()
-    array = pc.fill_null(array.cast(pa.large_string()), "")
-    offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
-    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None and array.buffers()[2].size else np.empty(0, np.uint8)
-    i = 0
-    while i < len(array):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        j = min(j, len(array))
-        yield i, offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
-        i = j
+    for base in range(0, len(array), 1000):
+        part = pc.fill_null(array.slice(base, 1000).cast(pa.large_string()), "")
+        if isinstance(part, pa.ChunkedArray):
+            part = part.combine_chunks()
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2], np.uint8) if part.buffers()[2] is not None and part.buffers()[2].size else np.empty(0, np.uint8)
+        i = 0
+        while i < len(part):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+            j = min(j, len(part))
+            yield base + i, offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+            i = j
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

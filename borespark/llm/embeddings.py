@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, mix64
+from .common import in_arrow, join_checked, materialize, mix64
 from .graph import components
 
 
@@ -101,7 +101,7 @@ def spread(reps: DataFrame, bits: int, bands: int) -> DataFrame:
                     for b in range(bands):
                         yield pa.RecordBatch.from_arrays([pa.array(key[:, b].astype(np.int64)), rep.take(part), codes, pa.array(np.full(len(part), b), pa.int32())], ["key", "rep", "code", "band"])
 
-    return reps.select("rep", "label_key", "size", "x").mapInArrow(run, "key long, rep long, code binary, band int")
+    return in_arrow(reps.select("rep", "label_key", "size", "x"), run, "key long, rep long, code binary, band int")
 
 
 def most_bits(n: int, threshold: float, sure: float) -> float:
@@ -149,7 +149,7 @@ def plausible(cells: DataFrame, threshold: float, sure: float) -> DataFrame:
             yield from (tested(b) for b in pa.Table.from_batches(held).combine_chunks().to_batches())
 
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep")
-    return dealt.select("key", "cell", "rep", "band", "own", "code").mapInArrow(run, "key long, cell long, rep long, band int, own int")
+    return in_arrow(dealt.select("key", "cell", "rep", "band", "own", "code"), run, "key long, cell long, rep long, band int, own int")
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -245,7 +245,7 @@ def compare(rows: DataFrame, bits: int, bands: int, threshold: float, sure: floa
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["rep", "links", "root"])
 
     dealt = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep")
-    return dealt.select("key", "cell", "rep", "band", "own", "mult", "x").mapInArrow(run, "rep long, links long, root long")
+    return in_arrow(dealt.select("key", "cell", "rep", "band", "own", "mult", "x"), run, "rep long, links long, root long")
 
 
 _CODERS: dict[tuple, Coder] = {}

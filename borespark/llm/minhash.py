@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, join_checked, materialize, mix64, random_words, text_parts, word_hashes, words
+from .common import byte_table, in_arrow, join_checked, materialize, mix64, random_words, text_parts, word_hashes, words
 from .graph import components
 
 BITS = 2
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, *, text: str, width: int, rows: int, bands: int)
                 ["id", "n", "set1", "set2", "sig", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, set1 long, set2 long, sig binary, keys array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")), run, "id long, n long, set1 long, set2 long, sig binary, keys array<long>")
 
 
 def most_misses(count: int, threshold: float, risk: float = 1e-7) -> int:
@@ -188,7 +188,7 @@ def ties_of(members: DataFrame, threshold: float, most: int) -> DataFrame:
             yield flush()
 
     dealt = members.select("key", "id", "n", "sig").repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(dealt, run, "a long, b long").distinct()
 
 
 def dealt_out(members: DataFrame, block: int) -> DataFrame:
@@ -221,7 +221,7 @@ def confirmed(links: DataFrame, docs: DataFrame, *, text: str, width: int, share
                     keep.append(bool(len(x)) and 100 * same >= share * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
 
 
 def across(members: DataFrame, *, width: int, share: int, most: int, block: int = 512) -> DataFrame:
@@ -277,7 +277,7 @@ def across(members: DataFrame, *, width: int, share: int, most: int, block: int
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     dealt = cells.select("cluster", "cell", "id", "comp", "n", "sig", "text", "own").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(dealt, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", width: int = 2, share: int = 80, rows: int = 4, bands: int = 32, block: int = 4096) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize
+from .common import KEPT, in_arrow, join_checked, materialize
 
 MEMO = 200_000
 #: A full stop or comma before a blank that follows neither a letter, a digit nor white space.
@@ -137,10 +137,11 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS.clear)
 
 
 def encoder_of(path: str) -> Encoder:
-    """One for each worker process, so that what it has learnt serves its next tasks."""
+    """One for each worker process, so that what it has learnt serves its next tasks, until those of another operator begin."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -162,7 +163,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
                     ids.append(x.tobytes() if x.max(initial=0) > 0xFFFF else x.astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int64()), piece.column(2), piece.column(0), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "source", "doc_id", "before", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).mapInArrow(run, "part long, source string, doc_id long, before long, n long, ids binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")), run, "part long, source string, doc_id long, before long, n long, ids binary")
 
 
 class Schedule:
@@ -310,4 +311,4 @@ def pack(docs: DataFrame, *, path: str, window: int = 2048, end: int = 1, weight
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(first), pa.array(count), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(at), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     rows = joined.select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n", F.col("queue").cast("long"), "ids")
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return in_arrow(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

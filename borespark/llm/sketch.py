@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64
+from .common import in_arrow, mix64
 
 SLICE = 18  # a slice has 2**SLICE cells
 FLUSH = 2_000_000
@@ -83,9 +83,9 @@ def repeated_planes(table: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterat
         for which, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([which], pa.int64()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary())], ["slice", "plane"])
 
-    sent = table.mapInArrow(count, "slice long, at binary, twice binary")
+    sent = in_arrow(table, count, "slice long, at binary, twice binary")
     planes = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(2)]
-    for r in sent.repartition("slice").mapInArrow(merge, "slice long, plane binary").toLocalIterator():
+    for r in in_arrow(sent.repartition("slice"), merge, "slice long, plane binary").toLocalIterator():
         part, row = divmod(r.slice, 2)
         planes[row][part << (SLICE - 3) : (part + 1) << (SLICE - 3)] = np.frombuffer(r.plane, np.uint8)
     return planes

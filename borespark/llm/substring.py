@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, byte_table, join_checked, materialize, ranges_of_texts, rolling, text_parts, texts_once, word_hashes, words
+from .common import Powers, byte_table, in_arrow, join_checked, materialize, ranges_of_texts, rolling, text_parts, texts_once, word_hashes, words
 from .sketch import maybe_repeated, repeated_planes, width_bits
 
 _TABLES = byte_table(11, False), byte_table(12, False)
@@ -118,7 +118,7 @@ def flags(rows: DataFrame, *, inner: bool) -> DataFrame:
 
     order = ["key", "share", "known", "doc_id", "h1", "h2", "at"]
     dealt = rows.repartition("key", "share").sortWithinPartitions(*order)
-    return dealt.select(*order, "h").mapInArrow(run, "key long, known boolean, doc_id long, h1 long, h2 long, at long, h binary, n long, state int")
+    return in_arrow(dealt.select(*order, "h"), run, "key long, known boolean, doc_id long, h1 long, h2 long, at long, h binary, n long, state int")
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 20, gram: int = 10, block: int = 4096, passage: int = 51, keep_text: bool = False) -> DataFrame:
@@ -170,7 +170,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 20, gram
                     ["key", "h1", "h2", "doc_id", "at", "h"],
                 )
 
-    sent = materialize(work.mapInArrow(send, "key long, h1 long, h2 long, doc_id long, at long, h binary"))
+    sent = materialize(in_arrow(work, send, "key long, h1 long, h2 long, doc_id long, at long, h binary"))
     hot = materialize(sent.groupBy("key").count().where(F.col("count") > block))
     shares = F.coalesce(F.ceil(F.col("count") / block), F.lit(1))
     dealt = join_checked(sent.withColumn("known", F.col("doc_id").isNotNull()), hot, ["key"], "left").withColumn("share", F.pmod(F.xxhash64("h1", "h2"), shares)).drop("count")
@@ -205,4 +205,4 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 20, gram
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "n_passages", *["kept_text"] * keep_text],
             )
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_passages long" + ", kept_text string" * keep_text)
+    return in_arrow(joined, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_passages long" + ", kept_text string" * keep_text)

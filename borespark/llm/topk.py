@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_arrow, materialize
 from .embeddings import usable
 
 
@@ -49,7 +49,7 @@ def scan(vectors: DataFrame, queries: DataFrame, work, schema: str, *, room: int
             some = rows.filter(pa.array(np.asarray(rows.column("size")) == d))
             blocks[d] = tuple(matrix(some.column(c), n) if n else np.asarray(some.column(c)) for c, n in (("q", 0), ("vector", d), *[("cuts", -1)] * ("cuts" in some.column_names)))
         sent = vectors.sparkSession.sparkContext.broadcast(blocks)
-        out.append(materialize(vectors.repartition(parts, "object").mapInArrow(lambda batches, sent=sent: work(sent.value, batches), schema)))
+        out.append(materialize(in_arrow(vectors.repartition(parts, "object"), lambda batches, sent=sent: work(sent.value, batches), schema)))
         sent.unpersist()
     return reduce(DataFrame.union, out)
 

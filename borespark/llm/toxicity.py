@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked
+from .common import in_arrow, join_checked
 
 TERM = re.compile(r"[^\W_]+")
 MEMO = 100_000
@@ -62,7 +62,7 @@ def bucket_counts(rows: DataFrame, bits: int) -> DataFrame:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at == 1 << bits, -1, at)), pa.array(n[at]), pa.array(bad[at])], ["bucket", "n", "n_toxic"])
 
-    return rows.mapInArrow(count, "bucket long, n long, n_toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    return in_arrow(rows, count, "bucket long, n long, n_toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
 def pick_buckets(counts: DataFrame, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -157,12 +157,13 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label:
             at = [terms.of(t.as_py()).astype("<i4").tobytes() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), b.column(1), b.column(2)], ["at", "y", "h"])
 
-    sample = use.mapInArrow(places, "at binary, y long, h long").orderBy("h").limit(fit_rows).collect()
+    sample = in_arrow(use, places, "at binary, y long, h long").orderBy("h").limit(fit_rows).collect()
     if not sample:
         return None
     data = [(np.frombuffer(r.at, "<i4").astype(np.int64), r.y) for r in sorted(sample, key=lambda r: (r.h, bytes(r.at)))]
     epochs = max(6, -(-500 // -(-len(data) // 256)))
-    return fit(data, len(kept), epochs=epochs, rate=0.01, pair_rate=0.02, seed=seed, start=start, pace=pace) | {"place": place, "bits": bits}
+    p = fit(data, len(kept), epochs=epochs, rate=0.01, pair_rate=0.02, seed=seed, start=start, pace=pace)
+    return p | {"v": p["v"].astype(np.float32), "place": place, "bits": bits}
 
 
 def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -184,7 +185,7 @@ def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text:
             z = margins(p, flat, row, len(at))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*[f"c{i}" for i in range(len(keep))], "score"])
 
-    return rows.mapInArrow(run, schema).toDF(*keep, "score")
+    return in_arrow(rows, run, schema).toDF(*keep, "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
