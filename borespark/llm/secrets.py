@@ -59,10 +59,26 @@ def holds(query: object, place: dict[str, int], mask: str = "mask") -> Column:
     return out
 
 
-def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """(gram, id, h): one row for each wanted trigram of each text; docs has id, text, h."""
+def held(query: object, low: Column, place: dict[str, int]) -> Column:
+    """array<int>: the trigrams of a query that a text holds, as far as they can satisfy it: those of a conjunction are looked for only where its
+    leading one, that with the fewest common letters, is found."""
+    none = F.array().cast("array<int>")
+    one = lambda g: F.when(F.contains(low, F.lit(g)), F.array(F.lit(place[g]))).otherwise(none)
+    if query is True:
+        return none
+    if isinstance(query, str):
+        return one(query)
+    parts = sorted((q for q in query[1:] if isinstance(q, str)), key=lambda g: (sum(c in "etaoinsrhl " for c in g), g))
+    deeper = [held(q, low, place) for q in query[1:] if not isinstance(q, str)]
+    if query[0] == "or" or not parts:
+        return F.concat(*map(one, parts), *deeper)
+    return F.when(F.contains(low, F.lit(parts[0])), F.concat(F.array(F.lit(place[parts[0]])), *map(one, parts[1:]), *deeper)).otherwise(none)
+
+
+def postings(docs: DataFrame, queries: list[object], place: dict[str, int]) -> DataFrame:
+    """(gram, id, h): one row for each trigram of each text that the queries ask for; docs has id, text, h."""
     low = docs.select("id", "h", F.lower("text").alias("low")).where(F.length("low") >= 3)
-    grams = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(wanted)]))
+    grams = F.array_distinct(F.concat(*[held(q, F.col("low"), place) for q in queries]))
     return low.select(F.explode(grams).alias("gram"), "id", "h")
 
 
@@ -106,8 +122,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc
     order = {r: i for i, r in enumerate(rules)}
     indexed = [r for r, q in zip(rules, queries, strict=True) if q is not True]
     scanned = [r for r, q in zip(rules, queries, strict=True) if q is True]
-    wanted = sorted(set().union(*map(trigrams_of, queries)))
-    hits = materialize(candidates(postings(base, wanted), indexed, {g: i for i, g in enumerate(wanted)}))
+    place = {g: i for i, g in enumerate(sorted(set().union(*map(trigrams_of, queries))))}
+    hits = materialize(candidates(postings(base, queries, place), indexed, place))
     joined = join_checked(base, hits, ["id", "h"], "left")
     every = [F.when(F.array_contains("hits", i), spans(F.col("text"), r, order[r])).otherwise(F.array().cast("array<struct<start:int,kind_no:int,stop:int>>")) for i, r in enumerate(indexed)]
     every += [spans(F.col("text"), r, order[r]) for r in scanned]
