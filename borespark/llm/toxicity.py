@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, join_checked
+from .common import end_task, in_arrow, join_checked
 
 TERM = re.compile(r"[^\W_]+")
 MEMO = 100_000
@@ -92,7 +92,7 @@ def fit(rows: list[tuple[np.ndarray, int]], size: int, factors: int = 8, epochs:
     y = np.array([r[1] for r in rows], float)
     mean = min(max(y.mean(), 1e-6), 1 - 1e-6)
     start, pace = np.zeros(size) if start is None else start, np.ones(size) if pace is None else pace
-    p = {"w0": np.array([np.log(mean / (1 - mean))]), "w": start.copy(), "v": rng.normal(0, 0.01, (size, factors))}
+    p = {"w0": np.array([np.log(mean / (1 - mean))]), "w": start.copy(), "v": rng.normal(0, 0.01, (size, factors)).astype(np.float32)}
     first, second = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     times, step = np.zeros(size, np.int64), 0
 
@@ -160,10 +160,13 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label:
     sample = in_arrow(use, places, "at binary, y long, h long").orderBy("h").limit(fit_rows).collect()
     if not sample:
         return None
-    data = [(np.frombuffer(r.at, "<i4").astype(np.int64), r.y) for r in sorted(sample, key=lambda r: (r.h, bytes(r.at)))]
+    sample.sort(key=lambda r: (r.h, bytes(r.at)))
+    data = [(np.frombuffer(r.at, "<i4"), r.y) for r in sample]
     epochs = max(6, -(-500 // -(-len(data) // 256)))
     p = fit(data, len(kept), epochs=epochs, rate=0.01, pair_rate=0.02, seed=seed, start=start, pace=pace)
-    return p | {"v": p["v"].astype(np.float32), "place": place, "bits": bits}
+    del sample, data
+    end_task()
+    return p | {"place": place, "bits": bits}
 
 
 def score(docs: DataFrame, model: dict | None, *, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
