@@ -23,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -166,42 +167,54 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")), run, "part long, source string, doc_id long, before long, n long, ids binary")
 
 
+def share_of(x: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """floor(x * part / whole) in whole numbers, also where the product passes 64 bits: an estimate in floating point, mended by the remainder
+    (which is right modulo 2**64). x and part up to whole, whole up to 2**50."""
+    out = (x.astype(float) * part / whole).astype(np.int64)
+    with np.errstate(over="ignore"):
+        left = x * part - out * whole
+    return out + left // whole
+
+
 class Schedule:
-    """How many tokens the queues up to s have given when x tokens have been given in all: piecewise linear, in whole numbers."""
+    """How many tokens the queues up to s have given when x tokens have been given in all: piecewise linear, in whole numbers.
+
+    A phase ends when a queue ends, which gives all its rest in it; the others give their share of that by weight (what is under a token is
+    carried into the next phase). So there are no more phases than queues, and in a phase no queue is a whole token ahead or behind."""
 
     def __init__(self, totals: list[int], weights: list[int]):
-        self.totals, rest = totals, list(totals)
-        self.starts, self.bases, self.rises, self.sums, x = [], [], [], [], 0
+        self.totals, rest, x = totals, list(totals), 0
+        carry = [0.0] * len(rest)
+        starts, bases, gifts = [], [], []
         while any(rest):
             w = [a if r else 0 for a, r in zip(weights, rest, strict=True)]
             if not any(w):
                 w = [int(r > 0) for r in rest]
-            total = sum(w)
-            last = min(r * total // a for r, a in zip(rest, w, strict=True) if a)
-            if not last:  # a queue's last part of a token: give it at once
-                k = next(i for i, (r, a) in enumerate(zip(rest, w, strict=True)) if a and not r * total // a)
-                w, total, last = [int(i == k) for i in range(len(rest))], 1, rest[k]
-            self.starts.append(x)
-            self.bases.append(np.cumsum([t - r for t, r in zip(totals, rest, strict=True)]))
-            self.rises.append(np.cumsum(w))
-            self.sums.append(total)
-            ends = [int(c) * last // total for c in self.rises[-1]]
-            rest = [r - (e - f) for r, e, f in zip(rest, ends, [0, *ends[:-1]], strict=True)]
-            x += last
-        self.total = x
+            k = min((i for i, a in enumerate(w) if a), key=lambda i: (Fraction(rest[i], w[i]), i))
+            give = [0] * len(rest)
+            for i, a in enumerate(w):
+                if a:
+                    want = carry[i] + rest[k] * a / w[k]
+                    give[i] = rest[k] if i == k else min(rest[i], int(want))
+                    carry[i] = want - give[i]
+            starts.append(x)
+            bases.append([t - r for t, r in zip(totals, rest, strict=True)])
+            gifts.append(give)
+            rest = [r - g for r, g in zip(rest, give, strict=True)]
+            x += sum(give)
+        self.total, self.starts = x, np.array([*starts, x], np.int64)
+        none = np.zeros((len(starts), 1), np.int64)  # before the first queue
+        self.bases, self.gifts = (np.hstack([none, np.cumsum(np.array(y, np.int64).reshape(len(starts), -1), axis=1)]) for y in (bases, gifts))
+
+    def bytes(self) -> int:
+        return self.starts.nbytes + self.bases.nbytes + self.gifts.nbytes
 
     def given(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
         """By queues 0..s-1, for each x (s = 0 gives 0)."""
         x = np.minimum(x, self.total)
-        phase = np.maximum(np.searchsorted(self.starts, x, "right") - 1, 0)
-        out = np.zeros(len(x), np.int64)
-        for p in np.unique(phase):
-            at = np.flatnonzero((phase == p) & (s > 0))
-            gone, rise = (x[at] - self.starts[p]), self.rises[p][s[at] - 1].astype(np.int64)
-            # gone * rise may pass 64 bits, so whole multiples of the sum are taken out first
-            whole, part = np.divmod(gone, self.sums[p])
-            out[at] = self.bases[p][s[at] - 1] + whole * rise + part * rise // self.sums[p]
-        return out
+        phase = np.clip(np.searchsorted(self.starts, x, "right") - 1, 0, max(len(self.bases) - 1, 0))
+        start = self.starts[phase]
+        return self.bases[phase, s] + share_of(x - start, self.gifts[phase, s], self.starts[phase + 1] - start)
 
     def taken(self, window: np.ndarray, s: np.ndarray, size: int) -> np.ndarray:
         """By queue s alone before a window begins."""
@@ -212,8 +225,15 @@ def pieces(schedule: Schedule, queue: np.ndarray, start: np.ndarray, n: np.ndarr
     """(document, window, first token of the document, count, offset in the window) of documents at start in their queues."""
     windows = -(-schedule.total // size)
 
+    own = schedule.bases[:, 1:] - schedule.bases[:, :-1]  # what each queue has given when a phase begins
+
     def window_of(t: np.ndarray) -> np.ndarray:
-        low, high = np.zeros(len(t), np.int64), np.full(len(t), windows, np.int64)
+        """The window that token t of its queue stands in: the token's phase is looked up, its window bisected between the phase's borders."""
+        phase = np.zeros(len(t), np.int64)
+        for q in np.unique(queue):
+            at = np.flatnonzero(queue == q)
+            phase[at] = np.searchsorted(own[:, q], t[at], "right") - 1
+        low, high = schedule.starts[phase] // size, np.minimum(-(-schedule.starts[phase + 1] // size), windows)
         while (low < high - 1).any():
             mid = (low + high) // 2
             ahead = schedule.taken(mid, queue, size) > t
