@@ -8,11 +8,12 @@ falls short; only then do the node's siblings get it, since its own capacity was
 Level by level this is water-filling, done with running sums over the children sorted by capacity / weight.
 
 A leaf's budget is whole epochs and a rest. Every epoch has its own order, by a seeded hash of the document; the rest is a prefix in
-tokens of the next epoch's order, the last document cut. The order is summed up in two levels (hash ranges, then within one),
-so that a leaf of any size is never in one task.
+tokens of the next epoch's order, the last document cut. The order is summed up in two levels: hash ranges of about RANGE documents, then within
+one, so that a leaf of any size is never in one task.
 
 Tokens are words (runs of characters other than the six ASCII white space ones). Null text has none. Null lang or source are a
-child named "" of their own. A child without a given weight has weight 1, one with weight 0 gets nothing. A budget over the
+child named "" of their own. A child without a given weight has weight 1; one with weight 0 gets nothing, and what stands below it counts in no
+ancestor's capacity, so that siblings get its part. Budgets are whole tokens at every level and add up to their parent's. A budget over the
 capacity gives all. Rows are told apart by id and text; equal rows have the same place in the order and each is taken. Extra columns
 are kept only where said.
 """
@@ -20,13 +21,14 @@ are kept only where said.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_checked, materialize
 
-RANGES = 4096
+RANGE = 4096
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -64,29 +66,36 @@ def weight(column: str, given: dict[str, float]) -> Column:
     return out
 
 
-def fill(children: DataFrame, parent: list[str], child: str, given: dict[str, float]) -> DataFrame:
-    """children (parent, child, cap) with the parent's budget -> the child's budget. level = the common level at which all unfilled children stand."""
-    w = children.withColumn("w", weight(child, given)).withColumn("cap", F.when(F.col("w") > 0, F.col("cap")).otherwise(0.0))
-    ratio = F.when(F.col("w") > 0, F.col("cap") / F.col("w")).otherwise(0.0)
+def fill(children: DataFrame, parent: list[str], child: str) -> DataFrame:
+    """children (parent, child, w, cap) with the parent's budget -> the child's budget, in whole tokens. level = the common level at which all
+    unfilled children stand. Tokens that rounding leaves go to the children with the largest fractions, one each, so none is lost."""
     whole = Window.partitionBy(*parent)
     order = whole.orderBy("ratio", child)
-    w = w.withColumn("ratio", ratio)
+    w = children.withColumn("ratio", F.when(F.col("w") > 0, F.col("cap") / F.col("w")).otherwise(0.0))
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     left = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    w = w.withColumn("level", F.when(left > 0, (F.least(F.col("budget"), F.sum("cap").over(whole)) - before) / left))
+    w = w.withColumn("budget", F.least(F.col("budget"), F.sum("cap").over(whole)))
+    w = w.withColumn("level", F.when(left > 0, (F.col("budget") - before) / left))
     # the first child whose own ratio is not below the level that holds from it on sets the level
     held = F.min(F.when(F.col("ratio") >= F.col("level") - 1e-9, F.struct("ratio", child, "level"))).over(whole)["level"]
-    return w.withColumn("budget", F.least(F.col("cap"), F.coalesce(held, F.max("ratio").over(whole)) * F.col("w"))).drop("w", "ratio", "level")
+    w = w.withColumn("real", F.least(F.col("cap"), F.coalesce(held, F.max("ratio").over(whole)) * F.col("w")))
+    w = w.withColumn("floor", F.floor(F.col("real") + 1e-6).cast("double"))
+    spare = F.col("budget") - F.sum("floor").over(whole)
+    turn = F.row_number().over(whole.orderBy((F.col("floor") < F.col("cap")).desc(), (F.col("real") - F.col("floor")).desc(), child))
+    return w.withColumn("budget", F.col("floor") + F.when((turn <= spare) & (F.col("floor") < F.col("cap")), 1.0).otherwise(0.0)).drop("w", "ratio", "level", "real", "floor")
 
 
 def budgets(leaves: DataFrame, target: Target) -> DataFrame:
-    """leaves (domain, lang, source, tokens) -> also budget, in whole tokens."""
-    caps = leaves.withColumn("cap", F.col("tokens").cast("double") * target.epochs)
+    """leaves (domain, lang, source, tokens) -> also budget, in whole tokens. What stands below a weight of 0, at any level, has no capacity."""
+    tree = (("domain", target.domains), ("lang", target.langs), ("source", target.sources))
+    reachable = reduce(lambda a, b: a & b, [weight(c, given) > 0 for c, given in tree])
+    caps = leaves.withColumn("cap", F.when(reachable, F.col("tokens").cast("double") * target.epochs).otherwise(0.0))
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(target.share)).cast("double").alias("budget"))
-    domains = fill(caps.groupBy("domain").agg(F.sum("cap").alias("cap")).crossJoin(total).withColumn("root", F.lit(0)), ["root"], "domain", target.domains).select("domain", "budget")
-    langs = fill(caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain"), ["domain"], "lang", target.langs).select("domain", "lang", "budget")
-    sources = fill(caps.join(langs, ["domain", "lang"]), ["domain", "lang"], "source", target.sources)
-    return sources.select("domain", "lang", "source", "tokens", F.least(F.floor(F.col("budget") + 1e-6), F.col("tokens") * target.epochs).cast("long").alias("budget"))
+    node = lambda *path: caps.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", weight(path[-1], dict(tree)[path[-1]]))
+    domains = fill(node("domain").crossJoin(total).withColumn("root", F.lit(0)), ["root"], "domain").select("domain", "budget")
+    langs = fill(node("domain", "lang").join(domains, "domain"), ["domain"], "lang").select("domain", "lang", "budget")
+    sources = fill(caps.withColumn("w", weight("source", target.sources)).join(langs, ["domain", "lang"]), ["domain", "lang"], "source")
+    return sources.select("domain", "lang", "source", "tokens", F.col("budget").cast("long").alias("budget"))
 
 
 def mix(docs: DataFrame, target: Target = Target(), domains: DataFrame | None = None) -> DataFrame:
@@ -97,11 +106,12 @@ def mix(docs: DataFrame, target: Target = Target(), domains: DataFrame | None =
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("__domain").alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), word_count().alias("tokens")
     )
     table = materialize(named)
-    plan = materialize(budgets(table.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), target))
-    wanted = plan.where("budget > 0").select(*leaf, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))).alias("epochs_full"), F.pmod("budget", F.greatest("tokens", F.lit(1))).alias("rest"))
+    leaves = materialize(table.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
+    plan = materialize(budgets(leaves.drop("docs"), target)).join(leaves.select(*leaf, F.ceil(F.col("docs") / RANGE).alias("ranges")), leaf)
+    wanted = plan.where("budget > 0").select(*leaf, "ranges", F.floor(F.col("budget") / F.greatest("tokens", F.lit(1))).alias("epochs_full"), F.pmod("budget", F.greatest("tokens", F.lit(1))).alias("rest"))
     used = join_checked(table.where("tokens > 0"), materialize(wanted), leaf, "inner")
     place = F.xxhash64(F.lit(target.seed), F.col("epochs_full"), "doc_id", "th")
-    placed = used.withColumn("place", place).withColumn("range", F.floor((F.col("place").cast("double") + 2.0**63) / (2.0**64 / RANGES)))
+    placed = used.withColumn("place", place).withColumn("range", F.floor((F.col("place").cast("double") + 2.0**63) / (2.0**64 / F.col("ranges"))))
     sums = placed.groupBy(*leaf, "range").agg(F.sum("tokens").alias("in_range"))
     before = F.coalesce(F.sum("in_range").over(Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = materialize(sums.withColumn("before", before))

@@ -414,6 +414,32 @@ def test_schedule_keeps_proportions():
     assert abs(s.taken(np.array([50]), np.array([0]), 512)[0] - 50 * 512 * 4 / 7) < 8
 
 
+def test_schedule_has_no_more_phases_than_queues():
+    rng = random.Random(8)
+    for _ in range(1000):
+        n = rng.randrange(1, 12)
+        totals = [rng.choice([1, rng.randrange(1, 50), rng.randrange(1, 10**6), rng.randrange(1, 10**12)]) for _ in range(n)]
+        weights = [rng.choice([0, 1, 1, 4, rng.randrange(1, 1000), rng.randrange(1, 10**12)]) for _ in range(n)]
+        s = packing.Schedule(totals, weights)
+        assert len(s.bases) <= n and s.total == sum(totals) == s.starts[-1]
+        for phase in range(len(s.bases)):
+            a, b = int(s.starts[phase]), int(s.starts[phase + 1])
+            x = sorted({a, b, *(rng.randrange(a, b + 1) for _ in range(5))})
+            for q in range(n):
+                c = s.taken(np.array(x), np.full(len(x), q), 1).tolist()
+                gift = int(s.gifts[phase, q + 1] - s.gifts[phase, q])
+                assert all(abs(y - c[0] - gift * (at - a) / (b - a)) < 1 + 1e-3 for at, y in zip(x, c))
+        assert [int(s.taken(np.array([s.total]), np.array([q]), 1)[0]) for q in range(n)] == totals
+    few = packing.Schedule([23 * 10**6] * 20, [4] + [1] * 19)  # a heavy queue ends, then all others at once
+    assert len(few.bases) <= 20 and few.bytes() < 20_000
+
+
+def test_shares_of_large_numbers_are_exact():
+    rng = random.Random(4)
+    x, part, whole = zip(*((rng.randrange(w + 1), rng.randrange(w + 1), w) for w in (rng.randrange(1, 2 ** rng.randrange(1, 51)) for _ in range(5000))))
+    assert packing.share_of(np.array(x), np.array(part), np.array(whole)).tolist() == [a * b // c for a, b, c in zip(x, part, whole)]
+
+
 def test_levels_keep_shares():
     """Many small sources behind few large ones: all tokens in one place each, and at any time each source within its share."""
     rng = random.Random(2)
@@ -434,8 +460,22 @@ def test_levels_keep_shares():
     assert list(at.values()) == tokens.tolist()
     early = Counter()
     for d, w, c in zip(doc, window, count):
-        early[place[d]] += int(c) if w < 10 else 0
-    assert abs(early[0] / early[1] - 9000 / 4000) < 0.2
+        early[place[d]] += int(c) if w < 1 else 0  # no queue ends so early
+    assert abs(early[0] / early[1] - 9000 / 4000) < 0.2, early
+
+
+def test_levels_give_every_token_one_place():
+    rng = random.Random(6)
+    for _ in range(60):
+        sources = sorted(((rng.choice([1, rng.randrange(1, 40), rng.randrange(1, 4000)]), rng.choice([1, 1, 2, rng.randrange(1, 10**6)])) for _ in range(rng.randrange(1, 40))), key=lambda s: -s[1])
+        levels = packing.Levels(sources, 64, 2, rng.choice([3, 20, 1000]))
+        n = np.array([t for t, _ in sources])
+        doc, window, first, count, offset = levels.pieces(np.arange(len(n)), np.zeros(len(n), np.int64), n)
+        taken = np.concatenate([np.arange(w * 64 + o, w * 64 + o + c) for w, o, c in zip(window, offset, count)])
+        assert (np.sort(taken) == np.arange(n.sum())).all() and (np.bincount(doc, count) == n).all() and (offset + count <= 64).all()
+        for d in range(len(n)):
+            at = doc == d
+            assert (first[at] == np.cumsum(count[at]) - count[at]).all()
 
 
 def fill(budget, children):
@@ -451,6 +491,48 @@ def fill(budget, children):
     return out
 
 
+def fill_whole(budget, children):
+    """In whole tokens: what rounding leaves goes by the largest fractions."""
+    budget = min(budget, sum(c for c, w in children.values() if w > 0))
+    real = fill(float(budget), children)
+    out = {k: int(x + 1e-6) for k, x in real.items()}
+    spare = round(budget - sum(out.values()))
+    for k in sorted((k for k in out if out[k] < children[k][0]), key=lambda k: (-(real[k] - out[k]), k))[:spare]:
+        out[k] += 1
+    return out
+
+
+def plain_budgets(budget, cap, weights):
+    """(domain, lang, source) -> whole tokens. cap: leaf -> capacity; weights: for each level, child -> weight."""
+    one = lambda level, k: weights[level].get(k, 1.0)
+    cap = {k: c if all(one(i, k[i]) > 0 for i in range(3)) else 0.0 for k, c in cap.items()}
+    given = {(): budget}
+    for level in range(3):
+        for node in [k for k in given if len(k) == level]:
+            names = {k[level] for k in cap if k[:level] == node}
+            children = {n: (sum(c for k, c in cap.items() if k[: level + 1] == (*node, n)), one(level, n)) for n in names}
+            given |= {(*node, n): b for n, b in fill_whole(given[node], children).items()}
+    return {k: v for k, v in given.items() if len(k) == 3}
+
+
+def test_budgets_with_zero_weights(spark):
+    rows = [("web", "en", "a", 10), ("web", "de", "a", 1000), ("books", "en", "b", 1000)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    got_ = {(r.domain, r.lang): r.budget for r in mixing.budgets(leaves, mixing.Target(langs={"de": 0.0}, share=502 / 2010, epochs=1)).collect()}
+    assert got_ == {("web", "en"): 10, ("web", "de"): 0, ("books", "en"): 492}
+    rng = random.Random(12)
+    for _ in range(6):
+        cap = {(d, x, y): rng.choice([0, rng.randrange(1, 30), rng.randrange(1, 10**6)]) for d in "pqr" for x in "uvw" for y in "abcd" if rng.random() < 0.8}
+        weights = [{k: rng.choice([0.0, 0.5, 1.0, 3.0, 7.0]) for k in names if rng.random() < 0.8} for names in ("pqr", "uvw", "abcd")]
+        share, epochs = rng.choice([0.01, 0.3, 0.9, 3.0]), rng.choice([1, 3])
+        leaves = spark.createDataFrame([(*k, c) for k, c in cap.items()], "domain string, lang string, source string, tokens long")
+        found = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(leaves, mixing.Target(*weights, share=share, epochs=epochs)).collect()}
+        budget = int(sum(cap.values()) * share)
+        assert found == plain_budgets(budget, {k: float(c * epochs) for k, c in cap.items()}, weights)
+        reach = sum(c * epochs for k, c in cap.items() if all(weights[i].get(k[i], 1.0) > 0 for i in range(3)))
+        assert sum(found.values()) == min(budget, reach)
+
+
 def test_mixing(spark, docs, texts):
     domains = spark.createDataFrame([("src1", "books"), ("src2", "web"), ("src3", "books"), ("src0", "web"), (None, "web")], "source string, domain string")
     target = mixing.Target(domains={"web": 3.0, "other": 0.5}, langs={"en": 2.0}, sources={"src1": 5.0}, share=0.7, epochs=2)
@@ -459,14 +541,7 @@ def test_mixing(spark, docs, texts):
         domain = "other" if source is None else "web" if int(source[-1]) % 2 == 0 else "books"
         leaf_of[i] = (domain, lang or "", source or "")
         tokens[leaf_of[i]] += len(words(t))
-    cap = {k: 2.0 * v for k, v in tokens.items()}
-    under = lambda *p: sum(c for k, c in cap.items() if k[: len(p)] == p)
-    want = {}
-    top = fill(float(int(sum(tokens.values()) * 0.7)), {d: (under(d), target.domains.get(d, 1.0)) for d in {k[0] for k in cap}})
-    for d, b in top.items():
-        for lang, b2 in fill(b, {x: (under(d, x), target.langs.get(x, 1.0)) for x in {k[1] for k in cap if k[0] == d}}).items():
-            for s, b3 in fill(b2, {x: (under(d, lang, x), target.sources.get(x, 1.0)) for x in {k[2] for k in cap if k[:2] == (d, lang)}}).items():
-                want[d, lang, s] = int(b3 + 1e-6)
+    want = plain_budgets(int(sum(tokens.values()) * 0.7), {k: 2.0 * v for k, v in tokens.items()}, (target.domains, target.langs, target.sources))
     taken = defaultdict(int)
     rows = mixing.mix(docs, target, domains).collect()
     for r in rows:
