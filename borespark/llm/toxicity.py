@@ -69,7 +69,7 @@ def pick_buckets(counts: DataFrame, least: int = 5) -> tuple[np.ndarray, np.ndar
     """(buckets, start, pace, rows counted), for all buckets in at least `least` rows.
 
     start: a bucket's log odds over all rows, if its chi-square says that they aren't chance, else 0. pace: how fast the fit may
-    move it; 1 for a sure bucket, a tenth for one without a signal of its own, which has to learn from pairs without following chance."""
+    move this linear weight; 1 for a sure bucket, a tenth for one without a signal of its own."""
     c = counts.toArrow()
     bucket, n, a = (c.column(k).to_numpy() for k in ("bucket", "n", "n_toxic"))
     big, t = int(n[bucket < 0].sum()), int(a[bucket < 0].sum())
@@ -85,51 +85,63 @@ def pick_buckets(counts: DataFrame, least: int = 5) -> tuple[np.ndarray, np.ndar
     return bucket, odds * sure, np.maximum(sure, 0.1), big
 
 
+class Batch:
+    """Rows of the fit, laid out once: the places they use, each row's terms as indexes into these, and the terms in the order of places."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, int]]):
+        rows = [r for r in rows if len(r[0])]
+        size = np.array([len(x) for x, _ in rows], np.int64)
+        self.y = np.array([y for _, y in rows], np.float32)
+        self.scale = (1 / np.sqrt(size)).astype(np.float32)
+        self.used, flat = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True)
+        self.flat = flat.astype(np.int32)
+        self.first = np.cumsum(size) - size
+        turn = np.argsort(flat, kind="stable")
+        self.row = np.repeat(np.arange(len(rows)), size)[turn].astype(np.int32)  # by place
+        self.segment = np.searchsorted(flat[turn], np.arange(len(self.used)))
+
+
 def fit(rows: list[tuple[np.ndarray, int]], size: int, factors: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7, pair_rate: float | None = None, start: np.ndarray | None = None, pace: np.ndarray | None = None) -> dict:
     """Adam on the log loss of the machine; rows are (places, label). A step moves the places of its rows alone; a place in no row
-    keeps its start and has no pairs."""
+    keeps its start and has no pairs. pace slows linear weights only: pairs are learnt also by buckets without a signal of their own."""
     rng = np.random.default_rng(seed)
-    y = np.array([r[1] for r in rows], float)
-    mean = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    mean = min(max(np.mean([y for _, y in rows]), 1e-6), 1 - 1e-6)
     start, pace = np.zeros(size) if start is None else start, np.ones(size) if pace is None else pace
-    p = {"w0": np.array([np.log(mean / (1 - mean))]), "w": start.copy(), "v": rng.normal(0, 0.01, (size, factors)).astype(np.float32)}
+    p = {"w0": np.array([np.log(mean / (1 - mean))]), "w": start.astype(np.float32), "v": rng.normal(0, 0.01, (size, factors)).astype(np.float32)}
+    start, pace = p["w"].copy(), pace.astype(np.float32)
     first, second = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     times, step = np.zeros(size, np.int64), 0
+    pair_rate = rate if pair_rate is None else pair_rate
+    order = rng.permutation(len(rows))
+    batches = [Batch([rows[i] for i in order[s : s + batch]]) for s in range(0, len(order), batch) if any(len(rows[i][0]) for i in order[s : s + batch])]
 
     def move(k: str, at: np.ndarray | slice, g: np.ndarray, n: np.ndarray | int, speed: np.ndarray | float) -> None:
         a, b = 0.9 * first[k][at] + 0.1 * g, 0.999 * second[k][at] + 0.001 * g * g
         first[k][at], second[k][at] = a, b
-        p[k][at] -= speed * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.999**n)) + 1e-8)
+        p[k][at] -= (speed / (1 - 0.9**n)) * a / (np.sqrt(b / (1 - 0.999**n)) + 1e-8)
 
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for s in range(0, len(order), batch):
-            part = order[s : s + batch]
-            at = [rows[i][0] for i in part]
-            flat, row = np.concatenate([*at, np.empty(0, np.int64)]), np.repeat(np.arange(len(part)), [len(x) for x in at])
-            used, flat = np.unique(flat, return_inverse=True)
-            w, v = p["w"][used], p["v"][used]
-            total = summed(v, flat, row, len(part))
-            scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(part)), 1))
-            err = (1 / (1 + np.exp(-np.clip(margins({"w0": p["w0"], "w": w, "v": v}, flat, row, len(part)), -30, 30))) - y[part]) / len(part)
-            pair = err * scale
-            gw = np.bincount(flat, err[row], len(used)) + shrink * (w - start[used])
-            gv = summed(pair[:, None] * total, row, flat, len(used)) - np.bincount(flat, pair[row], len(used))[:, None] * v + shrink * v
+        for i in rng.permutation(len(batches)):
+            b = batches[i]
+            w, v = p["w"][b.used], p["v"][b.used]
+            terms = v[b.flat]
+            total = np.add.reduceat(terms, b.first, axis=0)
+            pairs = (total * total - np.add.reduceat(terms * terms, b.first, axis=0)).sum(1)
+            z = p["w0"][0] + np.add.reduceat(w[b.flat], b.first) + 0.5 * pairs * b.scale
+            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - b.y) / len(b.y)).astype(np.float32)
+            pair = err * b.scale
+            gw = np.add.reduceat(err[b.row], b.segment) + shrink * (w - start[b.used])
+            gv = np.add.reduceat((pair[:, None] * total)[b.row], b.segment, axis=0) - np.add.reduceat(pair[b.row], b.segment)[:, None] * v + shrink * v
             step += 1
-            times[used] += 1
-            n = times[used]
-            move("w", used, gw, n, rate * pace[used])
-            move("v", used, gv, n[:, None], (rate if pair_rate is None else pair_rate) * pace[used, None])
+            times[b.used] += 1
+            n = times[b.used].astype(np.float32)
+            move("w", b.used, gw, n, rate * pace[b.used])
+            move("v", b.used, gv, n[:, None], pair_rate)
             move("w0", slice(None), np.array([err.sum()]), step, rate)
     p["v"][times == 0] = 0
     return p
 
 
-def summed(values: np.ndarray, of: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-    """The sums over i of values[of[i]] for each to[i], column by column."""
-    return np.stack([np.bincount(to, np.ascontiguousarray(c)[of], n) for c in values.T], 1)
-
-
 def margins(p: dict, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """w0 + linear + pairwise part, the latter as half of (sum v)**2 - sum v**2, by the root of the row's number of terms."""
     pairs = np.zeros(n)
@@ -141,7 +153,7 @@ def margins(p: dict, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, fit_rows: int = 20_000, seed: int = 7) -> dict | None:
     """Fit on labelled rows. Bucket statistics cover all of them and give the weights to start from; the fit moves those on `fit_rows`
-    rows with the least hash, in 500 steps at least."""
+    rows with the least hash, in 300 steps at least."""
     use = rows.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("long").alias("y"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
     kept, start, pace, counted = pick_buckets(bucket_counts(use.select("text", "y"), bits))
     share = min(1.0, (fit_rows + 8 * fit_rows**0.5) / max(counted, 1))  # by eight standard deviations enough rows pass
@@ -162,8 +174,8 @@ def train(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", label:
         return None
     sample.sort(key=lambda r: (r.h, bytes(r.at)))
     data = [(np.frombuffer(r.at, "<i4"), r.y) for r in sample]
-    epochs = max(6, -(-500 // -(-len(data) // 256)))
-    p = fit(data, len(kept), epochs=epochs, rate=0.01, pair_rate=0.02, seed=seed, start=start, pace=pace)
+    epochs = max(6, -(-300 // -(-len(data) // 256)))
+    p = fit(data, len(kept), epochs=epochs, rate=0.01, pair_rate=0.02, shrink=3e-3, seed=seed, start=start, pace=pace)
     del sample, data
     end_task()
     return p | {"place": place, "bits": bits}

@@ -300,6 +300,21 @@ def test_toxicity_learns_neutral_pairs_and_keeps_all_terms(spark):
     assert not low
 
 
+@pytest.mark.parametrize("rows, fillers, of", [(4000, 3, 20), (4000, 12, 200), (2500, 12, 200)])
+def test_toxicity_learns_exactly_one_of_two(spark, rows, fillers, of):
+    """Toxic if just one of two terms occurs: linear weights alone reach 0.75."""
+    rng, texts, y = random.Random(5), [], []
+    for _ in range(rows):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        terms = rng.sample([f"w{i}" for i in range(of)], fillers) + ["alpha"] * a + ["beta"] * b
+        rng.shuffle(terms)
+        texts.append(" ".join(terms))
+        y.append(int(a != b))
+    docs, labels = spark.createDataFrame(enumerate(texts), "doc_id long, text string"), spark.createDataFrame(enumerate(y), "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).where("held_out").collect()
+    assert len(out) > 400 and sum(r.predicted == y[r.doc_id] for r in out) >= 0.95 * len(out)
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(5)
