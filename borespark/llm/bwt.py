@@ -34,7 +34,7 @@ from .sketch import maybe_repeated, repeated_planes, width_bits
 
 SYMBOL = 40
 PORTION = 2_000_000
-_TABLE = byte_table(21, False)
+_TABLE = byte_table(21)
 _POWERS = Powers(0x9FB21C651E98DF25)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
@@ -170,19 +170,9 @@ def rolling(values: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     return mix64((total[width:] - total[:-width]) * down[: n - width + 1])
 
 
-_TEXT = Powers(0x2545F4914F6CDD1D)
-
-
-def byte_table(seed: int, fold: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; with fold, A-Z share those of a-z."""
-    t = random_words(256, seed)
-    if fold:
-        t[65:91] = t[97:123]
-    return t
-
-
-_NOT_SPACE = np.ones(256, bool)
-_NOT_SPACE[list(SPACE_BYTES)] = False
+def byte_table(seed: int) -> np.ndarray:
+    """A random 64-bit value for each byte."""
+    return random_words(256, seed)
 
 
 def text_parts(array: pa.Array, most: int = 500_000):
@@ -201,29 +191,71 @@ def text_parts(array: pa.Array, most: int = 500_000):
             i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of concatenated texts, and the number of words before each text (and in all)."""
-    if not len(data):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = _NOT_SPACE[data]
-    before = np.empty(len(data), bool)
-    before[0], before[1:] = False, solid[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
-    before[inner] = False
-    starts = np.flatnonzero(solid & ~before)
-    after = np.empty(len(data), bool)
-    after[-1], after[:-1] = False, solid[1:]
-    after[inner - 1] = False
-    ends = np.flatnonzero(solid & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = _TEXT.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+class _Numbers(dict):
+    """word -> its number; the digests of words not met before are listed in new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new, self.count = [], 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(hashlib.blake2b(word, digest_size=16).digest())
+        self.count += 1
+        if len(word) <= 64:  # longer ones are rare and would fill the memory
+            self[word] = self.count - 1
+        return self.count - 1
+
+
+class Digests:
+    """128-bit digests of words by a cryptographic hash, as two uint64, so that no purpose-made words meet; each short word is worked out once."""
+
+    MOST = 200_000
+
+    def __init__(self):
+        self.numbers, self.table = _Numbers(), np.empty((1024, 2), np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if self.numbers.count > self.MOST:
+            self.numbers = _Numbers()
+        known = self.numbers.count
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.new:
+            if self.numbers.count > len(self.table):
+                self.table = np.concatenate([self.table[:known], np.empty((2 * self.numbers.count - known, 2), np.uint64)])
+            self.table[known : self.numbers.count] = np.frombuffer(b"".join(self.numbers.new), np.uint64).reshape(-1, 2)
+            self.numbers.new.clear()
+        return self.table[at]
+
+
+_DIGESTS: list[Digests] = []
+KEPT.append(_DIGESTS.clear)
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Digests (two uint64) of the words of concatenated texts, and the number of words before each text (and in all). fold: A-Z as a-z."""
+    if not _DIGESTS:
+        _DIGESTS.append(Digests())
+    raw = data.tobytes().lower() if fold else data.tobytes()  # of bytes, lower() and split() know ASCII alone
+    lists = [raw[a:b].split() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+    return _DIGESTS[0].of(list(chain.from_iterable(lists))), np.cumsum([0, *map(len, lists)])
+
+
+_JOIN = np.uint64(0x9DDFEA08EB382D69)
+
+
+def composed(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of `width` consecutive values, by doubling; each step mixes, so no sum of values stands for a run."""
+    n = len(values)
+    if n < width:
+        return np.empty(0, np.uint64)
+    out, done, power, length = None, 0, values, 1
+    while True:
+        if width & length:
+            out = power.copy() if out is None else mix64(out[: n - done - length + 1] * _JOIN + power[done:])
+            done += length
+        if done == width:
+            return out
+        power, length = mix64(power[: n - 2 * length + 1] * _JOIN + power[length:]), 2 * length
 
 
 def texts_once(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:

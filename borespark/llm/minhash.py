@@ -4,7 +4,8 @@ A document's set is its distinct shingles of `width` words (A-Z lower-cased; wor
 Each of `rows * bands` permutations gives a minimum. Bands of `rows` minima propose candidates. Of each minimum only `BITS` low bits
 are kept, packed; two documents' agreement, corrected for chance collisions (J = (p - C) / (1 - C), C = 2**-BITS), is found by
 counting bits. A candidate is dropped only when so few agreements would be seen with probability under 1e-7 at the threshold,
-or when the set sizes exclude it; the others are confirmed on full sets.
+or when the set sizes exclude it; the others are confirmed on full sets, first of 64-bit hashes made from words' cryptographic digests, then, if those
+say yes, of the words themselves.
 
 Documents with equal sets are one representative from the start, so copies never form pairs. A bucket gives a spanning forest of the
 members that may be similar (one of more than `block` members is dealt out as pairs of blocks); its ties are confirmed, and links found so far make components. Clusters (what ties of all buckets
@@ -26,19 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, in_arrow, join_checked, materialize, mix64, random_words, text_parts, word_hashes, words
+from .common import in_arrow, join_checked, materialize, mix64, random_words, text_parts, word_digests
 from .graph import components
 
 BITS = 2
-_TABLE = byte_table(7, True)
 _K1, _K2 = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC3A5C85C97CB3127)
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct 64-bit shingle hashes."""
     for _, offsets, data in text_parts(column):
-        starts, ends, first = words(data, offsets)
-        h = word_hashes(data, starts, ends, _TABLE)
+        digests, first = word_digests(data, offsets, fold=True)
+        h = np.ascontiguousarray(digests[:, 0])
         n = np.diff(first)
         grams = h.copy() if width == 1 else None
         if width > 1:
@@ -58,6 +58,19 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
+def shingle_texts(text: str | None, width: int) -> set[tuple[bytes, ...]]:
+    """The text's set itself."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*(w[i:] for i in range(width)), strict=False)) if len(w) >= width else {tuple(w)} if w else set()
+
+
+def alike(x: str | None, y: str | None, width: int, share: int) -> bool:
+    """Whether two texts' sets, compared word by word, satisfy 100 * intersection >= share * union."""
+    a, b = shingle_texts(x, width), shingle_texts(y, width)
+    same = len(a & b)
+    return bool(a) and 100 * same >= share * (len(a) + len(b) - same)
+
+
 class Minima:
     def __init__(self, count: int):
         r = random_words(2 * count, 5)
@@ -216,9 +229,10 @@ def confirmed(links: DataFrame, docs: DataFrame, *, text: str, width: int, share
             keep = []
             for s in range(0, len(batch), 512):
                 part = batch.slice(s, 512)
-                for x, y in zip(shingle_sets(part.column(2), width), shingle_sets(part.column(3), width), strict=True):
+                for i, (x, y) in enumerate(zip(shingle_sets(part.column(2), width), shingle_sets(part.column(3), width), strict=True)):
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(bool(len(x)) and 100 * same >= share * (len(x) + len(y) - same))
+                    near = bool(len(x)) and 100 * same >= share * (len(x) + len(y) - same)
+                    keep.append(near and alike(part.column(2)[i].as_py(), part.column(3)[i].as_py(), width, share))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return in_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
@@ -260,7 +274,7 @@ def across(members: DataFrame, *, width: int, share: int, most: int, block: int
                 same = np.add.reduceat(mark[flat[at]], begin)
                 mark[flat[first[i] : first[i] + size[i]]] = 0
                 for j in later[100 * same >= share * (size[i] + k - same)]:
-                    if comp[i] != comp[j]:
+                    if comp[i] != comp[j] and alike(held[i][6], held[j][6], width, share):
                         out.append((int(ids[i]), int(ids[j])))
                         comp[comp == comp[j]] = comp[i]
             return out

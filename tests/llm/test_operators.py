@@ -83,6 +83,23 @@ def test_minhash(spark, docs, texts):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_made_to_collide(spark, size):
+    """Polynomial hashes modulo 2**64 can't tell these two words apart, whatever the base."""
+    x, y = thue_morse(size), thue_morse(size, True)
+    tail = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame(enumerate([f"{x} p q", f"{y} p q", f"{x} {tail}", f"{y} {tail}", f"{x} {tail}"]), "doc_id long, text string")
+    near = got(minhash.near_duplicates(docs.where("doc_id < 2")))
+    assert [near[i]["component_id"] for i in (0, 1)] == [0, 1] and [near[i]["n_shingles"] for i in (0, 1)] == [2, 2]
+    assert not minhash.alike(f"{x} p q", f"{y} p q", 2, 80) and minhash.alike("A b", "a  B", 2, 80)
+    cut = got(substring.remove_repeats(docs))
+    assert [cut[i]["n_removed"] for i in range(5)] == [0, 0, 0, 0, 20]
+
+
 def test_minhash_large_groups(spark):
     """Chains and clusters around the threshold, so that links across components of a bucket matter."""
     rng = random.Random(8)
