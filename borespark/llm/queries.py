@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, embeddings, minhash, mixing, oracles, packing, pii, secrets, substring, topk, toxicity
+from . import alignment, bwt, embeddings, minhash, mixing, oracles, packing, pii, secrets, substring, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -14,10 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def source_domains(docs: DataFrame) -> DataFrame:
@@ -75,5 +75,9 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.pii(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_embedding_near_dup, op4_mixing, op5_packing, op6_topk, op7_minhash, op8_suffix_array, op9_substring, op10_pii)}
+def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(table(spark, d, "documents"), path_a=tokenizer_path("byte_bpe_50k.json"), path_b=tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_embedding_near_dup, op4_mixing, op5_packing, op6_topk, op7_minhash, op8_suffix_array, op9_substring, op10_pii, op13_alignment)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
