@@ -64,4 +64,26 @@ runs as (select doc_id, count(*) size from (select doc_id, word, word - row_numb
 passages as (select doc_id, count(*) filter (size >= 51) n from runs group by 1)
 select doc_id, len(ws)::bigint n_words, coalesce(len(places), 0)::bigint n_removed, sha256(coalesce(list_aggregate(case when places is null then ws else list_transform(list_filter(range(1, len(ws) + 1), lambda i: not list_contains(places, i)), lambda i: ws[i]) end, 'string_agg', ' '), '')) kept_sha256, coalesce(n, 0)::bigint n_passages from w left join gone using (doc_id) left join passages using (doc_id)"""
 
-ORACLES = {"op2_secrets": OP2, "op3_embedding_near_dup": OP3, "op6_topk": OP6, "op7_minhash": OP7, "op9_substring": OP9}
+_BOOK = f"""with w as (select row_number() over () id, doc_id, coalesce(text, '') text, {_WORDS.format('text')} ws from documents),
+win as (select id, i, ws[i:i + 2] s from (select id, ws, unnest(range(1, len(ws) - 1)) i from w)),
+again as (select id, i from (select id, i, count(*) over (partition by id, s) n from win) where n > 1),
+r as (select id, count(distinct p) n from (select id, unnest([i, i + 1, i + 2]) p from again) group by 1),
+li as (select id, count(*) n, count(distinct line) d from (select id, unnest(string_split(text, chr(10))) line from w) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
+m as (select doc_id, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, coalesce(li.n - li.d, 0)::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, coalesce(li.n, 0) n_lines, len(regexp_extract_all(text, '[0-9]')) n_digits from w left join r using (id) left join li using (id)),
+f as (select *, n_words < 50 f0, 100 * n_repeat_words > 50 * n_words f1, 100 * n_symbols > 10 * n_words f2, 100 * n_dup_lines > 50 * n_lines f3, word_chars > 12 * n_words or word_chars < 2 * n_words f4, 100 * n_digits > 40 * word_chars f5 from m)
+"""
+OP12 = _BOOK + """select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 or f1 base_failed, not (f0 or f1 or f2 or f3 or f4 or f5) kept, (f0::int + 2 * f1::int + 4 * f2::int + 8 * f3::int + 16 * f4::int + 32 * f5::int)::bigint failed, 3 policy from f"""
+
+
+def _ablation(version: int, rules: dict[int, str]) -> str:
+    out = lambda keys: " or ".join(f"f{k}" for k in keys) or "false"
+    return " union all ".join(
+        f"select {version} policy, '{name}' rule, count(*) n_docs, count(*) filter (not ({out(rules)})) n_kept, count(*) filter (f{k}) n_failed, count(*) filter (f{k} and not ({out([j for j in rules if j != k])})) n_only, count(*) filter (not ({out([j for j in rules if j != k])})) n_kept_without from f having count(*) > 0"
+        for k, name in rules.items()
+    )
+
+
+_NAMES = dict(enumerate(("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "digits")))
+OP12_ABLATIONS = _BOOK + " union all ".join(_ablation(v, {k: _NAMES[k] for k in range(n)}) for v, n in ((1, 2), (2, 4), (3, 6)))
+
+ORACLES = {"op12_quality_rules": OP12, "op12_rule_ablations": OP12_ABLATIONS, "op2_secrets": OP2, "op3_embedding_near_dup": OP3, "op6_topk": OP6, "op7_minhash": OP7, "op9_substring": OP9}
