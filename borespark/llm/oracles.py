@@ -42,6 +42,12 @@ s as (select q.vec_id query_id, v.vec_id, list_dot_product(q.x, v.x)::bigint sco
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
+OP11 = f"""with v as (select distinct vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end lab, list_transform(embedding, lambda x: floor(256 * x::double)) x from embeddings where {_USABLE} and vec_id is not null and label is not null and len(embedding) > 0),
+s as (select a.id a, a.lab lab, v.lab other, v.id id, list_dot_product(a.x, v.x)::bigint score from v a join v on v.id <> a.id and len(v.x) = len(a.x) where a.id % 100 = 0),
+p as (select a, id positive_id, score positive_score, row_number() over (partition by a order by score desc, id) k from s where lab = other),
+n as (select p.a anchor_id, positive_id, row_number() over (partition by p.a, positive_id order by score desc, id)::int rank, id negative_id, positive_score, score negative_score from p join s on s.a = p.a and s.lab <> s.other and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score where k <= 5)
+select * from n where rank <= 10"""
+
 OP7 = f"""with recursive w as (select doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ws from documents),
 s as (select doc_id, list_distinct(case when len(ws) > 1 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) else ws end) x from w),
 n as (select doc_id, len(x)::bigint n from s),
@@ -86,4 +92,4 @@ def _ablation(version: int, rules: dict[int, str]) -> str:
 _NAMES = dict(enumerate(("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "digits")))
 OP12_ABLATIONS = _BOOK + " union all ".join(_ablation(v, {k: _NAMES[k] for k in range(n)}) for v, n in ((1, 2), (2, 4), (3, 6)))
 
-ORACLES = {"op12_quality_rules": OP12, "op12_rule_ablations": OP12_ABLATIONS, "op2_secrets": OP2, "op3_embedding_near_dup": OP3, "op6_topk": OP6, "op7_minhash": OP7, "op9_substring": OP9}
+ORACLES = {"op11_hard_negatives": OP11, "op12_quality_rules": OP12, "op12_rule_ablations": OP12_ABLATIONS, "op2_secrets": OP2, "op3_embedding_near_dup": OP3, "op6_topk": OP6, "op7_minhash": OP7, "op9_substring": OP9}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bwt, embeddings, minhash, mixing, oracles, packing, pii, rules, secrets, substring, topk, toxicity
+from . import alignment, bwt, embeddings, minhash, mixing, oracles, packing, pii, rtree, rules, secrets, substring, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -75,6 +75,12 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.pii(table(spark, d, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of every seventh id are moved on by one, as the contract has it."""
+    vectors = table(spark, d, "embeddings")
+    return rtree.hard_negatives(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def op12_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     book = rules.decide(rules.ledger(table(spark, d, "documents")), rules.POLICIES[-1])
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
@@ -88,5 +94,5 @@ def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment.align(table(spark, d, "documents"), path_a=tokenizer_path("byte_bpe_50k.json"), path_b=tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_embedding_near_dup, op4_mixing, op5_packing, op6_topk, op7_minhash, op8_suffix_array, op9_substring, op10_pii, op12_quality_rules, op12_rule_ablations, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_embedding_near_dup, op4_mixing, op5_packing, op6_topk, op7_minhash, op8_suffix_array, op9_substring, op10_pii, op11_hard_negatives, op12_quality_rules, op12_rule_ablations, op13_alignment)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
