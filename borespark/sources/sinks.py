@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import risk_level
-from ..operators.history import upsert
+from ..operators.history import delete, upsert
+from . import versions
 
 REGISTRY_COLUMNS = ("risk_id", "category", "title_en", "title_ru", "probability", "impact", "risk_level", "status", "mitigation_en", "linked_wells", "linked_pads")
 
@@ -41,29 +42,20 @@ def write_registry_csv(risks: DataFrame, path: str) -> None:
     registry_rows(risks).write.mode("overwrite").csv(path, header=True)
 
 
-def upsert_history(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Write history with new rows in; the table moves to a new version folder, and the pointer of versions is the largest number."""
-    old, version = latest(spark, path)
-    (new if old is None else upsert(old, new)).write.parquet(f"{path}/v={version + 1}")
+def upsert_history(spark: SparkSession, path: str, new: DataFrame, *, key: str = "task_id", order: str = "created_at", batch: tuple[str, int] | None = None) -> int:
+    """Insert or replace by key, as one commit (versions.commit); only the hash buckets of new keys are written again. new is read more than once. The number of the version."""
+    return versions.commit(spark, path, new, key, lambda old: upsert(new.limit(0) if old is None else old, new, key, order), batch=batch)
 
 
-def delete_history(spark: SparkSession, path: str, keys: DataFrame, key: str = "task_id") -> None:
-    old, version = latest(spark, path)
-    if old is not None:
-        old.join(keys.select(key), key, "left_anti").write.parquet(f"{path}/v={version + 1}")
+def delete_history(spark: SparkSession, path: str, keys: DataFrame, key: str = "task_id") -> int:
+    """Delete by key, as one commit; without a table nothing happens."""
+    old, number = versions.read(spark, path)
+    return number if old is None else versions.commit(spark, path, keys, key, lambda rows: delete(rows, keys, key))
 
 
 def latest(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    try:
-        every = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None, 0
-    version = every.agg(F.max("v")).first()[0]
-    if version is None:
-        return None, 0
-    return spark.read.parquet(f"{path}/v={version}"), int(version)
+    """(rows, number) of the last version; None and 0 before the first."""
+    return versions.read(spark, path)
 
 
 def append_npt_history(history: DataFrame, events: DataFrame) -> DataFrame:
@@ -78,4 +70,5 @@ def save_domain_results(results: DataFrame, path: str) -> None:
 
 
 def load_domain_results(spark: SparkSession, path: str, task_id: str) -> DataFrame:
+    """The results of one task; other tasks' files aren't opened."""
     return spark.read.parquet(path).where(F.col("task_id") == task_id)
