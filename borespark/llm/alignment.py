@@ -20,10 +20,11 @@ strings are plain text. Null ids, repeated rows and equal texts are rows like ot
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, count
 
 import numpy as np
@@ -60,10 +61,9 @@ def aligned(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) ->
     return ends, list(map(at_a.__getitem__, ends)), list(map(at_b.__getitem__, ends))
 
 
-def written(a: list[int], b: list[int], p: list[int], q: list[int]) -> list[str]:
-    """The groups of an alignment: a's ids and b's ids between two common ends."""
-    x, y = list(map(str, a)), list(map(str, b))
-    return [",".join(x[i:j]) + "|" + ",".join(y[k:m]) for i, j, k, m in zip([0, *p], p, [0, *q], q, strict=False)]
+def written(a: list[str], b: list[str], p: list[int], q: list[int]) -> list[str]:
+    """The groups of an alignment: a's ids and b's ids, as text, between two common ends."""
+    return [a[i] + "|" + b[k] if j - i == 1 == m - k else ",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip([0, *p], p, [0, *q], q, strict=False)]
 
 
 def last_of(ids: list[int], start: int, stop: int, size: list[int]) -> list[int]:
@@ -74,9 +74,17 @@ def last_of(ids: list[int], start: int, stop: int, size: list[int]) -> list[int]
     return ids[k:stop]
 
 
-def linked(a: list[int], b: list[int], p: list[int], q: list[int], size_a: list[int], size_b: list[int]) -> list[list[tuple[int, int]]]:
-    """For each slice, its linked ids."""
-    return [[(x, y) for x in last_of(a, i, j, size_a) for y in last_of(b, k, m, size_b)] for i, j, k, m in zip([0, *p], p, [0, *q], q, strict=False)]
+def linked(a: list[int], b: list[int], p: list[int], q: list[int], size_a: list[int], size_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(links (n, 2), how many each slice has)."""
+    if all(map(size_a.__getitem__, a)) and all(map(size_b.__getitem__, b)):  # one with one
+        both = [np.array(x, np.int64)[np.array(at, np.int64) - 1] for x, at in ((a, p), (b, q))]
+        return np.stack(both, 1), np.ones(len(p), np.int64)
+    found = [[(x, y) for x in last_of(a, i, j, size_a) for y in last_of(b, k, m, size_b)] for i, j, k, m in zip([0, *p], p, [0, *q], q, strict=False)]
+    return np.array([x for some in found for x in some], np.int64).reshape(-1, 2), np.array(list(map(len, found)), np.int64)
+
+
+#: Fixed value: how byte-level vocabularies of this kind split a text before they merge.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Aligner:
@@ -96,38 +104,59 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.text_of = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.plain_a = self.merger() or self.whole_a
         self.reset()
 
+    def whole_a(self, text: str) -> list[int]:
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def merger(self) -> Callable[[str], list[int]] | None:
+        """A faster encoder of plain text from the same vocabulary, if that is of the kind whose ids are the order of its merges."""
+        import tiktoken
+
+        model = json.loads(self.a.to_str())
+        kind, merges = model["pre_tokenizer"] or {}, [m if isinstance(m, list) else m.split(" ") for m in model["model"].get("merges", [])]
+        vocab, ordinary = model["model"]["vocab"], 256 + len(merges)
+        if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex") or model["normalizer"] or any(vocab.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)) or not all(self.bytes_a[:ordinary]):
+            return None
+        return tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks={self.bytes_a[i]: i for i in range(ordinary)}, special_tokens={}).encode_ordinary
+
+    def groups_of(self, a: list[int], b: list[int], p: list[int], q: list[int]) -> list[str]:
+        text = self.text_of.__getitem__
+        return written(list(map(text, a)), list(map(text, b)), p, q)
+
     def reset(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
         self.counts, self.begins, self.links = array("q"), array("q", [0]), array("q")
 
-    def encoded(self, whole: str) -> tuple[list[int], list[int]] | None:
+    def encoded(self, whole: str, encode_a: Callable[[str], list[int]]) -> tuple[list[int], list[int]] | None:
         """The ids of a blank or line end and what follows it; None if a side's tokens don't spell it. B itself writes a blank ahead of what it encodes."""
-        a = self.a.encode(whole, add_special_tokens=False).ids
+        a = encode_a(whole)
         b = [self.b.piece_to_id(BLANK)] if whole == " " else self.b.encode(whole[1:]) if whole[0] == " " else self.b.encode(whole)[1:]
         data = whole.encode("utf-8", "surrogatepass")
         return (a, b) if b"".join([self.bytes_a[x] for x in a]) == data and b"".join([self.bytes_b[x] for x in b]) == data else None
 
     def learn(self, chunks: list[str]) -> None:
         """Chunks one behind the other are encoded as one text, whose common ends tell them apart."""
-        found = self.encoded("".join(chunks))
+        found = self.encoded("".join(chunks), self.plain_a)
         if found is None:
             raise ValueError(f"plain chunks that the tokenizers do not spell: {chunks[:5]!r}")
         a, b = found
         ends, p, q = aligned(a, b, self.size_a, self.size_b)
-        groups, links = written(a, b, p, q), linked(a, b, p, q, self.size_a, self.size_b)
-        place, i, j, k = {e: n for n, e in enumerate(ends, 1)}, 0, 0, 0
-        for chunk, stop in zip(chunks, accumulate(len(c.encode()) for c in chunks), strict=True):
-            n = place[stop]  # a border that is no common end would be an error, not a wrong result
-            own = [x for links_ in links[k:n] for pair in links_ for x in pair]
-            self.number[chunk] = len(self.groups)
-            self.groups.append(";".join(groups[k:n]))
-            self.counts.extend((p[n - 1] - i, q[n - 1] - j, n - k))
-            self.links.extend(own)
-            self.begins.append(len(self.links) // 2)
-            i, j, k = p[n - 1], q[n - 1], n
+        stops = np.cumsum([len(c.encode()) for c in chunks])
+        n = np.searchsorted(ends, stops, "right")
+        if (np.array(ends)[n - 1] != stops).any():
+            raise ValueError("a token goes over the border of a chunk")
+        groups, (links, each) = self.groups_of(a, b, p, q), linked(a, b, p, q, self.size_a, self.size_b)
+        self.number.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks)), strict=True))
+        cut = n.tolist()
+        self.groups += [";".join(groups[i:j]) for i, j in zip([0, *cut], cut, strict=False)]
+        counts = np.stack([np.array(p)[n - 1], np.array(q)[n - 1], n], 1)
+        self.counts.frombytes(np.diff(counts, axis=0, prepend=0).astype(np.int64).tobytes())
+        self.begins.frombytes((self.begins[-1] + np.cumsum(each)[n - 1]).astype(np.int64).tobytes())
+        self.links.frombytes(links.tobytes())
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[list[int], str, np.ndarray]]:
         """([A tokens, B tokens, groups], digest, links (n, 2)) of each text."""
@@ -141,7 +170,8 @@ class Aligner:
         for c in new:
             if not c.strip(" \n"):  # white space at a text's end
                 self.learn([c])
-        counts, begins, links = np.array(self.counts, np.int64).reshape(-1, 3), np.array(self.begins, np.int64), np.array(self.links, np.int64).reshape(-1, 2)
+        counts, begins, links = (np.frombuffer(x, np.int64) if len(x) else np.empty(0, np.int64) for x in (self.counts, self.begins, self.links))
+        counts, links = counts.reshape(-1, 3), links.reshape(-1, 2)
         for t, chunks in zip(texts, parts, strict=True):
             if chunks:
                 at = list(map(self.number.__getitem__, chunks))
@@ -149,11 +179,10 @@ class Aligner:
                 size = begins[at + 1] - begins[at]
                 stop = np.cumsum(size)
                 yield counts[at].sum(0).tolist(), hashlib.sha256(text.encode()).hexdigest(), links[np.repeat(begins[at] - stop + size, size) + np.arange(stop[-1])]
-            elif t and (found := self.encoded(" " + t)):
+            elif t and (found := self.encoded(" " + t, self.whole_a)):
                 a, b = found
                 ends, p, q = aligned(a, b, self.size_a, self.size_b)
-                pairs = [x for some in linked(a, b, p, q, self.size_a, self.size_b) for x in some]
-                yield [len(a), len(b), len(ends)], hashlib.sha256(";".join(written(a, b, p, q)).encode()).hexdigest(), np.array(pairs, np.int64).reshape(-1, 2)
+                yield [len(a), len(b), len(ends)], hashlib.sha256(";".join(self.groups_of(a, b, p, q)).encode()).hexdigest(), linked(a, b, p, q, self.size_a, self.size_b)[0]
             else:
                 yield [0, 0, 0], "", np.empty((0, 2), np.int64)
 

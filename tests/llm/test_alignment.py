@@ -58,17 +58,19 @@ def test_tokens_without_bytes_share_an_end():
     size = [1, 2, 0]
     ends, p, q = alignment.aligned([0, 0, 2, 1], [1, 2, 0, 0], size, size)
     assert (ends, p, q) == ([2, 4], [3, 4], [2, 4])
-    assert alignment.linked([0, 0, 2, 1], [1, 2, 0, 0], p, q, size, size)[0] == [(0, 1), (0, 2), (2, 1), (2, 2)]
-    assert alignment.written([0, 0, 2, 1], [1, 2, 0, 0], p, q) == ["0,0,2|1,2", "1|0,0"]
+    links, each = alignment.linked([0, 0, 2, 1], [1, 2, 0, 0], p, q, size, size)
+    assert links[:4].tolist() == [[0, 1], [0, 2], [2, 1], [2, 2]] and each.tolist() == [4, 1]
+    assert alignment.linked([0, 0], [1], [2], [1], size, size)[0].tolist() == [[0, 1]]
+    assert alignment.written(list("0021"), list("1200"), p, q) == ["0,0,2|1,2", "1|0,0"]
 
 
 def test_chunks_align_as_whole_texts():
     known = alignment.Aligner(A, B)
     alignment_of = list(known.of(TEXTS))
     for t, (n, digest, links) in zip(TEXTS, alignment_of):
-        found = known.encoded(" " + t) if t else None
+        found = known.encoded(" " + t, known.whole_a) if t else None
         if found is None:
             assert (n, digest, len(links)) == ([0, 0, 0], "", 0)
             continue
         _, p, q = alignment.aligned(*found, known.size_a, known.size_b)
-        assert digest == hashlib.sha256(";".join(alignment.written(*found, p, q)).encode()).hexdigest() and n[:2] == [len(x) for x in found]
+        assert digest == hashlib.sha256(";".join(known.groups_of(*found, p, q)).encode()).hexdigest() and n[:2] == [len(x) for x in found]
