@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trir
+from . import pieces
 
 KEYS = ("well_id",)
 
@@ -27,10 +28,15 @@ def npt_total(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return events.groupBy(*keys).agg(F.round(F.sum(F.coalesce("duration_hrs", F.lit(0.0))), 3).alias("npt_hours"), F.count("*").alias("npt_events"))
 
 
-def npt_pareto(events: DataFrame, keys: tuple[str, ...] = KEYS, *, width: int = 50, top: int | None = 8) -> DataFrame:
-    """keys, label, hours, cumulative_pct: causes by hours, with the running share. top: a report limit for each key."""
-    sums = events.groupBy(*keys, F.substring("description", 1, width).alias("label")).agg(F.sum("duration_hrs").alias("hours"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("hours"), "label")
-    x = sums.withColumns({"run": F.sum("hours").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "all": F.sum("hours").over(Window.partitionBy(*keys)), "rank": F.row_number().over(order)})
+def npt_pareto(events: DataFrame, keys: tuple[str, ...] = KEYS, *, width: int = 50, top: int | None = 8, rows: int = pieces.ROWS) -> DataFrame:
+    """keys, label, hours, cumulative_pct: causes by hours, with the running share. top: a report limit for each key. A well of more than `rows` causes is cut
+    into pieces by hours."""
+    sums = events.groupBy(*keys, F.substring("description", 1, width).alias("label")).agg(F.sum("duration_hrs").alias("hours")).withColumn("less", -F.col("hours"))
+    parts = pieces.Cut(sums, keys, ["less", "label"], rows)
+    x = parts.carried(parts.df, {}, {"run": F.col("hours"), "ranks": F.lit(1)}) if parts.hot else parts.df
+    order, so_far = parts.window(), lambda c: F.col(f"{c}_before") if parts.hot else F.lit(0)
+    whole = sums.groupBy(*keys).agg(F.sum("hours").alias("all"))
+    x = x.withColumns({"run": F.sum("hours").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + so_far("run"), "rank": (F.row_number().over(order) + so_far("ranks")).cast("int")})
+    x = x.join(whole, list(keys)) if parts.hot else x.withColumn("all", F.sum("hours").over(Window.partitionBy(*keys, pieces.PIECE)))
     out = x.select(*keys, "label", F.round("hours", 3).alias("hours"), F.round(F.try_divide("run", "all") * 100, 3).alias("cumulative_pct"), "rank")
     return out if top is None else out.where(F.col("rank") <= top)

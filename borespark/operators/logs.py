@@ -6,35 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_curve, normalize_depth_unit
+from ..sources.scratch import sent_if_small, written
+from . import pieces
 
 KEYS = ("well_id",)
 GAMMA = ("GR", "GRC", "SGR")
 RESISTIVITY = ("RT", "RD", "RILD")
 
 
-def exact_quantiles(values: DataFrame, keys: tuple[str, ...], shares: tuple[float, ...], pieces: int = 64) -> DataFrame:
-    """keys, q: array of interpolated quantiles of column v, with no key in one task. Equal values are counted first; a key's values are cut into
-    pieces at approximate quantiles, ranks are running counts over pieces, then within one."""
-    counts = values.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    cuts = values.groupBy(*keys).agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 1000).alias("cuts"), F.count("*").alias("total"))
-    placed = counts.join(cuts, list(keys)).withColumn("piece", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
-    sums = placed.groupBy(*keys, "piece").agg(F.sum("c").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = placed.join(sums.select(*keys, "piece", before.alias("before")), [*keys, "piece"])
-    end = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = ranked.withColumn("stop", end)
-    at = lambda rank: F.max(F.when((F.col("stop") - F.col("c") <= rank) & (rank < F.col("stop")), F.col("v")))
+def exact_quantiles(values: DataFrame, keys: tuple[str, ...], shares: tuple[float, ...], rows: int = pieces.ROWS) -> DataFrame:
+    """keys, q: array of interpolated quantiles of column v. No key of more than `rows` values is in one task: it is cut into pieces along its values, by
+    their count; ranks are counts of the pieces before and places within one."""
+    parts = pieces.Cut(values, keys, ["v"], rows)
+    if not parts.hot:
+        return values.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q"))
+    totals = parts.df.groupBy(*keys).agg(F.count("*").alias("total"))
+    x = parts.carried(parts.df, {}, {"n": F.lit(1)}).join(sent_if_small(written(totals)), list(keys))
+    x = x.withColumn("rank", F.row_number().over(parts.window()) - 1 + F.col("n_before"))
     place = [(F.col("total") - 1) * F.lit(p) for p in shares]
-    found = ranked.groupBy(*keys, "total").agg(*[at(f(x)).alias(f"{n}{i}") for i, x in enumerate(place) for n, f in (("lo", F.floor), ("hi", F.ceil))])
-    return found.select(*keys, F.array(*[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (x - F.floor(x)) for i, x in enumerate(place)]).alias("q"))
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("v")))
+    found = x.groupBy(*keys, "total").agg(*[at(f(p)).alias(f"{n}{i}") for i, p in enumerate(place) for n, f in (("lo", F.floor), ("hi", F.ceil))])
+    return found.select(*keys, F.array(*[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]).alias("q"))
 
 
-def curve_stats(samples: DataFrame, keys: tuple[str, ...] = ("well_id", "mnemonic"), *, sentinel: float = -999.25, exact: bool = True) -> DataFrame:
+def curve_stats(samples: DataFrame, keys: tuple[str, ...] = ("well_id", "mnemonic"), *, sentinel: float = -999.25, exact: bool = True, rows: int = pieces.ROWS) -> DataFrame:
     """keys, n, min, max, mean, p10, p50, p90 of values that are neither the sentinel nor NaN. Keys that are null are left out."""
     v = F.nullif(F.nanvl("value", F.lit(None).cast("double")), F.lit(sentinel))
     shares, use = (0.1, 0.5, 0.9), samples.select(*keys, v.alias("v")).where("v is not null").dropna(subset=list(keys))
     out = use.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), *[] if exact else [F.percentile_approx("v", list(shares), 10000).alias("q")])
-    out = out.join(exact_quantiles(use, keys, shares), list(keys)) if exact else out
+    out = out.join(exact_quantiles(use, keys, shares, rows), list(keys)) if exact else out
     return out.select(*keys, "n", "min", "max", F.round("mean", 3).alias("mean"), *[F.round(F.col("q")[i], 3).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
@@ -55,14 +55,19 @@ def pay_mask(gr: Column, rt: Column, gr_cutoff: float | None = None, rt_cutoff:
     return F.coalesce((gr < (75.0 if gr_cutoff is None else gr_cutoff)) & (rt > (10.0 if rt_cutoff is None else rt_cutoff)) & ~F.isnan(gr) & ~F.isnan(rt), F.lit(False))
 
 
-def pay_intervals(logs: DataFrame, keys: tuple[str, ...] = KEYS, *, gr_cutoff: float | None = None, rt_cutoff: float | None = None, unit: str = "m", least: float | None = None, include_step: bool = False) -> DataFrame:
-    """keys, top, base, net: runs of pay samples in depth order that are thicker than 1.0 m or 3.0 ft."""
+def pay_intervals(logs: DataFrame, keys: tuple[str, ...] = KEYS, *, gr_cutoff: float | None = None, rt_cutoff: float | None = None, unit: str = "m", least: float | None = None, include_step: bool = False, rows: int = pieces.ROWS) -> DataFrame:
+    """keys, top, base, net: runs of pay samples in depth order that are thicker than 1.0 m or 3.0 ft. A well of more than `rows` samples is cut into pieces by
+    depth; an interval may go over their borders."""
     least = (1.0 if unit == "m" else 3.0) if least is None else least
-    w = Window.partitionBy(*keys).orderBy("depth")
-    x = logs.withColumn("pay", pay_mask(F.col("gr"), F.col("rt"), gr_cutoff, rt_cutoff))
-    step = F.lead("depth").over(w) - F.col("depth")
-    x = x.withColumn("step", F.coalesce(step, F.col("depth") - F.lag("depth").over(w), F.lit(0.0)))
-    x = x.withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*keys, "pay").orderBy("depth"))).where("pay")
+    parts = pieces.Cut(logs.withColumn("pay", pay_mask(F.col("gr"), F.col("rt"), gr_cutoff, rt_cutoff)), keys, ["depth"], rows)
+    w = parts.window()
+    x = parts.df if not parts.hot else parts.carried(parts.df, {"depth": F.col("depth")}, {"ranks": F.lit(1), "pays": F.col("pay").cast("int")})
+    near = lambda f, side: F.coalesce(f("depth").over(w), F.col(f"depth_{side}")) if parts.hot else f("depth").over(w)
+    x = x.withColumn("step", F.coalesce(near(F.lead, "after") - F.col("depth"), F.col("depth") - near(F.lag, "before"), F.lit(0.0)))
+    # a pay sample's place among all samples less its place among pay samples is the same within a run, and only there
+    place = F.row_number().over(w) + (F.col("ranks_before") if parts.hot else F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*keys, pieces.PIECE, "pay").orderBy("depth")) + (F.col("pays_before") if parts.hot else F.lit(0))
+    x = x.withColumn("island", place - own).where("pay")
     out = x.groupBy(*keys, "island").agg(F.min("depth").alias("top"), F.max("depth").alias("base"), F.max_by("step", "depth").alias("step"))
     net = F.col("base") - F.col("top") + (F.col("step") if include_step else F.lit(0.0))
     return out.withColumn("net", net).where(F.col("net") > least).select(*keys, "top", "base", "net", F.lit(0.6).alias("confidence"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import azimuth_mod, dls_band, valid_station
 from ..plans import dims
+from . import pieces
 
 KEYS = ("well_id",)
 
@@ -28,12 +29,16 @@ def survey_deltas(df: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str, .
     return df.withColumns({f"d_{n}": F.col(c) - F.lag(c).over(w) for n, c in (("md", "md"), ("inc", "inc_deg"), ("az", "az_deg"))})
 
 
-def minimum_curvature(df: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str, ...] = (), dls_base: float = 100.0) -> DataFrame:
-    """df with north, east, tvd (two places) and dls (three). One shuffle: all windows share keys and order."""
-    w = order(keys, tie)
+def minimum_curvature(df: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[str, ...] = (), dls_base: float = 100.0, rows: int = pieces.ROWS) -> DataFrame:
+    """df with north, east, tvd (two places) and dls (three). One shuffle: all windows share keys and order. A well of more than `rows` stations is cut into
+    pieces by depth; the last station and the sums so far are carried over their borders."""
+    parts = pieces.Cut(df, keys, ["md", *tie], rows)
+    w, before = parts.window(), ("md", "inc_deg", "az_deg")
+    x = parts.df if not parts.hot else parts.carried(parts.df, {c: F.col(c) for c in before})
+    lag = {c: F.lag(c).over(w) if not parts.hot else F.coalesce(F.lag(c).over(w), F.col(f"{c}_before")) for c in before}
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     i2, a2 = F.radians("inc_deg"), F.radians("az_deg")
-    x = df.withColumns({"i1": F.radians(F.lag("inc_deg").over(w)), "a1": F.radians(F.lag("az_deg").over(w)), "dmd": F.col("md") - F.lag("md").over(w)})
+    x = x.withColumns({"i1": F.radians(lag["inc_deg"]), "a1": F.radians(lag["az_deg"]), "dmd": F.col("md") - lag["md"]})
     i1, a1 = F.col("i1"), F.col("a1")
     cosine = F.cos(i2 - i1) - F.sin(i1) * F.sin(i2) * (1 - F.cos(a2 - a1))
     x = x.withColumn("dl", F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0))))
@@ -41,8 +46,10 @@ def minimum_curvature(df: DataFrame, keys: tuple[str, ...] = KEYS, tie: tuple[st
     half = F.col("dmd") / 2 * factor
     steps = {"dn": half * (F.sin(i1) * F.cos(a1) + F.sin(i2) * F.cos(a2)), "de": half * (F.sin(i1) * F.sin(a1) + F.sin(i2) * F.sin(a2)), "dv": half * (F.cos(i1) + F.cos(i2))}
     x = x.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in steps.items()})
+    x = x if not parts.hot else parts.carried(x, {}, {c: F.col(c) for c in steps})
+    total = lambda c: F.sum(c).over(run) + (F.col(f"{c}_before") if parts.hot else F.lit(0.0))
     dls = F.when(F.col("dmd") > 0, F.degrees("dl") * dls_base / F.col("dmd")).otherwise(0.0)
-    return x.select(*df.columns, *[F.round(F.sum(c).over(run), 2).alias(n) for n, c in (("north", "dn"), ("east", "de"), ("tvd", "dv"))], F.round(dls, 3).alias("dls"))
+    return x.select(*df.columns, *[F.round(total(c), 2).alias(n) for n, c in (("north", "dn"), ("east", "de"), ("tvd", "dv"))], F.round(dls, 3).alias("dls"))
 
 
 def trajectory_summary(traj: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
