@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import match
-from ..sources import files, sinks
+from ..sources import files, scratch, sinks
 from . import dims, pipelines
-from .registry import RISKS, STAGES, SURVEY, query, ranked_logs, risks, samples, series, stages, stations, table
+from .registry import ORACLES, RISKS, STAGES, SURVEY, query, ranked_logs, risks, samples, series, stages, stations, table
 from .rule_queries import report_texts
 
 _LAS = "(case when cast(json_extract_string(props, '$.k') as int) = 0 then null else floor(value) end)::double"
@@ -42,6 +42,28 @@ def delimited_cells(spark, d):
     return files.delimited_cells(rows.select("o_custkey", text.alias("text")), ("o_custkey",))
 
 
+@query(ORACLES["las_samples"])
+def las_files(spark, d):
+    """The same logs as files, which many tasks read in blocks."""
+    folder = scratch.new_folder(spark)
+    log_texts(spark, d).write.partitionBy("well_id").text(folder)
+    well = F.regexp_extract("file_id", r"well_id=(\d+)", 1).cast("long")
+    return files.read_las(spark, folder)[2].select(well.alias("well_id"), "depth", "mnemonic", "value")
+
+
+@query("with o as (select o_orderkey % 20 sheet, row_number() over (partition by o_orderkey % 20 order by o_orderkey) - 1 row_no, o_orderkey, o_orderpriority from orders) select sheet, row_no, col_no, col_name, unit, \"value\" from (select sheet, row_no, unnest([0, 1, 2]) col_no, unnest(['Depth', 'Rate', 'Note']) col_name, unnest(['ft', 'bopd', null]) unit, unnest([o_orderkey::varchar, (o_orderkey % 7)::varchar, o_orderpriority]) \"value\" from o)")
+def delimited_files(spark, d):
+    """Twenty table files, each with its own delimiter, read in blocks."""
+    folder, sheet = scratch.new_folder(spark), F.col("o_orderkey") % 20
+    sep = F.element_at(F.array(F.lit(","), F.lit("\t"), F.lit("|"), F.lit(";")), (sheet % 4 + 1).cast("int"))
+    line = F.concat(F.col("o_orderkey").cast("string"), sep, (F.col("o_orderkey") % 7).cast("string"), sep, F.lit('"'), F.col("o_orderpriority"), F.lit('"'))
+    rows = table(spark, d, "orders").select(sheet.alias("sheet"), F.col("o_orderkey").alias("at"), line.alias("line"))
+    heads = rows.select("sheet").distinct().withColumn("o_orderkey", F.col("sheet")).select("sheet", F.lit(-1).cast("long").alias("at"), F.concat(F.lit("Depth"), sep, F.lit("Rate"), sep, F.lit("Note\nft"), sep, F.lit("bopd"), sep, F.lit("\n")).alias("line"))
+    rows.unionByName(heads).repartition(20, "sheet").sortWithinPartitions("sheet", "at").select("sheet", "line").write.partitionBy("sheet").text(folder)
+    found = files.read_delimited(spark, folder)
+    return found.select(F.regexp_extract("file_id", r"sheet=(\d+)", 1).cast("long").alias("sheet"), "row_no", "col_no", "col_name", "unit", "value")
+
+
 _TYPES = [("well.las", "x", "las_well_log", 0.99), ("log.dat", "~Version 2.0", "las_well_log", 0.95), ("frame.bin", "xx DLIS", "dlis_log_container", 0.80), ("book.xlsx", "x", "spreadsheet", 0.99), ("rates.csv", "x", "csv_data", 0.99), ("site.xml", "<WITSML version>", "witsml_export", 0.90), ("other.xml", "<a/>", "xml_document", 0.70), ("notes.txt", "x", "text_file", 0.85), ("what", "x", "unknown", 0.10)]
 
 
