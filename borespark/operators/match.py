@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import arg_max, contains_any, hits, normalize_api, normalize_name
 from ..plans import dims
+from ..sources.scratch import sent_if_small, written
 
 
 def names_match(a: Column, b: Column) -> Column:
@@ -58,24 +61,35 @@ def name_members(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def name_links(entities: DataFrame, projects: DataFrame) -> DataFrame:
     """field, entity_name, project_name, confidence for classes (name_members of either side) whose names match.
 
-    A name lies in another if it equals one of its parts, so each direction is an equi-join of classes on parts; only parts of a
-    length that occurs on the other side are made, and a class is one row however many rows share its name. The confidence of a
-    pair of rows is the sum over the fields in which their classes are linked."""
-    e, p = (m.select("field", "name").distinct() for m in (entities, projects))
-
-    def within(long: DataFrame, short: DataFrame) -> DataFrame:
-        lengths = short.groupBy("field").agg(F.collect_set(F.length("name")).alias("lengths"))
-        n = F.length("name")
-        use = F.when(F.col("field") == "api", F.array(n)).otherwise(F.filter("lengths", lambda k: k <= n))
-        parts = F.flatten(F.transform(use, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("name"), i, k))))
-        held = long.join(F.broadcast(lengths), "field").select("field", "name", F.explode(F.array_distinct(parts)).alias("part"))
-        return held.join(short.select("field", F.col("name").alias("part")), ["field", "part"]).select("field", "name", "part")
-
-    both = within(e, p).toDF("field", "entity_name", "project_name").union(within(p, e).select("field", "part", "name")).distinct()
+    A class is one row however many rows share its name. "Name in name" goes through postings: of a name's three-letter parts, the one that the fewest names of
+    the other side hold is its posting, and only names that hold it are looked at; a name with a part that none of them holds is dropped at
+    once. Names of one or two letters meet parts of that length. The confidence of a pair of rows is the sum over the fields in which their classes are linked."""
+    e, p = (written(m.select("field", "name").distinct()) for m in (entities, projects))
+    same = e.join(p, ["field", "name"]).select("field", "name", F.col("name").alias("part"))
+    both = same.toDF("field", "entity_name", "project_name").union(names_within(e, p).toDF("field", "entity_name", "project_name")).union(names_within(p, e).select("field", "part", "name")).distinct()
     weights = F.create_map(*[F.lit(x) for kv in dims.MATCH_WEIGHTS.items() for x in kv])
     return both.withColumn("confidence", F.round(weights[F.col("field")] / 10, 3))
 
 
+def parts_of(name: Column, length: int) -> Column:
+    """The distinct parts of so many letters."""
+    n = F.length(name)
+    return F.when(n < length, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.substring(name, i, F.lit(length)))))
+
+
+def names_within(long: DataFrame, short: DataFrame) -> DataFrame:
+    """field, name, part: names of long that hold a shorter name of short. APIs match whole, never in parts."""
+    long, short = (x.where("field <> 'api'") for x in (long, short))
+    held = long.select("field", "name", F.explode(parts_of(F.col("name"), 3)).alias("gram"))
+    spread = held.groupBy("field", "gram").agg(F.count("*").alias("n"))
+    asked = short.where(F.length("name") >= 3).select("field", F.col("name").alias("part"), F.explode(parts_of(F.col("name"), 3)).alias("gram"))
+    rarest = asked.join(spread, ["field", "gram"], "left").groupBy("field", "part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("missing")).where("missing = 0").drop("missing")
+    found = held.join(rarest, ["field", "gram"]).where(F.contains("name", F.col("part")) & (F.length("name") > F.length("part")))
+    tiny = short.where(F.length("name") < 3).select("field", F.col("name").alias("part"))
+    pieces = long.select("field", "name", F.explode(F.concat(parts_of(F.col("name"), 1), parts_of(F.col("name"), 2))).alias("part")).where(F.length("name") > F.length("part"))
+    return found.select("field", "name", "part").union(pieces.join(tiny, ["field", "part"]).select("field", "name", "part"))
+
+
 def best_project(matches: DataFrame) -> DataFrame:
     return matches.withColumn("rn", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("confidence"), "project_name"))).where("rn = 1").drop("rn")
 
@@ -93,27 +107,73 @@ def concat_domain_rows(parts: dict[str, DataFrame], name: str = "file_id") -> Da
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), every)
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
-
-
 def depth_tolerance(depth: Column) -> Column:
     return F.when(depth < 10000, 300.0).otherwise(1000.0)
 
 
-def pad_history_risks(current: DataFrame, history: DataFrame, *, k: int = 5, tolerance: float | None = None) -> DataFrame:
+def nearest(k: int, extra: list[str]):
+    """For cogrouped queries and events of one cell: of each query its k most similar events, so that pairs never become rows."""
+
+    def unit(column: pa.ChunkedArray, d: int) -> np.ndarray:
+        flat = np.array(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, d)
+        size = np.sqrt((flat * flat).sum(1, keepdims=True))
+        return np.divide(flat, size, out=np.full_like(flat, np.nan), where=size > 0)
+
+    def run(queries: pa.Table, events: pa.Table) -> pa.Table:
+        take_q, take_h, cosines = [], [], []
+        size = lambda t, c: np.array([-1 if v is None else len(v) for v in t.column(c).to_pylist()])
+        q_size, h_size = size(queries, "own"), size(events, "embedding")
+        own, well, at, reach, depth = (np.asarray(t.column(c)) for t, c in ((queries, "own_key"), (events, "well_key"), (queries, "own_depth"), (queries, "reach"), (events, "depth")))
+        order = np.unique(np.array(events.column("event_id").to_pylist(), object), return_inverse=True)[1] if len(events) else np.empty(0, np.int64)
+        for i0 in range(0, len(queries), 256):
+            part = np.arange(i0, min(i0 + 256, len(queries)))
+            score = np.full((len(part), len(events)), np.nan)
+            for d in set(q_size[part].tolist()) & set(h_size.tolist()) - {-1, 0}:
+                i, j = np.flatnonzero(q_size[part] == d), np.flatnonzero(h_size == d)
+                score[np.ix_(i, j)] = unit(queries.column("own").take(pa.array(part[i])), d) @ unit(events.column("embedding").take(pa.array(j)), d).T
+            near = (np.abs(depth[None, :] - at[part, None]) <= reach[part, None]) & (well[None, :] != own[part, None])
+            for r, i in enumerate(part.tolist()):
+                j = np.flatnonzero(near[r])
+                rank = np.where(np.isnan(score[r, j]), -np.inf, score[r, j])  # without a similarity: last
+                if len(j) > k:
+                    keep = rank >= -np.partition(-rank, k - 1)[k - 1]
+                    j, rank = j[keep], rank[keep]
+                j = j[np.lexsort((order[j], -rank))[:k]]
+                take_q += [i] * len(j)
+                take_h += j.tolist()
+                cosines += score[r, j].tolist()
+        found = events.take(pa.array(take_h, pa.int64()))
+        similarity = pa.array(cosines, pa.float64(), from_pandas=True)
+        return pa.Table.from_arrays([queries.column("query_id").take(pa.array(take_q, pa.int64())), *[found.column(c) for c in ("event_id", "pad_id", "well_id", "depth")], similarity, *[found.column(c) for c in extra]], ["query_id", "event_id", "pad_id", "well_id", "depth", "cos", *extra])
+
+    return run
+
+
+def pad_history_risks(current: DataFrame, history: DataFrame, *, k: int = 5, tolerance: float | None = None, block: int = 4096) -> DataFrame:
     """current (query_id, pad_id, depth, embedding) with the k most similar events of other wells on the same pad within a depth
-    tolerance. The range join is an equi-join on depth bins: history goes to its own bin, queries to the bins they reach."""
+    tolerance; ties by event_id, events without a similarity last.
+
+    The range join is by depth bins: history goes to its own bin, queries to the bins they reach. A bin of more than `block` events or queries is dealt out as cells
+    of blocks of both. A cell gives each of its queries its k best; only these meet again."""
     step = 300.0 if tolerance is None else float(tolerance)
     reach = F.lit(step) if tolerance is not None else depth_tolerance(F.col("depth"))
     bins = F.explode(F.sequence(F.floor((F.col("depth") - reach) / step), F.floor((F.col("depth") + reach) / step)))
-    q = current.select("query_id", "pad_id", F.col("well_id").alias("own_well"), F.col("depth").alias("own_depth"), F.col("embedding").alias("own"), reach.alias("reach"), bins.alias("bin"))
-    h = history.withColumn("bin", F.floor(F.col("depth") / step))
-    near = q.join(h, ["pad_id", "bin"]).where((F.abs(F.col("depth") - F.col("own_depth")) <= F.col("reach")) & ~F.col("well_id").eqNullSafe(F.col("own_well")))
-    s = near.withColumn("cos", cosine("own", "embedding"))
-    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "event_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "event_id", "pad_id", "well_id", "depth", F.round("cos", 3).alias("similarity"), *[c for c in ("raw_text", "npt_hours", "severity") if c in history.columns])
+    extra = [c for c in ("raw_text", "npt_hours", "severity") if c in history.columns]
+    q = current.where("depth is not null and pad_id is not null").select("query_id", "pad_id", F.xxhash64("well_id").alias("own_key"), F.col("depth").cast("double").alias("own_depth"), F.col("embedding").alias("own"), reach.cast("double").alias("reach"), bins.alias("bin"))
+    h = history.where("depth is not null and pad_id is not null").select("event_id", "pad_id", "well_id", F.xxhash64("well_id").alias("well_key"), F.col("depth").cast("double").alias("depth"), "embedding", *extra, F.floor(F.col("depth") / step).alias("bin"))
+    cell = ["pad_id", "bin"]
+    hot = lambda x, n: x.groupBy(*cell).agg(F.ceil(F.count("*") / block).alias(n))
+    parts = hot(q, "q_parts").join(hot(h, "h_parts"), cell).where("q_parts > 1 or h_parts > 1")
+    parts = sent_if_small(written(parts))
+    one = lambda c: F.coalesce(c, F.lit(1))
+    dealt = lambda x, key, own, other: x.join(parts, cell, "left").withColumn(f"{own}_part", F.pmod(F.xxhash64(key), one(F.col(f"{own}_parts")))).withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("long"), one(F.col(f"{other}_parts")) - 1))).drop("q_parts", "h_parts")
+    h = h.toDF(*h.columns)  # columns of its own, as both sides may come from one table
+    keys = [*cell, "q_part", "h_part"]
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(q, 'query_id')}, event_id {kind(h, 'event_id')}, pad_id {kind(h, 'pad_id')}, well_id {kind(h, 'well_id')}, depth double, cos double" + "".join(f", {c} {kind(h, c)}" for c in extra)
+    near = dealt(q, "query_id", "q", "h").groupBy(*keys).cogroup(dealt(h, "event_id", "h", "q").groupBy(*keys)).applyInArrow(nearest(k, extra), schema)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "event_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "event_id", "pad_id", "well_id", "depth", F.round("cos", 3).alias("similarity"), *extra)
 
 
 def predictive_flags(matches: DataFrame) -> DataFrame:

@@ -328,6 +328,19 @@ def project_match_members(spark, d):
     return both.select("side", "field", "name", "id")
 
 
+_API = "with e as (select s_suppkey id, n_name field, lower(replace(s_name, '#', ' ')) nm, lpad((s_suppkey % 40)::varchar, 10, '4') api from supplier join nation on n_nationkey = s_nationkey), p as (select c_custkey id, n_name field, lower(replace(c_name, '#', ' ')) nm, lpad((c_custkey % 90)::varchar, 10, '4') api, case when c_custkey % 3 = 0 then ['supplier ' || lpad((c_custkey % 50)::varchar, 9, '0'), (c_custkey % 7)::varchar] when c_custkey % 3 = 1 then [] end aliases from customer join nation on n_nationkey = c_nationkey)"
+
+
+@query(_API + ", m as (select e.id file_id, p.id project_name, e.api = p.api a, contains(e.nm, p.nm) or contains(p.nm, e.nm) or coalesce(len(list_filter(aliases, lambda x: contains(e.nm, x) or contains(x, e.nm))) > 0, false) w, contains(lower(e.field), lower(p.field)) or contains(lower(p.field), lower(e.field)) f from e, p) select file_id, project_name, round((3 * a::int + 3 * w::int + 1.5 * f::int) / 10, 3)::double confidence, array_to_string(list_filter([case when a then 'api' end, case when w then 'well_name' end, case when f then 'field' end], lambda x: x is not null), ',') matched from m where a or w or f")
+def project_match_all(spark, d):
+    """Every supplier against every customer by API, by name or alias, and by field."""
+    n, digit = table(spark, d, "nation"), lambda c, m: F.lpad((F.col(c) % m).cast("string"), 10, "4")
+    e = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("file_id"), F.col("n_name").alias("field"), F.col("s_name").alias("well_name"), F.concat(F.lit("API-"), digit("s_suppkey", 40)).alias("api"))
+    alias = F.when(F.col("c_custkey") % 3 == 0, F.array(F.concat(F.lit("Well Supplier #"), F.lpad((F.col("c_custkey") % 50).cast("string"), 9, "0")), (F.col("c_custkey") % 7).cast("string"))).when(F.col("c_custkey") % 3 == 1, F.array().cast("array<string>"))
+    p = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("project_name"), F.col("n_name").alias("field"), F.col("c_name").alias("well_name"), digit("c_custkey", 90).alias("api"), alias.alias("aliases"))
+    return match.project_match(e, p).select("file_id", "project_name", "confidence", F.array_join("matched", ",").alias("matched"))
+
+
 @query("with q as (select vec_id query_id, label, embedding from embeddings), s as (select query_id, vec_id event_id, list_cosine_similarity(q.embedding::double[], h.embedding::double[]) c from q join embeddings h using (label) where abs(vec_id - query_id) <= 100 and vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by c desc, event_id) rank from s) select query_id, rank, event_id, round(c, 3) + 0.0 similarity from r where rank <= 5")
 def pad_history_risks(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("pad_id"), F.col("vec_id").cast("double").alias("depth"), "embedding")
