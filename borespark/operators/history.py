@@ -81,3 +81,34 @@ def well_metrics(*, risks: DataFrame | None = None, parts: list[DataFrame] = (),
     for p in parts:
         out = p if out is None else out.join(p, key, "full_outer")
     return out
+
+
+def comparison_metrics(features: DataFrame, risks: DataFrame | None = None, npt_events: DataFrame | None = None, stations: DataFrame | None = None, key: str = "well_id") -> DataFrame:
+    """One row for each well with the 24 metrics that wells are compared by; what is absent counts as 0, of alternatives the first that isn't 0 holds.
+
+    features: a row for each well, with any of the columns of the domains' KPI tables. risks: probability, impact, risk_level and linked_wells. npt_events (key,
+    description, duration_hrs) and stations (key, md, dls) come as lists, in the order of their text and of md, each whole."""
+    known = set(features.columns)
+    first = lambda *cs: F.coalesce(*[F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in cs if c in known], F.lit(0.0))
+    one = {
+        "npt_hours": ("npt_hours",), "current_depth": ("current_depth_m", "measured_depth_m", "current_depth_ft"), "rop": ("rop_m_hr", "rop_ft_hr"), "mud_weight": ("mud_weight_sg", "mud_weight_ppg"), "max_dls": ("max_dls",), "max_inclination": ("max_inc", "max_inc_deg"), "total_md": ("total_md",), "total_tvd": ("total_tvd",),
+        "total_net_pay": ("total_net_pay",), "pay_zone_count": ("pay_zone_count",), "stage_count": ("stage_count", "stage_count_actual"), "ip30": ("ip30",), "ip90": ("ip90",), "hse_incidents": ("incidents",), "hse_npt_hours": ("hse_npt_hours",),
+    }
+    out = features.select(key, *[first(*cs).alias(n) for n, cs in one.items()], *([first("npt_events").cast("long").alias("npt_events")] if npt_events is None else []))
+    names = {"total_risks": F.lit(True)} | {f"{n}_risks": F.col("risk_level") == n for n in ("critical", "high", "medium", "low")}
+    if risks is None:
+        out = out.withColumns({n: F.lit(0).cast("long") for n in names} | {"risk_score": F.lit(0.0)})
+    else:
+        each = risks.select(F.explode("linked_wells").alias("w"), "risk_level", (F.col("probability") * F.col("impact")).alias("s"))
+        counts = each.groupBy(F.col("w").cast(features.schema[key].dataType).alias(key))
+        out = out.join(counts.agg(*[F.count_if(c).alias(n) for n, c in names.items()], F.round(F.avg("s"), 2).alias("risk_score")), key, "left").fillna(0, [*names, "risk_score"])
+    lists = {"npt_event_details": (npt_events, F.struct(F.substring("description", 1, 100).alias("description"), F.coalesce("duration_hrs", F.lit(0.0)).alias("duration"))), "dls_stations": (stations, F.struct("md", "dls"))}
+    kinds = {"npt_event_details": "array<struct<description:string,duration:double>>", "dls_stations": "array<struct<md:double,dls:double>>"}
+    for name, (rows, item) in lists.items():
+        if rows is not None:
+            found = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).cast(kinds[name]).alias(name), *[F.count("*").alias("npt_events")] * (name == "npt_event_details"))
+            out = out.join(found, key, "left")
+        else:
+            out = out.withColumn(name, F.lit(None).cast(kinds[name]))
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(kinds[name])))
+    return out.fillna(0, ["npt_events"])

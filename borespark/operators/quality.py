@@ -79,8 +79,8 @@ def scorecard(checked: DataFrame, checks: dict[str, dict[str, Column]], keys: tu
     return out.withColumn("pct", pct).withColumn("status", F.when(F.col("pct") >= 80, "PASS").when(F.col("pct") >= 50, "WARN").otherwise("FAIL"))
 
 
-def qa_scorecard(wells: DataFrame, flags: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """The 26 checks of the six domains for wells with the columns of pipelines.well_features; absent columns count as missing."""
+def qa_checks(wells: DataFrame, flags: DataFrame, keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, dict[str, dict[str, Column]]]:
+    """(wells with their flags' codes, the 26 checks of the six domains as conditions on them); absent columns count as missing."""
     has = lambda *cols: F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).isNotNull() & (F.col(c).cast("string") != "") & (F.col(c).cast("string") != "0") & (F.col(c).cast("string") != "0.0"), F.lit(False)) if c in known else F.lit(False) for c in cols]), F.lit(False))
     codes = flags.groupBy(*keys).agg(F.collect_set("code").alias("codes"))
     joined = wells.join(codes, list(keys), "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
@@ -96,7 +96,27 @@ def qa_scorecard(wells: DataFrame, flags: DataFrame, keys: tuple[str, ...] = KEY
         "directional": {"Survey stations present": F.col("stations") >= 3 if "stations" in known else F.lit(False), "No inclination jumps": no("INC_JUMP"), "No high DLS": no("HIGH_DLS"), "No survey gaps": no("SURVEY_GAP")},
         "hse": {"No fatalities": zero("fatality"), "No LTIs": zero("lti"), "SIF potentials reviewed": zero("sif_near_miss")},
     }
-    return scorecard(joined, checks, keys)
+    return joined, checks
+
+
+def qa_scorecard(wells: DataFrame, flags: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The 26 checks of the six domains for wells with the columns of pipelines.well_features."""
+    return scorecard(*qa_checks(wells, flags, keys), keys)
+
+
+def qa_document(wells: DataFrame, flags: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, report: the scorecard of each well as a text, with every check under its domain. Written inside each row, nothing is gathered."""
+    joined, checks = qa_checks(wells, flags, keys)
+    pct = lambda n, of: F.bround(n / of * 100, 0).cast("int")
+    joined = joined.select(*keys, *[F.array(*[F.struct(F.lit(name).alias("name"), F.coalesce(c, F.lit(False)).alias("ok")) for name, c in group.items()]).alias(d) for d, group in checks.items()])
+    passed = {d: F.size(F.filter(d, lambda x: x["ok"])) for d in checks}
+    parts = []
+    for d, group in checks.items():
+        share = pct(passed[d], len(group))
+        status = F.when(share >= 80, "PASS").when(share >= 50, "WARN").otherwise("FAIL")
+        parts += [F.lit(""), F.concat(F.lit(f"[{d.upper()}] "), status, F.format_string(f" (%d/{len(group)} checks — %d%%)", passed[d], share)), F.array_join(F.transform(d, lambda x: F.concat(F.when(x["ok"], "  ✓ ").otherwise("  ✗ "), x["name"])), "\n")]
+    total, score = sum(map(len, checks.values())), sum(passed.values(), F.lit(0))
+    return joined.select(*keys, F.concat_ws("\n", F.lit("QA SCORECARD"), F.lit("=" * 60), F.format_string(f"OVERALL: %d/{total} (%d%%)", score, pct(score, total)), *parts).alias("report"))
 
 
 def run_status(results: DataFrame, keys: tuple[str, ...] = ("task_id",)) -> DataFrame:

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scalars import coerce_number
 from ..operators import completions, history, hse, logs, match, production, quality, risk, survey
-from . import dims
+from . import dims, runs
+
+
+def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, status) of files (path, and content or text). A file without text, or whose content isn't UTF-8, is a status row with its error and no
+    document, and the others go on; status has a row for every file."""
+    text = F.try_validate_utf8(F.col("content").cast("string")) if "content" in files.columns else F.col("text")
+    told = files.select(F.col("path").alias("file_id"), text.alias("text"), *([F.col("content").isNull().alias("empty")] if "content" in files.columns else [F.lit(True).alias("empty")]))
+    error = F.when(F.col("text").isNull(), F.when(F.col("empty"), "no content").otherwise("content is not UTF-8 text"))
+    status = told.select("file_id", F.when(error.isNull(), "success").otherwise("error").alias("status"), error.alias("error"))
+    return told.where("text is not null").select("file_id", "text"), status
 
 
 def process_files(files: DataFrame, projects: DataFrame | None = None) -> dict[str, DataFrame]:
-    """files (path, text): documents with their discipline, found values, events, sections, range flags, project."""
-    docs = files.withColumnRenamed("path", "file_id")
+    """files (path, and text or content): documents with their discipline, found values, events, sections, range flags, project, and the status of every file."""
+    docs, status = readable(files)
     entities = T.extract_entities(docs)
     values = T.bucket_entities(entities)
     out = {
+        "status": status,
         "disciplines": T.classify_discipline(docs).drop("text"), "values": values, "context": T.entity_context(docs), "npt": T.extract_npt_events(docs), "bha": T.extract_bha(docs), "casing": T.extract_casing_points(docs),
         "flags": quality.range_checks(values.select("file_id", "field", F.col("number").alias("value")), keys=("file_id",)),
     }
@@ -98,8 +109,26 @@ def well_performance(*, docs: DataFrame, stations: DataFrame, samples: DataFrame
     return {"features": features, "flags": flags, "risks": risk.score_risks(features, flags)}
 
 
+def full_run(spark: SparkSession, path: str, task_id: str, *, docs: DataFrame, stations: DataFrame, samples: DataFrame, series: DataFrame, stages: DataFrame, tie: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(status of every domain, KPIs as rows task_id, domain, well_id, field, value as text) of all domains under one task; a domain that fails is a status row, the others
+    go on, and the next run with this path and task works out only what is missing."""
+    jobs = {
+        "drilling": lambda: analyze_drilling(docs)[0], "logs": lambda: analyze_logs(samples)[0], "completions": lambda: analyze_completions(stages)[0], "production": lambda: analyze_production(series)[0],
+        "directional": lambda: analyze_directional(stations, tie)[0], "hse": lambda: analyze_hse(docs)[0],
+    }
+
+    def long(kpis: DataFrame) -> DataFrame:
+        text = lambda f: F.to_json(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name).cast("string")
+        cells = F.array(*[F.struct(F.lit(f.name).alias("field"), text(f).alias("value")) for f in kpis.schema.fields if f.name != "well_id"])
+        return kpis.select(F.col("well_id").cast("string").alias("well_id"), F.inline(cells)).where("value is not null")
+
+    status = runs.run_domains(spark, path, task_id, {d: (lambda job=job: long(job())) for d, job in jobs.items()})
+    return status, runs.results(spark, path, task_id)
+
+
 def qa_report(result: dict[str, DataFrame]) -> DataFrame:
-    return quality.qa_scorecard(result["features"], result["flags"])
+    """The scorecard of each well as a text."""
+    return quality.qa_document(result["features"], result["flags"])
 
 
 def pad_analysis(features: DataFrame, wells: DataFrame) -> DataFrame:
@@ -109,15 +138,38 @@ def pad_analysis(features: DataFrame, wells: DataFrame) -> DataFrame:
     return history.pad_summary(named)
 
 
-def well_report(features: DataFrame, flags: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """well_id, report: summary line, first flags, count of the rest, as one text."""
-    x = T.summaries(features, fields).join(quality.flag_preview(flags), "well_id", "left")
-    return x.select("well_id", F.concat_ws("\n", "summary", F.array_join("preview", "\n"), F.when(F.col("more") > 0, F.format_string("... and %d more", "more"))).alias("report"))
-
-
-def end_of_well(features: DataFrame, flags: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(reports, lessons: one line for each code)."""
-    return well_report(features, flags, fields), quality.flag_digest(flags.withColumn("seq", F.col("message")))
+DOMAINS = ("data_manager", "drilling", "logs", "completions", "production", "directional", "hse")
+
+
+def well_report(identity: DataFrame, results: DataFrame, flags: DataFrame, files: DataFrame | None = None, *, most: int = 20) -> DataFrame:
+    """well_id, report: a document for each well, its parts in fixed order.
+
+    identity: well_id and any of well_name, api, operator, field, rig_name. results: well_id, domain, status, summary; skipped and failed domains and empty
+    summaries have no section, but count. flags: well_id, domain, code, message; the first `most` are written, the rest counted. files: well_id, files (how many were read)."""
+    known = set(identity.columns)
+    order = F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain"))
+    shown = (order > 0) & ~F.col("status").isin("skipped", "error") & (F.coalesce("summary", F.lit("")) != "")
+    section = F.concat(F.lit("["), F.upper(F.replace("domain", F.lit("_"), F.lit(" "))), F.lit("]\n"), "summary", F.lit("\n"))
+    told = results.groupBy("well_id").agg(F.array_sort(F.collect_list(F.when(shown, F.struct(order.alias("o"), section.alias("text"))))).alias("sections"), F.count_if(F.col("status") == "success").alias("active"), F.count("*").alias("run"))
+    previews = quality.flag_preview(flags, most=most).select("well_id", "preview", "more")
+    x = identity.join(told, "well_id", "left").join(previews, "well_id", "left")
+    x = x.withColumn("files", F.lit(0).cast("long")) if files is None else x.join(files, "well_id", "left")
+    name = F.coalesce("well_name", F.lit("Unknown Well")) if "well_name" in known else F.lit("Unknown Well")
+    head = F.concat(F.lit("WELL REPORT — "), name, F.coalesce(F.concat(F.lit(" ("), "api", F.lit(")")), F.lit("")) if "api" in known else F.lit(""))
+    fields = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), c)) for c, label in (("operator", "Operator"), ("field", "Field"), ("rig_name", "Rig Name")) if c in known]
+    n = F.coalesce(F.size("preview"), F.lit(0)) + F.coalesce("more", F.lit(0))
+    listed = F.concat(F.format_string("QUALITY FLAGS (%d total)\n", n), F.lit("-" * 40 + "\n"), F.array_join(F.transform("preview", lambda m: F.concat(F.lit("  "), m)), "\n"), F.when(F.col("more") > 0, F.format_string("\n  ... and %d more", "more")).otherwise(F.lit("")))
+    counts = [F.lit(""), F.format_string("Files processed: %d", F.coalesce("files", F.lit(0))), F.format_string("Domains succeeded: %d/%d", F.coalesce("active", F.lit(0)), F.coalesce("run", F.lit(0)))]
+    return x.select("well_id", F.concat_ws("\n", head, F.lit("=" * 60), *fields, F.lit(""), F.when(F.size("sections") > 0, F.array_join(F.transform("sections", lambda s: s["text"]), "\n")), F.when(n > 0, listed), *counts).alias("report"))
+
+
+def end_of_well(identity: DataFrame, results: DataFrame, flags: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """well_id, report: the well's report, then a lesson for each kind of flag (the first message of 120 characters, kinds in order), and the run's counts."""
+    lessons = quality.flag_digest(flags.withColumn("seq", F.col("message"))).groupBy("well_id").agg(F.array_sort(F.collect_list(F.format_string("  %s: %s", "code", "first_message"))).alias("lessons"))
+    ended = results.groupBy("well_id").agg(F.count_if(F.col("status") == "error").alias("failed"))
+    x = well_report(identity, results, flags, files).join(lessons, "well_id", "left").join(ended, "well_id", "left")
+    learnt = F.when(F.size("lessons") > 0, F.concat(F.lit("\nLESSONS LEARNED / OBSERVATIONS\n" + "-" * 40 + "\n"), F.array_join("lessons", "\n")))
+    return x.select("well_id", F.concat_ws("\n", "report", F.lit("\nEND-OF-WELL SUMMARY"), F.lit("=" * 60), learnt, F.format_string("Domains failed: %d", F.coalesce("failed", F.lit(0)))).alias("report"))
 
 
 def compare_wells(metrics: DataFrame, wells: list[str], well: str = "well_name") -> dict[str, DataFrame]:

@@ -293,7 +293,7 @@ def predictive_flags(spark, d):
 # ------------------------------------------------------------------ small functions
 
 
-@query("select p_partkey, case p_partkey % 4 when 0 then 'm' when 1 then 'ft' when 2 then 'fathom' else 'ft' end depth_unit, coalesce(nullif(p_size % 3, 0), p_size) first_available, cast(p_size * 37 as double) % 360 azimuth, case when p_partkey % 3 = 0 then 'Критический' when p_partkey % 3 = 1 then 'Низкий' else 'Средний' end label, case when p_partkey % 2 = 0 then p_name else 'none' end local, case when p_size % 5 > 0 then p_retailprice / (p_size % 5) end loading, case when p_partkey % 7 > 0 then 'Rate ' || p_size end header, case when p_partkey % 7 > 0 then case when p_size % 2 = 0 then 'm3/d' end end unit, case when p_size % 4 > 0 then p_retailprice end clean from part")
+@query("select p_partkey, case p_partkey % 4 when 0 then 'm' when 1 then 'ft' when 2 then 'fathom' else 'ft' end depth_unit, coalesce(nullif(p_size % 3, 0), p_size) first_available, cast(p_size * 37 as double) % 360 azimuth, case when p_partkey % 3 = 0 then 'Критический' when p_partkey % 3 = 1 then 'Низкий' else 'Средний' end label, case when p_partkey % 2 = 0 then p_name else 'none' end local, case when p_size % 5 > 0 then round(p_retailprice / (p_size % 5), 1) end loading, case when p_partkey % 7 > 0 then 'Rate ' || p_size end header, case when p_partkey % 7 > 0 then case when p_size % 2 = 0 then 'm3/d' end end unit, case when p_size % 4 > 0 then p_retailprice end clean from part")
 def small_functions(spark, d):
     p = table(spark, d, "part")
     unit = F.expr("case p_partkey % 4 when 0 then ' Meters ' when 1 then 'FEET' when 2 then 'Fathom' end")
@@ -301,7 +301,7 @@ def small_functions(spark, d):
     parts = S.extract_units(F.expr("case when p_partkey % 7 > 0 then concat('Rate ', p_size, case when p_size % 2 = 0 then ' [m3/d]' else '' end) end"))
     return p.select(
         "p_partkey", S.normalize_depth_unit(F.lit(" "), unit).alias("depth_unit"), S.first_available(F.expr("p_size % 3"), F.col("p_size"), zero_is_missing=True).alias("first_available"), S.azimuth_mod(F.expr("p_size * 37.0D")).alias("azimuth"),
-        S.level_label(level, "ru").alias("label"), S.localize(F.expr("case when p_partkey % 2 = 0 then p_name end"), F.lit("none"), "ru").alias("local"), F.when(F.expr("p_size % 5 > 0"), F.try_divide(F.col("p_retailprice"), F.expr("p_size % 5"))).alias("loading"),
+        S.level_label(level, "ru").alias("label"), S.localize(F.expr("case when p_partkey % 2 = 0 then p_name end"), F.lit("none"), "ru").alias("local"), S.proppant_loading(F.col("p_retailprice"), F.expr("p_size % 5")).alias("loading"),
         parts["name"].alias("header"), parts["unit"].alias("unit"), S.null_sentinel(F.expr("case when p_size % 4 > 0 then p_retailprice else -999.25D end")).alias("clean"),
     )
 

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from borespark.plans import registry, rule_queries, run_queries, source_queries, table_queries
+from borespark.plans import registry, report_queries, rule_queries, run_queries, source_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
 OWN = {f.__module__: [] for f in registry.QUERIES.values()}
@@ -30,7 +30,7 @@ def plain(v):
     return ("none", "") if v is None else ("text", str(v.isoformat() if isinstance(v, datetime.date) else v))
 
 
-@pytest.mark.parametrize("name", [*OWN[rule_queries.__name__], *OWN[source_queries.__name__], *OWN[table_queries.__name__], *OWN[run_queries.__name__], "project_match", "upsert_history", "pad_history_risks", "routing_summary", "drop_finished", "curve_stats"])
+@pytest.mark.parametrize("name", [*OWN[rule_queries.__name__], *OWN[source_queries.__name__], *OWN[table_queries.__name__], *OWN[run_queries.__name__], *OWN[report_queries.__name__], "project_match", "upsert_history", "pad_history_risks", "routing_summary", "drop_finished", "curve_stats"])
 def test_query_equals_its_twin(spark, twin, name):
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
