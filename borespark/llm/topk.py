@@ -37,10 +37,11 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ x.astype(float).T).astype(np.int64) if float(most) < 2**53 else q @ x.T
 
 
-def scan(vectors: DataFrame, queries: DataFrame, work, schema: str, *, room: int, x_block: int) -> DataFrame:
-    """work(blocks of queries by size, batches of vectors) in every task, for all rounds. queries: q, size, vector and maybe cuts."""
+def scan(vectors: DataFrame, queries: DataFrame, work, schema: str, *, room: int) -> DataFrame:
+    """work(blocks of queries by size, batches of vectors) in every task, for all rounds. vectors: a written table, dealt out once for all of them. queries: q, size,
+    vector and maybe cuts."""
     total = queries.agg(F.sum(F.col("size").cast("long") * 8)).first()[0] or 0
-    rounds, parts = max(1, -(-total // room)), max(1, -(-vectors.count() // x_block))
+    rounds = max(1, -(-total // room))
     out = []
     for r in range(rounds):
         rows = queries.where(F.pmod(F.xxhash64(F.lit(4), "q"), F.lit(rounds)) == r).toArrow()
@@ -49,7 +50,7 @@ def scan(vectors: DataFrame, queries: DataFrame, work, schema: str, *, room: int
             some = rows.filter(pa.array(np.asarray(rows.column("size")) == d))
             blocks[d] = tuple(matrix(some.column(c), n) if n else np.asarray(some.column(c)) for c, n in (("q", 0), ("vector", d), *[("cuts", -1)] * ("cuts" in some.column_names)))
         sent = vectors.sparkSession.sparkContext.broadcast(blocks)
-        out.append(materialize(in_arrow(vectors.repartition(parts, "object"), lambda batches, sent=sent: work(sent.value, batches), schema)))
+        out.append(materialize(in_arrow(vectors, lambda batches, sent=sent: work(sent.value, batches), schema)))
         sent.unpersist()
     return reduce(DataFrame.union, out)
 
@@ -79,12 +80,13 @@ def by_size(batches: Iterator[pa.RecordBatch], sizes) -> Iterator[tuple[int, np.
 def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, lists: int = 2, room: int = 32_000_000, x_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k best others."""
     whole = table.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector"))
-    whole = whole.where(F.size("vector") > 0).withColumn("object", F.xxhash64("vector")).withColumn("object2", F.xxhash64(F.lit(2), "vector"))
-    few = whole.withColumn("place", F.row_number().over(Window.partitionBy("object", "object2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
-    objects = few.groupBy("object", "object2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector"))
-    objects = materialize(objects.withColumn("size", F.size("vector")))
+    whole = whole.where(F.size("vector") > 0).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(2), "vector"))
+    few = whole.withColumn("place", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    objects = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector")).drop("h1", "h2")
+    objects = materialize(objects.withColumn("size", F.size("vector")).withColumn("object", F.monotonically_increasing_id()))  # a number of its own, once written
     queries = materialize(whole.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "vector").alias("q"), "vector", F.size("vector").alias("size")).distinct().withColumn("own", F.count("*").over(Window.partitionBy("query_id"))))
-    vectors = objects.select("object", "vector", "size")
+    parts = max(1, -(-objects.count() // x_block))
+    vectors = materialize(objects.select("object", "vector", "size").repartition(parts, "object"))
     slim = queries.select("query_id", "q", "vector", "size")
 
     def first(blocks: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +108,7 @@ def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, li
             n = score.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(blocks[d][0], n)), pa.array(np.full(score.size, i, np.int32)), pa.array(which.ravel()), pa.array(score.ravel()), pa.array(np.repeat(low, n))], ["q", "part", "object", "score", "low"])
 
-    heads = scan(vectors, slim, first, "q long, part int, object long, score long, low long", room=room, x_block=x_block)
+    heads = scan(vectors, slim, first, "q long, part int, object long, score long, low long", room=room)
     lows = heads.groupBy("q", "part").agg(F.min("low").alias("low"))
     lows = materialize(lows.join(lows.groupBy("q").agg(F.sum("low").alias("lows")), "q"))
 
@@ -136,7 +138,7 @@ def top_k(table: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, li
                 a, b = np.nonzero(score >= cuts[:, i : i + 1])
                 yield pa.RecordBatch.from_arrays([pa.array(q[a]), pa.array(np.full(len(a), i, np.int32)), pa.array(objects[b]), pa.array(score[a, b])], ["q", "part", "object", "score"])
 
-    sent = scan(vectors, told, second, "q long, part int, object long, score long", room=room, x_block=x_block)
+    sent = scan(vectors, told, second, "q long, part int, object long, score long", room=room)
     bounds = cutoffs.groupBy("q").agg(F.sum("cut").alias("cut_sum"))
     upper = sent.join(cutoffs.select("q", "part", "cut"), ["q", "part"]).groupBy("q", "object").agg(F.sum("score").alias("part_sum"), F.sum("cut").alias("named"), F.count("*").alias("n"))
     open_ = upper.join(bounds, "q").join(kth(sent, "t2"), "q", "left").where(F.col("t2").isNull() | (F.col("n") == lists) & (F.col("part_sum") >= F.col("t2")) | (F.col("n") < lists) & (F.col("part_sum") + F.col("cut_sum") - F.col("named") >= F.col("t2")))
