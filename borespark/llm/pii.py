@@ -7,7 +7,7 @@
 4. A logistic span classifier is trained on the posteriors; candidates of the looser kinds that it accepts are added. Base spans stay in any
    case; what fails its kind's own check is evidence for training and never added.
 
-Vote patterns and feature patterns are bounded in number (3**4 votes, 2**11 features, for each kind), so steps 3 and 4 work
+Vote patterns and feature patterns are bounded in number (3**4 votes, 2**8 features, for each kind), so steps 3 and 4 work
 on a table whose size doesn't depend on the corpus. Texts are read once and never shuffled.
 
 Spans are kind:start:end in code points, end exclusive, by kind as listed, then start. Null text counts as empty. Null ids and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "local_phone", "spelt_mail", "iban", "person")
+KINDS = (*BASE, "local_phone", "spelt_mail", "iban", "person", "card_in_run", "phone_in_run")
 
 #: Fixed values. Possessive forms accept the same matches as the greedy ones, without backtracking.
 PATTERNS = {
@@ -36,9 +36,12 @@ PATTERNS = {
     "spelt_mail": r"[A-Za-z0-9._-]{2,64}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]++)++",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "person": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
+    # numbers that stand beside others, so that the base rule's one long match fails its check
+    "card_in_run": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])",
+    "phone_in_run": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
 }
 #: What a text must hold for a pattern to be tried at all.
-NEEDS = {"email": "@", "phone": "+", "spelt_mail": "at", "ip": "."}
+NEEDS = {"email": "@", "phone": "+", "spelt_mail": "at", "ip": ".", "phone_in_run": "+"}
 DOMAINS = (
     "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "ai", "app", "dev", "cloud", "online", "shop", "site", "tech", "xyz", "eu", "example",
     "ar", "at", "au", "be", "bg", "br", "ca", "ch", "cl", "cn", "co", "cz", "de", "dk", "ee", "es", "fi", "fr", "gr", "hr", "hu", "ie", "il", "in", "is", "it", "jp", "kr", "lt", "lu", "lv", "mx", "nl", "no", "nz", "pe", "pl", "pt", "ro", "rs", "ru", "se", "sg", "si", "sk", "tr", "ua", "uk", "us", "za",
@@ -59,6 +62,8 @@ CONTEXT = {
     "spelt_mail": "mail|contact|write|kontakt|correo|courriel",
     "iban": "iban|account|konto|bank|compte|cuenta",
     "person": "name|contact|patient|customer|kunde|client",
+    "card_in_run": "card|visa|credit|payment|karte|carte|tarjeta",
+    "phone_in_run": "phone|call|tel|mobile|fax|telefon|llama",
 }
 
 
@@ -89,9 +94,9 @@ def checked(kind: str, found: Column) -> Column:
     n = F.length(digits(found))
     if kind == "ip":
         return F.forall(F.split(found, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(999)) <= 255)
-    if kind == "card":
+    if kind in ("card", "card_in_run"):
         return (n >= 16) & (n <= 19) & F.when((n >= 16) & (n <= 19), F.call_function("luhn_check", digits(found))).otherwise(False)
-    if kind == "phone":
+    if kind in ("phone", "phone_in_run"):
         return (n >= 8) & (n <= 15)
     if kind == "iban":
         plain = F.regexp_replace(found, r"\x20", "")
@@ -111,9 +116,9 @@ def known(kind: str, found: Column, domains: tuple[str, ...], names: tuple[str,
         return F.regexp_extract(F.lower(found), "([a-z]+)$", 1).isin(*domains)
     if kind == "ip":
         return found.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.")
-    if kind == "card":
+    if kind in ("card", "card_in_run"):
         return digits(found).rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))")
-    if kind == "phone":
+    if kind in ("phone", "phone_in_run"):
         return found.rlike(r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
     if kind == "local_phone":
         return digits(found).rlike(r"^[2-9][0-9]{2}[2-9]")

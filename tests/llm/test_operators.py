@@ -272,6 +272,15 @@ def test_pii_added_spans(spark):
     assert hit / len(want) >= 0.9 and hit / len(found) >= 0.8, (hit, len(want), len(found), sorted(found - want)[:5], sorted(want - found)[:5])
 
 
+def test_pii_numbers_beside_each_other(spark):
+    """The base rules take these runs as one match each, which fails; the method adds what is in them."""
+    texts = ["pay 4111111111111111 5500005555555559 today", "call +1 (826) 555-4081 190.137.223.204 now", "4111111111111112 5500005555555558", "card 4111 1111 1111 1111"]
+    found = got(pii.pii(spark.createDataFrame(enumerate(texts * 20), "doc_id long, text string")))
+    assert found[0]["spans"] == "card_in_run:4:20,card_in_run:21:37" and found[0]["n_card"] == 0
+    assert "phone_in_run:5:22" in found[1]["spans"] and found[1]["n_phone"] == 0
+    assert found[2]["spans"] == "" and found[3]["spans"] == "card:5:24"
+
+
 def test_toxicity(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     r = toxicity.toxicity(d, labels)
@@ -393,6 +402,12 @@ def test_topk(spark, vectors):
     assert topk.top_k(few).count() == 2 and topk.top_k(df.limit(0)).collect() == []
 
 
+def test_topk_of_rows_given_many_times(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(2, [1.0, 0.0]), (3, [1.0, 0.0]), (50, [1.0, 0.5]), (4, [0.0, 1.0])] * 2
+    found = [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(found) == [(50, 1, 1), (50, 2, 2), (50, 3, 3), (50, 4, 4)]
+
+
 def test_topk_of_an_id_with_two_vectors(spark):
     rows = [(0, [10.0, 10.0]), (0, [9.0, 9.0])] + [(i, [6 - i / 8, 6 - i / 8]) for i in range(1, 31)]
     want = set()
