@@ -3,13 +3,15 @@
 Each vector is scaled to length 1 and turned by random rotations; the signs of the turned coordinates are its code (of TURNS rotations one
 after the other), and for the first rotation f = <code / sqrt(d), turned vector> is its correction factor.
 
+Codes and factors of the first rotation are stored with each representative, and only read from then on.
+
 Which pairs meet at all: bands of sign bits from further rotations. Bits a band grow with the logarithm of the largest label, so
 buckets keep their size; the number of bands follows from the wanted miss probability at the threshold. Then in three steps:
 
 1. Codes alone go to the buckets, once for each band. Of two unit vectors with angle t each code bit differs with probability t / pi; a member
    goes on only if with some other one of its bucket no more bits differ than `sure` standard errors over what the threshold's angle gives.
-2. The vectors of these members meet in their buckets. For a pair, <code_x / sqrt(d), turned_y> / f_x is an unbiased estimate of the cosine,
-   with standard error about sqrt(1 - f**2) / (f * sqrt(d - 1)); only pairs whose upper confidence bound reaches the threshold go on.
+2. The vectors of these members meet in their buckets, with the stored codes and factors. For a pair, <code_x / sqrt(d), turned_y> / f_x is an unbiased
+   estimate of the cosine, with standard error about sqrt(1 - f**2) / (f * sqrt(d - 1)); only pairs whose upper confidence bound reaches the threshold go on.
 3. Those are recomputed in double precision; none below the threshold is linked.
 
 Identical vectors are one representative with a count from the start; a bucket of more than `block` rows is dealt out as
@@ -165,11 +167,29 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def linked(unit: np.ndarray, threshold: float, sure: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j with cosine >= threshold. own: block of each row, if only pairs across blocks count."""
+def corrected(reps: DataFrame) -> DataFrame:
+    """reps (rep, mult, label_key, size, x, h1, h2) with sign and factor: the code of the first rotation, and how much of the turned vector it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, sign, factor = np.asarray(batch.column(0)), np.empty(len(batch), object), np.zeros(len(batch))
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                for s in range(0, len(at), 1024):
+                    part = at[s : s + 1024]
+                    turned = scaled(matrix(batch.column(1).take(pa.array(part)), int(d))) @ rotation_of(int(d))
+                    sign[part] = [c.tobytes() for c in np.packbits(turned > 0, axis=1)]
+                    factor[part] = np.abs(turned).sum(1) / math.sqrt(d)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sign.tolist(), pa.binary()), pa.array(factor)], [*batch.schema.names, "sign", "factor"])
+
+    return in_arrow(reps.select("size", "x", "rep", "mult", "label_key", "h1", "h2"), run, "size int, x array<double>, rep long, mult long, label_key long, h1 long, h2 long, sign binary, factor double")
+
+
+def linked(unit: np.ndarray, threshold: float, sure: float, own: np.ndarray | None, sign: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j with cosine >= threshold. own: block of each row, if only pairs across blocks count. sign (bits), factor: as stored."""
     n, d = unit.shape
     turned = (unit @ rotation_of(d)).astype(np.float32)
-    signs, factor = np.where(turned > 0, np.float32(1), np.float32(-1)), np.abs(turned).sum(1) / math.sqrt(d)
+    signs = 2 * np.unpackbits(sign, axis=1, count=d).astype(np.float32) - 1
     found = []
     slack = sure * np.sqrt(np.maximum(0, 1 - factor**2)) / (factor * math.sqrt(max(d - 1, 1)))
     for s in range(0, n, 1024):
@@ -195,7 +215,7 @@ def rotation_of(d: int) -> np.ndarray:
 
 
 def compare(rows: DataFrame, bits: int, bands: int, threshold: float, sure: float) -> DataFrame:
-    """(rep, links, root): for every cell of rows (key, cell, rep, band, own, mult, x), of each linked member the links found there first, and a member
+    """(rep, links, root): for every cell of rows (key, cell, rep, band, own, mult, x, sign, factor), of each linked member the links found there first, and a member
     that it hangs from."""
 
     def group(run: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -205,8 +225,9 @@ def compare(rows: DataFrame, bits: int, bands: int, threshold: float, sure: floa
         unit = scaled(np.array([r[6] for r in run], float))
         order = np.argsort(own, kind="stable")
         rep, mult, own, unit = rep[order], mult[order], own[order], unit[order]
+        sign, factor = np.frombuffer(b"".join(run[i][7] for i in order), np.uint8).reshape(len(run), -1), np.array([run[i][8] for i in order])
         one, other = divmod(run[0][1], BLOCKS)
-        a, b = linked(unit, threshold, sure, None if one == other else own)
+        a, b = linked(unit, threshold, sure, None if one == other else own, sign, factor)
         if not len(a):
             return
         if band := run[0][3]:
@@ -245,7 +266,7 @@ def compare(rows: DataFrame, bits: int, bands: int, threshold: float, sure: floa
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["rep", "links", "root"])
 
     dealt = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep")
-    return in_arrow(dealt.select("key", "cell", "rep", "band", "own", "mult", "x"), run, "rep long, links long, root long")
+    return in_arrow(dealt.select("key", "cell", "rep", "band", "own", "mult", "x", "sign", "factor"), run, "rep long, links long, root long")
 
 
 _CODERS: dict[tuple, Coder] = {}
@@ -266,7 +287,7 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.93, sure: float =
     reps = materialize(
         marked.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.xxhash64(F.first("label")).alias("label_key"), F.first("embedding").alias("x")).withColumn("size", F.size("x"))
     )
-    whole = reps.where("rep is not null and size > 0")
+    whole = materialize(corrected(reps.where("rep is not null and size > 0").withColumn("x", F.col("x").cast("array<double>"))))
     largest = whole.groupBy("label_key", "size").count().agg(F.max("count")).first()[0] or 0
     bits, bands = plan(largest, threshold, miss)
     rows = spread(whole, bits, bands)
@@ -279,7 +300,7 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.93, sure: float =
         other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
         cells = joined.withColumn("other", other).withColumn("cell", F.least("own", "other") * F.lit(BLOCKS) + F.greatest("own", "other"))
     near = materialize(plausible(cells, threshold, sure))
-    met = near.join(whole.select("rep", "mult", "x"), "rep")
+    met = near.join(whole.select("rep", "mult", "x", "sign", "factor"), "rep")
     found = materialize(compare(met, bits, bands, threshold, sure).groupBy("rep", "root").agg(F.sum("links").alias("links")))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
