@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from .secrets import RULES
+#: The rules once more, written for this engine and apart from the code that they check: kind, expression, group to measure, least length, base rule.
+_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 20, True),
+    ("hex", "[0-9a-f]+", 0, 24, True),
+    ("bearer", r"[bB]earer\x20+([A-Za-z0-9._~+/=-]+)", 1, 20, False),
+    ("code_host", "gh[pousr]_[A-Za-z0-9]+", 0, 40, False),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 15, False),
+    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, False),
+    ("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", 0, 1, False),
+    ("url_login", r"[a-z]+://[^\t\n\x0B\f\r\x20:/@]+:([^\t\n\x0B\f\r\x20/@]+)@", 1, 3, False),
+)
 
 _SPACES = r"[\x20\x09-\x0D]+"
 _WORDS = f"list_filter(string_split_regex(coalesce({{}}, ''), '{_SPACES}'), lambda x: x <> '')"
@@ -16,19 +27,19 @@ root as (select id, min(other) component from reach group by 1)"""
 
 def _matches(k: int) -> str:
     """Spans of one rule: the text between matches gives their places."""
-    rule = RULES[k]
-    pattern = rule.pattern.replace(r"\s", r"\t\n\x0B\f\r\x20").replace("'", "''")
+    _, pattern, group, least, _ = _SECRETS[k]
+    pattern = pattern.replace("'", "''")
     return f"""select id, {k} kind_no, start, start + n stop from (
 select id, unnest(lens) n, unnest(tests) t, unnest(list_transform(range(1, len(lens) + 1), lambda i: list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0)))::bigint start from (
-select id, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) gaps, list_transform(regexp_extract_all(text, '{pattern}'), lambda x: length(x)) lens, list_transform(regexp_extract_all(text, '{pattern}', {rule.group}), lambda x: length(x)) tests from d)) where t >= {rule.least}"""
+select id, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) gaps, list_transform(regexp_extract_all(text, '{pattern}'), lambda x: length(x)) lens, list_transform(regexp_extract_all(text, '{pattern}', {group}), lambda x: length(x)) tests from d)) where t >= {least}"""
 
 
-_KINDS = "['" + "', '".join(r.kind for r in RULES) + "'][kind_no + 1]"
-_BASE = ", ".join(str(i) for i, r in enumerate(RULES) if r.base)
+_KINDS = "['" + "', '".join(r[0] for r in _SECRETS) + "'][kind_no + 1]"
+_BASE = ", ".join(str(i) for i, r in enumerate(_SECRETS) if r[4])
 OP2 = f"""with d as (select row_number() over () id, doc_id, coalesce(text, '') text from documents),
-s as ({' union all '.join(_matches(k) for k in range(len(RULES)))}),
-o as (select id, {', '.join(f"count(*) filter (kind_no = {i}) n_{r.kind}" for i, r in enumerate(RULES) if r.base)}, string_agg({_KINDS} || ':' || start || ':' || stop, ',' order by start, kind_no) filter (kind_no in ({_BASE})) base, string_agg({_KINDS} || ':' || start || ':' || stop, ',' order by start, kind_no) spans, count(*) n from s group by 1)
-select doc_id, {', '.join(f'coalesce(n_{r.kind}, 0)::bigint n_{r.kind}' for r in RULES if r.base)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n, 0)::bigint n_spans from d left join o using (id)"""
+s as ({' union all '.join(_matches(k) for k in range(len(_SECRETS)))}),
+o as (select id, {', '.join(f"count(*) filter (kind_no = {i}) n_{r[0]}" for i, r in enumerate(_SECRETS) if r[4])}, string_agg({_KINDS} || ':' || start || ':' || stop, ',' order by start, kind_no) filter (kind_no in ({_BASE})) base, string_agg({_KINDS} || ':' || start || ':' || stop, ',' order by start, kind_no) spans, count(*) n from s group by 1)
+select doc_id, {', '.join(f'coalesce(n_{r[0]}, 0)::bigint n_{r[0]}' for r in _SECRETS if r[4])}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n, 0)::bigint n_spans from d left join o using (id)"""
 
 _USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 OP3 = f"""with recursive v as (select vec_id id, label, embedding::double[] x from embeddings where {_USABLE} and label is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0),
