@@ -111,6 +111,18 @@ def test_writers_at_once_all_get_in(spark, tmp_path):
     assert not store.publish("commits/000000000004.json", "{}") and versions.version_of(store).number == 4
 
 
+def test_a_store_that_only_spark_reaches(spark, tmp_path):
+    """By a path of another scheme the commit is a rename that doesn't replace."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.shelf.link./in", f"file://{tmp_path}")
+    h = "viewfs://shelf/in/h"
+    sinks.upsert_history(spark, h, spark.createDataFrame([("t1", "a", 1)], ROWS))
+    sinks.upsert_history(spark, h, spark.createDataFrame([("t2", "b", 1)], ROWS))
+    assert held(spark, h) == ({"t1": "a", "t2": "b"}, 2)
+    store = versions.Store(spark, h)
+    assert not store.publish("commits/000000000002.json", "{}") and held(spark, h)[1] == 2 and [n for n, _ in store.names("commits") if n[0] == "." and not n.endswith(".crc")] == []
+
+
 def test_repeated_batches_change_nothing(spark, tmp_path):
     h, source, schema = str(tmp_path / "h"), str(tmp_path / "in"), ROWS
     spark.createDataFrame([("t1", "a", 1), ("t2", "b", 1)], ROWS).coalesce(1).write.parquet(source)
