@@ -8,7 +8,6 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -193,53 +192,49 @@ def text_parts(array: pa.Array, most: int = 500_000):
             i = j
 
 
-class _Numbers(dict):
-    """word -> its number; the digests of words not met before are listed in new."""
-
-    def __init__(self):
-        super().__init__()
-        self.new, self.count = [], 0
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(hashlib.blake2b(word, digest_size=16).digest())
-        self.count += 1
-        if len(word) <= 64:  # longer ones are rare and would fill the memory
-            self[word] = self.count - 1
-        return self.count - 1
-
-
-class Digests:
-    """128-bit digests of words by a cryptographic hash, as two uint64, so that no purpose-made words meet; each short word is worked out once."""
-
-    MOST = 200_000
-
-    def __init__(self):
-        self.numbers, self.table = _Numbers(), np.empty((1024, 2), np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if self.numbers.count > self.MOST:
-            self.numbers = _Numbers()
-        known = self.numbers.count
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if self.numbers.new:
-            if self.numbers.count > len(self.table):
-                self.table = np.concatenate([self.table[:known], np.empty((2 * self.numbers.count - known, 2), np.uint64)])
-            self.table[known : self.numbers.count] = np.frombuffer(b"".join(self.numbers.new), np.uint64).reshape(-1, 2)
-            self.numbers.new.clear()
-        return self.table[at]
-
-
-_DIGESTS: list[Digests] = []
-KEPT.append(_DIGESTS.clear)
-
-
-def word_digests(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Digests (two uint64) of the words of concatenated texts, and the number of words before each text (and in all). fold: A-Z as a-z."""
-    if not _DIGESTS:
-        _DIGESTS.append(Digests())
-    raw = data.tobytes().lower() if fold else data.tobytes()  # of bytes, lower() and split() know ASCII alone
-    lists = [raw[a:b].split() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-    return _DIGESTS[0].of(list(chain.from_iterable(lists))), np.cumsum([0, *map(len, lists)])
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of concatenated texts, and the number of words before each text (and in all)."""
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
+    solid = np.zeros(len(data) + 2, bool)
+    solid[1:-1] = _SOLID[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets] = True  # a word ends with its text
+    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | border[:-1]))
+    ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | border[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ROUNDS = random_words(4, 31)
+SHORT = 16  # bytes
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two uint64 for each word of concatenated texts, and the number of words before each text (and in all). fold: A-Z as a-z.
+
+    Words of up to SHORT bytes go through a Feistel network, a one-to-one map of their 128 bits for each length, so no two of one length meet, however they are
+    made; longer ones have a cryptographic digest."""
+    data = _LOWER[data] if fold else data
+    starts, ends, first = words(data, offsets)
+    size = ends - starts
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 9, np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from each byte on
+    x, y = eight[starts] & _KEEP[np.minimum(size, 8)], eight[np.minimum(starts + 8, len(data))] & _KEEP[np.clip(size - 8, 0, 8)]
+    y ^= size.astype(np.uint64) << np.uint64(58)
+    for i in (0, 2):
+        x ^= mix64(y + _ROUNDS[i])
+        y ^= mix64(x + _ROUNDS[i + 1])
+    for i in np.flatnonzero(size > SHORT).tolist():
+        x[i], y[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), np.uint64)
+    return x, y, first
 
 
 _JOIN = np.uint64(0x9DDFEA08EB382D69)

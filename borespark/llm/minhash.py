@@ -4,7 +4,7 @@ A document's set is its distinct shingles of `width` words (A-Z lower-cased; wor
 Each of `rows * bands` permutations gives a minimum. Bands of `rows` minima propose candidates. Of each minimum only `BITS` low bits
 are kept, packed; two documents' agreement, corrected for chance collisions (J = (p - C) / (1 - C), C = 2**-BITS), is found by
 counting bits. A candidate is dropped only when so few agreements would be seen with probability under 1e-7 at the threshold,
-or when the set sizes exclude it; the others are confirmed on full sets, first of 64-bit hashes made from words' cryptographic digests, then, if those
+or when the set sizes exclude it; the others are confirmed on full sets, first of 64-bit hashes made from words' digests, then, if those
 say yes, of the words themselves.
 
 Documents with equal sets are one representative from the start, so copies never form pairs. A bucket gives a spanning forest of the
@@ -37,8 +37,7 @@ _K1, _K2 = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC3A5C85C97CB3127)
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct 64-bit shingle hashes."""
     for _, offsets, data in text_parts(column):
-        digests, first = word_digests(data, offsets, fold=True)
-        h = np.ascontiguousarray(digests[:, 0])
+        h, _, first = word_digests(data, offsets, fold=True)
         n = np.diff(first)
         grams = h.copy() if width == 1 else None
         if width > 1:

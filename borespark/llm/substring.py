@@ -4,7 +4,7 @@ A window is `width` consecutive words of one document. Its anchor is the run of
 first of equal ones), so equal windows have equal anchors, at the same place within them, and two equal windows never share one
 anchor position. Two count-min sketches (partition sketches, merged) only overestimate: the first counts anchors, the second counts the
 windows whose anchor may be repeated. The last pass sends only windows estimated repeated, grouped by anchor, and groups
-them by 128 bits of the window: words' cryptographic digests, joined by mixing steps in two streams. A window that occurs once in fact is found to be so there; none that repeats is lost.
+them by 128 bits of the window: words' digests, joined by mixing steps in two streams. A window that occurs once in fact is found to be so there; none that repeats is lost.
 
 Texts that several rows have are worked on once: of the later rows every window is a repetition. Groups are streamed in order of
 document and place; the state is the distinct windows of one anchor. An anchor with more than `block` runs is first grouped
@@ -32,14 +32,14 @@ class Windows:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
         self.width = width
-        self.words, self.first = word_digests(data, offsets)
-        n = len(self.words) - width + 1
+        *self.halves, self.first = word_digests(data, offsets)
+        n = len(self.halves[0]) - width + 1
         if n <= 0:
             self.doc = self.place = self.anchor = np.empty(0, np.int64)
             self.key = np.empty(0, np.uint64)
             return
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        grams = composed(np.ascontiguousarray(self.words[:, 0]), gram)
+        grams = composed(self.halves[0], gram)
         best, at = grams[:n].copy(), np.zeros(n, np.int64)
         for i in range(1, width - gram + 1):
             less = grams[i : i + n] < best
@@ -57,7 +57,7 @@ class Windows:
 
     def hashes(self, which: int) -> np.ndarray:
         """A hash of every window's words, from one half of their digests or the other."""
-        return composed(np.ascontiguousarray(self.words[:, which]), self.width)[self.place]
+        return composed(self.halves[which], self.width)[self.place]
 
     def runs(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, count): runs of neighbouring windows in use (their indexes, sorted) that have one anchor."""

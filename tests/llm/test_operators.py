@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from borespark.llm import bwt, embeddings, minhash, mixing, packing, pii, secrets, substring, topk, toxicity, trigrams
+from borespark.llm import bwt, common, embeddings, minhash, mixing, packing, pii, secrets, substring, topk, toxicity, trigrams
 from borespark.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -100,6 +100,24 @@ def test_words_made_to_collide(spark, size):
     assert [cut[i]["n_removed"] for i in range(5)] == [0, 0, 0, 0, 20]
 
 
+def test_digests_tell_words_apart():
+    rng = random.Random(7)
+    texts = ["", "a", " \n", "ab cd", "x" * 16 + " " + "x" * 17, "A\x00 A A\x00\x00", "é ß", "".join(rng.choice("ab ") for _ in range(5000)), "".join(chr(rng.choice([1, 32, 97, 128, 255, 9731])) for _ in range(3000)), "end"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    x, y, first = common.word_digests(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    every = [w for r in raw for w in r.split()]
+    assert len(x) == len(y) == len(every) and np.diff(first).tolist() == [len(r.split()) for r in raw]
+    seen = {}
+    assert all(seen.setdefault(w, d) == d for w, d in zip(every, zip(x.tolist(), y.tolist()))) and len(set(seen.values())) == len(seen) > 100
+    runs = {}
+    for width in (1, 2, 5, 20):
+        h = common.composed(x, width)
+        assert len(h) == max(0, len(x) - width + 1)
+        assert all(runs.setdefault(tuple(every[i : i + width]), v) == v for i, v in enumerate(h.tolist()))
+    assert len(set(runs.values())) == len(runs)
+
+
 def test_minhash_large_groups(spark):
     """Chains and clusters around the threshold, so that links across components of a bucket matter."""
     rng = random.Random(8)
