@@ -103,4 +103,4 @@ def _ablation(version: int, rules: dict[int, str]) -> str:
 _NAMES = dict(enumerate(("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "digits")))
 OP12_ABLATIONS = _BOOK + " union all ".join(_ablation(v, {k: _NAMES[k] for k in range(n)}) for v, n in ((1, 2), (2, 4), (3, 6)))
 
-ORACLES = {"op11_hard_negatives": OP11, "op12_quality_rules": OP12, "op12_rule_ablations": OP12_ABLATIONS, "op2_secrets": OP2, "op3_embedding_near_dup": OP3, "op6_topk": OP6, "op7_minhash": OP7, "op9_substring": OP9}
+ORACLES = {"op11_hard_negatives": OP11, "op12_quality_rules": OP12, "quality_rule_ablations": OP12_ABLATIONS, "op2_secrets": OP2, "op3_embedding_near_dup": OP3, "op6_topk": OP6, "op7_minhash": OP7, "op9_substring": OP9}

@@ -86,7 +86,7 @@ def op12_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
 
 
-def op12_rule_ablations(spark: SparkSession, d: str) -> DataFrame:
+def quality_rule_ablations(spark: SparkSession, d: str) -> DataFrame:
     return rules.ablations(rules.ledger(table(spark, d, "documents")))
 
 
@@ -94,5 +94,5 @@ def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment.align(table(spark, d, "documents"), path_a=tokenizer_path("byte_bpe_50k.json"), path_b=tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_embedding_near_dup, op4_mixing, op5_packing, op6_topk, op7_minhash, op8_suffix_array, op9_substring, op10_pii, op11_hard_negatives, op12_quality_rules, op12_rule_ablations, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_embedding_near_dup, op4_mixing, op5_packing, op6_topk, op7_minhash, op8_suffix_array, op9_substring, op10_pii, op11_hard_negatives, op12_quality_rules, quality_rule_ablations, op13_alignment)}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
