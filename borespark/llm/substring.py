@@ -8,7 +8,7 @@ them by 128 bits of the window: words' digests, joined by mixing steps in two st
 
 Texts that several rows have are worked on once: of the later rows every window is a repetition. Groups are streamed in order of
 document and place; the state is the distinct windows of one anchor. An anchor with more than `block` runs is first grouped
-within shares of the documents, as many as its count asks for, and only each share's first occurrences meet in one group.
+within shares of the documents, as many as its count asks for; the shares' first occurrences are then dealt out window by window.
 
 Null text: no words. "Earlier" is by doc_id (null first), then place. Rows with the same doc_id and the same text are one document,
 given twice; rows with the same doc_id and other texts are ordered by a hash of the text. Extra columns are ignored.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import composed, in_arrow, join_checked, materialize, ranges_of_texts, text_parts, texts_once, word_digests
@@ -67,10 +67,10 @@ class Windows:
         return run, np.diff(np.append(run, len(use)))
 
 
-def flags(rows: DataFrame, *, inner: bool) -> DataFrame:
-    """rows (key, share, known, doc_id, h1, h2, at, h, again): runs of windows in order within each (key, share); again: the run is
-    known to occur elsewhere. (key, known, doc_id, h1, h2, at, h, n, state) of parts of runs. state 2: repeats an earlier window of its group; 1: the first of
-    several; 0: alone in its group (inner only). First ones are listed with state 1 when their repetition is met, neighbours together."""
+def flags(rows: DataFrame) -> DataFrame:
+    """rows (key, share, known, doc_id, h1, h2, at, h): runs of windows, taken in order within each (key, share).
+    (key, known, doc_id, h1, h2, at, h, n, state) of parts of runs. state 2: repeats an earlier window of its group; 0: the first of its kind there, with
+    hashes; 1: a first one again, when its repetition is met, neighbours together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list] = {}
@@ -101,7 +101,7 @@ def flags(rows: DataFrame, *, inner: bool) -> DataFrame:
                             firsts.append([key[i], *old, 1])
                         old.clear()
                     if dup != state:
-                        if state is not None and (state or inner):
+                        if state is not None:
                             out.append((key[i], *who[i], at[i] + start, None if state else s[16 * start : 16 * j], j - start, 2 if state else 0))
                         start, state = j, dup
             out += [(k, *w, a, None, n, 1) for k, w, a, n in firsts]
@@ -115,6 +115,25 @@ def flags(rows: DataFrame, *, inner: bool) -> DataFrame:
     return in_arrow(dealt.select(*order, "h"), run, "key long, known boolean, doc_id long, h1 long, h2 long, at long, h binary, n long, state int")
 
 
+def across_shares(rows: DataFrame) -> DataFrame:
+    """rows (known, doc_id, h1, h2, at, h): first occurrences in the shares of anchors that have several. Dealt out by the windows themselves, so that a window meets
+    only its own first occurrences, one from a share at most: (h1, h2, at, n, state), state 2 for all but the first of several, 1 for that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.frombuffer(h, np.int64).reshape(-1, 2) for h in batch.column(5).to_pylist()]
+            n = np.array([len(h) for h in hashes], np.int64)
+            take = pa.array(np.repeat(np.arange(len(n)), n))
+            both = np.concatenate([*hashes, np.empty((0, 2), np.int64)])
+            at = np.repeat(np.asarray(batch.column(4)) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(4)], pa.array(at), pa.array(both[:, 0]), pa.array(both[:, 1])], ["known", "doc_id", "h1", "h2", "at", "w1", "w2"])
+
+    windows = in_arrow(rows.select("known", "doc_id", "h1", "h2", "at", "h"), run, "known boolean, doc_id long, h1 long, h2 long, at long, w1 long, w2 long")
+    same = Window.partitionBy("w1", "w2")
+    met = windows.withColumns({"times": F.count("*").over(same), "place": F.row_number().over(same.orderBy("known", "doc_id", "h1", "h2", "at"))}).where("times > 1")
+    return met.select("h1", "h2", "at", F.lit(1).cast("long").alias("n"), F.when(F.col("place") > 1, 2).otherwise(1).alias("state"))
+
+
 def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 20, gram: int = 10, block: int = 4096, passage: int = 51, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, n_passages (and kept_text, if wanted) for each row of docs. n_passages: maximal runs of
     at least `passage` words covered by windows that also start elsewhere, earlier or later."""
@@ -168,9 +187,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = 20, gram
     hot = materialize(sent.groupBy("key").count().where(F.col("count") > block))
     shares = F.coalesce(F.ceil(F.col("count") / block), F.lit(1))
     dealt = join_checked(sent.withColumn("known", F.col("doc_id").isNotNull()), hot, ["key"], "left").withColumn("share", F.pmod(F.xxhash64("h1", "h2"), shares)).drop("count")
-    inner = materialize(flags(dealt, inner=True))
-    outer = flags(inner.where("state = 0").withColumn("share", F.lit(0).cast("long")), inner=False)
-    found = inner.where("state > 0").unionByName(outer).select("h1", "h2", "at", (F.col("at") + F.col("n") + width - 1).alias("stop"), "state")
+    inner = materialize(flags(dealt))
+    outer = across_shares(join_checked(inner.where("state = 0"), hot, ["key"], "left_semi"))
+    found = inner.where("state > 0").select("h1", "h2", "at", "n", "state").unionByName(outer).select("h1", "h2", "at", (F.col("at") + F.col("n") + width - 1).alias("stop"), "state")
     kinds = F.explode(F.when(F.col("state") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
     cuts = materialize(ranges_of_texts(found.select("h1", "h2", kinds.alias("kind"), F.col("at").alias("start"), "stop")).withColumnsRenamed({"first": "gone", "second": "met"}))
     joined = join_checked(join_checked(base, copies, ["h1", "h2"], "left"), cuts, ["h1", "h2"], "left")
