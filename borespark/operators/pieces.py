@@ -16,10 +16,9 @@ def cut(df: DataFrame, keys: tuple[str, ...], by: str, rows: int = ROWS) -> tupl
     """(df with PIECE, whether any key was cut). A key of more than `rows` rows gets pieces of about that many, by ranges of the number `by`:
     its range is divided evenly into 32 bins a piece, and bins are put together by their counts, so equal values stay together. Null keys and nulls in `by` (first) too."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(by).cast("double").alias("__lo"), F.max(by).cast("double").alias("__hi")).where(F.col("__n") > rows)
-    hot = written(sizes)
-    if hot.isEmpty():
+    if sizes.isEmpty():
         return df.withColumn(PIECE, F.lit(0).cast("long")), False
-    hot = hot.withColumn("__bins", F.ceil(F.col("__n") / rows) * 32)
+    hot = written(sizes).withColumn("__bins", F.ceil(F.col("__n") / rows) * 32)
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     on = same[0]
     for c in same[1:]:
