@@ -65,12 +65,17 @@ def name_links(entities: DataFrame, projects: DataFrame) -> DataFrame:
     the other side hold is its posting, and only names that hold it are looked at; a name with a part that none of them holds is dropped at
     once. Names of one or two letters meet parts of that length. The confidence of a pair of rows is the sum over the fields in which their classes are linked."""
     e, p = (written(m.select("field", "name").distinct()) for m in (entities, projects))
-    same = e.join(p, ["field", "name"]).select("field", "name", F.col("name").alias("part"))
+    same = shuffled(e, p, ["field", "name"]).select("field", "name", F.col("name").alias("part"))
     both = same.toDF("field", "entity_name", "project_name").union(names_within(e, p).toDF("field", "entity_name", "project_name")).union(names_within(p, e).select("field", "part", "name")).distinct()
     weights = F.create_map(*[F.lit(x) for kv in dims.MATCH_WEIGHTS.items() for x in kv])
     return both.withColumn("confidence", F.round(weights[F.col("field")] / 10, 3))
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that never sends a side through the driver: rows exploded from names are taken for as small as the files that the names lie in."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def parts_of(name: Column, length: int) -> Column:
     """The distinct parts of so many letters."""
     n = F.length(name)
@@ -83,9 +88,9 @@ def names_within(long: DataFrame, short: DataFrame) -> DataFrame:
     held = long.select("field", "name", F.explode(parts_of(F.col("name"), 3)).alias("gram"))
     spread = held.groupBy("field", "gram").agg(F.count("*").alias("n"))
     asked = short.where(F.length("name") >= 3).select("field", F.col("name").alias("part"), F.explode(parts_of(F.col("name"), 3)).alias("gram"))
-    rarest = asked.join(spread, ["field", "gram"], "left").groupBy("field", "part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("missing")).where("missing = 0").drop("missing")
-    found = held.join(rarest, ["field", "gram"]).where(F.contains("name", F.col("part")) & (F.length("name") > F.length("part")))
-    tiny = short.where(F.length("name") < 3).select("field", F.col("name").alias("part"))
+    rarest = shuffled(asked, spread, ["field", "gram"], "left").groupBy("field", "part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("missing")).where("missing = 0").drop("missing")
+    found = shuffled(held, rarest, ["field", "gram"]).where(F.contains("name", F.col("part")) & (F.length("name") > F.length("part")))
+    tiny = sent_if_small(written(short.where(F.length("name") < 3).select("field", F.col("name").alias("part"))).hint("merge"))
     pieces = long.select("field", "name", F.explode(F.concat(parts_of(F.col("name"), 1), parts_of(F.col("name"), 2))).alias("part")).where(F.length("name") > F.length("part"))
     return found.select("field", "name", "part").union(pieces.join(tiny, ["field", "part"]).select("field", "name", "part"))
 

@@ -44,3 +44,10 @@ def test_names_within_names(spark):
     e, p = (spark.createDataFrame(sorted(s), "field string, name string") for s in (a, b))
     got = {(r.field, r.entity_name, r.project_name) for r in match.name_links(e, p).collect()}
     assert got == want and len(want) > 200
+
+
+def test_parts_of_names_never_go_through_the_driver(spark):
+    names = lambda w: spark.createDataFrame([("well_name", f"{w} {i:09d}") for i in range(50)] + [("well_name", "7")], "field string, name string")
+    plan = match.names_within(names("supplier"), names("customer"))._jdf.queryExecution().executedPlan().toString()
+    sent = plan.split("BroadcastExchange")[1:]
+    assert len(sent) == 1 and "explode" not in sent[0].split("Exchange")[0]  # the names of one or two letters alone
