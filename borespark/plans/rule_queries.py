@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import completions, history, hse, logs, match, production, quality, risk, survey
+from ..sources import scratch
 from . import dims, pipelines
 from .registry import RISKS, SERIES, SURVEY, query, risks, samples, series, stages, table, trajectory
 
@@ -120,12 +121,13 @@ _TRUTH = ", ".join(f"{f'case when {c} then {v} end' if c else v} {f}" for f, (_,
 
 
 def report_texts(spark, d) -> DataFrame:
+    """A report for each customer. Thirty patterns are looked for in each, so keys are dealt out before the texts are made."""
     parts = []
     for line, value, when in REPORT.values():
         before, after = line.split("{}")
         text = F.concat(F.lit(before), F.expr(value), F.lit(after + "\n"))
         parts.append(text if when is None else F.when(F.expr(when), text).otherwise(F.lit("")))
-    return table(spark, d, "customer").select("c_custkey", F.concat(*parts).alias("text"))
+    return scratch.dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.concat(*parts).alias("text"))
 
 
 @query(f"select c_custkey, {_TRUTH} from customer")

@@ -34,3 +34,8 @@ def written(df: DataFrame) -> DataFrame:
 def sent_if_small(table: DataFrame, rows: int = 100_000) -> DataFrame:
     """A written table of few narrow columns with a broadcast hint, if its counted rows allow it; else as it is."""
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def dealt(df: DataFrame, key: str, rows: int = 2_000) -> DataFrame:
+    """df dealt out by key to as many tasks as its counted rows ask for, before work that is large for each row: a file of short rows is read by one or few tasks."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)

@@ -1,8 +1,12 @@
 """Text queries on rows that the given tables lack."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
-from borespark.plans import registry, table_queries  # noqa: F401 - adds to the registry
+from borespark.functions import text as T
+from borespark.plans import dims, registry, rule_queries, table_queries  # noqa: F401 - the last adds to the registry
 
 
 def equals_twin(spark, name, folder, table):
@@ -27,3 +31,21 @@ def test_context_of_well_numbers_beyond_five_digits(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     found = {r[0]: r[1] for r in equals_twin(spark, "entity_context", tmp_path, "customer")}
     assert found[90_000] == "42-100-100000-0000" and found[90_001] is None
+
+
+def test_reports_are_dealt_out_from_one_file(spark, tmp_path):
+    spark.range(9_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    sizes = rule_queries.report_texts(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 9_000 and max(r["count"] for r in sizes) < 3_000
+
+
+def test_patterns_find_the_same_from_their_first_letters(spark):
+    rng = random.Random(4)
+    bits = ["WELL", "well name", "ſtage", "Kount", "№ скв", "СКВАЖИНА", "rıg", "RİG", "Total ſtages", "mud weight", "Плотность раствора", "MD", "tvd", "API", "UWI", ":", " = ", "\n", "12,5", "9 000", " ft", " м", "42-123-12345", " ppg", " г/см3", "hrs", "NPT", "x", ","]
+    docs = spark.createDataFrame([(i, "".join(rng.choice(bits) + rng.choice(["", " ", ": "]) for _ in range(40))) for i in range(300)], "file_id long, text string").cache()
+    patterns = [p for _, p in dims.ENTITIES.values()] + ["(?:a|b)?x", "(?:s?x|m)d", "(x)"]
+    assert sum(T.only_from(p) != p for p in patterns) == len(dims.ENTITIES)
+    for p in patterns:
+        whole, led = (F.regexp_extract("text", T.FOLD + q, 0) for q in (p, T.only_from(p)))
+        assert docs.where(whole != led).count() == 0
+    assert docs.where(F.regexp_extract("text", T.FOLD + dims.ENTITIES["stage_count"][1], 1) != "").count() > 0
