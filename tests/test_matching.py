@@ -51,3 +51,11 @@ def test_parts_of_names_never_go_through_the_driver(spark):
     plan = match.names_within(names("supplier"), names("customer"))._jdf.queryExecution().executedPlan().toString()
     sent = plan.split("BroadcastExchange")[1:]
     assert len(sent) == 1 and "explode" not in sent[0].split("Exchange")[0]  # the names of one or two letters alone
+
+
+def test_members_of_names_never_go_through_the_driver(spark):
+    rows = lambda key: spark.createDataFrame([(i, f"pump {i % 9}") for i in range(60)], f"{key} long, field string")
+    pairs = match.project_match(rows("file_id"), rows("project_name"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 2  # one for each direction: names of one or two letters
+    assert pairs.count() == sum(i % 9 == j % 9 for i in range(60) for j in range(60))
