@@ -14,11 +14,12 @@ from .rule_queries import report_texts
 _LAS = "(case when cast(json_extract_string(props, '$.k') as int) = 0 then null else floor(value) end)::double"
 
 
-def log_texts(spark, d) -> DataFrame:
-    """A log file for each well: depth, GR (the null value where k is 0) and RT."""
+def log_texts(spark, d, named: bool = False) -> DataFrame:
+    """A log file for each well: depth, GR (the null value where k is 0) and RT. named: its header tells the well."""
     x = ranked_logs(spark, d).select("well_id", "depth", F.concat_ws(" ", F.col("depth").cast("int"), F.when(F.col("rt") == 0, "-999.25").otherwise(F.floor("gr").cast("string")), F.col("rt").cast("int")).alias("line"))
     rows = x.groupBy("well_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "line"))), lambda r: r["line"]), "\r\n").alias("rows"), F.max("depth").alias("stop"))
-    head = F.concat(F.lit("~Version\nVERS. 2.0 : CWLS\n~Well\nSTRT.M 1 : start\nSTOP.M "), F.col("stop").cast("int").cast("string"), F.lit(" : stop\nNULL. -999.25 : null\n# remark\n~Curve\nDEPT.M : depth\nGR.API : gamma ray\nRT.OHMM : resistivity\n~A\n"))
+    well = F.concat(F.lit("WELL. "), F.col("well_id").cast("string"), F.lit(" : well\n")) if named else F.lit("")
+    head = F.concat(F.lit("~Version\nVERS. 2.0 : CWLS\n~Well\n"), well, F.lit("STRT.M 1 : start\nSTOP.M "), F.col("stop").cast("int").cast("string"), F.lit(" : stop\nNULL. -999.25 : null\n# remark\n~Curve\nDEPT.M : depth\nGR.API : gamma ray\nRT.OHMM : resistivity\n~A\n"))
     return rows.select("well_id", F.concat(head, "rows").alias("text"))
 
 
@@ -44,11 +45,10 @@ def delimited_cells(spark, d):
 
 @query(ORACLES["las_samples"])
 def las_files(spark, d):
-    """The same logs as files, which many tasks read in blocks."""
+    """The same logs in files, one behind another, so that the number of files follows their bytes and not the wells; many tasks read them in blocks."""
     folder = scratch.new_folder(spark)
-    log_texts(spark, d).write.partitionBy("well_id").text(folder)
-    well = F.regexp_extract("file_id", r"well_id=(\d+)", 1).cast("long")
-    return files.read_las(spark, folder)[2].select(well.alias("well_id"), "depth", "mnemonic", "value")
+    log_texts(spark, d, named=True).select("text").write.text(folder)
+    return files.read_las_bundles(spark, folder, ("WELL",))[2].select(F.col("WELL").cast("long").alias("well_id"), "depth", "mnemonic", "value")
 
 
 @query("with o as (select o_orderkey % 20 sheet, row_number() over (partition by o_orderkey % 20 order by o_orderkey) - 1 row_no, o_orderkey, o_orderpriority from orders) select sheet, row_no, col_no, col_name, unit, \"value\" from (select sheet, row_no, unnest([0, 1, 2]) col_no, unnest(['Depth', 'Rate', 'Note']) col_name, unnest(['ft', 'bopd', null]) unit, unnest([o_orderkey::varchar, (o_orderkey % 7)::varchar, o_orderpriority]) \"value\" from o)")

@@ -140,32 +140,35 @@ def las_lines(texts: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFra
 
 
 def las_split_lines(lines: DataFrame) -> DataFrame:
-    """The same from split_lines: a block begins in the section that the last header before it opened."""
+    """The same from split_lines, with log_no: a block begins in the section that the last header before it opened, and in the log that the last version header opened."""
     x = lines.withColumn("line", F.trim("line")).where("line <> '' and line not like '#%'").withColumn("opened", las_section(F.col("line")))
-    last = x.groupBy("file_id", "block").agg(F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("at"))).alias("opened"))
-    carried = F.last("opened", ignorenulls=True).over(Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = sent_if_small(written(last.select("file_id", "block", carried.alias("carried"))))
-    own = F.last("opened", ignorenulls=True).over(Window.partitionBy("file_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("own", own).join(blocks, ["file_id", "block"])
+    last = x.groupBy("file_id", "block").agg(F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("at"))).alias("opened"), F.count_if(F.col("opened") == "V").alias("logs"))
+    earlier = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last("opened", ignorenulls=True).over(earlier).alias("carried"), F.coalesce(F.sum("logs").over(earlier), F.lit(0)).alias("before")
+    blocks = sent_if_small(written(last.select("file_id", "block", *carried)))
+    so_far = Window.partitionBy("file_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = {"own": F.last("opened", ignorenulls=True).over(so_far), "logs": F.count_if(F.col("opened") == "V").over(so_far)}
+    x = x.withColumns(own).join(blocks, ["file_id", "block"])
     order = F.struct("block", "at")
-    return x.select("file_id", order.alias("line_no"), F.coalesce("own", "carried").alias("section"), "line").where("line not like '~%' and section is not null")
+    return x.select("file_id", (F.col("before") + F.col("logs")).alias("log_no"), order.alias("line_no"), F.coalesce("own", "carried").alias("section"), "line").where("line not like '~%' and section is not null")
 
 
-def las_tables_of(rows: DataFrame, keys: tuple[str, ...], sentinel: float = -999.25) -> tuple[DataFrame, DataFrame, DataFrame]:
+def las_tables_of(rows: DataFrame, keys: tuple[str, ...], sentinel: float = -999.25, items: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(header items, curves, samples) of log lines (keys, line_no, section, line): keys, key, unit, value / keys, curve_no, mnemonic, unit, descr / keys, depth,
-    mnemonic, value. Samples meet one row of names and null value for each file, so a large file isn't gathered."""
+    mnemonic, value. Samples meet one row of names and null value for each file, so a large file isn't gathered. items: header keys whose values samples have as columns."""
     item = r"^([^.\s]+)\s*\.(\S*)\s*(.*?)\s*(?::\s*(.*))?$"
     part = lambda i: F.regexp_extract("line", item, i)
     wells = rows.where("section = 'W'").select(*keys, F.upper(part(1)).alias("key"), F.nullif(part(2), F.lit("")).alias("unit"), F.nullif(part(3), F.lit("")).alias("value"))
     order = Window.partitionBy(*keys).orderBy("line_no")
     curves = rows.where("section = 'C'").select(*keys, (F.row_number().over(order) - 1).alias("curve_no"), F.upper(part(1)).alias("mnemonic"), F.nullif(part(2), F.lit("")).alias("unit"), F.nullif(part(4), F.lit("")).alias("descr"))
     names = curves.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("curve_no", "mnemonic"))), lambda x: x["mnemonic"]).alias("names"))
-    null = wells.where("key = 'NULL'").groupBy(*keys).agg(F.min(F.col("value").try_cast("double")).alias("sentinel"))
+    said = lambda key: F.when(F.col("key") == key, F.col("value"))
+    null = wells.where(F.col("key").isin("NULL", *items)).groupBy(*keys).agg(F.min(said("NULL").try_cast("double")).alias("sentinel"), *[F.min(said(i)).alias(i) for i in items])
     heads = sent_if_small(written(names.join(null, list(keys), "left")))
     values = rows.where("section = 'A'").select(*keys, F.split("line", r"\s+").alias("v"))
-    cells = values.join(heads, list(keys)).select(*keys, "sentinel", F.col("v")[0].try_cast("double").alias("depth"), F.inline(F.arrays_zip(F.col("names").alias("mnemonic"), F.slice("v", F.lit(1), F.size("names")).alias("text")))).where("text is not null")
+    cells = values.join(heads, list(keys)).select(*keys, *items, "sentinel", F.col("v")[0].try_cast("double").alias("depth"), F.inline(F.arrays_zip(F.col("names").alias("mnemonic"), F.slice("v", F.lit(1), F.size("names")).alias("text")))).where("text is not null")
     number = F.col("text").try_cast("double")
-    samples = cells.select(*keys, "depth", "mnemonic", F.when(number != F.coalesce("sentinel", F.lit(sentinel)), number).alias("value"))
+    samples = cells.select(*keys, *items, "depth", "mnemonic", F.when(number != F.coalesce("sentinel", F.lit(sentinel)), number).alias("value"))
     return wells, curves, samples
 
 
@@ -177,3 +180,9 @@ def las_tables(texts: DataFrame, keys: tuple[str, ...] = ("file_id",), sentinel:
 def read_las(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """las_tables_of for the log files below a folder. A file of any size is read in blocks by many tasks, the section carried over their borders."""
     return las_tables_of(las_split_lines(split_lines(spark, path)), ("file_id",))
+
+
+def read_las_bundles(spark: SparkSession, path: str, items: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for files that hold any number of logs one behind another, each from its version header on: keys are file_id, log_no (from 1; 0 before the first
+    version header). Short logs kept so need far fewer files, each of which costs the driver a commit and a listing."""
+    return las_tables_of(written(las_split_lines(split_lines(spark, path))), ("file_id", "log_no"), items=items)
