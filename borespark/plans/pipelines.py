@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +41,16 @@ def process_files(files: DataFrame, projects: DataFrame | None = None) -> dict[s
 
 
 def analyze_drilling(docs: DataFrame, current: DataFrame | None = None, pad_history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(KPIs by well, flags) from report texts (file_id, well_id, text); with pad history also predictions."""
-    keep = ("well_id", "file_id")
+    """(KPIs by well, flags) from report texts (file_id, well_id, text); with pad history also predictions. A field's value is that of the last file that tells it; a well
+    without values and lost time has no row. Fields stay columns, so patterns of fields that nobody selects are not tried."""
+    keep, patterns = ("well_id", "file_id"), {f: (d, p) for f, (d, p) in dims.ENTITIES.items() if d == "drilling"}
     values = T.bucket_entities(T.extract_entities(docs, keep=keep), keep).where("domain = 'drilling'")
-    kpis = values.groupBy("well_id").pivot("field", [f for f, (d, _) in dims.ENTITIES.items() if d == "drilling"]).agg(F.max_by("value", "file_id"))
-    kpis = kpis.withColumns({f: coerce_number(F.col(f)) for f, (d, _) in dims.ENTITIES.items() if d == "drilling" and f not in dims.TEXT_FIELDS})
+    any_value = lambda x: reduce(or_, [T.entity(x, p) != "" for _, p in patterns.values()])  # noqa: E731 - ends at the first field found
+    told = F.exists(F.array("text"), any_value)  # of a variable: patterns that the columns share would make Spark's planning very long
+    found = T.extract_entities(docs.select(*keep, "text", told.alias("told")), patterns, keep=(*keep, "told"))
+    last = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.col("file_id")))
+    kpis = found.groupBy("well_id").agg(F.max("told").alias("told"), *[last(f).alias(f) for f in patterns]).where("told").drop("told")
+    kpis = kpis.withColumns({f: coerce_number(F.col(f)) for f in patterns if f not in dims.TEXT_FIELDS})
     npt = hse.npt_total(T.extract_npt_events(docs, keep=keep))
     kpis = kpis.withColumnRenamed("npt_hours", "npt_stated").join(npt, "well_id", "full_outer").withColumn("npt_hours", F.coalesce("npt_hours", "npt_stated"))
     flags = quality.range_checks(values.select("well_id", "field", F.col("number").alias("value"))).withColumn("domain", F.lit("drilling"))

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from borespark.functions import text as T
-from borespark.plans import dims, registry, rule_queries, table_queries  # noqa: F401 - the last adds to the registry
+from borespark.plans import dims, pipelines, registry, rule_queries, table_queries  # noqa: F401 - the last adds to the registry
 
 
 def equals_twin(spark, name, folder, table):
@@ -64,3 +64,14 @@ def test_only_texts_with_incident_words_are_cut_into_lines(spark):
     every = lines(docs, keep=("file_id",)).where(T.contains_any(F.lower("line"), dims.INCIDENTS))
     assert found == {(r.file_id, r.line_no) for r in every.collect()} and {(1, 3), (2, 1), (3, 1)} <= found
     assert cut == [{k for k, _ in found}]
+
+
+def test_drilling_values_stay_columns(spark):
+    rows = [(1, "a", "Well name: W-1, \nRPM: 90 rpm\n"), (2, "a", "RPM: 95 rpm\nNPT: 2.5 hrs\n"), (3, "a", "nothing"), (1, "b", "no value"), (2, "b", None), (1, "c", "lost 4 hours of flat time"), (1, "d", "Operator: ,,,\n"), (1, "e", "СТАНОК: Уралмаш\n"), (1, "f", "Mud weight: 1.2.3 sg\n")]
+    kpis, _ = pipelines.analyze_drilling(spark.createDataFrame(rows, "file_id long, well_id string, text string"))
+    found = {r.well_id: r for r in kpis.collect()}
+    assert set(found) == {"a", "c", "e", "f"}  # no row without a value or lost time
+    assert (found["a"].well_name, found["a"].rpm, found["a"].npt_hours, found["a"].operator) == ("W-1", 95.0, 2.5, None)
+    assert (found["c"].npt_hours, found["c"].rpm, found["e"].rig_name, found["f"].mud_weight_sg) == (4.0, None, "Уралмаш", None)
+    plan = kpis.select("well_id", "well_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS well_name" in plan and "AS rpm" not in plan
