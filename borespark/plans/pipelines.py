@@ -25,12 +25,13 @@ def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def process_files(files: DataFrame, projects: DataFrame | None = None) -> dict[str, DataFrame]:
-    """files (path, and text or content): documents with their discipline, found values, events, sections, range flags, project, and the status of every file."""
+    """files (path, and text or content): documents with their discipline, found values (entities: a column for each field, values: a row for each found one), events,
+    sections, range flags, project, and the status of every file."""
     docs, status = readable(files)
     entities = T.extract_entities(docs)
     values = T.bucket_entities(entities)
     out = {
-        "status": status,
+        "status": status, "entities": entities,
         "disciplines": T.classify_discipline(docs).drop("text"), "values": values, "context": T.entity_context(docs), "npt": T.extract_npt_events(docs), "bha": T.extract_bha(docs), "casing": T.extract_casing_points(docs),
         "flags": quality.range_checks(values.select("file_id", "field", F.col("number").alias("value")), keys=("file_id",)),
     }

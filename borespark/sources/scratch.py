@@ -37,5 +37,6 @@ def sent_if_small(table: DataFrame, rows: int = 100_000) -> DataFrame:
 
 
 def dealt(df: DataFrame, key: str, rows: int = 2_000) -> DataFrame:
-    """df dealt out by key to as many tasks as its counted rows ask for, before work that is large for each row: a file of short rows is read by one or few tasks."""
-    return df.repartition(max(1, -(-df.count() // rows)), key)
+    """df dealt out by key to as many tasks as its counted rows ask for, before work that is large for each row: a file of short rows is read by one or few tasks.
+    It is observed, so that Spark moves no filter on what is made of the rows to before the dealing."""
+    return df.repartition(max(1, -(-df.count() // rows)), key).observe(f"dealt_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))

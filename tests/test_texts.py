@@ -75,3 +75,12 @@ def test_drilling_values_stay_columns(spark):
     assert (found["c"].npt_hours, found["c"].rpm, found["e"].rig_name, found["f"].mud_weight_sg) == (4.0, None, "Уралмаш", None)
     plan = kpis.select("well_id", "well_name")._jdf.queryExecution().optimizedPlan().toString()
     assert "AS well_name" in plan and "AS rpm" not in plan
+
+
+def test_files_are_checked_where_they_are_dealt_to(spark, tmp_path):
+    spark.range(4_100).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = equals_twin(spark, "process_files", tmp_path, "customer")
+    assert len(found) == 4_100 and sum(r[3] is not None for r in found) == 3_280
+    plan = registry.QUERIES["process_files"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") == 2
+    assert all("Filter" not in below.split("FileScan")[0] for below in plan.split("REPARTITION_BY_NUM")[1:])
