@@ -2,6 +2,9 @@
 
 import math
 import random
+from collections import defaultdict
+
+import pyarrow as pa
 
 from borespark.operators import match
 
@@ -59,3 +62,47 @@ def test_members_of_names_never_go_through_the_driver(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") <= 2  # one for each direction: names of one or two letters
     assert pairs.count() == sum(i % 9 == j % 9 for i in range(60) for j in range(60))
+
+
+def test_pairs_are_not_shuffled(spark):
+    rows = lambda key: spark.createDataFrame([(i, f"pump {i % 9}", f"rig {i % 4}") for i in range(60)], f"{key} long, field string, operator string")
+    pairs = match.project_match(rows("file_id"), rows("project_name"))
+    above = pairs._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")
+    assert len(above) > 1 and "Exchange" not in above[0] and "Aggregate" not in above[0] and "Join" not in above[0]
+    got = {(r.file_id, r.project_name): (r.confidence, r.matched) for r in pairs.collect()}
+    both = {(i, j): [f for f, n in (("field", 9), ("operator", 4)) if i % n == j % n] for i in range(60) for j in range(60)}
+    assert got == {k: (0.15 * len(v), v) for k, v in both.items() if v}
+
+
+def test_pairs_in_cells(spark):
+    rng = random.Random(4)
+    asks = sorted({(rng.randrange(70), rng.randrange(40)) for _ in range(300)} | {(7, c) for c in range(40)})
+    holds = sorted({(f"p{rng.randrange(90)}", c, 1 << c % 3) for c in (min(int(rng.expovariate(0.15)), 39) for _ in range(500))})
+    want = defaultdict(int)
+    for e, c in asks:
+        for p, k, bit in holds:
+            want[e if e else None, p if p != "p0" else None] |= bit if c == k else 0
+    a = spark.createDataFrame([(e or None, c) for e, c in asks], "file_id long, class long")
+    h = spark.createDataFrame([(p if p != "p0" else None, c, bit) for p, c, bit in holds], "project_name string, class long, bit int")
+    for rows, links in ((2**17, 2**25), (60, 400), (9, 40)):
+        got = [(r.file_id, p, r.found) for r in match.pairs_in_cells(a, h, 3, rows=rows, links=links).collect() for p in r.project_names]
+        assert sorted(map(str, got)) == sorted(str((*k, v)) for k, v in want.items() if v)
+
+
+def test_entities_of_few_and_many_links():
+    rng = random.Random(8)
+    holds = sorted({(p, rng.randrange(3), 0) for p in range(9000) for _ in range(2)} | {(p, 3 + p % 500, 0) for p in range(9000)})
+    asks = [(e, c) for e in range(30) for c in ((rng.randrange(3), 3 + e) if e % 3 == 0 else (0, 1, 2, 4) if e == 1 else (5 + e, 9 + e))]
+    bit = lambda c: (1, 2, 4, 1)[min(c, 3)]
+    of = defaultdict(list)
+    for p, c, _ in holds:
+        of[c].append(p)
+    want = defaultdict(int)
+    for e, c in asks:
+        for p in of[c]:
+            want[e, p] |= bit(c)
+    columns = [[e for e, _ in asks] + [None] * len(holds), [None] * len(asks) + [p for p, _, _ in holds], [c for _, c in asks] + [c for _, c, _ in holds], [0] * len(asks) + [bit(c) for _, c, _ in holds]]
+    cell = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["file_id", "project_name", "class", "bit"])
+    for chunk in (2**18, 50):
+        got = [(e, p, f) for b in match.linked_pairs(3, chunk)(iter([cell])) for e, f, names in zip(*(x.to_pylist() for x in b.columns)) for p in names]
+        assert len(got) == len(want) > 30000 and {(e, p): f for e, p, f in got} == want
